@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import decontaminate, stream_dedup, url_cascade
+from folioforge.llm import decontaminate, mixture, prefix_join, stream_dedup, url_cascade
 from folioforge.llm.common import LOWER, UPPER, table
 from folioforge.llm.url_cascade import Rule
 
@@ -24,17 +24,27 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_mixture": op2_mixture,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_prefix_join": op6_prefix_join,
     "op10_decontaminate": op10_decontaminate,
 }
 

@@ -104,13 +104,14 @@ def passes(key: Column, level: int, built: Level) -> Column:
     return test
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> list[Level]:
-    """The levels for the listed keys (column ``key``) over all keys of the universe (column ``key``, repeats allowed)."""
+def build_cascade(universe: DataFrame, listed: DataFrame, n_universe: int, max_bits: int = MAX_BITS) -> list[Level]:
+    """The levels for the listed keys (column ``key``) over all keys of the universe (column ``key``, repeats
+    allowed; about ``n_universe`` different ones)."""
     listed = listed.distinct()
     n = listed.count()
     if not n:
         return []
-    u = max(universe.agg(F.approx_count_distinct("key").alias("u")).first()["u"], 2 * n)
+    u = max(n_universe, 2 * n)
     levels = [build_level(listed, 1, n, max(min(0.5, n * math.sqrt(0.5) / (u - n)), 2.0**-30), max_bits)]
     # Of the universe only what passes level 1 is shuffled: wrong passes, about as many as there are listed keys, and the listed.
     tagged = universe.where(passes(F.col("key"), 1, levels[0])).select("key", F.lit(0).alias("is_listed")).unionByName(listed.select("key", F.lit(1).alias("is_listed")))
@@ -149,15 +150,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", otherwise:
     verdicts = sorted(set(verdict_of.values()))
     universe = keyed.select(F.explode("_keys").alias("key"))
     listed = spark.createDataFrame(sorted(verdict_of.items()), "key string, v string") if verdict_of else None
+    n_universe = universe.agg(F.approx_count_distinct("key").alias("u")).first()["u"] if verdicts else 0
     try:
-        cascades = {v: build_cascade(universe, listed.where(F.col("v") == v).select("key"), max_bits) for v in verdicts}
+        cascades = {v: build_cascade(universe, listed.where(F.col("v") == v).select("key"), n_universe, max_bits) for v in verdicts}
     except OverflowError:
         numbered = keyed.withColumn("_row", F.struct(F.monotonically_increasing_id()))
         fit = numbered.select("_row", F.posexplode("_keys").alias("at", "key")).join(listed, "key").groupBy("_row").agg(F.min(F.struct("at", "key", "v")).alias("hit"))
         return numbered.join(fit, "_row", "left").select(*kept, "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.v", F.lit(otherwise)).alias("verdict"))
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    hit = {v: _first_listed(cascades[v]) for v in verdicts}
-    for v in verdicts:
-        new = F.when(hit[v].isNotNull(), F.struct(hit[v].alias("rule"), F.lit(v).alias("verdict")))
-        found = F.when(found.isNull() | (F.length(new["rule"]) > F.length(found["rule"])), F.coalesce(new, found)).otherwise(found)
-    return keyed.select(*kept, "host", "path", found.alias("_hit")).select(*kept, "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(otherwise)).alias("verdict"))
+    # The longest key wins: of (length, block before allow) the largest.
+    hits = F.array(*[F.struct(F.coalesce(F.length(k), F.lit(0)).alias("n"), F.lit(v == "block").alias("b"), k.alias("rule"), F.lit(v).alias("verdict")) for v in verdicts for k in [_first_listed(cascades[v])]])
+    judged = keyed.select(*kept, "host", "path", (F.array_max(hits) if verdicts else F.lit(None).cast("struct<n:int,b:boolean,rule:string,verdict:string>")).alias("_hit"))
+    return judged.select(*kept, "host", "path", F.col("_hit.rule").alias("rule"), F.when(F.col("_hit.rule").isNull(), otherwise).otherwise(F.col("_hit.verdict")).alias("verdict"))
