@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import decontaminate, mixture, prefix_join, stream_dedup, url_cascade
+from folioforge.llm import arrow_tokens, decontaminate, mixture, prefix_join, stream_dedup, transducer, url_cascade
 from folioforge.llm.common import LOWER, UPPER, table
 from folioforge.llm.url_cascade import Rule
 
@@ -36,6 +36,20 @@ def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_tokens.read(arrow_tokens.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture": op2_mixture,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_prefix_join": op6_prefix_join,
+    "op7_token_files": op7_token_files,
+    "op8_token_counts": op8_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 
