@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import ascii_lower
+from folioforge.llm.common import ascii_lower, written
 
 #: Everything that is not in a word: the ASCII characters other than 0-9 and a-z (after lower-casing).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 MAX_BROADCAST_BYTES = 64 << 20
+#: Contaminated documents (an id and a hash each) are broadcast up to so many.
+BROADCAST_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -92,7 +94,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, doc
 
 def remove(docs: DataFrame, benchmark: DataFrame, unit: str = "document", width: int = WIDTH, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The documents, all columns kept, without contaminated ones (unit "document") or without their hit words ("span")."""
-    hit = contamination(docs, benchmark, width, max_broadcast_bytes=max_broadcast_bytes).where(F.size("hit_words") > 0).select(F.col("doc_id").alias("_hit_doc"), F.col("text_key").alias("_hit_text"), F.col("hit_words").alias("_hit_words")).distinct()
+    hit = contamination(docs, benchmark, width, max_broadcast_bytes=max_broadcast_bytes).where(F.size("hit_words") > 0).select(F.col("doc_id").alias("_hit_doc"), F.col("text_key").alias("_hit_text"), *([F.col("hit_words").alias("_hit_words")] if unit == "span" else [])).distinct()
+    hit, _ = written(hit, "contaminated")
+    hit = F.broadcast(hit) if unit == "document" and hit.count() <= BROADCAST_ROWS else hit
     same = docs["doc_id"].eqNullSafe(hit["_hit_doc"]) & (F.xxhash64(docs["text"]) == hit["_hit_text"])
     if unit == "document":
         return docs.join(hit, same, "left_anti")

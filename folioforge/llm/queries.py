@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import arrow_tokens, decontaminate, mixture, prefix_join, stream_dedup, transducer, url_cascade
+from folioforge.llm import arrow_tokens, decontaminate, html_density, kneser_ney, mixture, prefix_join, rule_ensemble, stream_dedup, transducer, url_cascade
 from folioforge.llm.common import LOWER, UPPER, table
 from folioforge.llm.url_cascade import Rule
 
@@ -32,6 +33,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (kneser_ney.fold(F.col("doc_id")) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    model = rule_ensemble.train(docs, labels, lambda doc_id: kneser_ney.fold(doc_id) != 0)
+    return rule_ensemble.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -50,6 +62,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (kneser_ney.fold(F.col("doc_id")) == 0).alias("held_out"))
+    model = kneser_ney.train(docs.where("not held_out"))
+    return kneser_ney.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,9 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixture": op2_mixture,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_text": op4_html_text,
+    "op5_quality": op5_quality,
     "op6_prefix_join": op6_prefix_join,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
+    "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
 
