@@ -193,8 +193,13 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     candidates, candidates_at = written(pairs.join(m1, "gx").join(m2, "gy").select("a", "b").unionByName(inside), "candidates")
 
     # Long lists, and large groups: clumps of nodes, compared in blocks.
-    long_lists = listed.where(F.col("k") > LIST).select("token", "grp").join(members, "grp").select(F.col("token").alias("clump"), F.lit(0).alias("kind"), "node")
-    clumps, clumps_at = written(long_lists.unionByName(many.select(F.col("grp").alias("clump"), F.lit(1).alias("kind"), "node")), "clumps")
+    # Lists with the same hub (the node that is in most long lists) are one clump: near copies of one text share
+    # many shingles, and so are sent once instead of once for each list.
+    long_lists, long_at = written(listed.where(F.col("k") > LIST).select("token", "grp").join(members, "grp").select("token", "node"), "long-lists")
+    in_lists = long_lists.groupBy("node").agg(F.count(F.lit(1)).alias("h"))
+    hubs = long_lists.join(in_lists, "node").groupBy("token").agg(F.max(F.struct("h", "node")).alias("hub"))
+    by_hub = long_lists.join(hubs, "token").select(F.col("hub.node").alias("clump"), F.lit(0).alias("kind"), "node").distinct()
+    clumps, clumps_at = written(by_hub.unionByName(many.select(F.col("grp").alias("clump"), F.lit(1).alias("kind"), "node")), "clumps")
 
     wanted, wanted_at = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(clumps.select("node")).distinct().join(nodes.select("node", "first_doc", "set_key"), "node"), "wanted")
     sets, sets_at = written(whole_sets(docs, wanted, wanted.count(), width), "sets")
@@ -215,7 +220,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
 
     in_blocks = dealt.groupBy("clump", "kind", "bi", "bj").applyInPandas(compare, "a long, b long")
     edges, edges_at = written(verified.unionByName(in_blocks), "edges")
-    for path in (groups_at, lists_at, listed_at, candidates_at, clumps_at, wanted_at, sets_at):
+    for path in (groups_at, lists_at, listed_at, candidates_at, long_at, clumps_at, wanted_at, sets_at):
         delete(docs.sparkSession, path)
     rows = signed.join(nodes.select("set_key", "node", "first_doc"), "set_key", "left").select("doc_id", "n", "set_key", "node", "first_doc")
     return rows, edges, [signed_at, nodes_at, edges_at]
