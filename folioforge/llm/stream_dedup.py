@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import delete, fresh_path, shared_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STREAM_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+STREAM_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: The digests that occur more than once are broadcast up to so many; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -86,9 +88,11 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     state, folder = digest_state(spark, path, digest, bytes_per_trigger)
     docs = _rows(spark.read.parquet(path), digest)
     # The hits' bytes meet the content at their locator; rows that are alone with their digest need no text.
-    many = state.where(F.col("group_size") > 1)
-    content = docs.join(many.select(F.col("digest").alias("d"), F.col("keep.locator").alias("at")), (F.col("digest") == F.col("d")) & (F.col("locator") == F.col("at"))).select("d", F.col("text").alias("content"))
-    wrong, wrong_at = written(docs.join(content, F.col("digest") == F.col("d")).where(F.col("text") != F.col("content")).select("digest").distinct(), "dedup-collisions")
+    many = state.where(F.col("group_size") > 1).select(F.col("digest").alias("d"), F.col("keep.locator").alias("at"))
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    content = docs.join(many, (F.col("digest") == F.col("d")) & (F.col("locator") == F.col("at"))).select("d", F.col("text").alias("content"))
+    hits = docs.join(many, F.col("digest") == F.col("d"), "left_semi")
+    wrong, wrong_at = written(hits.join(content, F.col("digest") == F.col("d")).where(F.col("text") != F.col("content")).select("digest").distinct(), "dedup-collisions")
     members = docs.select("doc_id", "digest", "locator", (F.sha2("text", 256) if digest is not sha256 else F.col("digest")).alias("text_sha256"))
     told = members.join(state, "digest")
     if not wrong.isEmpty():
