@@ -127,7 +127,7 @@ class Model:
     languages: list[str]
     grams: list[Table]  # by order, from 1: log probabilities
     contexts: list[Table]  # by order, from 1: log back-off weights of the contexts of order - 1 characters
-    unseen: np.ndarray  # log probability of a character that no language has
+    unseen: np.ndarray  # log of the share of a character that no language has, before the back-off weight
     mean: np.ndarray  # cross-entropy of each language's own texts, and its deviation for one character
     deviation: np.ndarray
 
@@ -220,7 +220,7 @@ def estimate(counts: pd.DataFrame, languages: list[str]) -> Model:
             own = np.where(total[context] > 0, np.maximum(table - d, 0) / total[context], 0.0)
         if k == 1:
             lower = np.full((len(names), n), 1.0 / (alphabet + 1))
-            unseen = np.log(weight[0] / (alphabet + 1))
+            unseen = np.full(n, -np.log(alphabet + 1))
         else:
             lower = below[np.searchsorted(below_keys, _key_of(codes[:, 1:]))]
         p = own + weight[context] * lower
