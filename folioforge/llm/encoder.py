@@ -18,7 +18,7 @@ ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _LETTERS = "a-zªµºß-öø-ÿ"
 PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t\n\r\f\v]+")
 WORD = re.compile(f"[{_LETTERS}]+")
-GENERATION = 400_000
+GENERATION = 200_000
 
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.

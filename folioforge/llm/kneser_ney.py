@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import delete, written
+
 ORDER = 4
 ROWS_PER_LANGUAGE = 4000
 MAX_NGRAMS = 2_000_000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 UNKNOWN = "und"
 #: Rejection: so many deviations (of one character, over the root of the length), and so many nats, above the mean.
 DEVIATIONS, MARGIN = 8.0, 0.75
@@ -259,7 +261,9 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_n
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1e6
     sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5)) == 0).alias("held"))
     counted = sample.where("not held").select("lang", "text").mapInPandas(_ngrams, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counted, counted_at = written(counted, "ngrams")
     counts = _bounded(counted, max_ngrams)
+    delete(spark, counted_at)
     if not len(counts):
         return None
     model = estimate(counts.sort_values(["lang", "gram"]), sorted(set(counts["lang"])))

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES = 400_000
-SLICE_CHARS = 4 << 20
+MAX_STATES = 200_000
+SLICE_CHARS = 1 << 20
 CHUNK = 1024
 SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
 
@@ -111,7 +111,7 @@ class Transducer:
         """Whether BPE leaves the token as it is after the token ``last`` (-1: at the beginning)."""
         key = (last, token)
         if (said := self.fits.get(key)) is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             head = self.bytes_of[last] if last >= 0 else b""
             said = self.fits[key] = self._bpe(head + token) == ([last] if last >= 0 else []) + [self.tokens[token]]
