@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.llm.common import fresh_path, written
+from folioforge.llm.common import bounded_batches, fresh_path, written
 from folioforge.llm.encoder import WordEncoder
 
 LENGTH, BATCH, END_ID = 2048, 64, 2
@@ -111,6 +111,7 @@ class SequenceFile:
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = LENGTH, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes and writes all documents; returns the manifest (shard, path, n_docs, n_ids, base: ids before the shard)."""
+    bounded_batches(docs.sparkSession)
     folder = folder or fresh_path(docs.sparkSession, "tokens")
     size = docs.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("b")).first()["b"] or 0
     shards = max(1, -(-size // shard_bytes))

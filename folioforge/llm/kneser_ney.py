@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import delete, written
+from folioforge.llm.common import bounded_batches, delete, written
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 4000
@@ -257,6 +257,7 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_n
     if not sizes:
         return None
     spark = labelled.sparkSession
+    bounded_batches(spark)
     shares = spark.createDataFrame([(lang, min(1.0, rows_per_language / n)) for lang, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1e6
     sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5)) == 0).alias("held"))
@@ -297,6 +298,7 @@ def _bounded(counted: DataFrame, max_ngrams: int) -> pd.DataFrame:
 
 def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The extra columns with lang_pred, score (0 to 1), entropy and rejected."""
+    bounded_batches(docs.sparkSession)
     fields = [f for f in docs.select(*extra).schema.fields]
     declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -322,6 +324,7 @@ def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ("doc
 
 def rejects(text: Column, model: Model | None, spark) -> Column:
     """Whether a text is rejected, as a column."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

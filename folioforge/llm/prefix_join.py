@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import delete, fresh_path, written
+from folioforge.llm.common import bounded_batches, delete, fresh_path, written
 from folioforge.llm.components import connected_components
 from folioforge.llm.textkernel import mix64, shingle_sets, slices
 
@@ -162,6 +162,7 @@ def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, p
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows, edges, folders): rows with doc_id, n, set_key, node (null for an empty set); edges (a, b) between
     nodes, which keep every linked set connected with its partners; the shared folders that hold them."""
+    bounded_batches(docs.sparkSession)
     counts = bucket_counts(docs, width)
     signed, signed_at = written(signatures(docs, counts, width, percent), "signatures")
     nodes, nodes_at = written(

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import bounded_batches
+
 MAX_STATES = 200_000
 SLICE_CHARS = 1 << 20
 CHUNK = 1024
@@ -220,6 +222,7 @@ class Transducer:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
