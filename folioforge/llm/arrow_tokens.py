@@ -1,10 +1,11 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Documents are put in ascending order of doc_id, shard by shard. Each shard is one Arrow IPC file whose
-record batches hold ``BATCH`` rows of two fixed-size lists of ``length`` values: ``ids`` (unsigned 32-bit)
-and ``mask`` (1 for an id, 0 for the padding after the shard's last id). Sequence i of a file is thus row
-i % BATCH of batch i // BATCH: found without a scan and, memory-mapped, read without a copy. A second Arrow
-file beside it has a row for each document: doc_id, start within the shard, n_tokens.
+record batches hold ``BATCH`` rows of two fixed-size lists of ``length`` values: ``ids`` (unsigned 16-bit if
+the vocabulary fits, else 32-bit) and ``mask`` (bits: true for an id, false for the padding after the shard's
+last id). Sequence i of a file is thus row i % BATCH of batch i // BATCH: found without a scan and,
+memory-mapped, read without a copy. A second Arrow file beside it has a row for each document: doc_id, start
+within the shard, n_tokens.
 
 Files are written under names of their own and listed in a manifest only when their task has ended well, so
 a task that is run again, or twice, does no harm. They are opened through Arrow's file systems by the
@@ -43,8 +44,8 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, dtype: str = "<u4") -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -53,23 +54,22 @@ DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 class SequenceWriter:
     """Takes ids piece by piece and writes full batches of sequences; the rest is padded at the end."""
 
-    def __init__(self, sink, length: int, batch: int = BATCH) -> None:
-        self.length, self.batch, self.schema = length, batch, sequence_schema(length)
+    def __init__(self, sink, length: int, batch: int = BATCH, dtype: str = "<u4") -> None:
+        self.length, self.batch, self.schema, self.dtype = length, batch, sequence_schema(length, dtype), np.dtype(dtype)
         self.out, self.parts, self.waiting, self.total = pa.ipc.new_file(sink, self.schema), [], 0, 0
 
     def _emit(self, ids: np.ndarray, n_real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n_real] = 1
+        mask = np.arange(len(ids)) < n_real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(lists, self.schema, strict=True)], schema=self.schema))
 
     def add(self, raw: bytes) -> None:
         self.parts.append(raw)
-        self.waiting += len(raw) // 4
-        self.total += len(raw) // 4
+        self.waiting += len(raw) // self.dtype.itemsize
+        self.total += len(raw) // self.dtype.itemsize
         full = self.length * self.batch
         if self.waiting >= full:
-            ids = np.frombuffer(b"".join(self.parts), "<u4")
+            ids = np.frombuffer(b"".join(self.parts), self.dtype)
             n = len(ids) // full * full
             for at in range(0, n, full):
                 self._emit(ids[at : at + full], full)
@@ -77,14 +77,15 @@ class SequenceWriter:
 
     def close(self) -> None:
         if self.waiting:
-            ids = np.zeros(-(-self.waiting // self.length) * self.length, "<u4")
-            ids[: self.waiting] = np.frombuffer(b"".join(self.parts), "<u4")
+            ids = np.zeros(-(-self.waiting // self.length) * self.length, self.dtype)
+            ids[: self.waiting] = np.frombuffer(b"".join(self.parts), self.dtype)
             self._emit(ids, self.waiting)
         self.out.close()
 
 
 class SequenceFile:
-    """Random access to the sequences of one file: ``file[i]`` is (ids, mask), views of the mapped file."""
+    """Random access to the sequences of one file: ``views(i)`` is (ids, mask) as Arrow arrays that are views of the
+    mapped file; ``file[i]`` the same for numpy, which has no arrays of bits: the mask's are spread to bytes."""
 
     def __init__(self, path: str, batch: int = BATCH) -> None:
         where, name = opened(path)
@@ -97,11 +98,15 @@ class SequenceFile:
     def __len__(self) -> int:
         return self.rows
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def views(self, i: int) -> tuple[pa.Array, pa.Array]:
         if not 0 <= i < self.rows:
             raise IndexError(i)
         rows, at = self.reader.get_batch(i // self.batch), i % self.batch * self.length
-        return tuple(rows.column(c).values.to_numpy(zero_copy_only=True)[at : at + self.length] for c in (0, 1))
+        return tuple(rows.column(c).values.slice(at, self.length) for c in (0, 1))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, mask = self.views(i)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def runs(self) -> Iterator[np.ndarray]:
         """All ids, padding included, batch by batch."""
@@ -116,11 +121,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
     size = docs.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("b")).first()["b"] or 0
     shards = max(1, -(-size // shard_bytes))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    end = np.array([end_id], "<u4").tobytes()
     manifest = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = None
+        encoder = writer = end = None
         ids, starts, sizes = [], [], []
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.arrow"
@@ -131,12 +135,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
                 where, name = opened(path)
                 where.create_dir(name.rpartition("/")[0], recursive=True)
                 encoder, sink = WordEncoder(tokenizer), where.open_output_stream(name)
-                writer = SequenceWriter(sink, length)
+                writer, end = SequenceWriter(sink, length, dtype=encoder.dtype), np.array([end_id], encoder.dtype).tobytes()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoder.ids(text.as_py()) + end
                 ids.append(doc_id)
                 starts.append(writer.total)
-                sizes.append(len(raw) // 4)
+                sizes.append(len(raw) // writer.dtype.itemsize)
                 writer.add(raw)
         if writer is not None:
             writer.close()
@@ -158,7 +162,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 where, name = opened(path)
-                runs, run, run_at = SequenceFile(path).runs(), np.empty(0, np.uint32), 0
+                runs, run, run_at = SequenceFile(path).runs(), np.empty(0, np.uint16), 0
                 with where.open_input_file(f"{name}.docs") as source:
                     index = pa.ipc.open_file(source)
                     for k in range(index.num_record_batches):
@@ -172,7 +176,7 @@ def read(manifest: DataFrame) -> DataFrame:
                                     run = next(runs)
                                     continue
                                 part = run[start - run_at : start - run_at + n]
-                                crc = zlib.crc32(part, crc)
+                                crc = zlib.crc32(part.astype("<u4"), crc)
                                 start, n = start + len(part), n - len(part)
                             sums.append(crc)
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(docs.column(1).to_numpy() + base), docs.column(2), pa.array(sums, pa.int64())], schema=schema)

@@ -29,11 +29,11 @@ _AS_BYTES = {c: "".join(_CHAR[b] for b in chr(c).encode("utf-8")) for c in range
 
 
 class _Memory(dict):
-    """piece -> ids as little-endian unsigned 32-bit bytes."""
+    """piece -> ids as little-endian bytes of the encoder's type."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, dtype: str) -> None:
         super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.dtype, self.old = tokenizer, dtype, {}
 
     def encode(self, piece: str) -> list[int]:
         if WORD.fullmatch(piece):  # one word of the model as it is: nothing is left to normalise or to cut
@@ -43,7 +43,7 @@ class _Memory(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.encode(piece), "<u4").tobytes()
+            ids = np.array(self.encode(piece), self.dtype).tobytes()
         if len(piece) <= 64:
             if len(self) >= GENERATION:
                 self.old = dict(self)
@@ -60,10 +60,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = _Memory(self.tokenizer)
+        #: 16 bits where all ids fit.
+        self.dtype = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
+        self.memory = _Memory(self.tokenizer, self.dtype)
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit bytes; null is empty."""
+        """The ids of a whole text as little-endian bytes of ``dtype``; null is empty."""
         if not text:
             return b""
         pieces = None

@@ -230,12 +230,16 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of the table: doc_id, n_shingles, component_id (smallest doc_id reachable by links),
     set_key, and first_in_set (smallest doc_id with the same set)."""
-    rows, edges, _ = links(docs, width, percent)
+    rows, edges, folders = links(docs, width, percent)
     labels = connected_components(edges)
     firsts = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     smallest = labels.join(firsts, "node").groupBy("component").agg(F.min("first").alias("smallest"))
     named = labels.join(smallest, "component").select(F.col("node").alias("linked"), "smallest")
-    return rows.join(named, F.col("node") == F.col("linked"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "first_doc", "doc_id").alias("component_id"), "set_key", F.coalesce("first_doc", "doc_id").alias("first_in_set"))
+    told = rows.join(named, F.col("node") == F.col("linked"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "first_doc", "doc_id").alias("component_id"), "set_key", F.coalesce("first_doc", "doc_id").alias("first_in_set"))
+    out, _ = written(told, "components")
+    for path in folders:
+        delete(docs.sparkSession, path)
+    return out
 
 
 __all__ = ["block_links", "components", "fresh_path", "links"]
