@@ -186,15 +186,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return Mix(sources, sources_df, pieces, slots(spark, sources, shard_slots, seed))
 
 
+def block_uses(m: Mix) -> DataFrame:
+    """How often the mix has each block: source_no, block, times. Spark takes the slots for few, as it sees only their
+    shards, so joins of what comes from them are told to shuffle: it grows with the input and is never broadcast."""
+    return m.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
+
+
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (its words in the mix, repeats counted)."""
     m = mix(docs, **options)
-    times = m.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = m.pieces.join(times, ["source_no", "block"]).groupBy("doc_id", "text_key", "source_no").agg(F.sum(F.col("n") * F.col("times")).alias("t"), F.sum(F.when(F.col("begin") == 0, 1).otherwise(0)).alias("rows"))
+    taken = m.pieces.join(block_uses(m), ["source_no", "block"]).groupBy("doc_id", "text_key", "source_no").agg(F.sum(F.col("n") * F.col("times")).alias("t"), F.sum(F.when(F.col("begin") == 0, 1).otherwise(0)).alias("rows"))
     base = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size")).join(F.broadcast(m.sources_df.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
     # Rows that repeat a document share what was taken of it evenly.
     copies = Window.partitionBy("doc_id", "text_key", "source_no")
-    same = taken.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source_no").alias("no"), "t")
+    same = taken.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source_no").alias("no"), "t").hint("merge")
     joined = base.join(same, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("source_no") == F.col("no")), "left")
     rank, n = F.row_number().over(copies.orderBy("size")), F.count(F.lit(1)).over(copies)
     share = F.floor(F.coalesce("t", F.lit(0)) / n) + F.when(rank <= F.coalesce("t", F.lit(0)) % n, 1).otherwise(0)
@@ -210,13 +215,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, in the columns doc_id, text, lang, source, n_chars: for each pass over a document's
     blocks the words that the pass takes, joined by spaces in their order; other columns are left out."""
     m = mix(docs, extra=["lang"], **options)
-    times = m.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     passes = (
-        m.pieces.join(times, ["source_no", "block"])
+        m.pieces.join(block_uses(m), ["source_no", "block"])
         .select("doc_id", "text_key", "begin", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass_no"))
         .groupBy("doc_id", "text_key", "pass_no")
         .agg(F.array_sort(F.collect_set(F.struct("begin", "n"))).alias("parts"))
         .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "parts")
+        .hint("merge")
     )
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_key"))
     joined = keyed.join(passes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
