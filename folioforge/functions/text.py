@@ -131,12 +131,14 @@ def repeat_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(trim(text), "[0-9]+", "#"), f"[{WS}]+", " ")
 
 
+# Inline markup of Markdown, in the order it is removed. Group 1 stays; tags go whole.
+MARKUP = ("!\\[([^\\]]*)\\]\\([^)]*\\)", "\\[([^\\]]*)\\]\\([^)]*\\)", "`([^`]+)`", *(f"{m}(.+?){m}" for m in ("\\*\\*\\*", "___", "\\*\\*", "__", "\\*", "_", "~~")), "()<[^>]+>")
+
+
 def strip_markdown(text: Column) -> Column:
     """Inline markup of one line removed: images, links, code, strong, emphasis, strike, tags."""
-    steps = [("!\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("`([^`]+)`", "$1")]
-    steps += [(f"{m}(.+?){m}", "$1") for m in ("\\*\\*\\*", "___", "\\*\\*", "__", "\\*", "_", "~~")]
-    for pattern, to in [*steps, ("<[^>]+>", "")]:
-        text = F.regexp_replace(text, pattern, to)
+    for pattern in MARKUP:
+        text = F.regexp_replace(text, pattern, "$1")
     return text
 
 
@@ -158,8 +160,23 @@ def markdown_class(line: Column) -> Column:
     return out
 
 
+# The named references that the scanner knows.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+REFERENCE = "&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
+
+
 def decode_entities(text: Column) -> Column:
-    """The named references that the scanner knows; unknown ones stay."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Named and numeric references, each decoded once; unknown ones, surrogates and numbers beyond U+10FFFF stay."""
+
+    def one(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#0*([0-9]{0,7})(?![0-9])", 1)
+        hexa = F.regexp_extract(piece, "^&#x0*([0-9a-fA-F]{0,6});", 1)
+        code = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+        code = F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+        named = F.lit(None).cast("string")
+        for name, char in ENTITIES.items():
+            named = F.when(piece == f"&{name};", char).otherwise(named)
+        return F.coalesce(named, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)

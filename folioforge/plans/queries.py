@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from folioforge.functions import similarity
 from folioforge.functions import text as t
-from folioforge.operators import blocks, diff, quality, views
+from folioforge.operators import blocks, diff, markdown, quality, views, xml
+from folioforge.sources import decode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,3 +365,58 @@ def format_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("TXT", "md", "markdown", "docx", "pdf", "hwp", "hwpx", "exe")))
     named = _table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("."), F.element_at(kinds, (F.col("doc_id") % 8 + 1).cast("int"))).alias("name"))
     return named.select("doc_id", files.extension(F.col("name")).alias("ext"), files.group_of(files.format_of_extension(files.extension(F.col("name")))).alias("fmt_group"))
+
+
+# Pages as events: the pattern of the pieces is the operator's.
+_PIECES = f"SELECT page_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT page_id, regexp_extract_all(html, '{xml.PIECE}') AS p FROM pages)"
+_TAGS = f"SELECT page_id, i, piece, regexp_extract(piece, '(?s)^<(.*?)/?>$', 1) AS inside FROM ({_PIECES}) WHERE piece LIKE '<%>' AND piece NOT LIKE '<!%' AND piece NOT LIKE '<?%' AND piece NOT LIKE '</%'"
+_KNOWN = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query(f"""
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT - 1 AS event_ix, kind, name, text
+    FROM (SELECT page_id, i, CASE WHEN piece LIKE '</%' THEN 'close' WHEN piece LIKE '<%' THEN 'open' ELSE 'text' END AS kind,
+                 CASE WHEN piece LIKE '</%' THEN regexp_replace(trim(piece[3:-2]), '^[^:]*:', '') WHEN piece LIKE '<%' THEN regexp_replace(regexp_extract(piece, '^<([^\\s/>]*)', 1), '^[^:]*:', '') END AS name,
+                 CASE WHEN piece NOT LIKE '<%' THEN {_KNOWN.format("piece")} END AS text
+          FROM ({_PIECES}) WHERE piece NOT LIKE '<!%' AND piece NOT LIKE '<?%' AND (piece NOT LIKE '<%' OR piece LIKE '%>'))
+    WHERE coalesce(name, text) <> ''""")
+def xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xml.events(_table(spark, sf_dir, "pages"), "html", ("page_id",)).select("page_id", "event_ix", "kind", "name", "text")
+
+
+_ATTRIBUTE = xml.ATTRIBUTE.replace("'", "''")
+
+
+@query(f"""
+    SELECT page_id, name, value, count(*) AS n
+    FROM (SELECT page_id, unnest(names) AS name, {_KNOWN.format("regexp_replace(unnest(vals), '(?s)^[' || chr(34) || chr(39) || '](.*)[' || chr(34) || chr(39) || ']$', '\\1')")} AS value
+          FROM (SELECT page_id, regexp_extract_all(a, '{_ATTRIBUTE}', 1) AS names, regexp_extract_all(a, '{_ATTRIBUTE}', 2) AS vals
+                FROM (SELECT page_id, regexp_extract(inside, '(?s)[\\s/].*$') AS a FROM ({_TAGS}))))
+    GROUP BY ALL""")
+def xml_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = xml.events(_table(spark, sf_dir, "pages"), "html", ("page_id",)).select("page_id", F.inline("attrs"))
+    return found.groupBy("page_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, text, ['utf-8', 'utf-8-bom', 'utf-16le', 'utf-16be'][doc_id % 4 + 1] AS encoding, false AS guessed FROM documents WHERE text IS NOT NULL")
+def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in four encodings and read back."""
+    x, kind = F.col("text"), F.col("doc_id") % 4
+    mark = lambda h, c: F.concat(F.unhex(F.lit(h)), c)
+    raw = F.when(kind == 1, mark("EFBBBF", F.encode(x, "UTF-8"))).when(kind == 2, mark("FFFE", F.encode(x, "UTF-16LE"))).when(kind == 3, mark("FEFF", F.encode(x, "UTF-16BE"))).otherwise(F.encode(x, "UTF-8"))
+    docs = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", raw.alias("content"))
+    return docs.withColumn("d", decode.decoded(F.col("content"))).select("doc_id", "d.*")
+
+
+_MD_TEXT = "'x ' || regexp_replace(text, '[][*_`~|<>#!\\\\]', '', 'g') || ' y'"
+
+
+@query(f"SELECT doc_id, block_ix::INT AS draft_ix, ['heading', 'listItem', 'quote', 'code', 'table', 'paragraph'][(doc_id + block_ix) % 6 + 1] AS type, [2, 1, NULL, NULL, NULL, NULL][(doc_id + block_ix) % 6 + 1]::INT AS level, {_MD_TEXT} AS raw_text FROM ({_BLOCKS})")
+def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown documents made of the documents' lines, by turns as each type of block."""
+    x = F.concat(F.lit("x "), F.regexp_replace("text", "[\\]\\[*_`~|<>#!\\\\]", ""), F.lit(" y"))
+    forms = [("## ", " ##"), ("  - ", ""), ("> ", ""), ("```sql\n", "\n```"), ("| ", " |\n|---|"), ("", "")]
+    made = F.array(*[F.concat(F.lit(a), x, F.lit(b)) for a, b in forms])
+    lines = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.element_at(made, (F.pmod(F.col("doc_id") + F.col("block_ix"), F.lit(6)) + 1).cast("int")).alias("line"))
+    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ix", "line")))["line"].alias("lines"))
+    return markdown.blocks(docs.select("doc_id", F.array_join("lines", "\n\n").alias("text"))).select("doc_id", "draft_ix", "type", "level", "raw_text")
