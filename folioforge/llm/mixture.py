@@ -225,6 +225,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_key"))
     joined = keyed.join(passes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    words = joined.select("doc_id", "lang", "source", "parts", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
-    text = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("w"), p["begin"].cast("int") + 1, p["n"].cast("int")))), " ")
-    return words.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    # The words are bound as the outer lambda's variable: named inside the inner one, they would be cut anew for every part.
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    taken = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["begin"].cast("int") + 1, p["n"].cast("int")))), " "))
+    return joined.select("doc_id", F.element_at(taken, 1).alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
