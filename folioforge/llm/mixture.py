@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.llm.common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
@@ -165,6 +167,7 @@ def packed(docs: DataFrame, sources_df: DataFrame, extra: Sequence[str] = (), ro
 class Mix:
     sources: list[Source]
     sources_df: DataFrame  # source, source_no, source_size, target
+    sized: DataFrame  # doc_id, source, text_key, size: a row for each document, written to the shared folder
     pieces: DataFrame  # doc_id, text_key, size, source_no, block, begin, n (words of the document in the block)
     slots: DataFrame
 
@@ -172,6 +175,8 @@ class Mix:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, extra: Sequence[str] = ()) -> Mix:
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"), *extra)
+    # Texts are read and measured once: all sums run over this narrow table.
+    sized, _ = written(sized, "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -183,7 +188,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * w - F.col("first"))
     end = F.least(F.col("size"), (F.col("block") + 1) * w - F.col("first"))
     pieces = cut.select("doc_id", "text_key", "size", "source_no", "block", begin.alias("begin"), (end - begin).alias("n"), *extra)
-    return Mix(sources, sources_df, pieces, slots(spark, sources, shard_slots, seed))
+    return Mix(sources, sources_df, sized, pieces, slots(spark, sources, shard_slots, seed))
 
 
 def block_uses(m: Mix) -> DataFrame:
@@ -196,7 +201,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (its words in the mix, repeats counted)."""
     m = mix(docs, **options)
     taken = m.pieces.join(block_uses(m), ["source_no", "block"]).groupBy("doc_id", "text_key", "source_no").agg(F.sum(F.col("n") * F.col("times")).alias("t"), F.sum(F.when(F.col("begin") == 0, 1).otherwise(0)).alias("rows"))
-    base = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size")).join(F.broadcast(m.sources_df.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
+    base = m.sized.select("doc_id", "source", "text_key", "size").join(F.broadcast(m.sources_df.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
     # Rows that repeat a document share what was taken of it evenly.
     copies = Window.partitionBy("doc_id", "text_key", "source_no")
     same = taken.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source_no").alias("no"), "t").hint("merge")
