@@ -101,7 +101,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, unit: str = "document", width:
     if unit == "document":
         return docs.join(hit, same, "left_anti")
     parts = F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|" + r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
-    lead = F.when(F.element_at(parts, 1).rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
+    # Of the first character alone: the lambda evaluates it for each part, and must not cut the text anew there.
+    lead = F.when(F.substring(docs["text"], 1, 1).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
     kept = F.filter(parts, lambda p, i: ~(((i - lead) % 2 == 0) & F.array_contains("_hit_words", F.floor((i - lead) / 2).cast("int"))))
     cleaned = F.when(F.col("_hit_words").isNull(), docs["text"]).otherwise(F.array_join(kept, ""))
     return docs.join(hit, same, "left").select(*[cleaned.alias("text") if c == "text" else docs[c] for c in docs.columns])
