@@ -10,6 +10,8 @@ from folioforge.llm.common import table, written
 from folioforge.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The near-duplicate stage's own shingle width and similarity; prefix_join's defaults are those of op6_prefix_join.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
-    dropped, _ = written(prefix_join.components(docs).where("doc_id <> component_id").select("doc_id"), "dropped")
+    dropped, _ = written(prefix_join.components(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id"), "dropped")
     n = dropped.count()
     kept = docs.select(COLUMNS).join(F.broadcast(dropped) if n <= prefix_join.BROADCAST_ROWS else dropped, "doc_id", "left_anti")
     repeated = kept.groupBy("doc_id").count().where("count > 1")

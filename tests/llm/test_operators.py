@@ -174,6 +174,24 @@ def test_prefix_join(spark, monkeypatch, long_list):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline
+
+    rows = []
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words[: 300 * 83 // 100])))  # cut
+        rows.append((len(rows), " ".join(words + [f"b{base}n{i}" for i in range(54)])))  # lengthened
+        rows.append((len(rows), " ".join(words[:100] + [f"b{base}c{i}" for i in range(27)] + words[127:])))  # one contiguous change
+        rows.append((len(rows), " ".join(f"b{base}x{i}" if i % 46 == 20 else w for i, w in enumerate(words))))  # isolated words
+        rows.append((len(rows), " ".join(words[:200])))  # too short to be linked
+    kept = {i for i, _, component in brute_components(rows, 5, 80) if i == component}
+    assert len(kept) < sum(i == component for i, _, component in brute_components(rows, 4, 85))
+    docs = docs_of(spark, [(i, x, "en", "s") for i, x in rows])
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == kept
+
+
 def test_prefix_join_odd(spark, odd, empty):
     got = prefix_join.components(odd).collect()
     assert sorted(r["n_shingles"] for r in got) == [0, 0, 1, 1, 1, 1, 1, 2]
