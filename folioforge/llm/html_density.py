@@ -5,10 +5,11 @@ article is left out first: navigation, page headers and footers, asides, forms,
 their tags, and adverts, notices, sidebars and comments by words in class or id. For every node the
 density is its characters per tag, adjusted by the logarithm of its links' share; a node's sum is that of
 its children's densities. The node with the largest sum (the first of equals) is the core; of the
-densities on the path from the body to it the least is the threshold. The core grows to the nearest
-enclosing article or main element, and parts of it that are mostly links and below the threshold go.
+densities on the path from the body to it the least is the threshold. From the body down, in every node that
+reaches the threshold the subtree of the largest sum stays, grown to the nearest enclosing article or main
+element, and with the headings above it. Parts that are mostly links and below the threshold go.
 
-The chosen subtree's blocks, character references decoded and white space joined, are put together by
+The blocks of what stays, in page order, character references decoded and white space joined, are put together by
 blank lines. Null or empty pages, and pages without text, give an empty string. Other columns are ignored.
 """
 
@@ -32,6 +33,7 @@ OUTSIDE = frozenset("head nav footer aside form menu dialog fieldset".split())
 INLINE = frozenset("b i u s em strong small big sub sup span font mark code kbd samp var q cite abbr acronym time data ins del strike tt bdi bdo ruby rt rp dfn label wbr img picture source map area".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsored|promo|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|cookies?|consent|notices?|notification|alert|popup|modal|newsletter|subscribe|comments?|disqus|replies|social|share|sharing|related|recommended|widget|masthead|footer|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: An element that is still open ends where one of these begins.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -167,29 +169,85 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def _path(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _content(root: Node, order: list[Node]) -> tuple[list[Node], float]:
+    """The subtrees that stay, in page order and none within another, and the threshold."""
+    best: dict[Node, Node] = {}  # in each subtree the node of the largest sum, the first of equals
+    for node in reversed(order):
+        best[node] = node
+        for child in node.children:
+            if best[child].total > best[node].total:
+                best[node] = best[child]
+    threshold = min(n.density for n in _path(best[root]))
+    # Densities grow with the logarithm of a part's size. Where no article element says what belongs together, a
+    # small part is measured without it: by its characters outside links per tag.
+    alone = all(n.tag not in ("article", "main") for n in order)
+    per_tag = min(n.chars / max(1, n.tags) for n in _path(best[root]))
+    reaches = lambda n: n.density >= threshold or (alone and 2 * n.link_chars <= n.chars and n.chars - n.link_chars >= per_tag * max(1, n.tags))
+    chosen, todo = {best[root]}, [root]
+    while todo:
+        node = todo.pop()
+        chosen.add(best[node])
+        todo.extend(c for c in node.children if c.density > 0 and reaches(c))
+    # Down the tree: whether a node is in what stays, and its nearest article or main element.
+    article: dict[Node, Node | None] = {}
+    for node in order:
+        article[node] = node if node.tag in ("article", "main") else article.get(node.parent)
+    chosen = {article[n] or n for n in chosen}
+    inside: set[Node] = set()
+    whole = []
+    for node in order:
+        if node.parent in inside or node in chosen:
+            if node.parent not in inside:
+                whole.append(node)
+            inside.add(node)
+    # Headings above them, within the same article: those that no heading of their rank or a higher one follows.
+    above: set[Node] = set()
+    for node in whole:
+        if node.tag not in ("article", "main"):
+            for parent in _path(node.parent):
+                if parent in above or parent.tag in ("article", "main"):
+                    break
+                above.add(parent)
+    leads = above | set(whole)
+    headings: set[Node] = set()
+    for parent in above:
+        open_headings: list[tuple[str, Node]] = []
+        for child in parent.children:
+            if child in leads:
+                headings.update(h for _, h in open_headings)
+            elif child.tag in HEADINGS and child.chars and 2 * child.link_chars <= child.chars:
+                while open_headings and open_headings[-1][0] >= child.tag:
+                    open_headings.pop()
+                open_headings.append((child.tag, child))
+    stays = headings | set(whole)
+    return [n for n in order if n in stays], threshold
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, stream = parse(page)
     order = measure(root)
-    core = max(order, key=lambda n: n.total)  # the first of equals
-    path, node = [], core
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    threshold = min(n.density for n in path)
-    core = next((n for n in path if n.tag in ("article", "main")), core)
-    gone = [n for n in order if n.tag != "a" and n is not core and n.links > 1 and n.chars and 2 * n.link_chars > n.chars and n.density < threshold and n.first >= core.first and n.end <= core.end]
+    whole, threshold = _content(root, order)
+    kept = set(whole)
+    gone = [n for n in order if n.tag != "a" and n not in kept and n.links > 1 and n.chars and 2 * n.link_chars > n.chars and n.density < threshold]
     skip = {i for n in gone for i in range(n.first, n.end)}
     blocks, parts = [], []
-    for i in range(core.first, core.end + 1):
-        piece = stream[i] if i < core.end else None
-        if piece is not None and i not in skip:
-            parts.append(piece)
-        elif parts:
-            if block := " ".join("".join(parts).split()):
-                blocks.append(block)
-            parts = []
+    for node in whole:
+        for i in range(node.first, node.end + 1):
+            piece = stream[i] if i < node.end else None
+            if piece is not None and i not in skip:
+                parts.append(piece)
+            elif parts:
+                if block := " ".join("".join(parts).split()):
+                    blocks.append(block)
+                parts = []
     return "\n\n".join(blocks)
 
 

@@ -118,6 +118,18 @@ def test_main_text(spark):
     assert html_density.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_in_sections():
+    para = lambda n: f"<p>p{n} " + "word " * 60 + "</p>"
+    part = lambda a, b: "<div>" + "".join(map(para, range(a, b))) + "</div>"
+    links = "<div><ul>" + "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(9)) + "</ul></div>"
+    got = html_density.main_text(f"<body>{links}<div><h1>Head</h1>{part(0, 10)}<h2>More</h2>{part(10, 13)}</div>{links}</body>").split("\n\n")
+    assert [b.split()[0] for b in got] == ["Head", *(f"p{i}" for i in range(10)), "More", "p10", "p11", "p12"]
+    got = html_density.main_text(f"<body><div><h1>Head</h1>{part(0, 10)}{part(10, 13)}</div></body>").split("\n\n")
+    assert [b.split()[0] for b in got] == ["Head", *(f"p{i}" for i in range(13))]
+    got = html_density.main_text(f"<body><div><div>{part(0, 2)}</div><div>{links}</div><div>{part(2, 9)}</div></div></body>").split("\n\n")
+    assert [b.split()[0] for b in got] == [f"p{i}" for i in range(9)]
+
+
 # 5
 def test_rules(spark, odd, empty):
     rng = np.random.default_rng(1)
