@@ -2,7 +2,8 @@
 
 A page becomes a tree of its block elements and links; inline markup is transparent. What is never the
 article is left out first: navigation, page headers and footers, asides, forms, scripts and the like by
-their tags, and adverts, notices, sidebars and comments by words in class or id. For every node the
+their tags, and adverts, notices, sidebars and comments by words in class or id, unless they hold the
+article, or on a page without article and main elements most of the text. Such an element ends as any other, by implied and by outer end tags too. For every node the
 density is its characters per tag, adjusted by the logarithm of its links' share; a node's sum is that of
 its children's densities. The node with the largest sum (the first of equals) is the core; of the
 densities on the path from the body to it the least is the threshold. From the body down, in every node that
@@ -41,19 +42,16 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "links", "first", "end", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "links", "first", "end", "density", "total", "hide")
 
     def __init__(self, tag: str, parent: Node | None, first: int) -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.first, self.end, self.density, self.total = first, 0, 0.0, 0.0
+        self.hide = ""
 
 
-def _is_outside(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in OUTSIDE or tag in RAW or (tag == "header" and not inside_article):
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+def _is_marked(attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if (value.lower() in ROLES) if name.lower() == "role" else MARKED.search(value):
@@ -61,13 +59,54 @@ def _is_outside(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _outside(tag: str, attributes: str, inside_article: bool) -> str:
+    """What leaves an element out: its "tag", its "mark" or nothing; "marked" is an article that only bears a mark."""
+    if tag in OUTSIDE or tag in RAW or (tag == "header" and not inside_article):
+        return "tag"
+    if tag in ("html", "body") or not attributes or not _is_marked(attributes):
+        return ""
+    return "marked" if tag in ("article", "main") else "mark"
+
+
+def _leave_out(root: Node, stream: list[str | None]) -> None:
+    """Takes what is left out from the tree and the stream. A mark doesn't count on what holds main or the
+    article element with the most text, or on a page without these most of the text; text is what is in no link and
+    not left out by its tag."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.hide != "tag":
+            todo.extend(reversed(node.children))
+    text: dict[Node, int] = {}
+    for node in reversed(order):
+        text[node] = 0 if node.tag == "a" or node.hide == "tag" else node.chars + sum(text[c] for c in node.children)
+    articles = [n for n in order if n.tag == "article" and not n.hide]
+    holds: set[Node] = set()
+    for node in [n for n in order if n.tag == "main"] + ([max(articles, key=text.__getitem__)] if articles else []):
+        at: Node | None = node
+        while at is not None and at not in holds:
+            holds.add(at)
+            at = at.parent
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        stay = []
+        for child in node.children:
+            if child.hide == "tag" or (child.hide == "mark" and child not in holds and (holds or 2 * text[child] <= text[root])):
+                stream[child.first : child.end] = [None] * (child.end - child.first)
+            else:
+                stay.append(child)
+        node.children = stay
+        todo.extend(stay)
+
+
 def parse(page: str) -> tuple[Node, list[str | None]]:
     """The tree and its stream: texts, and None where a block begins or ends. Nodes know their part of the stream."""
     stream: list[str | None] = []
     root = Node("body", None, 0)
     stack: list[tuple[str, Node, bool]] = [("#root", root, False)]  # element, its block, whether it is a block
-    at, size, hidden = 0, len(page), ""
-    depth = articles = 0
+    at, size, articles = 0, len(page), 0
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -75,20 +114,11 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
         if name is None:
             text = m.group()
             if text[0] != "<" or text == "<":
-                if not hidden:
-                    text = html.unescape(text)
-                    stream.append(text)
-                    n = len("".join(text.split()))
-                    node = stack[-1][1]
-                    node.chars += n
+                text = html.unescape(text)
+                stream.append(text)
+                stack[-1][1].chars += len("".join(text.split()))
             continue
         tag = name.lower()
-        if hidden:  # inside an element that is left out: only its own nesting matters
-            if tag == hidden and not m.group(3).rstrip().endswith("/"):
-                depth += -1 if m.group(1) else 1
-                if not depth:
-                    hidden = ""
-            continue
         if m.group(1):
             if tag in VOID or not any(s[0] == tag for s in stack[1:]):
                 continue
@@ -105,20 +135,18 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
             if tag in ("br", "hr"):
                 stream.append(" " if tag == "br" else None)
             continue
-        if _is_outside(tag, m.group(3), articles > 0):
+        hide = _outside(tag, m.group(3) or "", articles > 0)
+        if tag in RAW:
             stream.append(None)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-            else:
-                hidden, depth = tag, 1
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size
             continue
         block = tag not in INLINE and tag != "a"
         ends = IMPLIED.get(tag)
         while len(stack) > 1 and block:
             open_tags = [s[0] for s in stack]
             upto = max((i for i, t in enumerate(open_tags) if t == "p" or (ends and t in ends)), default=0)
-            if not upto or any(t in ("table", "ul", "ol", "dl", "article", "section", "div", "main", "td", "li") and t not in (ends or ()) for t in open_tags[upto + 1 :]):
+            if not upto or any((t in ("table", "ul", "ol", "dl", "article", "section", "div", "main", "td", "li", "header") or t in OUTSIDE) and t not in (ends or ()) for t in open_tags[upto + 1 :]):
                 break
             while len(stack) > upto:
                 _, node, was_block = stack.pop()
@@ -126,17 +154,19 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
                     node.end = len(stream)
                     stream.append(None)
         parent = stack[-1][1]
-        if block or tag == "a":
-            if block:
+        if block or tag == "a" or hide:
+            if block or hide:
                 stream.append(None)
             node = Node(tag, parent, len(stream))
+            node.hide = hide
             parent.children.append(node)
             articles += tag in ("article", "main")
-            stack.append((tag, node, True if block else False))
+            stack.append((tag, node, bool(block or hide)))
         else:
             stack.append((tag, parent, False))
     for _, node, _ in reversed(stack):
-        node.end = node.end or len(stream)
+        node.end = len(stream)
+    _leave_out(root, stream)
     return root, stream
 
 

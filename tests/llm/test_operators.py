@@ -130,6 +130,20 @@ def test_main_text_in_sections():
     assert [b.split()[0] for b in got] == [f"p{i}" for i in range(9)]
 
 
+@pytest.mark.parametrize("start", ['<p class="notice">Old', '<ul><li class="share">Old<li>x</ul>', '<div><p class="notice">Old</div>', '<ul><li class="share">Old</ul>', '<div><span class="ad">Old</div>'])
+def test_left_out_elements_end(start):
+    body = "<article><h1>Head</h1><p>" + "word " * 80 + "<p>" + "text " * 80 + "</article>"
+    assert html_density.main_text(f"<body>{start}{body}</body>").split()[::81] == ["Head", "text"]
+
+
+@pytest.mark.parametrize("mark", ["no-sidebar", "has-sidebar", "sidebar-right"])
+def test_marked_wrapper_of_the_article(mark):
+    aside = '<div class="sidebar"><p>Side</p></div>'
+    for tag in ("article", "main", "div"):
+        page = f'<body><div class="{mark}">{aside}<{tag}><p>{"word " * 80}</p><p>{"text " * 80}</p></{tag}></div><div class="comments"><article class="comment-body"><p>Comment</p></article></div></body>'
+        assert set(html_density.main_text(page).split()) == {"word", "text"}
+
+
 # 5
 def test_rules(spark, odd, empty):
     rng = np.random.default_rng(1)
