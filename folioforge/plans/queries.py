@@ -347,7 +347,7 @@ def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lines of Markdown are made of the documents' lines by their number.
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.substring("text", 1, 60).alias("x"))
+    b = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.col("text").alias("x"))
     heads = ["# ", "- ", "1. ", "> ", "```", "| ", "", "** ", "---"]
     made = F.array(*[F.concat(F.lit(h), F.col("x"), F.lit(" |" if h == "| " else "")) for h in heads[:-1]], F.lit(heads[-1]))
     return b.select("doc_id", "block_ix", F.element_at(made, (F.pmod(F.col("doc_id") + F.col("block_ix"), F.lit(9)) + 1).cast("int")).alias("line"))

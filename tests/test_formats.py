@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folioforge.functions import text as t
 from folioforge.operators import markdown, xml
+from folioforge.plans import queries
 from folioforge.sources import decode, parse
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +91,8 @@ def test_files(spark):
     texts = parse.read_texts(files)
     assert {r.path: (r.format, r.encoding, r.error) for r in texts.collect()} == {"a.md": ("md", "utf-8", None), "b.txt": ("txt", "utf-16le", None), "c.pdf": ("pdf", None, None), "d.txt": (None, None, "EMPTY_FILE")}
     assert sorted((r.path, r.block_ix, r.type, r.text) for r in parse.text_blocks(texts).collect()) == [("a.md", 0, "heading", "T"), ("a.md", 1, "paragraph", "b c"), ("b.txt", 0, "paragraph", "x"), ("b.txt", 1, "paragraph", "y")]
+
+
+def test_markdown_lines_are_whole(spark):
+    lines = queries._markdown(spark, SF).join(queries._blocks(spark, SF).select("doc_id", "block_ix", "text"), ["doc_id", "block_ix"]).where("length(text) > 60 and pmod(doc_id + block_ix, 9) <> 8")
+    assert lines.count() > 0 and lines.where("not contains(line, text)").isEmpty()
