@@ -6,13 +6,16 @@ future needs: the last token after one more byte is the longest vocabulary entry
 compatibly on the last token at the place where it begins (two tokens are compatible if BPE turns their
 bytes into just these two). Each transition carries the change of the number of emitted tokens. States and
 transitions are compiled when they are first met, from the tokenizer's own vocabulary and BPE model, and
-held in a table of at most ``MAX_STATES`` rows, which starts anew when it is full.
+held in a table of at most ``MAX_STATES`` rows: when it is full, in the middle of a text too, it starts anew with
+the states that are still in use.
 
-BPE works inside the pieces that the tokenizer's pattern cuts; where a piece begins is decided by the
-character classes of at most three characters before and one after, for all characters at once. At such
-a place the transducer is in its start state whatever came before, so a text is cut there into chunks: the
-chunks' state maps are constant, they run side by side, and their counts are composed by a scan per text.
-Special strings of the tokenizer are one token each, and cut the text.
+Texts are cut into chunks that run side by side. BPE works inside the pieces that the tokenizer's pattern cuts; where a
+piece begins is decided by the character classes of at most three characters before and one after, for all characters
+at once. A chunk that begins with a piece begins in the start state whatever came before: its state map is constant. A
+chunk inside of a long piece has a map from the states it may begin in to the state it ends in and the tokens it
+emits. The map's first entry is for the state that ``WARM`` bytes of run-up lead to, which mostly is the right one; chunks
+of the same bytes share their map. The maps are composed in order; entries that the composition misses are run, all
+chunks side by side again, until none is missing. Special strings of the tokenizer are one token each, and cut the text.
 
 Null is an empty text. Other columns are ignored.
 """
@@ -32,7 +35,7 @@ from folioforge.llm.common import bounded_batches
 
 MAX_STATES = 200_000
 SLICE_CHARS = 1 << 20
-CHUNK = 1024
+CHUNK, WARM = 1024, 64
 SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
 
 
@@ -95,7 +98,8 @@ class Transducer:
         self.tokens = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
         self.begins = {t[:n] for t in self.tokens for n in range(1, len(t))}
         self.kinds = character_classes()
-        self.fits: dict[tuple[int, bytes], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.shapes: dict[bytes, tuple] = {}
         self.bytes_of = {i: t for t, i in self.tokens.items()}
         self._clear()
 
@@ -104,37 +108,57 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.symbol = np.full(256, -1, np.int16)  # column of a byte: only bytes that were met have one
         self.columns = 0
-        self.table = np.full((4096, 64), -1, np.int32)
+        self.table = np.full((4096, 64), -1, np.int64)
+
+    def _renumber(self, live: list[np.ndarray]) -> None:
+        """Starts the table anew with the states in the arrays alone, which get their new numbers in place."""
+        used = np.union1d([0], np.concatenate(live))
+        self.states = [self.states[i] for i in used]
+        self.number = {s: i for i, s in enumerate(self.states)}
+        for states in live:
+            states[:] = np.searchsorted(used, states)
+        self.table = np.full((max(4096, 2 * len(used)), self.table.shape[1]), -1, np.int64)
 
     def _bpe(self, raw: bytes) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.char.__getitem__, raw)))]
 
-    def _follows(self, last: int, token: bytes) -> bool:
-        """Whether BPE leaves the token as it is after the token ``last`` (-1: at the beginning)."""
-        key = (last, token)
+    def _follows(self, last: int, token: int) -> bool:
+        """Whether BPE leaves a token as it is after the token ``last`` (-1: at the beginning)."""
+        key = last << 32 | token
         if (said := self.fits.get(key)) is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             head = self.bytes_of[last] if last >= 0 else b""
-            said = self.fits[key] = self._bpe(head + token) == ([last] if last >= 0 else []) + [self.tokens[token]]
+            said = self.fits[key] = self._bpe(head + self.bytes_of[token]) == ([last, token] if last >= 0 else [token])
         return said
 
+    def _shape(self, read: bytes) -> tuple:
+        """Of what was read: the tokens that end it, longest first, with their places; and the places from which a
+        token may still go on."""
+        if (found := self.shapes.get(read)) is None:
+            if len(self.shapes) > 200_000:
+                self.shapes.clear()
+            ends = tuple((at, self.tokens[read[at:]]) for at in range(len(read)) if read[at:] in self.tokens)
+            drop = next((d for d in range(len(read)) if read[d:] in self.begins), len(read))
+            live = tuple(at for at in range(drop, len(read)) if read[at:] in self.begins)
+            found = self.shapes[read] = (ends, drop, live, read[drop:])
+        return found
+
     def compile(self, state: int, byte: int) -> int:
         """The transition as next state * 256 + change of the count + 128."""
         end, last, count = self.states[state]
-        read = end + bytes([byte])
-        for at in range(len(read)):
-            token = read[at:]
-            if token in self.tokens and self._follows(last[at], token):
+        ends, drop, live, rest = self._shape(end + bytes((byte,)))
+        for at, token in ends:
+            if self._follows(last[at], token):
                 break
         else:
             raise AssertionError("no token ends here")
         change = count[at] + 1
-        last, count = (*last, self.tokens[token]), (*(c - change for c in count), 0)
-        drop = next(d for d in range(len(read) + 1) if d == len(read) or read[d:] in self.begins)
         # Only places from which a token may still go on matter.
-        live = [at == len(read) or read[at:] in self.begins for at in range(drop, len(read) + 1)]
-        new = (read[drop:], tuple(t if x else -2 for t, x in zip(last[drop:], live, strict=True)), tuple(c if x else 0 for c, x in zip(count[drop:], live, strict=True)))
+        new_last, new_count = [-2] * len(rest), [0] * len(rest)
+        for at in live:
+            new_last[at - drop], new_count[at - drop] = last[at], count[at] - change
+        new = (rest, (*new_last, token), (*new_count, 0))
         if (to := self.number.get(new)) is None:
             to = self.number[new] = len(self.states)
             self.states.append(new)
@@ -156,8 +180,6 @@ class Transducer:
         return out
 
     def _count(self, texts: list[str | None], lo: int, hi: int, out: np.ndarray) -> None:
-        if len(self.states) > MAX_STATES:
-            self._clear()
         parts, owner = [], []
         for i in range(lo, hi):
             text = texts[i]
@@ -183,41 +205,91 @@ class Transducer:
         piece = np.zeros(len(raw), bool)
         piece[first_byte[starts]] = True
         part_at = first_byte[text_start]
-        # Chunks begin with each text, and at the first piece after every CHUNK bytes.
+        # Chunks begin with each text, at the first piece after every CHUNK bytes, and every CHUNK bytes inside of a
+        # piece that goes on.
         piece_at = np.flatnonzero(piece)
-        cut = piece_at[np.searchsorted(piece_at, np.arange(0, piece_at[-1] + 1, CHUNK))]
-        lane_at = np.union1d(cut, part_at)
-        lengths = np.diff(np.append(lane_at, len(raw)))
-        order = np.argsort(-lengths, kind="stable")
-        totals = np.zeros(len(lane_at), np.int64)
-        totals[order] = self._run(raw, piece, lane_at[order], lengths[order])
+        begins = np.union1d(piece_at[np.searchsorted(piece_at, np.arange(0, piece_at[-1] + 1, CHUNK))], part_at)
+        long = np.flatnonzero(np.diff(np.append(begins, len(raw))) > 2 * CHUNK)
+        inner = [np.arange(begins[k] + CHUNK, np.append(begins, len(raw))[k + 1], CHUNK) for k in long]
+        lane_at = np.union1d(begins, np.concatenate(inner)) if len(long) else begins
+        totals = self._composed(raw, piece, lane_at)
         np.add.at(out, np.array(owner), np.add.reduceat(totals, np.searchsorted(lane_at, part_at)))
 
-    def _run(self, raw: np.ndarray, piece: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Runs all chunks side by side from the start state, longest first; the counts they emit."""
+    def _composed(self, raw: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The tokens that each chunk emits; chunks begin at the places ``at`` and reach to the next."""
+        upto = np.append(at[1:], len(raw))
+        open_ = ~piece[at]  # begins inside of a piece
+        # Run-up: from where the piece begins, or WARM bytes before the chunk.
+        warm = np.zeros(len(at), np.int64)
+        warm[open_] = np.minimum(WARM, at[open_] - np.maximum.accumulate(np.where(piece, np.arange(len(piece)), 0))[at[open_]]) if open_.any() else 0
+        first, last, total = self._run(raw, piece, at - warm, upto, warm, np.zeros(len(at), np.int64), [])
+        if not open_.any():
+            return total
+        # Maps: of the bytes of a chunk, from its first state to its last one and its tokens.
+        content = [raw[a:b].tobytes() if o else b"" for a, b, o in zip(at, upto, open_, strict=True)]
+        names = {c: i for i, c in enumerate(dict.fromkeys(content))}
+        kind = np.array([names[c] for c in content], np.int64)
+        keys, begin, end, emitted = kind[open_], first[open_], last[open_], total[open_]
+        while True:
+            known = {(int(k), int(s)): i for i, (k, s) in enumerate(zip(keys, begin, strict=True))}
+            guess = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+            missing: dict[tuple[int, int], int] = {}
+            state = 0
+            for i in range(len(at)):
+                if not open_[i]:
+                    state = int(last[i])
+                    continue
+                key = (int(kind[i]), state)
+                entry = known.get(key)
+                if entry is None:
+                    missing.setdefault(key, i)
+                    entry = guess[key[0]]  # go on as if, to find what else is missing
+                total[i], state = emitted[entry], int(end[entry])
+            if not missing:
+                return total
+            lanes = np.array(list(missing.values()))
+            start = np.array([s for _, s in missing], np.int64)
+            more = np.array([k for k, _ in missing], np.int64)
+            new_first, new_last, new_total = self._run(raw, piece, at[lanes], upto[lanes], np.zeros(len(lanes), np.int64), start, [begin, end, last])
+            keys, begin, end, emitted = np.append(keys, more), np.append(begin, new_first), np.append(end, new_last), np.append(emitted, new_total)
+
+    def _run(self, raw: np.ndarray, piece: np.ndarray, at: np.ndarray, upto: np.ndarray, warm: np.ndarray, state: np.ndarray, live: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs chunks side by side: of each the state after its run-up, its last state and the tokens emitted after the
+        run-up. ``live`` are arrays of states that must be kept."""
         for b in np.flatnonzero(np.bincount(raw, minlength=256)):
             if self.symbol[b] < 0:
                 self.symbol[b] = self.columns
                 self.columns += 1
         while self.columns > self.table.shape[1]:
             self.table = np.concatenate((self.table, np.full_like(self.table, -1)), axis=1)
-        read = self.symbol[raw]
-        state, total = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
-        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        place = at.copy()
-        for m in active:
+        lengths = upto - at
+        order = np.argsort(-lengths, kind="stable")
+        sorted_lengths = lengths[order]
+        read, place, warm = self.symbol[raw], at[order], warm[order]
+        now, total = state[order], np.zeros(len(at), np.int64)
+        first = now.copy()
+        active = np.searchsorted(-sorted_lengths, -np.arange(sorted_lengths[0]), side="left")
+        run_ups = set(warm.tolist()) - {0}
+        for step, m in enumerate(active):
+            if step in run_ups:
+                done = warm == step
+                first[done], total[done] = now[done], 0
+            if len(self.states) > MAX_STATES:
+                self._renumber([now, first, *live])
             here = place[:m]
             symbol = read[here]
-            now = np.where(piece[here], 0, state[:m])
-            step = self.table[now, symbol]
-            if (step < 0).any():
-                for i in np.flatnonzero(step < 0):
-                    known = self.table[now[i], symbol[i]]
-                    step[i] = known if known >= 0 else self.compile(int(now[i]), int(raw[here[i]]))
-            state[:m] = step >> 8
-            total[:m] += (step & 255) - 128
+            from_ = np.where(piece[here], 0, now[:m])
+            move = self.table[from_, symbol]
+            if (move < 0).any():
+                for i in np.flatnonzero(move < 0):
+                    known = self.table[from_[i], symbol[i]]
+                    move[i] = known if known >= 0 else self.compile(int(from_[i]), int(raw[here[i]]))
+            now[:m] = move >> 8
+            total[:m] += (move & 255) - 128
             here += 1
-        return total
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return first[back], now[back], total[back]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
