@@ -16,18 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own only where it is unset and the
+    executors are threads of this machine. On a cluster a missing setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not (set_already := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='folioforge-')}")
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     return set_already.get().rstrip("/")
 
 
+_folders: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's own part of the shared folder, which goes when the application ends, also
+    where a job has failed before its tables were deleted."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/folioforge/{app}-{uuid.uuid4().hex[:8]}"
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(_folders[app])
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

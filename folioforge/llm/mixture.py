@@ -1,23 +1,22 @@
 """Mixing sources to target weights.
 
 Each source's words, in a fixed order of its documents, are packed into blocks of ``block_words`` (the
-last one may be shorter). The mix has so many block slots in shards of ``shard_slots``. The number of
-slots that each source gets in a shard is a multinomial draw, conditioned on the sources' totals over
-all shards: the totals are the targets, and they are split over the shards in halves by multivariate
-hypergeometric draws, seeded by the half's place, so each shard finds its own counts, and how many
-slots of each source lie before it, without looking at the other shards. The slots of a source, counted
-through all shards, are mapped through pseudorandom permutations of the source's block indices, one
-for each pass over the source: no block is used an (n+1)-th time before all were used n times. The
-blocks are joined to the slots by index.
+last one may be shorter). The mix has as many block slots as the targets ask for, in output shards of about
+``shard_slots``. A source's slots are dealt over the shards by a multinomial draw: down a tree of halves of the shards by
+binomial draws, and where few are left by a draw for each, all seeded by their place in the tree. So the counts of each
+source in each shard are multinomial, their totals over all shards are the targets, and a task finds the part of the
+draw that it needs without the rest, at any size. The slots of a source, counted through all shards, are mapped through
+pseudorandom permutations of the source's block indices, one for each pass over the source: no block is used an
+(n+1)-th time before all were used n times. The blocks are joined to the slots by index.
 
 Sources are ordered by code point, null last; weights repeat over them. No target exceeds ``max_repeat``
 times its source's size; what lies above is shared anew by weight. Null or empty texts have no words
-and take no part. Rows that repeat a doc_id are packed one by one. An empty table gives no rows.
+and take no part. Rows that repeat each other are packed one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,75 +31,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 ROWS_PER_CHUNK = 4096
-#: The mix is described source by source on the driver; more sources than this are refused.
-MAX_SOURCES = 100_000
-#: numpy draws hypergeometric counts below 1e9; larger halves are split in proportion.
-_EXACT_DRAW = 500_000_000
+#: So many chunks of documents, and of slots, are one group of the level above.
+FAN = 4096
+#: Sources, and repeated rows, are broadcast up to so many (a short row each); beyond, they are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+SALT = 64
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[float], weights: Sequence[float], total: float, max_repeat: float) -> list[float]:
-    """Shares of the total by weight, none above max_repeat times its size; the excess is reshared."""
-    out, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = total
-    while free:
-        whole = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / whole > max_repeat * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / whole
+def ordered_sources(sized: DataFrame) -> DataFrame:
+    """source, source_size and source_no: their numbers in order of code points, null last."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = (F.col("source").isNull(), F.col("source"))
+    ranged, _ = written(per.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("m", F.monotonically_increasing_id()), "source-sizes")
+    part = F.shiftright("m", 33)
+    before, offsets = 0, []  # a row for each partition
+    for r in ranged.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets.append((r["p"], before))
+        before += r["count"]
+    starts = sized.sparkSession.createDataFrame(offsets, "p long, before long")
+    return ranged.join(F.broadcast(starts), part == F.col("p")).select("source", "source_size", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("source_no"))
+
+
+def targets(sources: DataFrame, weights: Sequence[float], share: float, max_repeat: int) -> DataFrame:
+    """The sources with their target: what is left beside the sources at their most, in proportion to the weights.
+
+    A source is at its most if its weight times the level, words for each unit of weight, exceeds that. Each round
+    takes those out and raises the level for the others, until none is above."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    weighed = sources.withColumn("w", weight)
+    most = F.col("source_size") * F.lit(max_repeat)
+    level = 0.0
+    while True:
+        over = (F.col("w") * F.lit(level) > most) | (F.col("source_size") == 0)
+        r = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, most).otherwise(0)).alias("fixed"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        new = (share * (r["all"] or 0) - r["fixed"]) / r["w"] if r["w"] else level
+        if new <= level:
             break
-        for i in over:
-            out[i] = max_repeat * float(sizes[i])
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
-
-
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int  # words
-    target: float
-    blocks: int
-    draws: int  # slots in the whole mix
-
-
-def plan(per_source: dict[str | None, int], weights: Sequence[float], share: float, max_repeat: int, block_words: int) -> list[Source]:
-    names = sorted(per_source, key=lambda s: (s is None, "" if s is None else s))
-    sizes = [per_source[s] for s in names]
-    want = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), max_repeat)
-    out = []
-    for name, size, target in zip(names, sizes, want, strict=True):
-        blocks = -(-size // block_words)
-        draws = min(round(target * blocks / size), max_repeat * blocks) if size else 0
-        out.append(Source(name, size, target, blocks, draws))
-    return out
-
-
-def shard_counts(draws: Sequence[int], shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of each source in a shard, and those in all shards before it: from the root, which has the
-    totals, down the tree of halves to this shard."""
-    counts, before = np.array(draws, dtype=np.int64), np.zeros(len(draws), dtype=np.int64)
-    lo, hi = 0, shards
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        slots = int(counts.sum())
-        first = min((mid - lo) * shard_slots, slots)
-        if slots < _EXACT_DRAW:
-            left = np.random.Generator(np.random.Philox(key=[seed, lo * shards + hi])).multivariate_hypergeometric(counts, first, method="marginals")
-        else:
-            exact = counts * (first / slots)
-            left = np.floor(exact).astype(np.int64)
-            left[np.argsort(left - exact, kind="stable")[: first - int(left.sum())]] += 1
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            counts, before, lo = counts - left, before + left, mid
-    return counts, before
+        level = new
+    return weighed.withColumn("target", F.when(F.col("w") * F.lit(level) > most, most.cast("double")).otherwise(F.col("w") * F.lit(level)) * F.when(F.col("source_size") > 0, 1.0).otherwise(0.0)).drop("w")
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -123,113 +95,163 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slots(spark, sources: Sequence[Source], shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
-    """All slots of the mix: shard, slot, source_no, block, pass_no (how often the block was used before)."""
-    draws, blocks = [s.draws for s in sources], [s.blocks for s in sources]
-    total = sum(draws)
-    shards = -(-total // shard_slots)
+def shards_of(draws: int, shards: int, begin: int, end: int, seed: int, few: int = SHARD_SLOTS) -> np.ndarray:
+    """The shards of a source's slots from ``begin`` to ``end``: down the tree to the nodes that hold them."""
+    out, todo = [], [(0, shards, draws, 0)]
+    while todo:
+        lo, hi, n, first = todo.pop()
+        if not n or first + n <= begin or first >= end:
+            continue
+        at = slice(max(0, begin - first), max(0, min(n, end - first)))
+        if hi - lo == 1:
+            out.append(np.full(at.stop - at.start, lo))
+            continue
+        draw = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), lo * (shards + 1) + hi]))
+        if n <= few:
+            out.append(np.sort(draw.integers(lo, hi, n))[at])
+            continue
+        mid = (lo + hi) // 2
+        left = int(draw.binomial(n, (mid - lo) / (hi - lo)))
+        todo += [(mid, hi, n - left, first + left), (lo, mid, left, first)]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def slots(sources: DataFrame, shards: int, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """All slots of the mix from sources (source_no, blocks, draws): shard, slot (a random order within the shard),
+    source_no, block, pass_no (how often the block was used before)."""
 
-    def fill(batches):
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                counts, before = shard_counts(draws, shard, shards, shard_slots, seed)
-                order = np.random.Generator(np.random.Philox(key=[seed + 1, shard])).permutation(int(counts.sum()))
-                at = 0
-                for no in np.flatnonzero(counts):
-                    j = before[no] + np.arange(counts[no])
-                    done, place = j // blocks[no], j % blocks[no]
-                    block = np.empty_like(j)
-                    for p in np.unique(done):
-                        here = done == p
-                        block[here] = permuted(place[here], blocks[no], (seed << 40) ^ (int(no) << 16) ^ int(p))
-                    yield pd.DataFrame({"shard": shard, "slot": order[at : at + len(j)], "source_no": int(no), "block": block, "pass_no": done})
-                    at += len(j)
-
-    return spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInPandas(fill, "shard long, slot long, source_no int, block long, pass_no long")
-
-
-def packed(docs: DataFrame, sources_df: DataFrame, extra: Sequence[str] = (), rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Documents with source_no and first, the place of their first word among their source's words.
-
-    The sum runs in two steps, so that no task holds a whole source: documents are dealt into chunks by a
-    hash, the chunks' sums are added up (a few thousand rows to a source), then each chunk's own documents.
+            for no, blocks, draws, begin in zip(batch["source_no"], batch["blocks"], batch["draws"], batch["begin"], strict=True):
+                j = np.arange(begin, min(begin + shard_slots, draws))
+                done, place = j // blocks, j % blocks
+                block = np.empty_like(j)
+                for p in np.unique(done):
+                    here = done == p
+                    block[here] = permuted(place[here], blocks, (seed << 40) ^ (int(no) << 16) ^ int(p))
+                order = np.random.Generator(np.random.Philox(key=[(seed + 1) << 40 ^ int(no), int(begin)])).integers(0, 2**63, len(j))
+                yield pd.DataFrame({"shard": shards_of(int(draws), shards, int(begin), int(begin) + len(j), (seed + 2) << 40 ^ int(no), shard_slots), "slot": order, "source_no": no, "block": block, "pass_no": done})
+
+    step = FAN * shard_slots  # in two steps, as a source may have more pieces than one array holds
+    coarse = sources.where("draws > 0").select("source_no", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(step).cast("long"))).alias("b"))
+    fine = coarse.select("source_no", "blocks", "draws", F.explode(F.sequence(F.col("b"), F.least(F.col("draws"), F.col("b") + step) - 1, F.lit(shard_slots).cast("long"))).alias("begin"))
+    return fine.repartition(max(1, min(shards, 4096)), "source_no", "begin").mapInPandas(fill, "shard long, slot long, source_no long, block long, pass_no long")
+
+
+def _with_source(rows: DataFrame, sources: DataFrame, n_sources: int, *columns: str) -> DataFrame:
+    """The rows with columns of their source. Beyond what is broadcast, rows of a source are dealt by a salt."""
+    told = sources.select(F.col("source").alias("_s"), *columns)
+    if n_sources <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(told), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    salted = told.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_m", F.pmod(F.col("rid"), F.lit(SALT)).cast("int")).join(salted.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_m") == F.col("_n"))).drop("_s", "_m", "_n")
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows with ``copy``, their number among rows of the same document, text and source, and whether there are
+    more than one. Copies are counted in the partitions they were written from, then these counts are summed, so a text
+    that most rows repeat is not numbered by one task."""
+    key = ["doc_id", "text_key", "source"]
+    repeated, _ = written(sized.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*[F.col(k).alias(f"_{k}") for k in key]), "repeated")
+    n = repeated.count()
+    if not n:
+        return sized.withColumn("copy", F.lit(0).cast("long")).withColumn("many", F.lit(False))
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in key]
+    told = sized.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated.hint("merge"), same("_"), "left").withColumn("many", F.col("_text_key").isNotNull() | F.col("_doc_id").isNotNull() | F.col("_source").isNotNull())
+    told = told.drop(*[f"_{k}" for k in key]).withColumn("part", F.shiftright("rid", 33))
+    some = told.where("many")
+    per = some.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("c"))
+    before = per.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("part").alias("b_part"), (F.sum("c").over(Window.partitionBy(*key).orderBy("part")) - F.col("c")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("rid")) - 1
+    copies = some.withColumn("inside", inside).join(before, [*same("b_"), F.col("part") == F.col("b_part")]).withColumn("copy", (F.col("before") + F.col("inside")).cast("long")).select(*sized.columns, "copy", "many")
+    return told.where("not many").select(*sized.columns, F.lit(0).cast("long").alias("copy"), "many").unionByName(copies)
+
+
+def packed(rows: DataFrame, n: int, rows_per_chunk: int = ROWS_PER_CHUNK, fan: int = FAN) -> DataFrame:
+    """The rows (rid, doc_id, text_key, copy, size, source_no) with first, the place of their first word among their
+    source's words.
+
+    The sum runs in three steps, so that no task holds a whole source: rows are dealt into chunks by a hash, ``fan``
+    chunks are a group; the groups' sums are added up (a few thousand rows to a source at 10**11 documents), then those
+    of the chunks of each group, then each chunk's own rows.
     """
-    n = docs.count()
     chunks = max(1, -(-n // rows_per_chunk))
-    dealt = docs.join(F.broadcast(sources_df.select(F.col("source").alias("_s"), "source_no")), docs["source"].eqNullSafe(F.col("_s"))).drop("_s").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(chunks)).cast("int"))
-    sums = dealt.groupBy("source_no", "chunk").agg(F.sum("size").alias("s"))
-    starts = sums.select("source_no", "chunk", (F.sum("s").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("s")).alias("chunk_first"))
-    inside = F.sum("size").over(Window.partitionBy("source_no", "chunk").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return dealt.withColumn("inside", inside).join(starts, ["source_no", "chunk"]).select("doc_id", "text_key", "size", "source_no", (F.col("chunk_first") + F.col("inside")).alias("first"), *extra)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key", "copy"), F.lit(chunks)))
+    sums = dealt.groupBy("source_no", "chunk").agg(F.sum("size").alias("s")).withColumn("grp", F.expr(f"chunk div {fan}"))
+    groups = sums.groupBy("source_no", "grp").agg(F.sum("s").alias("g"))
+    group_first = groups.select("source_no", "grp", (F.sum("g").over(Window.partitionBy("source_no").orderBy("grp")) - F.col("g")).alias("group_first"))
+    in_group = F.sum("s").over(Window.partitionBy("source_no", "grp").orderBy("chunk")) - F.col("s")
+    starts = sums.withColumn("in_group", in_group).join(group_first, ["source_no", "grp"]).select("source_no", "chunk", (F.col("group_first") + F.col("in_group")).alias("chunk_first"))
+    inside = F.sum("size").over(Window.partitionBy("source_no", "chunk").orderBy("doc_id", "text_key", "copy").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return dealt.withColumn("inside", inside).join(starts, ["source_no", "chunk"]).select("rid", "size", "source_no", (F.col("chunk_first") + F.col("inside")).alias("first"))
 
 
 @dataclass
 class Mix:
-    sources: list[Source]
-    sources_df: DataFrame  # source, source_no, source_size, target
-    sized: DataFrame  # doc_id, source, text_key, size: a row for each document, written to the shared folder
-    pieces: DataFrame  # doc_id, text_key, size, source_no, block, begin, n (words of the document in the block)
+    sources: DataFrame  # source, source_no, source_size, target, blocks, draws
+    n_sources: int
+    sized: DataFrame  # rid, doc_id, source, text_key, size, copy, many: a row for each document, in the shared folder
+    pieces: DataFrame  # rid, source_no, block, begin, n (words of the row in the block)
     slots: DataFrame
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, extra: Sequence[str] = ()) -> Mix:
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"), *extra)
-    # Texts are read and measured once: all sums run over this narrow table.
-    sized, _ = written(sized, "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = plan({r["source"]: r["n"] for r in found}, weights, share, max_repeat, block_words)
-    sources_df = spark.createDataFrame([(s.name, i, s.size, s.target) for i, s in enumerate(sources)], "source string, source_no int, source_size long, target double")
-    inside = packed(sized, sources_df, extra).where(F.col("size") > 0)
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, extra: Sequence[str] = (), rows_per_chunk: int = ROWS_PER_CHUNK, fan: int = FAN) -> Mix:
+    # Texts are read and measured once: all sums run over this narrow table. A row's number is fixed by its being written.
+    sized, _ = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"), *extra), "sizes")
+    wanted = targets(ordered_sources(sized), weights, share, max_repeat)
+    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
+    draws = F.when(F.col("source_size") > 0, F.least(F.rint(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * max_repeat)).otherwise(F.lit(0).cast("long"))
+    sources, _ = written(wanted.withColumn("blocks", blocks).withColumn("draws", draws), "sources")
+    totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("draws").alias("d")).first()
+    numbered = _numbered(sized)
+    with_no = _with_source(numbered.where("size > 0"), sources, totals["n"], "source_no")
+    inside = packed(with_no, sized.count(), rows_per_chunk, fan)
     w = F.lit(block_words)
     cut = inside.select("*", F.explode(F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}"))).alias("block"))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * w - F.col("first"))
     end = F.least(F.col("size"), (F.col("block") + 1) * w - F.col("first"))
-    pieces = cut.select("doc_id", "text_key", "size", "source_no", "block", begin.alias("begin"), (end - begin).alias("n"), *extra)
-    return Mix(sources, sources_df, sized, pieces, slots(spark, sources, shard_slots, seed))
+    pieces = cut.select("rid", "source_no", "block", begin.alias("begin"), (end - begin).alias("n"))
+    return Mix(sources, totals["n"], numbered, pieces, slots(sources, max(1, -(-(totals["d"] or 0) // shard_slots)), shard_slots, seed))
 
 
 def block_uses(m: Mix) -> DataFrame:
     """How often the mix has each block: source_no, block, times. Spark takes the slots for few, as it sees only their
-    shards, so joins of what comes from them are told to shuffle: it grows with the input and is never broadcast."""
+    beginnings, so joins of what comes from them are told to shuffle: it grows with the input and is never broadcast."""
     return m.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (its words in the mix, repeats counted)."""
     m = mix(docs, **options)
-    taken = m.pieces.join(block_uses(m), ["source_no", "block"]).groupBy("doc_id", "text_key", "source_no").agg(F.sum(F.col("n") * F.col("times")).alias("t"), F.sum(F.when(F.col("begin") == 0, 1).otherwise(0)).alias("rows"))
-    base = m.sized.select("doc_id", "source", "text_key", "size").join(F.broadcast(m.sources_df.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
-    # Rows that repeat a document share what was taken of it evenly.
-    copies = Window.partitionBy("doc_id", "text_key", "source_no")
-    same = taken.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source_no").alias("no"), "t").hint("merge")
-    joined = base.join(same, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("source_no") == F.col("no")), "left")
-    rank, n = F.row_number().over(copies.orderBy("size")), F.count(F.lit(1)).over(copies)
-    share = F.floor(F.coalesce("t", F.lit(0)) / n) + F.when(rank <= F.coalesce("t", F.lit(0)) % n, 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
-
-
-def word_slice(text: Column, begin: Column, n: Column) -> Column:
-    """n words of a text from the begin-th (counted from 0), joined by single spaces."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), begin + 1, n), " ")
+    taken = m.pieces.join(block_uses(m), ["source_no", "block"]).groupBy("rid").agg(F.sum(F.col("n") * F.col("times")).alias("t"))
+    base = _with_source(m.sized.select("rid", "doc_id", "source", "size"), m.sources, m.n_sources, "source_size", "target")
+    return base.join(taken.hint("merge"), "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, in the columns doc_id, text, lang, source, n_chars: for each pass over a document's
     blocks the words that the pass takes, joined by spaces in their order; other columns are left out."""
     m = mix(docs, extra=["lang"], **options)
+    key = ["doc_id", "text_key", "source", "lang"]
     passes = (
         m.pieces.join(block_uses(m), ["source_no", "block"])
-        .select("doc_id", "text_key", "begin", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass_no"))
-        .groupBy("doc_id", "text_key", "pass_no")
-        .agg(F.array_sort(F.collect_set(F.struct("begin", "n"))).alias("parts"))
-        .select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "parts")
-        .hint("merge")
+        .select("rid", "begin", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass_no"))
+        .groupBy("rid", "pass_no")
+        .agg(F.array_sort(F.collect_list(F.struct("begin", "n"))).alias("parts"))
     )
+    salt = lambda on, n: F.when(on, n).otherwise(F.lit(0))
+    told = m.sized.select("rid", *[F.col(k).alias(f"p_{k}") for k in key], salt(F.col("many"), F.pmod(F.col("rid"), F.lit(SALT))).cast("int").alias("p_salt")).join(passes.hint("merge"), "rid").drop("rid", "pass_no")
+    # One text stands for rows that repeat each other; it is sent to as many tasks as they are dealt to.
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_key"))
-    joined = keyed.join(passes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    repeated = m.sized.where("many").select(*[F.col(k).alias(f"r_{k}") for k in key]).distinct()
+    if m.sized.where("many").limit(1).count():
+        same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in key]
+        few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+        once = keyed.join(few, same, "left_semi").groupBy(*key).agg(F.first("text").alias("text")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        keyed = keyed.join(few, same, "left_anti").withColumn("salt", F.lit(0)).unionByName(once)
+    else:
+        keyed = keyed.withColumn("salt", F.lit(0))
+    joined = keyed.join(told.hint("merge"), [*[F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in key], F.col("salt") == F.col("p_salt")])
     # The words are bound as the outer lambda's variable: named inside the inner one, they would be cut anew for every part.
     words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     taken = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["begin"].cast("int") + 1, p["n"].cast("int")))), " "))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import arrow_tokens, decontaminate, html_density, kneser_ney, mixture, prefix_join, queries, rule_ensemble, stream_dedup, transducer, url_cascade
+from folioforge.llm import arrow_tokens, decontaminate, html_density, kneser_ney, prefix_join, queries, rule_ensemble, stream_dedup, transducer, url_cascade
 from folioforge.llm.textkernel import shingle_sets, slices
 
 SF = "/root/testdata/sf0.001"
@@ -51,32 +51,6 @@ def test_cascade_is_exact(spark):
     assert wrong == 0
 
 
-# 2
-def test_targets():
-    assert mixture.targets([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
-    assert mixture.targets([0, 5], [3, 1], 7.5, 2) == [0, 7.5]
-
-
-def test_permutation_and_shards():
-    assert sorted(mixture.permuted(np.arange(1000), 1000, 3)) == list(range(1000))
-    draws = [1000, 0, 77]
-    seen = [mixture.shard_counts(draws, s, 11, 100, 5) for s in range(11)]
-    assert sum(c for c, _ in seen).tolist() == draws
-    assert all((b == sum(c for c, _ in seen[:k])).all() for k, (_, b) in enumerate(seen))
-
-
-def test_mixture(spark, odd, empty):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    a, b = (mixture.taken_words(docs).orderBy("doc_id").toPandas() for _ in range(2))
-    assert a.equals(b) and len(a) == docs.count() and (a["taken"] <= 2 * a["size"]).all()
-    sources = docs.select("doc_id", "source").toPandas().merge(a, on="doc_id").groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
-    assert (abs(sources["taken"] - sources["target"]) < 0.1 * sources["target"] + 130).all()
-    got = mixture.taken_words(odd).toPandas()
-    assert len(got) == 8 and (got["taken"] <= 2 * got["size"]).all() and mixture.taken_words(empty).count() == 0
-    mixed = mixture.mixed_documents(odd).toPandas()
-    assert mixture.mixed_documents(empty).count() == 0 and set(mixed.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
-
-
 # 3
 def expected_groups(rows):
     by = defaultdict(list)
