@@ -6,11 +6,15 @@ arrays of n-gram hashes, one for each order, with a row of log probabilities (a
 each n-gram, interpolated already, and one of back-off weights for each context. A text gets the language
 of the lowest cross-entropy per character.
 
-The labelled rows are a bounded sample: at most about ``rows_per_language`` of each language, chosen by a
-hash of the row. Their n-grams are counted by Spark; beyond ``max_ngrams`` different ones of the highest
-order in a language the least frequent go. A fifth of the sample is not counted but calibrates the
-rejection: a text is rejected if its cross-entropy lies above nearly all of its language's, taking into
-account that short texts vary more.
+The labelled rows are a bounded sample: of each language the different texts of the smallest hashes, up to
+``sample_chars`` characters and ``LEAST_TEXTS`` texts at least; copies of a text count once. Their n-grams are counted by
+Spark, all of them. A model has a value for each n-gram and language; where these would be more than ``model_values``,
+the sample is halved until they are not, so that what goes to the driver and is broadcast is bounded.
+
+Rejection is calibrated on every fifth text of the sample, which is not counted (of languages with fewer than
+``LEAST_TEXTS`` texts all are counted). By how much a text's cross-entropy exceeds its language's mean is compared with the
+``KEEP`` quantile of that excess among texts of about its length, of all languages together, since shorter texts vary more;
+beyond ``SLACK`` times that and ``MARGIN`` nats it is rejected. A language without such texts takes the mean of the others.
 
 Null texts and texts without letters are ``und`` with score 0, and rejected. Without labelled rows all
 texts are. Rows may repeat; other columns are ignored.
@@ -27,16 +31,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioforge.llm.common import bounded_batches, delete, written
 
 ORDER = 4
-ROWS_PER_LANGUAGE = 4000
-MAX_NGRAMS = 2_000_000
+SAMPLE_CHARS, LEAST_TEXTS = 2_000_000, 10
+MODEL_VALUES = 16_000_000
 SLICE_CHARS = 1 << 18
 UNKNOWN = "und"
-#: Rejection: so many deviations (of one character, over the root of the length), and so many nats, above the mean.
-DEVIATIONS, MARGIN = 8.0, 0.75
+KEEP, SLACK, MARGIN = 0.999, 1.25, 0.5
+#: Lengths by powers of two, in letters.
+BINS = 20
 _STEP = np.random.Generator(np.random.PCG64(90210)).integers(0, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RADIX = 20
 
@@ -124,18 +130,22 @@ class Table:
         return out
 
 
+def length_bin(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), BINS - 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
     grams: list[Table]  # by order, from 1: log probabilities
     contexts: list[Table]  # by order, from 1: log back-off weights of the contexts of order - 1 characters
     unseen: np.ndarray  # log of the share of a character that no language has, before the back-off weight
-    mean: np.ndarray  # cross-entropy of each language's own texts, and its deviation for one character
-    deviation: np.ndarray
+    mean: np.ndarray  # cross-entropy of each language's own texts
+    excess: np.ndarray  # by length: what may be above it
 
     def bound(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The cross-entropy above which a text of a language is rejected."""
-        return self.mean[language] + DEVIATIONS * self.deviation[language] / np.sqrt(np.maximum(letters, 1)) + MARGIN
+        return self.mean[language] + SLACK * self.excess[length_bin(letters)] + MARGIN
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text in each language, and the number of its letters."""
@@ -232,7 +242,7 @@ def estimate(counts: pd.DataFrame, languages: list[str]) -> Model:
         contexts.append(Table.of(_key_of(codes[first, :-1]), np.log(weight)))
         order = np.argsort(keys)
         below, below_keys = p[order], keys[order]
-    return Model(languages, grams, contexts, unseen, np.zeros(n), np.zeros(n))
+    return Model(languages, grams, contexts, unseen, np.full(n, np.inf), np.zeros(BINS))
 
 
 def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,50 +260,88 @@ def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": [text[i : i + ORDER] for i in range(0, len(text), ORDER)], "c": c})
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_ngrams: int = MAX_NGRAMS) -> Model | None:
-    """A model from the columns text and lang; None without labelled rows."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+#: The share of texts below the k-th level is 2 ** (-k / STEPS).
+LEVELS, STEPS = 160, 4
+
+
+def sampled(labelled: DataFrame, sample_chars: int) -> DataFrame | None:
+    """lang, text and held: the different texts of the smallest hashes, written to the shared folder; None if there are none."""
+    spark = labelled.sparkSession
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", F.lit(11)).alias("h"))
+    unit = lambda h: (F.shiftright(h, 11) + F.lit(float(1 << 52))) / float(1 << 53)  # noqa: E731  to [0, 1)
+    # Hashes and lengths alone are shuffled to tell copies; then a few rows for each language are left.
+    texts = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
+    level = F.least(F.floor(-F.log2(F.greatest(unit(F.col("h")), F.lit(2.0**-60))) * STEPS), F.lit(LEVELS)).cast("int")
+    found: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in texts.groupBy("lang", level.alias("level")).agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("texts")).collect():
+        found.setdefault(r["lang"], {})[r["level"]] = (r["chars"], r["texts"])
+    if not found:
         return None
+    shares = []
+    for lang, levels in found.items():
+        chars = texts_in = 0
+        least = LEVELS
+        for k in sorted(levels, reverse=True):  # the smallest hashes first
+            more, n = levels[k]
+            if texts_in >= LEAST_TEXTS and chars + more > sample_chars:
+                break
+            chars, texts_in, least = chars + more, texts_in + n, k
+        shares.append((lang, least))
+    chosen = rows.join(F.broadcast(spark.createDataFrame(shares, "l string, least int")), F.col("lang") == F.col("l")).where(level >= F.col("least"))
+    once = chosen.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    place, n = F.row_number().over(Window.partitionBy("lang").orderBy("h")), F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    return written(once.select("lang", "text", ((n >= LEAST_TEXTS) & (place % 5 == 0)).alias("held")), "language-sample")[0]
+
+
+def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, model_values: int = MODEL_VALUES) -> Model | None:
+    """A model from the columns text and lang; None without labelled rows."""
     spark = labelled.sparkSession
     bounded_batches(spark)
-    shares = spark.createDataFrame([(lang, min(1.0, rows_per_language / n)) for lang, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1e6
-    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5)) == 0).alias("held"))
-    counted = sample.where("not held").select("lang", "text").mapInPandas(_ngrams, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    counted, counted_at = written(counted, "ngrams")
-    counts = _bounded(counted, max_ngrams)
+    while True:
+        sample = sampled(labelled, sample_chars)
+        if sample is None:
+            return None
+        counted, counted_at = written(sample.where("not held").select("lang", "text").mapInPandas(_ngrams, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), "ngrams")
+        size = counted.agg(F.countDistinct("gram").alias("g"), F.countDistinct("lang").alias("l")).first()
+        if size["g"] * size["l"] <= model_values or sample_chars < 1000:
+            break
+        sample_chars //= 2
+        delete(spark, counted_at)
+    counts = counted.toPandas()
     delete(spark, counted_at)
     if not len(counts):
         return None
     model = estimate(counts.sort_values(["lang", "gram"]), sorted(set(counts["lang"])))
-    held = sample.where("held").select("lang", "text")
+    calibrate(model, sample.where("held").select("lang", "text"))
+    return model
+
+
+def calibrate(model: Model, held: DataFrame) -> None:
+    """Sets the mean of each language and the excess by length from labelled texts that were not counted."""
+    spark = held.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entropies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             e, letters = shared.value.entropies(pdf["text"].tolist())
             own = pdf["lang"].map({lang: i for i, lang in enumerate(shared.value.languages)}).fillna(-1).astype(int).to_numpy()
-            keep = (own >= 0) & (letters >= 20)
-            yield pd.DataFrame({"lang": pdf["lang"][keep], "e": e[np.arange(len(e)), own][keep], "n": letters[keep]})
-
-    stats = held.mapInPandas(deviations, "lang string, e double, n long").groupBy("lang").agg(F.avg("e").alias("m"), F.sqrt(F.avg(F.pow("e", 2) * F.col("n")) - 2 * F.avg(F.col("e") * F.col("n")) * F.avg("e") + F.pow(F.avg("e"), 2) * F.avg("n")).alias("s")).collect()
-    known = {r["lang"]: (r["m"], r["s"]) for r in stats}
-    for i, lang in enumerate(model.languages):
-        model.mean[i], model.deviation[i] = known.get(lang, (np.inf, 0.0))
-    return model
-
-
-def _bounded(counted: DataFrame, max_ngrams: int) -> pd.DataFrame:
-    """The counts, without the least frequent n-grams of languages that have more than max_ngrams."""
-    rows = counted.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("k")).toPandas()
-    least = {}
-    for lang, part in rows.sort_values("c", ascending=False).groupby("lang", sort=False):
-        inside = part[part["k"].cumsum() <= max_ngrams]
-        least[lang] = int(inside["c"].min()) if len(inside) else int(part["c"].max())
-    bounds = counted.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
-    return counted.join(F.broadcast(bounds), "lang").where("c >= least").select("lang", "gram", "c").toPandas()
+            keep = (own >= 0) & (letters > 0)
+            yield pd.DataFrame({"lang": pdf["lang"][keep], "e": e[np.arange(len(e)), own][keep], "n": letters[keep], "bin": length_bin(letters[keep])})
+
+    told, at = written(held.mapInPandas(entropies, "lang string, e double, n long, bin long"), "held-entropies")
+    means = {r["lang"]: r["m"] for r in told.groupBy("lang").agg((F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+    if means:
+        other = float(np.mean(list(means.values())))
+        model.mean[:] = [means.get(lang, other) for lang in model.languages]
+        known = spark.createDataFrame(list(means.items()), "l string, m double")
+        over = told.join(F.broadcast(known), F.col("lang") == F.col("l")).groupBy("bin").agg(F.percentile_approx(F.col("e") - F.col("m"), F.lit(KEEP), F.lit(100_000)).alias("q"), F.count(F.lit(1)).alias("n")).collect()
+        seen = {r["bin"]: max(r["q"], 0.0) for r in over if r["n"] >= LEAST_TEXTS} or {r["bin"]: max(r["q"], 0.0) for r in over}
+        last = seen[max(seen)]
+        for k in range(BINS - 1, -1, -1):
+            # Shorter texts vary at least as much; where too few were seen, by the root of the length.
+            last = max(last, seen[k]) if k in seen else last if k > max(seen) else last * 2**0.5
+            model.excess[k] = last
+    delete(spark, at)
 
 
 def predict(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
