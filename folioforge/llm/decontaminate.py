@@ -5,7 +5,8 @@ is one window). Each window has an anchor: its longest word, the first of equals
 training texts emits their words with positions, looks each up among the broadcast anchors, and
 verifies the n-gram around every find against the broadcast set of whole windows; so only words
 that are an anchor ever build an n-gram. Both sets hold benchmark text alone; their size is measured
-first, and beyond ``max_broadcast_bytes`` the n-grams are joined by shuffling instead.
+first, and windows of more than ``max_broadcast_bytes`` are broadcast in parts, each with a scan of its own. Hits carry a
+window's number; its items join afterwards, once for each document and window.
 
 Nulls, empty texts and texts without a word have no words and no hits. Repeated rows get the same
 result each. Extra columns of either table are ignored by ``contamination``; ``remove`` keeps those
@@ -33,43 +34,34 @@ def words(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row for each distinct window: ngram, k (its words), anchor, back (words before the anchor), items."""
+def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """A row for each distinct window: window (its number), ngram, k (its words), anchor, back (words before the anchor);
+    and the rows (window, item)."""
     all_of = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     k = F.least(F.lit(width), F.size("w"))
     parts = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.slice("w", i, k))
+    cut, _ = written(all_of.select("item", F.explode(parts).alias("part")).select("item", "part", F.array_join("part", " ").alias("ngram")).distinct(), "benchmark-windows")
+    numbered, _ = written(cut.select("ngram", "part").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     sizes = F.transform("part", lambda x: F.length(x))
     back = (F.array_position(sizes, F.array_max(sizes)) - 1).cast("int")
-    return (
-        all_of.select("item", F.explode(parts).alias("part"))
-        .select("item", F.array_join("part", " ").alias("ngram"), F.size("part").alias("k"), back.alias("back"), F.element_at("part", back + 1).alias("anchor"))
-        .groupBy("ngram", "k", "anchor", "back")
-        .agg(F.collect_set("item").alias("items"))
-    )
-
-
-def _grams(k: int) -> Column:
-    """Every k consecutive words of the column w: start and ngram."""
-    at = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))
-    return F.transform(at, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, k), " ").alias("ngram")))
+    windows = numbered.select("window", "ngram", F.size("part").alias("k"), back.alias("back"), F.element_at("part", back + 1).alias("anchor"))
+    return windows, cut.join(numbered.select("ngram", "window"), "ngram").select("window", "item")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, keys: list[str], text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """keys, start (position of the first word), k and items of every occurrence of a window in a text."""
-    size = windows.agg(F.sum(F.length("ngram") + F.length("anchor") + 64 + 16 * F.size("items")).alias("b")).first()["b"] or 0
+    """keys, start (position of the first word), k and window of every occurrence of a window in a text."""
+    size = windows.agg(F.sum(F.length("ngram") + F.length("anchor") + 96).alias("b")).first()["b"] or 0
+    parts = max(1, -(-size // max_broadcast_bytes))
     spread = docs.select(*keys, words(F.col(text)).alias("w"))
-    if size <= max_broadcast_bytes:
-        anchors = windows.select("anchor", "back", "k").distinct()
-        found = spread.select(*keys, "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(anchors), F.col("word") == F.col("anchor"))
-        grams = found.withColumn("start", F.col("pos") - F.col("back")).where((F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.size("w"))).select(*keys, "start", F.array_join(F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("k")), " ").alias("ngram"))
-        return grams.join(F.broadcast(windows.select("ngram", "k", "items")), "ngram").select(*keys, "start", "k", "items")
-    lengths = [r["k"] for r in windows.select("k").distinct().collect()]  # as many as the width at most
     out = None
-    for k in lengths:
-        grams = spread.select(*keys, F.explode(_grams(k)).alias("x")).select(*keys, "x.*")
-        part = grams.join(windows.where(F.col("k") == k).select("ngram", "k", "items"), "ngram").select(*keys, "start", "k", "items")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spread.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
+    for part in range(parts):
+        # All windows of an anchor are in one part.
+        some = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == part)
+        found = spread.select(*keys, "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(some.select("anchor", "back", "k").distinct()), F.col("word") == F.col("anchor"))
+        grams = found.withColumn("start", F.col("pos") - F.col("back")).where((F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.size("w"))).select(*keys, "start", F.array_join(F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("k")), " ").alias("ngram"))
+        hits = grams.join(F.broadcast(some.select("ngram", "k", "window")), "ngram").select(*keys, "start", "k", "window")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -78,13 +70,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, doc
     Rows are told apart by doc_id and a hash of the text, so a repeated doc_id or a null one does no harm.
     """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
-    hits = occurrences(keyed, benchmark_windows(benchmark, width), ["doc_id", "text_key"], "text", max_broadcast_bytes)
+    windows, items = benchmark_windows(benchmark, width)
+    key = ["doc_id", "text_key"]
+    hits, _ = written(occurrences(keyed, windows, key, "text", max_broadcast_bytes).distinct(), "benchmark-hits")
     covered = F.transform(F.col("spans"), lambda s: F.sequence(s["start"], s["start"] + s["k"] - 1))
-    by_doc = (
-        hits.groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("start", "k")).alias("spans"), F.collect_set("items").alias("items"))
-        .select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.array_sort(F.array_distinct(F.flatten(covered))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    )
+    spans = hits.groupBy(*key).agg(F.collect_set(F.struct("start", "k")).alias("spans")).select(*key, F.array_sort(F.array_distinct(F.flatten(covered))).alias("hit_words"))
+    named = hits.select(*key, "window").distinct().join(items, "window").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("doc_id").alias("i_doc"), F.col("text_key").alias("i_text"), "items")
+    by_doc = spans.join(named, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("text_key") == F.col("i_text"))).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "hit_words", "items")
     n_words = F.size(words(F.col("text"))).cast("long")
     none = F.array()
     return keyed.select("doc_id", "text_key", n_words.alias("n_words")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").select(

@@ -268,10 +268,10 @@ def test_kneser_ney_sums_to_one():
 # 10
 def test_decontamination(spark, empty):
     item = "One two three four five six seven eight nine ten eleven"
-    bench = spark.createDataFrame([(1, item, 0), (2, "short item", 0), (3, None, 0), (4, "?!", 0)], "item_id long, text string, n_words int")
+    bench = spark.createDataFrame([(1, item, 0, "x"), (2, "short item", 0, "x"), (2, "short item", 0, "x"), (3, None, 0, "x"), (4, "?!", 0, "x")], "item_id long, text string, n_words int, window string")
     rows = [(1, "x " + item.upper() + " y", None, None), (2, "one two three four five six seven eight nine", None, None), (3, "a SHORT,item here", None, None), (4, None, None, None), (5, "", None, None), (6, item.replace(" ", "--") + " " + item, None, None), (6, item.replace(" ", "--") + " " + item, None, None)]
     docs = docs_of(spark, rows)
-    for limit in (decontaminate.MAX_BROADCAST_BYTES, 0):
+    for limit in (decontaminate.MAX_BROADCAST_BYTES, 400):
         hit = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, max_broadcast_bytes=limit).collect()}
         assert {i: len(r["hit_words"]) for i, r in hit.items()} == {1: 11, 2: 0, 3: 2, 4: 0, 5: 0, 6: 22}
         assert hit[3]["items"] == ["2"] and hit[1]["n_words"] == 13
@@ -282,6 +282,33 @@ def test_decontamination(spark, empty):
     assert spans[3] == "a , here" and spans[1].split() == ["x", "y"] and spans[2] == rows[1][1]
 
 
+def test_decontamination_by_brute_force(spark):
+    import re
+
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{rng.integers(6)}" for _ in range(n))
+    items = [(i, text(rng.integers(0, 15))) for i in range(12)] + [(90, None), (91, "same " * 12), (92, "SAME-" * 30)]
+    rows = [(i, text(rng.integers(0, 300)), "en", "s") for i in range(40)] + [(50, "same " * 40_000, "en", "s"), (51, None, "en", "s"), (None, items[3][1], "en", "s")]
+    cut = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    windows = {}
+    for i, x in items:
+        w = cut(x)
+        k = min(10, len(w))
+        for a in range(len(w) - k + 1 if w else 0):
+            windows.setdefault(tuple(w[a : a + k]), set()).add(str(i))
+    want = []
+    for i, x, *_ in rows:
+        w, hit, found = cut(x), set(), set()
+        for k in {len(g) for g in windows}:
+            for a in range(len(w) - k + 1):
+                if (g := tuple(w[a : a + k])) in windows:
+                    hit |= set(range(a, a + k))
+                    found |= windows[g]
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.report(docs_of(spark, rows), bench).collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
