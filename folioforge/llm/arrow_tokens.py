@@ -33,7 +33,8 @@ from folioforge.llm.common import bounded_batches, fresh_path, written
 from folioforge.llm.encoder import WordEncoder
 
 LENGTH, BATCH, END_ID = 2048, 64, 2
-SHARD_BYTES = 32 << 20
+#: A shard has so much text, or more where there would be more shards than the other bound.
+SHARD_BYTES, MAX_SHARDS = 32 << 20, 20_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -41,6 +42,9 @@ def opened(uri: str):
     """Arrow's file system for a URI or a local path, and the path in it."""
     from pyarrow import fs
 
+    # Hadoop's names of object stores.
+    for name, other in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = other + uri[len(name) :] if uri.startswith(name) else uri
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -119,15 +123,18 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
     bounded_batches(docs.sparkSession)
     folder = folder or fresh_path(docs.sparkSession, "tokens")
     size = docs.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("b")).first()["b"] or 0
-    shards = max(1, -(-size // shard_bytes))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    shards = max(1, min(MAX_SHARDS, -(-size // shard_bytes)))
+    # Rows that repeat a doc_id, or each other, may lie in several shards.
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("r"))
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r")).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    run = uuid.uuid4().hex[:8]
     manifest = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = writer = end = None
         ids, starts, sizes = [], [], []
         shard = TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.arrow"
+        path = f"{folder}/shard-{shard:06d}-{run}-{uuid.uuid4().hex[:8]}.arrow"
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -150,10 +157,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(ids)], "n_ids": [writer.total]}, schema=manifest)
 
     listed, _ = written(ordered.mapInArrow(encode, MANIFEST), "manifest")
+    _delete_leftovers(docs.sparkSession, folder, run, {r["path"].rpartition("/")[2] for r in listed.select("path").collect()})
     # A row for each file: the running sum over them is small.
     return listed.withColumn("base", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids"))
 
 
+def _delete_leftovers(spark, folder: str, run: str, listed: set[str]) -> None:
+    """Deletes the files of this run's attempts that failed; the names of at most ``MAX_SHARDS`` files are compared."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(where) if files.exists(where) else []:
+        name = status.getPath().getName()
+        if f"-{run}-" in name and name.removesuffix(".docs") not in listed:
+            files.delete(status.getPath(), False)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])

@@ -59,8 +59,11 @@ def expected_groups(rows):
     return by
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_dedup(spark, tmp_path, weak):
+@pytest.mark.parametrize("weak, few", [(False, False), (True, False), (False, True), (True, True)])
+def test_dedup(spark, tmp_path, monkeypatch, weak, few):
+    if few:  # more repeated digests than are broadcast
+        monkeypatch.setattr(stream_dedup, "BROADCAST_ROWS", 30)
+        monkeypatch.setattr(stream_dedup, "HOT_ROWS", 5)
     rows = [(i, f"text {i % 37}") for i in range(200)] + [(500, None), (501, ""), (7, LONG), (None, "text 3"), (500, None)]
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     digest = (lambda t: F.substring(F.sha2(t, 256), 1, 1)) if weak else stream_dedup.sha256
