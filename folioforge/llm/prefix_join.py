@@ -9,9 +9,10 @@ and verified on the whole sets.
 
 The order goes by the counts of a fixed number of hash buckets over all shingles of all documents, then by
 hash; any such order gives the same links. It keeps frequent shingles out of the prefixes. Where more than
-``LIST`` groups share a prefix shingle all the same (many near copies of one text), no pairs are emitted:
-the nodes are dealt into blocks, each pair of blocks is verified in one task as a product of incidence
-matrices, and only a spanning forest of its links leaves the task.
+``LIST`` groups share a prefix shingle all the same (many near copies of one text), no pairs are emitted: they are a
+clump with a hub. First every node is verified against the hub, which is linear in the clump. Those that link to it are
+connected already and are not compared with each other. The rest is dealt into blocks by size, each of which meets blocks of the whole clump of sizes that can link: each pair of blocks is
+verified in one task as a product of incidence matrices, and only a spanning forest of its links leaves the task.
 
 Links are those of the exact counts; hashes of 64 bits stand for shingles, and of 128 bits for sets.
 A text without words (or null) has an empty set and no links. Rows that repeat a doc_id are documents of
@@ -86,14 +87,14 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n (set size), set_key, group_key (of size and prefix) and the prefix in the global order."""
+    """Per row: doc_id, text_key (a hash of the text), n (set size), set_key, group_key (of size and prefix) and the prefix in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at, part in slices(batch.column(1).to_pylist()):
                 rows: dict[str, list] = {name: [] for name in schema.names}
                 for i, hashes in enumerate(shingle_sets(part, width), at):
@@ -101,11 +102,11 @@ def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                     keep = n - need(n, percent) + 1 if n else 0
                     c = rank[(hashes >> np.uint64(64 - LOG_BUCKETS)).astype(np.int64)]
                     prefix = _signed(hashes[np.argsort(c, kind="stable")[:keep]])
-                    for name, value in zip(schema.names, (ids[i], n, set_key(hashes), hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest(), prefix), strict=True):
+                    for name, value in zip(schema.names, (ids[i], keys[i], n, set_key(hashes), hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest(), prefix), strict=True):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n int, set_key binary, group_key binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_key long, n int, set_key binary, group_key binary, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -> DataFrame:
@@ -159,6 +160,38 @@ def block_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, p
     return forest(linked)
 
 
+def _by_hubs(clumps: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(rest, members, edges, folders): edges from nodes of a clump to its hub, which names it, and the nodes that don't
+    link to it. A hub is sent to as many tasks as its clump has blocks of nodes."""
+    same = ["clump", "kind"]
+    members, members_at = written(clumps.join(nodes.select("node", "n"), "node"), "clump-members")
+    hubs = members.groupBy(*same).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    dealt = members.join(hubs, same).withColumn("part", F.pmod(F.xxhash64("node"), "nb").cast("int")).join(sets, "node")
+    centre = hubs.join(sets.select(F.col("node").alias("clump"), F.col("hashes").alias("centre")), "clump").select(*same, "centre", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("part"))
+    shared = F.size(F.array_intersect("hashes", "centre"))
+    told, told_at = written(dealt.join(centre.hint("merge"), [*same, "part"]).select(*same, "node", "n", (100 * shared >= percent * (F.size("hashes") + F.size("centre") - shared)).alias("linked")), "hub-links")
+    edges = told.where("linked and node <> clump").select(F.col("clump").alias("a"), F.col("node").alias("b"))
+    return told.where("not linked").select(*same, "node", "n"), members, edges, [members_at, told_at]
+
+
+def _meetings(rest: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of the rest (side 0) and those of their clumps (side 1) for each pair of blocks (bi, bj) that can link."""
+    same = ["clump", "kind"]
+    size = F.log(F.col("n").cast("double")) / float(np.log(100 / percent))  # sets whose sizes differ by over one step can't link
+    step = F.floor(size).cast("int")
+    blocks = lambda df, by: df.groupBy(*same, "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(by))
+    few, whole = rest.withColumn("step", step), members.withColumn("step", step)
+    nf, nw = blocks(few, "nf"), blocks(whole, "nw")
+    few = few.join(nf, [*same, "step"]).withColumn("i", F.pmod(F.xxhash64("node"), "nf").cast("int"))
+    whole = whole.join(nw, [*same, "step"]).withColumn("j", F.pmod(F.xxhash64("node"), "nw").cast("int"))
+    pairs = nf.select(*same, F.col("step").alias("sf"), "nf").join(nw.select(*same, F.col("step").alias("sw"), "nw"), same).where("abs(sf - sw) <= 1")
+    name = lambda s, k: F.concat_ws("-", s, k)
+    left = few.withColumnRenamed("step", "sf").drop("nf").join(pairs, [*same, "sf"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
+    right = whole.withColumnRenamed("step", "sw").drop("nw").join(pairs, [*same, "sw"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)))
+    cut = lambda df, side: df.select(*same, name("sf", "i").alias("bi"), name("sw", "j").alias("bj"), F.lit(side).alias("side"), "node")
+    return cut(left, 0), cut(right, 1)
+
+
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows, edges, folders): rows with doc_id, n, set_key, node (null for an empty set); edges (a, b) between
     nodes, which keep every linked set connected with its partners; the shared folders that hold them."""
@@ -209,33 +242,35 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     shared = F.size(F.array_intersect("ha", "hb"))
     verified = candidates.join(a, "a").join(b, "b").where(100 * shared >= percent * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
 
-    blocks = clumps.groupBy("clump", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    dealt = clumps.join(blocks, ["clump", "kind"]).withColumn("block", F.pmod(F.xxhash64("node"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("clump", "kind", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node").join(sets, "node")
+    rest, sized_clumps, by_hub, clump_folders = _by_hubs(clumps, sets, nodes, percent)
+    first, other = _meetings(rest, sized_clumps, percent)
+    dealt = first.unionByName(other).join(sets, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        block, node = pdf["block"].to_numpy(), pdf["node"].to_numpy()
-        found = block_links([np.asarray(h, np.int64) for h in pdf["hashes"]], block == pdf["bi"].iloc[0], block == pdf["bj"].iloc[0], percent)
+        # A node may be on both sides, as rest and as part of the whole clump.
+        sides = pdf.groupby("node", sort=True).agg(side=("side", "max"), low=("side", "min"), hashes=("hashes", "first"))
+        node = sides.index.to_numpy()
+        found = block_links([np.asarray(h, np.int64) for h in sides["hashes"]], sides["low"].to_numpy() == 0, sides["side"].to_numpy() == 1, percent)
         return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
 
     in_blocks = dealt.groupBy("clump", "kind", "bi", "bj").applyInPandas(compare, "a long, b long")
-    edges, edges_at = written(verified.unionByName(in_blocks), "edges")
-    for path in (groups_at, lists_at, listed_at, candidates_at, long_at, clumps_at, wanted_at, sets_at):
+    edges, edges_at = written(verified.unionByName(by_hub).unionByName(in_blocks), "edges")
+    for path in (groups_at, lists_at, listed_at, candidates_at, long_at, clumps_at, wanted_at, sets_at, *clump_folders):
         delete(docs.sparkSession, path)
-    rows = signed.join(nodes.select("set_key", "node", "first_doc"), "set_key", "left").select("doc_id", "n", "set_key", "node", "first_doc")
+    rows = signed.join(nodes.select("set_key", "node", "first_doc"), "set_key", "left").select("doc_id", "text_key", "n", "set_key", "node", "first_doc")
     return rows, edges, [signed_at, nodes_at, edges_at]
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of the table: doc_id, n_shingles, component_id (smallest doc_id reachable by links),
-    set_key, and first_in_set (smallest doc_id with the same set)."""
+    set_key, first_in_set (smallest doc_id with the same set), text_key (a hash of the text), and component (a name of the
+    component, null for empty sets)."""
     rows, edges, folders = links(docs, width, percent)
     labels = connected_components(edges)
     firsts = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     smallest = labels.join(firsts, "node").groupBy("component").agg(F.min("first").alias("smallest"))
-    named = labels.join(smallest, "component").select(F.col("node").alias("linked"), "smallest")
-    told = rows.join(named, F.col("node") == F.col("linked"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "first_doc", "doc_id").alias("component_id"), "set_key", F.coalesce("first_doc", "doc_id").alias("first_in_set"))
+    named = labels.join(smallest, "component").select(F.col("node").alias("linked"), "smallest", "component")
+    told = rows.join(named, F.col("node") == F.col("linked"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "first_doc", "doc_id").alias("component_id"), "set_key", F.coalesce("first_doc", "doc_id").alias("first_in_set"), "text_key", F.coalesce("component", "node").alias("component"))
     out, _ = written(told, "components")
     for path in folders:
         delete(docs.sparkSession, path)
