@@ -21,12 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    dropped, _ = written(prefix_join.components(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id"), "dropped")
-    n = dropped.count()
-    kept = docs.select(COLUMNS).join(F.broadcast(dropped) if n <= prefix_join.BROADCAST_ROWS else dropped, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of linked documents the one with the smallest doc_id, nulls last; of rows with that doc_id the one of
+    the smallest hash of the text. Rows are told apart by both; documents without words are not linked and stay."""
+    told = prefix_join.components(docs, NEAR_WIDTH, NEAR_PERCENT).select("component", "doc_id", "text_key", F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key").alias("row"))
+    firsts, _ = written(told.where("component is not null").groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    linked = told.join(F.broadcast(firsts) if firsts.count() <= prefix_join.BROADCAST_ROWS else firsts, "component").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), (F.col("row") == F.col("first")).alias("stays"))
+    rows, _ = written(linked.groupBy("d", "t", "stays").agg(F.count(F.lit(1)).alias("n")), "dropped")
+    dropped = rows.where("not stays")
+    dropped = F.broadcast(dropped) if dropped.count() <= prefix_join.BROADCAST_ROWS else dropped
+    kept = docs.select(COLUMNS).join(dropped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_anti")
+    return kept if rows.where("stays and n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
