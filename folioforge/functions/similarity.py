@@ -1,22 +1,42 @@
-"""Similarity of short texts by character pairs."""
+"""Similarity of short texts by pairs of UTF-16 units."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bigrams(text: Column) -> Column:
-    """Overlapping pairs of characters; none if there are fewer than two."""
-    return F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2))).otherwise(F.array().cast("array<string>"))
+def coefficient(a: str, b: str) -> float:
+    """Dice coefficient over multisets of pairs of UTF-16 units: 1 if equal, 0 if one has no pair."""
+    if a == b:
+        return 1.0
+    grams = []
+    for s in (a, b):
+        u = s.encode("utf-16-le", "surrogatepass")
+        grams.append(Counter(u[i : i + 4] for i in range(0, len(u) - 2, 2)))
+    n = grams[0].total() + grams[1].total()
+    return 2 * (grams[0] & grams[1]).total() / n if grams[0] and grams[1] else 0.0
+
+
+def _dice(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else coefficient(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def dice_of(left: Column, right: Column) -> Column:
+    return F.pandas_udf(_dice, "double")(left, right)
 
 
 def dice(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """The pairs' keys with their Dice coefficient over multisets of bigrams: 1 if equal, 0 if one is too short."""
-    base = pairs.select(*keys, F.col(left).alias("l"), F.col(right).alias("r"))
-    grams = base.where(~F.col("l").eqNullSafe(F.col("r")))
-    count = lambda side: grams.select(*keys, F.explode(bigrams(F.col(side))).alias("g")).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias(f"n_{side}"))
-    common = count("l").join(count("r"), [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("n_l", "n_r")).alias("common"))
-    n = F.length("l") + F.length("r") - 2
-    value = F.when(F.col("l") == F.col("r"), 1.0).when((F.length("l") < 2) | (F.length("r") < 2), 0.0).otherwise(2.0 * F.coalesce("common", F.lit(0)) / n)
-    return base.join(common, keys, "left").select(*keys, value.alias("dice"))
+    """The pairs' keys with their Dice coefficient; both texts of a pair are in one row, so nothing is shuffled."""
+    return pairs.select(*keys, dice_of(F.col(left), F.col(right)).alias("dice"))
+
+
+def candidates(deleted: DataFrame, inserted: DataFrame, keys: list[str], window: int = 3) -> DataFrame:
+    """Changed blocks that may be paired, with their Dice coefficient: keys, i, j of deleted (keys, i, text) and inserted (keys, j,
+    text) blocks of one run whose places differ by the window at most."""
+    d, n = deleted.withColumnRenamed("text", "left"), inserted.withColumnRenamed("text", "right")
+    near = d.join(n, keys).where(F.abs(F.col("i") - F.col("j")) <= window)
+    return near.select(*keys, "i", "j", dice_of(F.col("left"), F.col("right")).alias("dice"))

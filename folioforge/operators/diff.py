@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.similarity import coefficient as dice
+
 EDIT_LIMIT, ANCHOR_LEAST = 1500, 400
 PAIR_ABOVE, PAIR_WINDOW, REFINE_FROM = 0.5, 3, 0.4
 MAX_INLINE, MAX_BLOCKS = 5000, 100_000
@@ -114,18 +116,6 @@ def align(a: Sequence, b: Sequence) -> list[Op]:
     return out
 
 
-def dice(a: str, b: str) -> float:
-    """Dice coefficient over multisets of pairs of UTF-16 units."""
-    if a == b:
-        return 1.0
-    grams = []
-    for s in (a, b):
-        u = s.encode("utf-16-le", "surrogatepass")
-        grams.append(Counter(u[i : i + 4] for i in range(0, len(u) - 2, 2)))
-    n = grams[0].total() + grams[1].total()
-    return 2 * (grams[0] & grams[1]).total() / n if grams[0] and grams[1] else 0.0
-
-
 def pair_up(deleted: Sequence[str], inserted: Sequence[str]) -> dict[int, tuple[int, float]]:
     """For deleted blocks, in order, the most similar free inserted one within the window."""
     out, used = {}, set()
@@ -169,9 +159,10 @@ def inline(left: str, right: str) -> list[tuple[str, str]]:
 
 
 def compare(a: Sequence[str], b: Sequence[str], max_inline: int = MAX_INLINE) -> list[tuple]:
-    """Diff rows of two documents: kind, left_ix, right_ix, similarity, spans. Each block appears in one row."""
+    """Diff rows of two documents: kind, left_ix, right_ix, similarity, spans. Each block appears in one row. A pair of too
+    many blocks has a single row, whose kind is the error; the other pairs of the table are compared all the same."""
     if len(a) + len(b) > MAX_BLOCKS:
-        raise ValueError("too many blocks")
+        return [("OUT_OF_MEMORY", None, None, None, None)]
     rows: list[tuple] = []
     deleted: list[int] = []
     inserted: list[int] = []

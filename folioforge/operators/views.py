@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CONTEXT, LEAST_HIDDEN = 3, 6
 
 
-def fold(rows: DataFrame, key: str = "pair_id", context: int = CONTEXT, least: int = LEAST_HIDDEN) -> DataFrame:
+def fold(rows: DataFrame, key: str = "pair_id", context: int = CONTEXT, least: int = LEAST_HIDDEN, collapse: bool = True, expanded: DataFrame | None = None) -> DataFrame:
     """The items of a folded view of rows (key, row_ix, kind): key, item_ix, kind (row or gap), row_ix,
-    gap_from, gap_to, gap_count. Long runs of equal rows shrink to their edges next to changes."""
+    gap_from, gap_to, gap_count, run_start (of a gap's run). Long runs of equal rows shrink to their edges next to changes,
+    but not those in ``expanded`` (key, run_start), and none without ``collapse``."""
     order = Window.partitionBy(key).orderBy("row_ix")
     equal = F.col("kind") == "equal"
     runs = rows.withColumn("eq", equal).withColumn("run", F.col("row_ix") - F.row_number().over(Window.partitionBy(key, "eq").orderBy("row_ix")))
@@ -21,13 +24,16 @@ def fold(rows: DataFrame, key: str = "pair_id", context: int = CONTEXT, least: i
     head, tail = F.when(F.col("a") == 0, 0).otherwise(context), F.when(F.col("b") == F.col("last"), 0).otherwise(context)
     told = told.withColumn("gap_from", F.col("a") + head).withColumn("gap_to", F.col("b") - tail)
     hidden = F.col("gap_to") - F.col("gap_from") + 1
-    told = told.withColumn("folded", F.col("eq") & (hidden >= least) & F.col("row_ix").between(F.col("gap_from"), F.col("gap_to")))
+    if expanded is not None:
+        told = told.join(expanded.select(F.col(key).alias("_k"), F.col("run_start").alias("_a")).distinct(), (F.col(key) == F.col("_k")) & (F.col("a") == F.col("_a")), "left")
+    shown = F.col("_a").isNotNull() if expanded is not None else F.lit(False)
+    told = told.withColumn("folded", F.lit(collapse) & F.col("eq") & ~shown & (hidden >= least) & F.col("row_ix").between(F.col("gap_from"), F.col("gap_to")))
     kept = told.where(~F.col("folded") | (F.col("row_ix") == F.col("gap_from")))
     blank = F.lit(None).cast("long")
     gap = lambda c: F.when(F.col("folded"), c).otherwise(blank)
     return kept.select(
         key, (F.row_number().over(order) - 1).alias("item_ix"), F.when(F.col("folded"), "gap").otherwise("row").alias("kind"), F.when(~F.col("folded"), F.col("row_ix").cast("long")).alias("row_ix"),
-        gap(F.col("gap_from").cast("long")).alias("gap_from"), gap(F.col("gap_to").cast("long")).alias("gap_to"), gap(hidden.cast("long")).alias("gap_count"),
+        gap(F.col("gap_from").cast("long")).alias("gap_from"), gap(F.col("gap_to").cast("long")).alias("gap_to"), gap(hidden.cast("long")).alias("gap_count"), gap(F.col("a").cast("long")).alias("run_start"),
     )
 
 
@@ -65,3 +71,61 @@ def common_text(segments: DataFrame, key: str = "pair_id") -> DataFrame:
     """What both sides share: the common segments joined in order."""
     common = segments.where("kind = 'common'")
     return common.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "seg_ix", "text"))), lambda s: s["text"]), "").alias("common_text"))
+
+
+SHORT, NEAR = 3, 12
+_GRAPHEME = regex.compile(r"\X")
+_WORDS = regex.compile(r"(?V1w)\b")
+
+
+def _length(text: str) -> int:
+    return len(_GRAPHEME.findall(text))
+
+
+def near_text(text: str, most: int, last: bool) -> str:
+    """Whole words from the beginning, or the end, of up to so many graphemes; of a longer word the graphemes."""
+    words = [w for w in _WORDS.split(text) if w]
+    out = ""
+    for word in reversed(words) if last else words:
+        more = word + out if last else out + word
+        if _length(more) > most:
+            break
+        out = more
+    return out or "".join(_GRAPHEME.findall(text)[-most:] if last else _GRAPHEME.findall(text)[:most])
+
+
+def with_context(segments: DataFrame, key: str = "pair_id", short: int = SHORT, most: int = NEAR) -> DataFrame:
+    """Segments with before and after: for divergent ones of fewer than ``short`` graphemes some of the common text next to
+    them, with an ellipsis where that is cut; null elsewhere."""
+
+    def cut(texts: pd.Series, last: bool) -> pd.Series:
+        return texts.map(lambda x: None if not x else x if (near := near_text(x, most, last)) == x else f"…{near}" if last else f"{near}…")
+
+    order = Window.partitionBy(key, "row_ix").orderBy("seg_ix")
+    lonely = (F.col("kind") == "divergent") & (F.greatest(*[F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\X"), F.lit(0))) for c in ("left_text", "right_text")]) < short)
+    beside = segments.withColumn("_b", F.when(lonely, F.lag("text").over(order))).withColumn("_a", F.when(lonely, F.lead("text").over(order)))
+    head, tail = F.pandas_udf(lambda x: cut(x, False), "string"), F.pandas_udf(lambda x: cut(x, True), "string")
+    return beside.withColumn("before", tail("_b")).withColumn("after", head("_a")).drop("_a", "_b")
+
+
+def location(page: Column, section: Column) -> Column:
+    """Where a block is: its page, or its section counted from 1, else nothing."""
+    return F.when(page.isNotNull(), F.concat(F.lit("p."), page.cast("string"))).when(section.isNotNull(), F.concat(F.lit("§"), (section + 1).cast("string"))).otherwise("")
+
+
+def gutter(kind: Column) -> Column:
+    return F.when(kind == "insert", "+").when(kind == "delete", "−").when(kind == "modify", "~").otherwise(" ")
+
+
+def side_text(kind: Column, spans: Column, left: Column, right: Column, side: str) -> Column:
+    """What a row shows on a side (left, right or both): of a modified row its spans without those of the other side; null
+    where the side has no block."""
+    other = {"left": "insert", "right": "delete"}.get(side, "")
+    joined = F.array_join(F.transform(F.filter(spans, lambda s: s["kind"] != other), lambda s: s["text"]), "")
+    block = left if side == "left" else right if side == "right" else F.coalesce(right, left)
+    return F.when((kind == "modify") & spans.isNotNull(), joined).otherwise(block)
+
+
+def table_cells(text: Column) -> Column:
+    """The rows and cells of a flattened table."""
+    return F.transform(F.split(text, "\n", -1), lambda r: F.split(r, " \\| ", -1))

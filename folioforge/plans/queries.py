@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from folioforge.functions import similarity
 from folioforge.functions import text as t
-from folioforge.operators import blocks, diff, markdown, quality, views, xml
-from folioforge.sources import decode
+from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
+from folioforge.sources import decode, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than cores, as a file of a single row group is, is dealt over them."""
+    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
 
 
 # The tables hold no character that normalisation would change, so some are put in, the same way on both sides.
@@ -173,14 +175,65 @@ def self_diff_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff_rows(a).groupBy("pair_id").agg(F.sum((F.col("kind") != "equal").cast("long")).alias("changes"))
 
 
-@query()
+# Of these pairs every row is known: each block's text is a hash of it and its place, so that no two are alike, and what is
+# edited only grows at its end.
+def _unlike(side: DataFrame) -> DataFrame:
+    return side.withColumn("text", F.concat(F.md5(F.concat_ws(" ", "doc_id", "at", "text").cast("binary")), F.lit(" "), F.md5(F.concat_ws("-", "doc_id", "at", "text").cast("binary"))))
+
+
+def _known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _unlike(_blocks(spark, sf_dir).select("doc_id", "block_ix", F.col("block_ix").alias("at"), "text"))
+    place = F.col("doc_id") + F.col("at")
+    kept = left.where(place % 7 != 3).select("doc_id", (F.col("at") * 2).alias("block_ix"), F.when(place % 5 == 1, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")).alias("text"))
+    added = left.where("at % 11 = 4").select("doc_id", (F.col("at") * 2 + 1).alias("block_ix"), F.concat(F.lit("Inserted paragraph "), F.col("at").cast("string")).alias("text"))
+    return _array(left, "a").join(_array(kept.unionByName(added), "b"), "doc_id", "full").withColumnRenamed("doc_id", "pair_id")
+
+
+_KNOWN_LEFT = f"SELECT doc_id, block_ix, md5(doc_id || ' ' || block_ix || ' ' || text) || ' ' || md5(doc_id || '-' || block_ix || '-' || text) AS text FROM ({_BLOCKS})"
+_KNOWN_PAIRS = f"""
+    WITH l AS ({_KNOWN_LEFT}),
+    r AS (SELECT doc_id, o, src, text, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS right_ix FROM (
+      SELECT doc_id, block_ix * 2 AS o, block_ix AS src, CASE WHEN (doc_id + block_ix) % 5 = 1 THEN text || ' revised' ELSE text END AS text FROM l WHERE (doc_id + block_ix) % 7 <> 3
+      UNION ALL SELECT doc_id, block_ix * 2 + 1, NULL, 'Inserted paragraph ' || block_ix FROM l WHERE block_ix % 11 = 4)),
+    d AS (SELECT coalesce(l.doc_id, r.doc_id) AS pair_id, l.block_ix AS left_ix, r.right_ix, l.text AS left_text, r.text AS right_text,
+            CASE WHEN r.doc_id IS NULL THEN 'delete' WHEN l.doc_id IS NULL THEN 'insert' WHEN l.text = r.text THEN 'equal' ELSE 'modify' END AS kind
+          FROM l FULL JOIN r ON l.doc_id = r.doc_id AND l.block_ix = r.src)"""
+
+
+@query(f"""{_KNOWN_PAIRS}
+    SELECT pair_id, count_if(kind = 'equal')::BIGINT AS n_equal, count_if(kind = 'insert')::BIGINT AS n_insert, count_if(kind = 'delete')::BIGINT AS n_delete, count_if(kind = 'modify')::BIGINT AS n_modify,
+      sum(CASE WHEN kind = 'delete' THEN length(left_text) ELSE 0 END)::BIGINT AS delete_chars, sum(CASE WHEN kind = 'insert' THEN length(right_text) WHEN kind = 'modify' THEN 8 ELSE 0 END)::BIGINT AS insert_chars
+    FROM d GROUP BY 1""")
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.statistics(diff.diff_rows(_pairs(spark, sf_dir)))
+    return diff.statistics(diff.diff_rows(_known_pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"""{_KNOWN_PAIRS}
+    SELECT pair_id, kind, left_ix::INT AS left_ix, right_ix::INT AS right_ix, left_text, right_text,
+      CASE WHEN kind = 'modify' THEN floor(100 * 2.0 * (length(left_text) - 1) / (2 * length(left_text) + 6) + 0.5) / 100 END AS similarity,
+      CASE WHEN kind = 'modify' THEN left_text || '| revised' END AS spans
+    FROM d""")
 def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_rows(_pairs(spark, sf_dir)).withColumn("spans", F.to_json("spans"))
+    rows = diff.diff_rows(_known_pairs(spark, sf_dir)).drop("row_ix")
+    return rows.withColumn("spans", F.array_join(F.transform("spans", lambda x: x["text"]), "|"))
+
+
+@query(f"""{_KNOWN_PAIRS},
+    k AS (SELECT *, sum(CASE WHEN kind = 'equal' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY coalesce(left_ix * 2, (SELECT 2 * any_value(l2.block_ix) + 1 FROM l l2 WHERE l2.doc_id = d.pair_id AND d.right_text = 'Inserted paragraph ' || l2.block_ix))) AS run FROM d),
+    i AS (SELECT pair_id, run, left_ix, left_text, row_number() OVER (PARTITION BY pair_id, run ORDER BY left_ix) - 1 AS i FROM k WHERE kind IN ('delete', 'modify')),
+    j AS (SELECT pair_id, run, right_ix, right_text, row_number() OVER (PARTITION BY pair_id, run ORDER BY right_ix) - 1 AS j FROM k WHERE kind IN ('insert', 'modify'))
+    SELECT i.pair_id, left_ix::INT AS left_ix, right_ix::INT AS right_ix, CASE WHEN right_text LIKE left_text || '%' THEN round(2.0 * (length(left_text) - 1) / (2 * length(left_text) + 6), 6) END AS dice_of_kin
+    FROM i JOIN j ON i.pair_id = j.pair_id AND i.run = j.run AND abs(i - j) <= 3""")
+def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed blocks of one run that may be paired; of those that are kin the similarity."""
+    rows = diff.diff_rows(_known_pairs(spark, sf_dir))
+    order = Window.partitionBy("pair_id").orderBy("row_ix")
+    runs = rows.withColumn("run", F.sum((F.col("kind") == "equal").cast("int")).over(order)).where("kind <> 'equal'")
+    side = lambda ix, text, name: runs.where(F.col(ix).isNotNull()).select("pair_id", "run", (F.row_number().over(Window.partitionBy("pair_id", "run").orderBy(ix)) - 1).alias(name), F.col(text).alias("text"), ix)
+    d, n = side("left_ix", "left_text", "i"), side("right_ix", "right_text", "j")
+    near = similarity.candidates(d.drop("left_ix"), n.drop("right_ix"), ["pair_id", "run"])
+    told = near.join(d.select("pair_id", "run", "i", "left_ix", F.col("text").alias("lt")), ["pair_id", "run", "i"]).join(n.select("pair_id", "run", "j", "right_ix", F.col("text").alias("rt")), ["pair_id", "run", "j"])
+    return told.select("pair_id", "left_ix", "right_ix", F.when(F.col("rt").startswith(F.col("lt")), F.round("dice", 6)).alias("dice_of_kin"))
 
 
 @query("SELECT conv_id AS pair_id, l AS left_text, r AS right_text FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS l, text AS r FROM conversations) WHERE l IS NOT NULL")
@@ -213,10 +266,10 @@ _KINDS = "SELECT user_id AS pair_id, (row_number() OVER (PARTITION BY user_id OR
 _FOLD = f"""
     WITH k AS ({_KINDS}), g AS (SELECT *, sum(CASE WHEN kind <> 'equal' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY row_ix) AS changes, max(row_ix) OVER (PARTITION BY pair_id) AS last FROM k),
     r AS (SELECT pair_id, changes, min(row_ix) AS a, max(row_ix) AS b, any_value(last) AS last FROM g WHERE kind = 'equal' GROUP BY ALL),
-    f AS (SELECT pair_id, changes, a + CASE WHEN a = 0 THEN 0 ELSE 3 END AS gap_from, b - CASE WHEN b = last THEN 0 ELSE 3 END AS gap_to FROM r),
-    i AS (SELECT pair_id, gap_from AS place, 'gap' AS kind, NULL::BIGINT AS row_ix, gap_from::BIGINT AS gap_from, gap_to::BIGINT AS gap_to, (gap_to - gap_from + 1)::BIGINT AS gap_count FROM f WHERE gap_to - gap_from + 1 >= 6
-          UNION ALL SELECT g.pair_id, g.row_ix, 'row', g.row_ix::BIGINT, NULL, NULL, NULL FROM g LEFT JOIN f ON g.pair_id = f.pair_id AND g.changes = f.changes AND g.kind = 'equal' AND g.row_ix BETWEEN f.gap_from AND f.gap_to AND f.gap_to - f.gap_from + 1 >= 6 WHERE f.pair_id IS NULL)
-    SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY place) - 1)::INT AS item_ix, kind, row_ix, gap_from, gap_to, gap_count FROM i"""
+    f AS (SELECT pair_id, changes, a AS run_start, a + CASE WHEN a = 0 THEN 0 ELSE 3 END AS gap_from, b - CASE WHEN b = last THEN 0 ELSE 3 END AS gap_to FROM r),
+    i AS (SELECT pair_id, gap_from AS place, 'gap' AS kind, NULL::BIGINT AS row_ix, gap_from::BIGINT AS gap_from, gap_to::BIGINT AS gap_to, (gap_to - gap_from + 1)::BIGINT AS gap_count, run_start::BIGINT AS run_start FROM f WHERE gap_to - gap_from + 1 >= 6
+          UNION ALL SELECT g.pair_id, g.row_ix, 'row', g.row_ix::BIGINT, NULL, NULL, NULL, NULL FROM g LEFT JOIN f ON g.pair_id = f.pair_id AND g.changes = f.changes AND g.kind = 'equal' AND g.row_ix BETWEEN f.gap_from AND f.gap_to AND f.gap_to - f.gap_from + 1 >= 6 WHERE f.pair_id IS NULL)
+    SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY place) - 1)::INT AS item_ix, kind, row_ix, gap_from, gap_to, gap_count, run_start FROM i"""
 
 
 @query(_FOLD)
@@ -266,78 +319,236 @@ def common_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.common_text(views.triple_segments(_word_spans(spark, sf_dir)))
 
 
-@query(f"SELECT doc_id, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars, sum(length(raw_text))::BIGINT AS n_raw, sum(len(regexp_extract_all(raw_text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')))::BIGINT AS n_control, 0::BIGINT AS n_replaced, 0::BIGINT AS n_private, 0::BIGINT AS n_jamo, 0::BIGINT AS n_hangul FROM ({_BLOCKS}) GROUP BY 1")
-def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.stats(_blocks(spark, sf_dir))
+# Characters that the report counts are put in: control, replacement, private, jamo, Hangul, and one beyond the basic plane.
+_DIRT = ((" was ", "\x01", "chr(1)"), ("eau", "\ufffd", "chr(65533)"), ("sch", "\ue000", "chr(57344)"), (" th", "\u1100\u3131", "chr(4352)||chr(12593)"), ("ing", "\uac01", "chr(44033)"), (" de ", "\U0001f600", "chr(128512)"), (" el ", "\x7f", "chr(127)"))
 
 
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
-    for a, b in ((" was ", " \x01 "), ("eau", "\ufffd"), ("sch", "\ue000")):
+    for a, b, _ in _DIRT:
         x = F.replace(x, F.lit(a), F.lit(b))
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", x.alias("text"), x.alias("raw_text"))
+    kinds = F.array(*map(F.lit, quality.TYPES))
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", x.alias("text"), x.alias("raw_text"), F.element_at(kinds, (F.col("doc_id") % 8 + 1).cast("int")).alias("type"))
+
 
+_DIRTY = "text"
+for _a, _, _c in _DIRT:
+    _DIRTY = f"replace({_DIRTY}, '{_a}', {_c})"
+_KINDS_OF = "[" + ",".join(f"'{k}'" for k in quality.TYPES) + "]"
+_UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+_QUALITY = f"""
+    SELECT doc_id, source, {_UNITS.format("x")} AS n_chars, len(regexp_extract_all(x, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) AS n_control, len(regexp_extract_all(x, chr(65533))) AS n_replaced, len(regexp_extract_all(x, chr(57344))) AS n_private,
+      len(regexp_extract_all(x, '[\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]')) AS n_jamo, len(regexp_extract_all(x, '[\\x{{AC00}}-\\x{{D7A3}}]')) AS n_hangul, {_UNITS.format("x")} - len(regexp_extract_all(x, '[ \\n\\t\\r]')) AS n_visible, (doc_id % 8)::INT AS k
+    FROM (SELECT doc_id, source, {_DIRTY} AS x FROM documents)"""
 
-_FLAGGED = "SELECT doc_id, source, concat_ws(',', CASE WHEN contains(text, ' was ') THEN 'control' END, CASE WHEN contains(text, 'eau') THEN 'replaced' END, CASE WHEN contains(text, 'sch') THEN 'private' END) AS flags, NOT contains(text, ' was ') AND NOT contains(text, 'eau') AS clean FROM documents"
+
+@query(f"SELECT doc_id, 1::BIGINT AS n_blocks, 0::BIGINT AS n_empty, n_chars::BIGINT AS n_chars, n_chars::BIGINT AS n_raw, n_control::BIGINT AS n_control, n_replaced::BIGINT AS n_replaced, n_private::BIGINT AS n_private, n_jamo::BIGINT AS n_jamo, n_hangul::BIGINT AS n_hangul, n_visible::BIGINT AS n_visible, round(CASE WHEN n_visible > 0 THEN n_hangul / n_visible ELSE 0 END, 9) AS hangul_share, {', '.join(f'(k = {i})::INT::BIGINT AS n_{name}' for i, name in enumerate(quality.TYPES))} FROM ({_QUALITY})")
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.stats(_dirty(spark, sf_dir)).withColumn("hangul_share", F.round("hangul_share", 9))
+
+
+# Confidence, format, track and warnings by the document's number.
+_PROBE = "['txt', 'hwp', 'pdf', 'docx'][doc_id % 4 + 1] AS format, [0.95, 0.4, 0.0, 0.6, 1.0][doc_id % 5 + 1]::DOUBLE AS confidence, CASE doc_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'A' END AS track, CASE WHEN doc_id % 6 = 5 THEN 'TABLE_FLATTENED,GARBLED_TEXT' ELSE '' END AS warnings, CASE WHEN doc_id % 11 = 7 THEN 'CORRUPTED' END AS error"
+_FLAGGED = f"""
+    SELECT doc_id, format, error, track, concat_ws(',', CASE WHEN n_control > 0 THEN 'control' END, CASE WHEN n_replaced > 0 THEN 'replaced' END, CASE WHEN n_private > 0 THEN 'private' END, CASE WHEN n_jamo > 0 THEN 'jamo' END,
+        CASE WHEN confidence = 0 THEN 'no-confidence' WHEN confidence < 0.7 THEN 'low-confidence' END, CASE WHEN format = 'hwp' AND confidence <= 0.4 THEN 'preview' END, CASE WHEN format = 'pdf' AND track = 'C' THEN 'scanned' END,
+        CASE WHEN warnings LIKE '%GARBLED%' AND n_visible > 0 AND n_hangul / n_visible > 0.3 THEN 'hangul-yet-garbled' END) AS flags,
+      error IS NULL AND n_control = 0 AND n_replaced = 0 AND confidence >= 0.5 AS clean
+    FROM (SELECT *, {_PROBE} FROM ({_QUALITY}))"""
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    track = F.when(F.col("doc_id") % 3 == 0, "C").when(F.col("doc_id") % 3 == 1, "A")
+    return quality.stats(_dirty(spark, sf_dir)).withColumns({"format": pick(("txt", "hwp", "pdf", "docx"), 4), "confidence": pick((0.95, 0.4, 0.0, 0.6, 1.0), 5), "track": track, "warnings": F.when(F.col("doc_id") % 6 == 5, "TABLE_FLATTENED,GARBLED_TEXT").otherwise(""), "error": F.when(F.col("doc_id") % 11 == 7, "CORRUPTED")})
 
 
 @query(f"SELECT doc_id, flags, clean FROM ({_FLAGGED})")
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.flags(quality.stats(_dirty(spark, sf_dir)))
+    return quality.flags(_probes(spark, sf_dir))
 
 
-@query(f"SELECT source, count(*) AS n, count_if(clean)::BIGINT AS n_clean, round(count_if(clean) / count(*), 6) AS success FROM ({_FLAGGED}) GROUP BY 1")
+@query(f"""SELECT format, count(*) AS n, count_if(clean)::BIGINT AS ok, count_if(NOT clean AND error IS NULL)::BIGINT AS warned, count_if(error IS NOT NULL)::BIGINT AS failed, round(avg(clean::INT), 6) AS success,
+    {', '.join(f"count_if(error IS NULL AND format = 'pdf' AND coalesce(track, 'B') = '{x}')::BIGINT AS track_{x}" for x in 'ABC')} FROM ({_FLAGGED}) GROUP BY 1""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirty = _dirty(spark, sf_dir)
-    told = quality.flags(quality.stats(dirty)).join(dirty.select("doc_id", "source"), "doc_id")
-    return told.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("clean").cast("long")).alias("n_clean"), F.round(F.avg(F.col("clean").cast("double")), 6).alias("success"))
+    probes = _probes(spark, sf_dir)
+    told = quality.flags(probes).join(probes.select("doc_id", "format", "track", "error"), "doc_id")
+    return quality.summary(told).withColumn("success", F.round("success", 6))
+
+
+@query(f"SELECT doc_id, block_ix::INT AS block_ix, CASE WHEN length(text) > 90 THEN substr(text, 1, 90) || '…' ELSE text END AS text FROM ({_BLOCKS}) WHERE block_ix < 3")
+def block_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.preview(_blocks(spark, sf_dir), 3)
 
 
-@query("SELECT doc_id, round((len(regexp_extract_all(text, '[\\x20-\\x7E\\n\\t]')) - 6 * len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))) / length(text), 9) AS score FROM documents")
+@query(f"SELECT avg(CASE WHEN format = 'hwp' THEN (error IS NULL)::INT END) AS hwp_success, round(avg(CASE WHEN format = 'pdf' THEN coalesce(r, 0) END), 6) AS pdf_tagged FROM (SELECT *, CASE WHEN doc_id % 3 <> 2 THEN doc_id % 10 / 10 END AS r FROM (SELECT *, {_PROBE} FROM documents))")
+def probe_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = _probes(spark, sf_dir).select("format", F.col("error").isNull().alias("ok"), F.when(F.col("doc_id") % 3 != 2, F.col("doc_id") % 10 / 10).alias("tagged_ratio"))
+    return quality.probe_rollup(probes).withColumn("pdf_tagged", F.round("pdf_tagged", 6))
+
+
+_BAND = "CASE WHEN confidence = 0 THEN 'blocked' WHEN confidence < 0.7 THEN 'low' ELSE 'good' END AS band"
+
+
+@query(f"SELECT doc_id, format, confidence, {_BAND} FROM (SELECT doc_id, {_PROBE} FROM documents)")
+def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.parse_summary(_probes(spark, sf_dir)).select("doc_id", "format", "confidence", "band")
+
+
+@query(f"SELECT doc_id AS pair_id, count_if(i % 3 <> 0)::BIGINT AS loud, count_if(i % 3 = 0)::BIGINT AS quiet, any_value(confidence) AS lowest, any_value(confidence) < 0.7 AS low FROM (SELECT doc_id, unnest(range(doc_id % 4)) AS i, {_PROBE} FROM documents) GROUP BY 1 UNION ALL SELECT doc_id, 0, 0, confidence, confidence < 0.7 FROM (SELECT doc_id, {_PROBE} FROM documents WHERE doc_id % 4 = 0)")
+def warning_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _probes(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), "confidence")
+    said = docs.where("pair_id % 4 > 0").select("pair_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pair_id") % 4 - 1)).alias("i")).select("pair_id", F.when(F.col("i") % 3 == 0, "info").when(F.col("i") % 3 == 1, "warn").otherwise("error").alias("severity"))
+    return quality.triage(said, docs.unionByName(docs.withColumn("confidence", F.lit(1.0))))
+
+
+@query(f"""{_KNOWN_PAIRS},
+    s AS (SELECT pair_id, count_if(kind = 'equal') AS e, count_if(kind <> 'equal') AS c, count_if(kind <> 'insert') AS nl, count_if(kind <> 'delete') AS nr FROM d GROUP BY 1)
+    SELECT pair_id, concat_ws(',', CASE WHEN pair_id % 3 = 0 THEN 'same-file' END, CASE WHEN nl = 0 THEN 'left-empty' END, CASE WHEN nr = 0 THEN 'right-empty' END, CASE WHEN e = 0 AND c > 0 THEN 'nothing-in-common' END) AS notes FROM s""")
+def pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = diff.statistics(diff.diff_rows(_known_pairs(spark, sf_dir)))
+    same = F.col("pair_id") % 3
+    pairs = told.withColumns({"left_name": F.lit("a.txt"), "right_name": F.when(same == 1, "b.txt").otherwise("a.txt"), "left_size": F.lit(5), "right_size": F.when(same == 2, 6).otherwise(5), "left_blocks": F.col("n_equal") + F.col("n_modify") + F.col("n_delete"), "right_blocks": F.col("n_equal") + F.col("n_modify") + F.col("n_insert")})
+    return quality.pair_notes(pairs)
+
+
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 AND text <> '' THEN 'changed' ELSE 'same' END AS change FROM documents")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("text").cast("binary").alias("content"))
+    after = docs.withColumn("content", F.when(F.col("doc_id") % 5 == 2, F.unhex(F.lit(""))).otherwise(F.col("content")))
+    return quality.manifest_diff(docs.where("doc_id % 5 <> 0"), after.where("doc_id % 5 <> 1"))
+
+
+@query("SELECT doc_id, sum(len(regexp_extract_all(x, chr(1))))::BIGINT AS n_control FROM (SELECT doc_id, replace(text, ' was ', chr(1)) AS x FROM documents) GROUP BY 1")
+def residual_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.residual_controls(_dirty(spark, sf_dir)).select("doc_id", "n_control")
+
+
+@query(f"""SELECT doc_id, round((2 * n_hangul + len(regexp_extract_all(x, '[\\x{{3131}}-\\x{{318E}}\\x20-\\x7E\\n\\t]')) - 6 * (n_replaced + n_control + 2 * len(regexp_extract_all(x, chr(128512))))) / n_chars, 9) AS score
+    FROM ({_QUALITY}) q JOIN (SELECT doc_id, {_DIRTY} AS x FROM documents) USING (doc_id)""")
 def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(quality.plausibility(F.col("text")), 9).alias("score"))
+    return _dirty(spark, sf_dir).select("doc_id", F.round(quality.plausibility(F.col("text")), 9).alias("score"))
 
 
-_LATIN, _SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xAC00 + i * 3 + (i % 2) * 28) for i in range(26))
+# Letters become syllables: of even finals, without finals, or of few finals with lone jamo, by the document's number.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_SYLLABLES = ["".join(chr(0xAC00 + 28 * i + f(i)) for i in range(26)) for f in (lambda i: i % 28, lambda i: 0, lambda i: (i % 3) * (i % 2))]
 
 
 @query(f"""
-    WITH d AS (SELECT doc_id, translate(text, '{_LATIN}', '{_SYLLABLES}') AS x FROM documents),
+    WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate(text, '{_LATIN}', '{_SYLLABLES[0]}') WHEN 1 THEN translate(text, '{_LATIN}', '{_SYLLABLES[1]}') ELSE replace(translate(text, '{_LATIN}', '{_SYLLABLES[2]}'), ' ', chr(12593) || chr(12593)) END AS x FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 4 = 3),
     s AS (SELECT doc_id, unnest(regexp_extract_all(x, '[가-힣]')) AS c FROM d),
     f AS (SELECT doc_id, (unicode(c) - 44032) % 28 AS j, count(*) AS k FROM s GROUP BY ALL),
-    p AS (SELECT doc_id, sum(k)::BIGINT AS n_syllables, sum(CASE WHEN j = 0 THEN k ELSE 0 END) AS o, sum(k * log2(k)) AS cl FROM f GROUP BY 1),
-    q AS (SELECT p.doc_id, n_syllables, o / n_syllables AS s, (log2(n_syllables) - cl / n_syllables) / log2(28) AS e, length(x) AS chars FROM p JOIN d USING (doc_id))
-    SELECT doc_id, n_syllables, round(s, 6) AS open_share, round(e, 6) AS entropy, s < 0.15 OR s > 0.8 OR e > 0.92 AS garbled FROM q WHERE n_syllables >= 100 AND n_syllables >= 0.3 * chars""")
+    p AS (SELECT doc_id, sum(k)::BIGINT AS n, sum(CASE WHEN j = 0 THEN k ELSE 0 END) AS o, sum(k * log2(k)) AS cl FROM f GROUP BY 1),
+    q AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(o / n, 0) AS s, coalesce((log2(n) - cl / n) / log2(28), 0) AS e, len(regexp_extract_all(x, '[ㄱ-ㆎ]')) / length(x) AS jamo, length(x) AS chars FROM d LEFT JOIN p USING (doc_id)),
+    r AS (SELECT *, CASE WHEN n >= 100 AND n / chars >= 0.3 THEN CASE WHEN s < 0.15 OR s > 0.8 THEN 'finals' WHEN e > 0.92 THEN 'entropy' WHEN jamo > 0.05 THEN 'jamo' END END AS reason FROM q)
+    SELECT doc_id, n AS n_syllables, round(s, 6) AS open_share, round(e, 6) AS entropy, round(jamo, 6) AS jamo_share, reason IS NOT NULL AS garbled, reason FROM r""")
 def hangul_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.hangul_sanity(_table(spark, sf_dir, "documents").select("doc_id", F.translate("text", _LATIN, _SYLLABLES).alias("text")))
+    third = F.col("doc_id") % 3
+    x = F.when(F.col("doc_id") % 4 == 3, F.col("text")).when(third == 0, F.translate("text", _LATIN, _SYLLABLES[0])).when(third == 1, F.translate("text", _LATIN, _SYLLABLES[1])).otherwise(F.replace(F.translate("text", _LATIN, _SYLLABLES[2]), F.lit(" "), F.lit("\u3131\u3131")))
+    return quality.hangul_sanity(_table(spark, sf_dir, "documents").select("doc_id", x.alias("text")))
 
 
-# Pages of a "document" are the documents of a source; their edge lines the first and the last.
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    rows = _table(spark, sf_dir, "documents").select("source", F.expr("doc_id div 20 % 4").alias("page"), F.explode(F.array(F.element_at(lines, 1), F.element_at(lines, -1))).alias("line"))
-    return rows.select(F.col("source").alias("doc_id"), "page", t.repeat_key(F.substring("line", 1, 1)).alias("key"))
+# Placed text: the documents of a source are the pages of one document, in order; the first line of each is at the top, the last
+# at the bottom, and running heads and feet are put in.
+def _page_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.lit(600.0).alias("width"), F.lit(0.0).alias("y_min"), F.lit(800.0).alias("y_max"))
+    x = F.split("text", "\n")
+    head = F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("Report  "), F.col("doc_id").cast("string"), F.lit(" of 900")))
+    rows = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.explode(F.array(F.struct(head.alias("text"), F.lit(790.0).alias("y")), F.struct(F.element_at(x, 1).alias("text"), F.lit(760.0).alias("y")), F.struct(F.lit("Report 7 of 9").alias("text"), F.lit(400.0).alias("y")), F.struct(F.element_at(x, -1).alias("text"), F.lit(20.0).alias("y")))).alias("l"))
+    return rows.select("doc_id", "page", "l.text", "l.y").where("text is not null"), pages
 
 
-_EDGES = "SELECT source AS doc_id, doc_id // 20 % 4 AS page, regexp_replace(regexp_replace(trim(substr(unnest([string_split(text, chr(10))[1], string_split(text, chr(10))[-1]]), 1, 1)), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g') AS key FROM documents"
-_REPEATED = f"WITH e AS ({_EDGES}), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM e GROUP BY 1), o AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM e GROUP BY ALL) SELECT doc_id, key, on_pages, pages FROM o JOIN p USING (doc_id) WHERE pages >= 3 AND on_pages >= 0.6 * pages"
+_PAGE_LINES = "SELECT source AS doc_id, doc_id AS page, unnest([CASE WHEN doc_id % 10 <> 0 THEN 'Report  ' || doc_id || ' of 900' END, string_split(text, chr(10))[1], 'Report 7 of 9', string_split(text, chr(10))[-1]]) AS text, unnest([790, 760, 400, 20])::DOUBLE AS y FROM documents"
+_KEYED = f"SELECT *, regexp_replace(regexp_replace(trim(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g') AS key FROM ({_PAGE_LINES}) WHERE text IS NOT NULL"
+_REPEATED = f"SELECT doc_id, key, count(DISTINCT page) AS on_pages, any_value(pages) AS pages FROM ({_KEYED}) JOIN (SELECT source AS doc_id, count(*) AS pages FROM documents GROUP BY 1) USING (doc_id) WHERE (y >= 720 OR y <= 80) AND key <> '' GROUP BY doc_id, key HAVING any_value(pages) >= 3 AND count(DISTINCT page) >= 0.6 * any_value(pages)"
 
 
 @query(_REPEATED)
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repeated_lines(_edges(spark, sf_dir))
+    return geometry.repeated_lines(*_page_lines(spark, sf_dir))
 
 
-@query(f"WITH r AS ({_REPEATED}) SELECT doc_id, page, key FROM ({_EDGES}) x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND r.key = x.key)")
+@query(f"WITH r AS ({_REPEATED}) SELECT doc_id, page, text, y FROM ({_KEYED}) x WHERE NOT ((y >= 720 OR y <= 80) AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND r.key = x.key))")
 def strip_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    return quality.strip_repeated(edges, quality.repeated_lines(edges)).select("doc_id", "page", "key")
+    return geometry.strip_repeated(*_page_lines(spark, sf_dir))[0]
+
 
+# Pages of placed words: each block of a document is a line of thirty to a page, its words are items one character apart.
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.posexplode(F.split("text", " ")).alias("w", "str")).where("str <> ''")
+    size = F.length("str")
+    before = F.sum(size + 1).over(Window.partitionBy("doc_id", "block_ix").orderBy("w")) - size - 1
+    return words.select("doc_id", F.expr("block_ix div 30").cast("int").alias("page"), (F.col("block_ix") % 30 * 1000 + F.col("w")).cast("int").alias("ix"), "str", F.lit(10.0).alias("a"), F.lit(0.0).alias("b"), (before * 5.0 + 20).alias("e"), (780.0 - F.col("block_ix") % 30 * 20).alias("f"), (size * 5.0).alias("width"), F.lit(0.0).alias("height"), F.lit("F1").alias("font_name"), "block_ix")
 
-@query("SELECT source, sum(length(text))::BIGINT AS chars, count(*) * 10 AS pages, CASE WHEN sum(length(text)) < 50 * count(*) * 10 THEN 'scanned' WHEN sum(length(text)) < 200 * count(*) * 10 THEN 'suspect' ELSE 'text' END AS density FROM documents GROUP BY 1")
+
+@query(f"SELECT doc_id, (block_ix // 30)::INT AS page, ((block_ix % 30) * 1000 + w)::INT AS ix, str, (20 + 5 * (sum(length(str) + 1) OVER (PARTITION BY doc_id, block_ix ORDER BY w) - length(str) - 1))::DOUBLE AS x, (780 - 20 * (block_ix % 30))::DOUBLE AS y, 10.0::DOUBLE AS height, 0 AS rotation FROM (SELECT doc_id, block_ix, unnest(string_split(text, ' ')) AS str, generate_subscripts(string_split(text, ' '), 1) - 1 AS w FROM ({_BLOCKS})) WHERE str <> ''")
+def pdf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.items(_placed(spark, sf_dir)).select("doc_id", "page", "ix", "str", "x", "y", "height", "rotation")
+
+
+@query(f"SELECT doc_id, (block_ix // 30)::INT AS page, (row_number() OVER (PARTITION BY doc_id, block_ix // 30 ORDER BY block_ix) - 1)::INT AS line_ix, text, 20.0::DOUBLE AS x0, (20 + 5 * length(text))::DOUBLE AS x1, (780 - 20 * (block_ix % 30))::DOUBLE AS y FROM ({_BLOCKS})")
+def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.lines(geometry.in_lines(geometry.items(_placed(spark, sf_dir)))).select("doc_id", "page", "line_ix", "text", "x0", "x1", "y")
+
+
+# Lines of known measures: two columns on pages of even number, with a title across them.
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = _blocks(spark, sf_dir)
+    page, at = F.expr("block_ix div 30").cast("int"), F.col("block_ix") % 30
+    two = (page % 2 == 0) & (at > 0)
+    right = two & (at % 2 == 0)
+    found = b.select("doc_id", page.alias("page"), F.lit(0).alias("turn"), at.cast("int").alias("line_ix"), "text", F.when(right, 320.0).otherwise(50.0).alias("x0"), F.when(two & ~right, 280.0).when(right, 550.0).otherwise(F.when(at == 0, 290.0).otherwise(550.0)).alias("x1"), (780.0 - at * 20).alias("y"), F.when((F.col("doc_id") + F.col("block_ix")) % 9 == 4, 18.0).otherwise(10.0).alias("height"), F.when((F.col("block_ix") % 13) == 5, "F2").otherwise("F1").alias("font_name"), F.lit(1).alias("item_count"), (F.col("block_ix") % 5).cast("int").alias("wide_gaps"))
+    return found, found.select("doc_id", "page", F.lit(600.0).alias("width")).distinct()
+
+
+_MEASURED = f"SELECT doc_id, (block_ix // 30)::INT AS page, (block_ix % 30)::INT AS line_ix, block_ix, text, CASE WHEN (block_ix // 30) % 2 = 0 AND block_ix % 30 > 0 AND block_ix % 2 = 0 THEN 320.0 ELSE 50.0 END AS x0, CASE WHEN (block_ix // 30) % 2 = 0 AND block_ix % 30 > 0 THEN CASE WHEN block_ix % 2 = 0 THEN 550.0 ELSE 280.0 END WHEN block_ix % 30 = 0 THEN 290.0 ELSE 550.0 END AS x1, 780.0 - 20 * (block_ix % 30) AS y, CASE WHEN (doc_id + block_ix) % 9 = 4 THEN 18.0 ELSE 10.0 END AS height, CASE WHEN block_ix % 13 = 5 THEN 'F2' ELSE 'F1' END AS font, block_ix % 5 AS wide FROM ({_BLOCKS})"
+_ORDERED = f"""SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN multi AND x0 > 300 THEN 1 ELSE 0 END, line_ix) - 1)::INT AS read_ix
+    FROM (SELECT *, page % 2 = 0 AND count_if(x1 <= 290) OVER (PARTITION BY doc_id, page) >= 5 AND count_if(x0 >= 320) OVER (PARTITION BY doc_id, page) >= 5 AND count(*) OVER (PARTITION BY doc_id, page) >= 10 AS multi FROM ({_MEASURED}))"""
+
+
+@query(f"SELECT doc_id, page, line_ix, read_ix, multi AS multi_column FROM ({_ORDERED})")
+def pdf_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.reading_order(*_measured(spark, sf_dir)).select("doc_id", "page", "line_ix", "read_ix", "multi_column")
+
+
+_ENDS = "body ~ '.*([.?!。]|[다요임함음](\\.)?|[:;])$'"
+_BEGINS = "text ~ '^\\s*([①-⑳]|[가-힣]\\.|\\d+[.)]|[-•·▪○□◇◆■▶*])\\s.*'"
+_DRAFTS = f"""
+    WITH o AS (SELECT doc_id, page, line_ix AS i, text, trim(text) AS body, x1, y, height, font, wide FROM ({_MEASURED})),
+    g AS (SELECT *, abs(y - lead(y) OVER w) AS below FROM o WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)),
+    m AS (SELECT *, CASE WHEN coalesce(median(below) OVER p, 0) <> 0 THEN median(below) OVER p ELSE median(height) OVER p * 1.2 END AS gap, max(x1) OVER p AS edge, median(height) OVER p AS size, avg(length(body)) OVER p AS usual FROM g WINDOW p AS (PARTITION BY doc_id, page)),
+    h AS (SELECT *, length(body) < usual * 0.6 AND height > size * 1.15 AND (below IS NULL OR below >= gap) AS head FROM m),
+    n AS (SELECT *, CASE WHEN NOT head AND NOT lag(head) OVER w AND abs(lag(y) OVER w - y) <= gap * 1.5 AND NOT lag({_ENDS}) OVER w AND NOT ({_BEGINS}) AND lag(x1) OVER w >= edge * 0.95 AND lag(font) OVER w = font AND abs(lag(height) OVER w - height) <= greatest(lag(height) OVER w, height) * 0.15 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)),
+    k AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page ORDER BY i) - 1)::INT AS draft_ix FROM n)
+    SELECT doc_id, page, draft_ix, CASE WHEN bool_or(head) THEN 'heading' ELSE 'paragraph' END AS type, max(CASE WHEN head THEN CASE WHEN height / size >= 1.8 THEN 1 WHEN height / size >= 1.4 THEN 2 ELSE 3 END END)::INT AS level,
+      regexp_replace(string_agg(body, ' ' ORDER BY i), '\\s+', ' ', 'g') AS text, max(y)::DOUBLE AS y, max(wide) >= 3 AS table_like FROM k GROUP BY ALL"""
+
+
+def _pdf_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.paragraphs(_measured(spark, sf_dir)[0].withColumn("read_ix", F.col("line_ix")))
+
+
+@query(_DRAFTS)
+def pdf_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pdf_drafts(spark, sf_dir)
+
+
+@query(f"""
+    WITH d AS (SELECT * FROM ({_DRAFTS})),
+    j AS (SELECT *, CASE WHEN lag(page) OVER w < page AND lag(type) OVER w = 'paragraph' AND type = 'paragraph' AND NOT lag({_ENDS.replace("body", "text")}) OVER w AND NOT ({_BEGINS}) THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY page, draft_ix)),
+    k AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY page, draft_ix) - 1)::INT AS block_ix FROM j)
+    SELECT doc_id, block_ix, min(page)::INT AS page, min(type) AS type, string_agg(text, ' ' ORDER BY page, draft_ix) AS text, (count(*) - 1)::INT AS joined FROM k GROUP BY doc_id, block_ix""")
+def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.over_pages(_pdf_drafts(spark, sf_dir)).select("doc_id", "block_ix", "page", "type", "text", "joined")
+
+
+@query("""SELECT doc_id, CASE WHEN heavy AND d = 'suspect' THEN 'scanned' WHEN heavy AND d = 'text' AND per < 400 THEN 'suspect' ELSE d END AS density
+    FROM (SELECT *, CASE WHEN per < 50 THEN 'scanned' WHEN per < 200 THEN 'suspect' ELSE 'text' END AS d, pages > 0 AND images > 0.8 * pages AS heavy FROM (SELECT doc_id, doc_id % 8 AS pages, doc_id % 8 * (doc_id % 2) AS images, CASE WHEN doc_id % 8 > 0 THEN length(text) / (doc_id % 8) ELSE 0 END AS per FROM documents))""")
 def scan_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"), (F.count(F.lit(1)) * 10).alias("pages"))
-    return per.withColumn("density", quality.density(F.col("chars"), F.col("pages")))
+    pages = F.col("doc_id") % 8
+    return _table(spark, sf_dir, "documents").select("doc_id", quality.density(F.length("text"), pages, pages * (F.col("doc_id") % 2)).alias("density"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM pages")
@@ -353,15 +564,13 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc_id", "block_ix", F.element_at(made, (F.pmod(F.col("doc_id") + F.col("block_ix"), F.lit(9)) + 1).cast("int")).alias("line"))
 
 
-@query(f"SELECT doc_id, block_ix::INT AS block_ix, ['heading', 'bullet', 'ordered', 'quote', 'fence', 'table', CASE WHEN substr(text, 1, 60) ~ '^\\d{{1,9}}[.)]\\s.*' THEN 'ordered' ELSE 'text' END, 'text', 'rule'][(doc_id + block_ix) % 9 + 1] AS kind FROM ({_BLOCKS})")
+@query(f"SELECT doc_id, block_ix::INT AS block_ix, ['heading', 'bullet', 'ordered', 'quote', 'fence', 'table', CASE WHEN text ~ '^\\d{{1,9}}[.)]\\s.*' THEN 'ordered' ELSE 'text' END, 'text', 'rule'][(doc_id + block_ix) % 9 + 1] AS kind FROM ({_BLOCKS})")
 def md_line_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(spark, sf_dir).select("doc_id", "block_ix", t.markdown_class(F.col("line")).alias("kind"))
 
 
 @query("SELECT doc_id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'markdown' THEN 'text' WHEN 'docx' THEN 'docx' WHEN 'pdf' THEN 'pdf' WHEN 'hwp' THEN 'hwp' WHEN 'hwpx' THEN 'hwp' END AS fmt_group FROM (SELECT doc_id, source || '.' || ['TXT','md','markdown','docx','pdf','hwp','hwpx','exe'][doc_id % 8 + 1] AS name FROM documents)")
 def format_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioforge.sources import files
-
     kinds = F.array(*map(F.lit, ("TXT", "md", "markdown", "docx", "pdf", "hwp", "hwpx", "exe")))
     named = _table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("."), F.element_at(kinds, (F.col("doc_id") % 8 + 1).cast("int"))).alias("name"))
     return named.select("doc_id", files.extension(F.col("name")).alias("ext"), files.group_of(files.format_of_extension(files.extension(F.col("name")))).alias("fmt_group"))
@@ -420,3 +629,63 @@ def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.element_at(made, (F.pmod(F.col("doc_id") + F.col("block_ix"), F.lit(6)) + 1).cast("int")).alias("line"))
     docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ix", "line")))["line"].alias("lines"))
     return markdown.blocks(docs.select("doc_id", F.array_join("lines", "\n\n").alias("text"))).select("doc_id", "draft_ix", "type", "level", "raw_text")
+
+
+_HEADS = {"%PDF": "25504446", "cfb": "D0CF11E0", "zip": "504B0304", "text": "", "marked": "FFFE", "zeros": "000000000000"}
+
+
+@query(f"""
+    WITH f AS (SELECT doc_id, doc_id % 6 AS h, ['TXT', 'md', 'docx', 'hwpx', 'hwp', 'pdf', 'exe'][doc_id % 7 + 1] AS ext FROM documents),
+    s AS (SELECT *, ['pdf', 'cfb', 'zip', 'text', 'text', 'binary'][h + 1] AS seen, ['txt', 'md', 'docx', 'hwpx', 'hwp', 'pdf', NULL][doc_id % 7 + 1] AS declared FROM f),
+    r AS (SELECT *, CASE WHEN declared IS NOT NULL THEN CASE seen WHEN 'pdf' THEN 'pdf' WHEN 'cfb' THEN 'hwp' WHEN 'zip' THEN CASE WHEN declared = 'hwpx' THEN 'hwpx' ELSE 'docx' END WHEN 'text' THEN CASE WHEN declared = 'md' THEN 'md' ELSE 'txt' END END END AS format FROM s)
+    SELECT doc_id, seen, format, format IS NOT NULL AND format <> declared AS mismatch, CASE WHEN format IS NULL THEN 'UNSUPPORTED_FORMAT' END AS error FROM r""")
+def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a.b."), pick(("TXT", "md", "docx", "hwpx", "hwp", "pdf", "exe"), 7)).alias("name"), F.concat(F.unhex(pick(tuple(_HEADS.values()), 6)), F.when(F.col("doc_id") % 6 == 5, F.unhex(F.lit("00"))).otherwise(F.col("text").cast("binary"))).alias("content"))
+    return docs.select("doc_id", files.sniff(F.col("content")).alias("seen"), files.resolved(F.col("name"), F.col("content")).alias("r")).select("doc_id", "seen", "r.format", "r.mismatch", "r.error")
+
+
+_EXTS = ("txt", "md", "markdown", "docx", "hwp", "hwpx", "exe")
+_GROUP_OF = "CASE {0} WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'markdown' THEN 'text' WHEN 'docx' THEN 'docx' WHEN 'hwp' THEN 'hwp' WHEN 'hwpx' THEN 'hwp' END".format
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, doc_id % 4 AS n, {list(_EXTS)}[doc_id % 7 + 1] AS a, {list(_EXTS)}[doc_id // 7 % 7 + 1] AS b FROM documents),
+    q AS (SELECT *, {_GROUP_OF("a")} AS ga, {_GROUP_OF("b")} AS gb, CASE WHEN n = 3 THEN 'TOO_MANY_FILES' WHEN n = 2 AND ({_GROUP_OF("a")} IS NULL OR {_GROUP_OF("b")} IS NULL) THEN 'UNSUPPORTED_FORMAT' END AS error FROM p),
+    m AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN n = 0 THEN 'empty' WHEN n = 1 THEN 'viewer-single' WHEN ga <> gb THEN 'viewer-split' ELSE 'compare' END AS mode FROM q)
+    SELECT doc_id, mode, CASE WHEN mode = 'compare' THEN ga END AS fmt_group, CASE WHEN mode = 'compare' THEN a <> b END AS cross_format, error, CASE WHEN n = 0 THEN 'text' ELSE coalesce(ga, 'text') END AS options_of FROM m""")
+def mode_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda by: F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, _EXTS)), (by % 7 + 1).cast("int")))
+    named = F.slice(F.array(name(F.col("doc_id")), name(F.expr("doc_id div 7")), F.lit("third.txt")), 1, (F.col("doc_id") % 4).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", files.mode(named).alias("m"), files.default_group(named).alias("options_of")).select("doc_id", "m.*", "options_of")
+
+
+@query(f"SELECT doc_id, block_ix::INT AS block_ix, 'a ' || t || ' b ' || t || ' c ' || t || ' d ' || t || ' e ' || t || ' f 1 <2 and 3> 2 g h' AS text FROM (SELECT doc_id, block_ix, regexp_replace(text, '[][*_`~|<>#!()]', '', 'g') AS t FROM ({_BLOCKS}))")
+def md_strip_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line within every kind of inline markup; comparisons that look like tags stay."""
+    x = F.regexp_replace("text", "[\\]\\[*_`~|<>#!()]", "")
+    marked = F.concat(F.lit("a ![") , x, F.lit("](i.png) b ["), x, F.lit("](u) c `"), x, F.lit("` d ***"), x, F.lit("*** e __"), x, F.lit("__ f 1 <2 and 3> 2 <b class='k'>g</b> ~~h~~"))
+    return _blocks(spark, sf_dir).select("doc_id", "block_ix", t.strip_markdown(marked).alias("text"))
+
+
+@query(f"SELECT page_id, string_agg(text, '' ORDER BY i) AS text FROM (SELECT page_id, i, {_KNOWN.format('piece')} AS text FROM (SELECT page_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>|[^<]+') AS p FROM pages)) WHERE piece NOT LIKE '<%') GROUP BY 1")
+def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = xml.events(_table(spark, sf_dir, "pages"), "html", ("page_id",)).where("kind = 'text'")
+    return found.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_ix", "text"))), lambda e: e["text"]), "").alias("text"))
+
+
+@query("SELECT doc_id, ['p.' || doc_id, '§' || (doc_id + 1), ''][doc_id % 3 + 1] AS place, [' ', '+', '−', '~'][doc_id % 4 + 1] AS gutter, len(string_split(text, chr(10)))::INT AS n_rows, len(string_split(string_split(text, chr(10))[1], ' | '))::INT AS n_cells FROM (SELECT doc_id, replace(text, ' the ', ' | ') AS text FROM documents)")
+def row_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, gutter marks and table cells of rows."""
+    k, third = F.element_at(F.array(*map(F.lit, ("equal", "insert", "delete", "modify"))), (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id") % 3
+    cells = views.table_cells(F.replace("text", F.lit(" the "), F.lit(" | ")))
+    return _table(spark, sf_dir, "documents").select("doc_id", views.location(F.when(third == 0, F.col("doc_id")), F.when(third == 1, F.col("doc_id"))).alias("place"), views.gutter(k).alias("gutter"), F.size(cells).alias("n_rows"), F.size(F.element_at(cells, 1)).alias("n_cells"))
+
+
+@query(f"SELECT pair_id, row_ix, string_agg(text, '' ORDER BY span_ix) FILTER (WHERE kind <> 'insert') AS left_text, string_agg(text, '' ORDER BY span_ix) FILTER (WHERE kind <> 'delete') AS right_text FROM ({_SPANS}) GROUP BY ALL HAVING count_if(kind <> 'insert') > 0 AND count_if(kind <> 'delete') > 0")
+def side_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each side shows of modified rows."""
+    rows = _word_spans(spark, sf_dir).groupBy("pair_id", "row_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_ix", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("spans"))
+    rows = rows.where(F.exists("spans", lambda x: x["kind"] != "insert") & F.exists("spans", lambda x: x["kind"] != "delete"))
+    show = lambda side: views.side_text(F.lit("modify"), F.col("spans"), F.lit(None), F.lit(None), side)
+    return rows.select("pair_id", "row_ix", show("left").alias("left_text"), show("right").alias("right_text"))
