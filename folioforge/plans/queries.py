@@ -442,7 +442,7 @@ _SYLLABLES = ["".join(chr(0xAC00 + 28 * i + f(i)) for i in range(26)) for f in (
     p AS (SELECT doc_id, sum(k)::BIGINT AS n, sum(CASE WHEN j = 0 THEN k ELSE 0 END) AS o, sum(k * log2(k)) AS cl FROM f GROUP BY 1),
     q AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(o / n, 0) AS s, coalesce((log2(n) - cl / n) / log2(28), 0) AS e, len(regexp_extract_all(x, '[ㄱ-ㆎ]')) / length(x) AS jamo, length(x) AS chars FROM d LEFT JOIN p USING (doc_id)),
     r AS (SELECT *, CASE WHEN n >= 100 AND n / chars >= 0.3 THEN CASE WHEN s < 0.15 OR s > 0.8 THEN 'finals' WHEN e > 0.92 THEN 'entropy' WHEN jamo > 0.05 THEN 'jamo' END END AS reason FROM q)
-    SELECT doc_id, n AS n_syllables, round(s, 6) AS open_share, round(e, 6) AS entropy, round(jamo, 6) AS jamo_share, reason IS NOT NULL AS garbled, reason FROM r""")
+    SELECT doc_id, n AS n_syllables, round(s, 6) AS open_share, abs(round(e, 6)) AS entropy, round(jamo, 6) AS jamo_share, reason IS NOT NULL AS garbled, reason FROM r""")
 def hangul_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("doc_id") % 3
     x = F.when(F.col("doc_id") % 4 == 3, F.col("text")).when(third == 0, F.translate("text", _LATIN, _SYLLABLES[0])).when(third == 1, F.translate("text", _LATIN, _SYLLABLES[1])).otherwise(F.replace(F.translate("text", _LATIN, _SYLLABLES[2]), F.lit(" "), F.lit("\u3131\u3131")))
@@ -657,7 +657,7 @@ _GROUP_OF = "CASE {0} WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'markdow
 def mode_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda by: F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, _EXTS)), (by % 7 + 1).cast("int")))
     named = F.slice(F.array(name(F.col("doc_id")), name(F.expr("doc_id div 7")), F.lit("third.txt")), 1, (F.col("doc_id") % 4).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", files.mode(named).alias("m"), files.default_group(named).alias("options_of")).select("doc_id", "m.*", "options_of")
+    return _table(spark, sf_dir, "documents").select("doc_id", files.mode_of(named).alias("m"), files.default_group(named).alias("options_of")).select("doc_id", "m.*", "options_of")
 
 
 @query(f"SELECT doc_id, block_ix::INT AS block_ix, 'a ' || t || ' b ' || t || ' c ' || t || ' d ' || t || ' e ' || t || ' f 1 <2 and 3> 2 g h' AS text FROM (SELECT doc_id, block_ix, regexp_replace(text, '[][*_`~|<>#!()]', '', 'g') AS t FROM ({_BLOCKS}))")

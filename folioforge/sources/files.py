@@ -73,7 +73,7 @@ def size_error(length: Column) -> Column:
     return F.when(length == 0, "EMPTY_FILE").when(length > MAX_FILE_BYTES, "FILE_TOO_LARGE")
 
 
-def mode(names: Column) -> Column:
+def mode_of(names: Column) -> Column:
     """What an array of file names allows: mode (empty, viewer-single, viewer-split or compare), fmt_group and cross_format of
     a comparison, and error. Names of unknown formats are refused where two are given, and so are more than two."""
     a, b = (extension(F.get(names, F.lit(i))) for i in (0, 1))
@@ -85,6 +85,12 @@ def mode(names: Column) -> Column:
     return F.struct(kind.alias("mode"), F.when(compared, ga).alias("fmt_group"), F.when(compared, a != b).alias("cross_format"), error.alias("error"))
 
 
+def mode(left: Column, right: Column) -> Column:
+    """What two file names allow: mode and cross_format. Either may be null."""
+    told = mode_of(F.filter(F.array(left, right), lambda name: name.isNotNull()))
+    return F.struct(told["mode"].alias("mode"), F.coalesce(told["cross_format"], F.lit(False)).alias("cross_format"))
+
+
 def default_group(names: Column) -> Column:
     """The group whose normalisation a pair begins with: the first file's, text if that is unknown."""
     return F.coalesce(group_of(format_of_extension(extension(F.get(names, F.lit(0))))), F.lit("text"))
