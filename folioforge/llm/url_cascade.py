@@ -11,8 +11,10 @@ were tried in the building, membership is then exact: a key is listed if the fir
 it has an even number. Urls are judged with these filters alone, without joins.
 
 With n listed keys and u keys in the corpus, level 1 has about 1.44 n log2(u / n) bits and the others
-together a few bits for each listed key; what the plan carries is bounded by ``max_bits``, which is
-checked level by level. Larger lists are judged by a join of the candidate keys instead.
+together a few bits for each listed key. What a plan carries is bounded by about ``max_bits`` for each level: longer lists
+are dealt by a hash of their keys into parts, each with cascades and a pass of its own, in which a url's
+candidate keys of that part are tried; between passes the pages are written with their best rule so far.
+The cascades of all verdicts are built from one pass over the corpus's keys.
 
 Null or malformed urls have an empty host and path and fit nothing. An empty rule list allows all.
 """
@@ -20,7 +22,7 @@ Null or malformed urls have an empty host and path and fit nothing. An empty rul
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import ascii_lower, delete, written
 
 MAX_BITS = 1 << 24
-MAX_LEVELS = 64
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,19 @@ def _places(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, level: int, n: int, rate: float, max_bits: int) -> Level:
-    """A Bloom filter of the column ``key``, for n keys and a rate of false positives. Its words are gathered
-    (at most ``max_bits`` bits) to become a literal."""
-    bits = max(64, 64 * math.ceil(max(1, n) * 1.44 * math.log2(1 / rate) / 64))
-    if bits > max_bits:
-        raise OverflowError(f"level {level} needs {bits} bits, more than {max_bits}")
+def first_rate(n: int, universe: int) -> float:
+    """The rate of false positives of level 1 for n listed keys: about as many keys pass wrongly as are listed."""
+    return max(min(0.5, n * math.sqrt(0.5) / (max(universe, 2 * n) - n)), 2.0**-30)
+
+
+def level_bits(n: int, rate: float) -> int:
+    return max(64, 64 * math.ceil(max(1, n) * 1.44 * math.log2(1 / rate) / 64))
+
+
+def build_level(keys: DataFrame, level: int, n: int, rate: float) -> Level:
+    """A Bloom filter of the column ``key``, for n keys and a rate of false positives. Its words are gathered to
+    become a literal."""
+    bits = level_bits(n, rate)
     hashes = max(1, round(bits / max(1, n) * math.log(2))) if n else 1
     hashes = min(hashes, 24)
     set_bits = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits, hashes))).alias("p"))
@@ -104,26 +112,24 @@ def passes(key: Column, level: int, built: Level) -> Column:
     return test
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, n_universe: int, max_bits: int = MAX_BITS) -> list[Level]:
-    """The levels for the listed keys (column ``key``) over all keys of the universe (column ``key``, repeats
-    allowed; about ``n_universe`` different ones)."""
-    listed = listed.distinct()
-    n = listed.count()
-    if not n:
-        return []
-    u = max(n_universe, 2 * n)
-    levels = [build_level(listed, 1, n, max(min(0.5, n * math.sqrt(0.5) / (u - n)), 2.0**-30), max_bits)]
-    # Of the universe only what passes level 1 is shuffled: wrong passes, about as many as there are listed keys, and the listed.
-    tagged = universe.where(passes(F.col("key"), 1, levels[0])).select("key", F.lit(0).alias("is_listed")).unionByName(listed.select("key", F.lit(1).alias("is_listed")))
-    outside, path = written(tagged.groupBy("key").agg(F.max("is_listed").alias("m")).where(F.col("m") == 0).select("key"), "cascade")
-    inside = listed
-    while n_wrong := outside.count():
-        level = len(levels) + 1
-        if level > MAX_LEVELS:
-            raise RuntimeError("the cascade does not end")
-        levels.append(build_level(outside, level, n_wrong, 0.5, max_bits))
-        inside, outside = outside, inside.where(passes(F.col("key"), level, levels[-1]))
-    delete(outside.sparkSession, path)
+def build_cascades(universe: DataFrame, listed: DataFrame, n_universe: int) -> dict[str, list[Level]]:
+    """The levels for the listed keys (column ``key``) of each name (column ``v``) over all keys of the universe (column
+    ``key``, repeats allowed; about ``n_universe`` different ones)."""
+    listed = listed.select("key", "v").distinct()
+    sizes = {r["v"]: r["n"] for r in listed.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    levels = {v: [build_level(listed.where(F.col("v") == v), 1, n, first_rate(n, n_universe))] for v, n in sorted(sizes.items())}
+    if not levels:
+        return {}
+    # Of the universe only what passes a level 1 is shuffled: wrong passes, about as many as there are listed keys, and the listed.
+    passed = F.array_compact(F.array(*[F.when(passes(F.col("key"), 1, built[0]), v) for v, built in levels.items()]))
+    tagged = universe.select("key", F.explode(passed).alias("v"), F.lit(0).alias("is_listed")).unionByName(listed.select("key", "v", F.lit(1).alias("is_listed")))
+    wrong, path = written(tagged.groupBy("key", "v").agg(F.max("is_listed").alias("m")).where(F.col("m") == 0).select("key", "v"), "cascade")
+    for v, built in levels.items():
+        inside, outside = listed.where(F.col("v") == v), wrong.where(F.col("v") == v)
+        while n_wrong := outside.count():  # halves from level to level
+            built.append(build_level(outside, len(built) + 1, n_wrong, 0.5))
+            inside, outside = outside, inside.where(passes(F.col("key"), len(built), built[-1]))
+    delete(universe.sparkSession, path)
     return levels
 
 
@@ -135,29 +141,39 @@ def is_listed(key: Column, levels: Sequence[Level]) -> Column:
     return said
 
 
-def _first_listed(levels: Sequence[Level]) -> Column:
-    return F.get(F.filter("_keys", lambda k: is_listed(k, levels)), F.lit(0))
+def _first_listed(levels: Sequence[Level], of_part: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter("_keys", lambda k: of_part(k) & is_listed(k, levels)), F.lit(0))
+
+
+_HIT = "struct<n:int,b:boolean,rule:string,verdict:string>"
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", otherwise: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
     """The pages with host, path, rule (the longest that fits, else null) and verdict. Where a key has both
-    verdicts, block holds. The four columns replace any of those names."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_keys")]
+    verdicts, block holds. The four columns replace any of those names; columns _keys, _hit and _firsts don't return."""
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_keys", "_hit", "_firsts")]
     cut = pages.select(*kept, host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    keyed = cut.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    spark = pages.sparkSession
-    verdict_of = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict)}  # allow first, so block overrides
-    verdicts = sorted(set(verdict_of.values()))
-    universe = keyed.select(F.explode("_keys").alias("key"))
-    listed = spark.createDataFrame(sorted(verdict_of.items()), "key string, v string") if verdict_of else None
-    n_universe = universe.agg(F.approx_count_distinct("key").alias("u")).first()["u"] if verdicts else 0
-    try:
-        cascades = {v: build_cascade(universe, listed.where(F.col("v") == v).select("key"), n_universe, max_bits) for v in verdicts}
-    except OverflowError:
-        numbered = keyed.withColumn("_row", F.struct(F.monotonically_increasing_id()))
-        fit = numbered.select("_row", F.posexplode("_keys").alias("at", "key")).join(listed, "key").groupBy("_row").agg(F.min(F.struct("at", "key", "v")).alias("hit"))
-        return numbered.join(fit, "_row", "left").select(*kept, "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.v", F.lit(otherwise)).alias("verdict"))
-    # The longest key wins: of (length, block before allow) the largest.
-    hits = F.array(*[F.struct(F.coalesce(F.length(k), F.lit(0)).alias("n"), F.lit(v == "block").alias("b"), k.alias("rule"), F.lit(v).alias("verdict")) for v in verdicts for k in [_first_listed(cascades[v])]])
-    judged = keyed.select(*kept, "host", "path", (F.array_max(hits) if verdicts else F.lit(None).cast("struct<n:int,b:boolean,rule:string,verdict:string>")).alias("_hit"))
-    return judged.select(*kept, "host", "path", F.col("_hit.rule").alias("rule"), F.when(F.col("_hit.rule").isNull(), otherwise).otherwise(F.col("_hit.verdict")).alias("verdict"))
+    judged = cut.withColumns({"_keys": candidate_keys(F.col("host"), F.col("path"), rules), "_hit": F.lit(None).cast(_HIT)})
+    verdict_of = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict == "block")}  # block last, so it overrides
+    if verdict_of:
+        spark = pages.sparkSession
+        listed = spark.createDataFrame(sorted(verdict_of.items()), "key string, v string")
+        keys = lambda df: df.select(F.explode("_keys").alias("key"))
+        n_universe = keys(judged).agg(F.approx_count_distinct("key").alias("u")).first()["u"]
+        parts = -(-level_bits(len(verdict_of), first_rate(len(verdict_of), n_universe)) // max(64, max_bits))
+        before = None
+        for part in range(parts):
+            of_part = lambda k, part=part: (F.pmod(F.xxhash64(k), F.lit(parts)) == part) if parts > 1 else F.lit(True)
+            cascades = build_cascades(keys(judged).where(of_part(F.col("key"))), listed.where(of_part(F.col("key"))), n_universe // parts)
+            first = [F.col("_firsts")[i] for i in range(len(cascades))]
+            # The longest key wins: of (length, block before allow) the largest.
+            hits = [F.when(k.isNotNull(), F.struct(F.length(k).alias("n"), F.lit(v == "block").alias("b"), k.alias("rule"), F.lit(v).alias("verdict"))) for k, v in zip(first, cascades, strict=True)]
+            if hits:
+                firsts = F.array(*[_first_listed(levels, of_part) for levels in cascades.values()])
+                judged = judged.withColumn("_firsts", firsts).withColumn("_hit", F.array_max(F.array("_hit", *hits))).drop("_firsts")
+            if part + 1 < parts:
+                judged, path = written(judged, "url-pass")
+                if before:
+                    delete(spark, before)
+                before = path
+    return judged.select(*kept, "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(otherwise)).alias("verdict"))

@@ -39,13 +39,35 @@ def test_url_cascade(spark):
     assert url_cascade.judge(pages, queries.URL_RULES).count() == 0
     some = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert url_cascade.judge(some, []).first()["verdict"] == "allow"
-    assert url_cascade.judge(some, [url_cascade.Rule("block", "b", "/")], max_bits=8).first()["rule"] == "b/"  # by joining
+    assert url_cascade.judge(some, [url_cascade.Rule("block", "b", "/")], max_bits=8).first()["rule"] == "b/"
+
+
+def test_url_rules_in_parts(spark):
+    """As many passes as a tiny bound asks for; longest rule, and block before allow, against plain Python. Names of the result's columns in the pages are replaced."""
+    rules = [url_cascade.Rule("block" if i % 3 else "allow", f"h{i % 40}.com", f"/{'ab'[i % 2] * (i % 5)}") for i in range(150)] + [url_cascade.Rule("allow", "com", "/"), url_cascade.Rule("block", "h1.com", "/b"), url_cascade.Rule("allow", "h1.com", "/b")]
+    urls = [None, "", "x"] + [f"http://{'w.' * (i % 2)}h{i % 60}.{'com' if i % 4 else 'net'}/{'ab'[i % 2] * (i % 7)}?q" for i in range(300)]
+    pages = spark.createDataFrame([(i, u, "old", i) for i, u in enumerate(urls)], "page_id long, url string, rule string, verdict int").repartition(3)
+    verdict = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict == "block")}
+
+    def expected(url):
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        path = "/" + path.partition("?")[0]
+        ends = [".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)] if host else []
+        keys = [e + path[:n] for e in ends for n in range(len(path) + 1) if e + path[:n] in verdict]
+        best = max(keys, key=lambda k: (len(k), verdict[k] == "block", k), default=None)
+        return best, verdict.get(best, "allow")
+
+    for bits in (64, 512, 1 << 24):
+        got = url_cascade.judge(pages, rules, max_bits=bits).collect()
+        assert len(got) == len(urls)
+        for r in got:
+            assert (r["rule"], r["verdict"]) == expected(r["url"])
 
 
 def test_cascade_is_exact(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where(F.xxhash64("key") % 7 == 0)
-    levels = url_cascade.build_cascade(universe, listed, 20000)
+    levels = url_cascade.build_cascades(universe, listed.withColumn("v", F.lit("block")), 20000)["block"]
     assert len(levels) >= 3
     wrong = universe.where(url_cascade.is_listed(F.col("key"), levels) != (F.xxhash64("key") % 7 == 0)).count()
     assert wrong == 0
