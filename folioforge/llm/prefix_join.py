@@ -4,8 +4,12 @@ A document's set is its distinct shingles of ``width`` words (64-bit hashes). Do
 are one node. In a global order, rare shingles first, two sets of Jaccard similarity t or more share a
 shingle among the first n - ceil(t n) + 1 of each, their prefixes. Nodes with the same size and the same
 prefix form a group. Groups that share a prefix shingle make group pairs, filtered by size and by the
-number and the last place of the shared prefix shingles; pairs that remain are expanded to their members
-and verified on the whole sets.
+number and the last place of the shared prefix shingles; pairs that remain are expanded to their members,
+filtered by their sketches and verified on the whole sets.
+
+A node's sketch is one bit of parity for each of some n to 2n hash buckets of its set. Two sets differ in at least as many
+shingles as their sketches in bits, so a pair whose sketches differ by more than linked sets can is no link;
+no whole sets are made or moved for it.
 
 The order goes by the counts of a fixed number of hash buckets over all shingles of all documents, then by
 hash; any such order gives the same links. It keeps frequent shingles out of the prefixes. Where more than
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import bounded_batches, delete, fresh_path, written
@@ -86,10 +90,28 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the set's counts in B buckets by hash modulo B, 64 to a long; B is the largest 64 * 2**i up to twice the set's size."""
+    bits = 64 << max(0, (len(hashes) // 32).bit_length() - 1)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(nx: Column, x: Column, ny: Column, y: Column, percent: int) -> Column:
+    """False only where sets of nx and ny with the sketches x and y can't link. Of sketches of which one is twice as long, that
+    one is folded; sketches of other lengths tell nothing."""
+    fold = lambda one, other: F.when(
+        F.size(one) > F.size(other), F.zip_with(F.slice(one, 1, F.size(other)), F.slice(one, F.size(other) + 1, F.size(other)), lambda a, b: a.bitwiseXOR(b))
+    ).otherwise(one)
+    differ = F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    told = F.greatest(F.size(x), F.size(y)) <= 2 * F.least(F.size(x), F.size(y))
+    return ~told | ((100 + percent) * differ <= (100 - percent) * (nx + ny))
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, text_key (a hash of the text), n (set size), set_key, group_key (of size and prefix) and the prefix in the global order."""
+    """Per row: doc_id, text_key (a hash of the text), n (set size), set_key, group_key (of size and prefix), the prefix in the global order and the sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -102,15 +124,16 @@ def signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                     keep = n - need(n, percent) + 1 if n else 0
                     c = rank[(hashes >> np.uint64(64 - LOG_BUCKETS)).astype(np.int64)]
                     prefix = _signed(hashes[np.argsort(c, kind="stable")[:keep]])
-                    for name, value in zip(schema.names, (ids[i], keys[i], n, set_key(hashes), hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest(), prefix), strict=True):
+                    for name, value in zip(schema.names, (ids[i], keys[i], n, set_key(hashes), hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest(), prefix, sketch(hashes)), strict=True):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_key long, n int, set_key binary, group_key binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_key long, n int, set_key binary, group_key binary, prefix array<long>, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -> DataFrame:
-    """node and its whole set, from the text of the node's first document."""
+    """node, its whole set, from the text of the node's first document, and its number of rows. Nodes of several rows come
+    more than once where rows repeat a doc_id."""
     schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +142,9 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -> D
                 found = list(shingle_sets(part, width))
                 yield pa.RecordBatch.from_pydict({"set_key": [set_key(h) for h in found], "hashes": [_signed(h) for h in found]}, schema=schema)
 
-    wanted = nodes.select("first_doc", "set_key", "node")
+    wanted = nodes.select("first_doc", "set_key", "node", "copies")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(_small(wanted.select("first_doc").distinct(), n_nodes), F.col("d").eqNullSafe(F.col("first_doc")), "left_semi")
-    return texts.select("text").mapInArrow(sets, "set_key binary, hashes array<long>").join(_small(wanted.select("set_key", "node"), n_nodes), "set_key").select("node", "hashes").dropDuplicates(["node"])
+    return texts.select("text").mapInArrow(sets, "set_key binary, hashes array<long>").join(_small(wanted.select("set_key", "node", "copies"), n_nodes), "set_key").select("node", "hashes", "copies")
 
 
 def forest(inside: np.ndarray) -> list[tuple[int, int]]:
@@ -199,7 +222,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     counts = bucket_counts(docs, width)
     signed, signed_at = written(signatures(docs, counts, width, percent), "signatures")
     nodes, nodes_at = written(
-        signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()),
+        signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     groups, groups_at = written(nodes.groupBy("group_key").agg(F.min("node").alias("grp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
@@ -219,12 +242,14 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         .where((100 + percent) * (F.col("c") + rest) >= percent * (F.col("nx") + F.col("ny")))
         .select("gx", "gy")
     )
-    members = nodes.join(groups.select("group_key", "grp", "members"), "group_key").select("grp", "members", "node")
+    members = nodes.join(groups.select("group_key", "grp", "members"), "group_key").select("grp", "members", "node", "n", "sketch")
     few, many = members.where(F.col("members") <= LIST), members.where(F.col("members") > LIST)
-    m1, m2 = (members.select(F.col("grp").alias(g), F.col("node").alias(v)) for g, v in (("gx", "a"), ("gy", "b")))
+    side = lambda df, grp, node: df.select(F.col("grp").alias(grp), *(F.col(c).alias(c + node) for c in ("n", "sketch")), F.col("node").alias(node))
     one = few.where("members > 1")
-    inside = one.select("grp", F.col("node").alias("a")).join(one.select("grp", F.col("node").alias("b")), "grp").where("a < b").select("a", "b")
-    candidates, candidates_at = written(pairs.join(m1, "gx").join(m2, "gy").select("a", "b").unionByName(inside), "candidates")
+    inside = side(one, "grp", "a").join(side(one, "grp", "b"), "grp").where("a < b").drop("grp")
+    expanded = pairs.join(side(members, "gx", "a"), "gx").join(side(members, "gy", "b"), "gy").select(*inside.columns).unionByName(inside)
+    linkable = may_link(F.col("na"), F.col("sketcha"), F.col("nb"), F.col("sketchb"), percent)
+    candidates, candidates_at = written(expanded.where(linkable).select("a", "b"), "candidates")
 
     # Long lists, and large groups: clumps of nodes, compared in blocks.
     # Lists with the same hub (the node that is in most long lists) are one clump: near copies of one text share
@@ -235,8 +260,9 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     by_hub = long_lists.join(hubs, "token").select(F.col("hub.node").alias("clump"), F.lit(0).alias("kind"), "node").distinct()
     clumps, clumps_at = written(by_hub.unionByName(many.select(F.col("grp").alias("clump"), F.lit(1).alias("kind"), "node")), "clumps")
 
-    wanted, wanted_at = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(clumps.select("node")).distinct().join(nodes.select("node", "first_doc", "set_key"), "node"), "wanted")
-    sets, sets_at = written(whole_sets(docs, wanted, wanted.count(), width), "sets")
+    wanted, wanted_at = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(clumps.select("node")).distinct().join(nodes.select("node", "first_doc", "set_key", "copies"), "node"), "wanted")
+    found, sets_at = written(whole_sets(docs, wanted, wanted.count(), width), "sets")
+    sets = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["node"])).select("node", "hashes")
 
     a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))

@@ -199,6 +199,27 @@ def test_prefix_join(spark, monkeypatch, long_list):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [85, 80, 30])
+def test_sketches_lose_no_link(spark, percent):
+    """Sets of all sizes, equal to far: no pair that links is told apart. Pairs of similar size that share under half are."""
+    rng, rows = np.random.default_rng(5), []
+    for n in [1, 2, 5, 63, 64, 65, 127, 128, 129, 700, 1023, 1024, 5000]:
+        for cut in [0, 0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.4, 0.9]:
+            for grow in [0, 0.05, 0.17, 0.3, 1.5, 4]:
+                pool = np.unique(rng.integers(0, 2**63, 6 * n + 8).astype(np.uint64))
+                rng.shuffle(pool)
+                a, b = pool[:n], pool[int(cut * n) : n + int(grow * n)]
+                shared = max(0, n - int(cut * n))
+                x, y = prefix_join.sketch(a), prefix_join.sketch(b)
+                rows.append((len(a), x.tolist(), len(b), y.tolist(), 100 * shared >= percent * (len(a) + len(b) - shared), 2 * shared < len(a) + len(b) - shared and len(a) / 2 < len(b) < 2 * len(a)))
+    told = spark.createDataFrame(rows, "nx int, x array<long>, ny int, y array<long>, linked boolean, far boolean")
+    told = told.select("linked", "far", "nx", prefix_join.may_link(F.col("nx"), F.col("x"), F.col("ny"), F.col("y"), percent).alias("may")).toPandas()
+    assert told["linked"].any() and not told["linked"].all()
+    assert told.loc[told["linked"], "may"].all()
+    if percent >= 80:
+        assert not told.loc[told["far"] & (told["nx"] >= 127), "may"].any()
+
+
 def test_near_duplicate_stage(spark):
     import corpus_pipeline
 
