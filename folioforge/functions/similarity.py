@@ -9,16 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pair_counts(text: str) -> Counter:
+    """How often each pair of UTF-16 units occurs."""
+    u = text.encode("utf-16-le", "surrogatepass")
+    return Counter(u[i : i + 4] for i in range(0, len(u) - 2, 2))
+
+
+def shared_share(a: Counter, b: Counter, above: float = -1.0) -> float:
+    """Twice the pairs in common among all pairs; 0 if one side has none, or if the numbers alone tell that it isn't above."""
+    x, y = a.total(), b.total()
+    if not x or not y or 2 * min(x, y) / (x + y) <= above:
+        return 0.0
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    return 2 * sum(min(n, many[g]) for g, n in few.items() if g in many) / (x + y)
+
+
 def coefficient(a: str, b: str) -> float:
     """Dice coefficient over multisets of pairs of UTF-16 units: 1 if equal, 0 if one has no pair."""
-    if a == b:
-        return 1.0
-    grams = []
-    for s in (a, b):
-        u = s.encode("utf-16-le", "surrogatepass")
-        grams.append(Counter(u[i : i + 4] for i in range(0, len(u) - 2, 2)))
-    n = grams[0].total() + grams[1].total()
-    return 2 * (grams[0] & grams[1]).total() / n if grams[0] and grams[1] else 0.0
+    return 1.0 if a == b else shared_share(pair_counts(a), pair_counts(b))
 
 
 def _dice(left: pd.Series, right: pd.Series) -> pd.Series:

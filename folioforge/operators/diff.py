@@ -1,133 +1,69 @@
-"""Comparison of ordered block texts: alignment, pairing of changed blocks, inline spans.
+"""Comparison of ordered block texts: rows of equal, deleted, inserted and modified blocks, with spans of the modified ones.
 
-The pairs of documents are spread by Spark; one pair is compared in one row of a task, after pairs of equal
-documents were answered without Python.
+Both sides are tables of blocks; ``alignment`` tells the equal ones, ``pairing`` the modified ones. A row's place in its pair comes from its
+blocks' places by running values, so that a pair of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from folioforge.functions.scan import before
+from folioforge.functions.scratch import stored
 from folioforge.functions.similarity import coefficient as dice
+from folioforge.functions.text import WS, u16_length
+from folioforge.operators import alignment, pairing
 
-EDIT_LIMIT, ANCHOR_LEAST = 1500, 400
-PAIR_ABOVE, PAIR_WINDOW, REFINE_FROM = 0.5, 3, 0.4
-MAX_INLINE, MAX_BLOCKS = 5000, 100_000
-_WS = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_TOKEN = regex.compile(f"[{_WS}]+|[^{_WS}]+")
+REFINE_FROM, MAX_INLINE = 0.4, 5000
+_TOKEN = regex.compile(f"[{WS}]+|[^{WS}]+")
 _GRAPHEME = regex.compile(r"\X")
+SPANS = "array<struct<kind:string,text:string>>"
+ROWS = ["pair_id", "row_ix", "kind", "left_ix", "right_ix", "left_text", "right_text", "similarity", "spans"]
 
-Op = tuple[str, int, int]  # equal, delete or insert; place in a; place in b (-1 where there is none)
-
-
-def increasing(values: Sequence[int]) -> list[int]:
-    """Indices of a longest strictly increasing subsequence."""
-    tails: list[int] = []
-    ends: list[int] = []
-    before = [-1] * len(values)
-    for i, v in enumerate(values):
-        k = bisect_left(tails, v)
-        before[i] = ends[k - 1] if k else -1
-        tails[k : k + 1], ends[k : k + 1] = [v], [i]
-    out, i = [], ends[-1] if ends else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
-
-
-def anchors(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """Places of values that are unique on both sides, as far as they rise on both."""
-    once_a, once_b = Counter(a), Counter(b)
-    at = {v: j for j, v in enumerate(b) if once_b[v] == 1}
-    found = [(i, at[v]) for i, v in enumerate(a) if once_a[v] == 1 and v in at]
-    return [found[k] for k in increasing([j for _, j in found])]
-
-
-def shortest_edits(a: Sequence, b: Sequence) -> list[Op] | None:
-    """A shortest edit script; of equals, an insertion goes first where it reaches at least as far. None beyond the limit."""
-    n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(min(n + m, EDIT_LIMIT) + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                return _walk_back(trail, d, n, m)
-    return None
-
-
-def _walk_back(trail: list[dict[int, int]], d: int, x: int, y: int) -> list[Op]:
-    out: list[Op] = []
-    for step in range(d, -1, -1):
-        seen, k = trail[step], x - y
-        down = k == -step or (k != step and seen[k - 1] < seen[k + 1])
-        from_k = k + 1 if down else k - 1
-        from_x = seen[from_k] if step else 0
-        from_y = from_x - from_k if step else 0
-        while x > from_x and y > from_y:
-            x, y = x - 1, y - 1
-            out.append(("equal", x, y))
-        if step:
-            out.append(("insert", -1, from_y) if down else ("delete", from_x, -1))
-            x, y = from_x, from_y
-    return out[::-1]
-
-
-def align(a: Sequence, b: Sequence) -> list[Op]:
-    """Edit script between two sequences: common ends, then anchors in long rests, then shortest edits."""
-    out: list[Op] = []
+
+def span_script(a: Sequence[str], b: Sequence[str], limit: int | None) -> list[alignment.Op]:
+    """The edit script of two texts' parts, in order: what the alignment does by rounds, in one task."""
+    out: list[alignment.Op] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
-        i, i2, j, j2 = todo.pop()
-        while i < i2 and j < j2 and a[i] == b[j]:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
             out.append(("equal", i, j))
             i, j = i + 1, j + 1
-        e, f = i2, j2
-        while e > i and f > j and a[e - 1] == b[f - 1]:
-            e, f = e - 1, f - 1
-        tail = [("equal", e + k, f + k) for k in range(i2 - e)]
-        found = anchors(a[i:e], b[j:f]) if i < e and j < f and (e - i) + (f - j) > ANCHOR_LEAST else []
-        if found:
-            cuts, at_i, at_j = [], i, j
-            for p, q in found:
-                cuts.append((at_i, i + p, at_j, j + q))
-                cuts.append((i + p, i + p + 1, j + q, j + q + 1))
-                at_i, at_j = i + p + 1, j + q + 1
-            cuts.append((at_i, e, at_j, f))
-            todo.extend(reversed([*cuts, (e, i2, f, j2)]))
+        tail = 0
+        while tail < min(n - i, m - j) and a[n - 1 - tail] == b[m - 1 - tail]:
+            tail += 1
+        n, m = n - tail, m - tail
+        rising = _rising(a, b, i, n, j, m) if i < n and j < m and n - i + m - j > alignment.ANCHOR_LEAST else []
+        if rising:
+            cuts = [(i, rising[0][0], j, rising[0][1])]
+            for (p, q), (p2, q2) in zip(rising, [*rising[1:], (n, m)], strict=True):
+                cuts += [(p, p + 1, q, q + 1), (p + 1, p2, q + 1, q2)]
+            todo += reversed([*cuts, (n, n + tail, m, m + tail)])
             continue
-        script = shortest_edits(a[i:e], b[j:f])
+        script = alignment.shortest_edits(a[i:n], b[j:m], limit)
         if script is None:
-            script = [("delete", k, -1) for k in range(e - i)] + [("insert", -1, k) for k in range(f - j)]
-        out.extend((kind, p + i if p >= 0 else -1, q + j if q >= 0 else -1) for kind, p, q in script)
-        out.extend(tail)
+            script = [("delete", k, -1) for k in range(n - i)] + [("insert", -1, k) for k in range(m - j)]
+        out += [(kind, p + i if p >= 0 else -1, q + j if q >= 0 else -1) for kind, p, q in script]
+        out += [("equal", n + k, m + k) for k in range(tail)]
     return out
 
 
-def pair_up(deleted: Sequence[str], inserted: Sequence[str]) -> dict[int, tuple[int, float]]:
-    """For deleted blocks, in order, the most similar free inserted one within the window."""
-    out, used = {}, set()
-    for i, text in enumerate(deleted):
-        best, score = -1, PAIR_ABOVE
-        for j in range(max(0, i - PAIR_WINDOW), min(len(inserted), i + PAIR_WINDOW + 1)):
-            if j not in used and (s := dice(text, inserted[j])) > score:
-                best, score = j, s
-        if best >= 0:
-            used.add(best)
-            out[i] = (best, score)
-    return out
+def _rising(a: Sequence[str], b: Sequence[str], i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """Places of parts that are there once on each side, as far as they rise on both."""
+    places = []
+    for side, start, stop in ((a, i, n), (b, j, m)):
+        times = Counter(side[start:stop])
+        places.append({side[k]: k for k in range(start, stop) if times[side[k]] == 1})
+    met = [(p, places[1][v]) for v, p in places[0].items() if v in places[1]]
+    return [met[k] for k in alignment.increasing([q for _, q in met])]
 
 
 def _merged(spans: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -140,17 +76,17 @@ def _merged(spans: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def _spans(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, str]]:
-    return [(kind, a[i] if i >= 0 else b[j]) for kind, i, j in align(a, b)]
+def _spans(a: Sequence[str], b: Sequence[str], limit: int | None) -> list[tuple[str, str]]:
+    return [(kind, a[i] if i >= 0 else b[j]) for kind, i, j in span_script(a, b, limit)]
 
 
-def inline(left: str, right: str) -> list[tuple[str, str]]:
+def inline(left: str, right: str, limit: int | None = alignment.EDIT_LIMIT) -> list[tuple[str, str]]:
     """Spans of two texts word by word; a word that replaces a similar one is compared by graphemes."""
-    words, out, at = _spans(_TOKEN.findall(left), _TOKEN.findall(right)), [], 0
+    words, out, at = _spans(_TOKEN.findall(left), _TOKEN.findall(right), limit), [], 0
     while at < len(words):
         kind, text = words[at]
         if kind == "delete" and at + 1 < len(words) and words[at + 1][0] == "insert" and dice(text, words[at + 1][1]) >= REFINE_FROM:
-            out.extend(_spans(_GRAPHEME.findall(text), _GRAPHEME.findall(words[at + 1][1])))
+            out.extend(_spans(_GRAPHEME.findall(text), _GRAPHEME.findall(words[at + 1][1]), limit))
             at += 2
         else:
             out.append((kind, text))
@@ -158,89 +94,81 @@ def inline(left: str, right: str) -> list[tuple[str, str]]:
     return _merged(out)
 
 
-def compare(a: Sequence[str], b: Sequence[str], max_inline: int = MAX_INLINE) -> list[tuple]:
-    """Diff rows of two documents: kind, left_ix, right_ix, similarity, spans. Each block appears in one row. A pair of too
-    many blocks has a single row, whose kind is the error; the other pairs of the table are compared all the same."""
-    if len(a) + len(b) > MAX_BLOCKS:
-        return [("OUT_OF_MEMORY", None, None, None, None)]
-    rows: list[tuple] = []
-    deleted: list[int] = []
-    inserted: list[int] = []
-
-    def flush() -> None:
-        pairs = pair_up([a[i] for i in deleted], [b[j] for j in inserted])
-        taken, cursor = {j for j, _ in pairs.values()}, 0
-
-        def alone(upto: int) -> None:
-            nonlocal cursor
-            while cursor < upto:
-                if cursor not in taken:
-                    rows.append(("insert", None, inserted[cursor], None, None))
-                cursor += 1
-
-        for k, i in enumerate(deleted):
-            if k not in pairs:
-                rows.append(("delete", i, None, None, None))
-                continue
-            j, score = pairs[k]
-            alone(j)
-            left, right = a[i], b[inserted[j]]
-            short = max(len(s.encode("utf-16-le", "surrogatepass")) // 2 for s in (left, right)) <= max_inline
-            rows.append(("modify", i, inserted[j], int(score * 100 + 0.5) / 100, inline(left, right) if short else None))
-        alone(len(inserted))
-        deleted.clear()
-        inserted.clear()
-
-    for kind, i, j in align(a, b):
-        if kind == "equal":
-            flush()
-            rows.append(("equal", i, j, None, None))
-        else:
-            (deleted if kind == "delete" else inserted).append(i if kind == "delete" else j)
-    flush()
-    return rows
-
-
-ROWS = "pair_id long, row_ix int, kind string, left_ix int, right_ix int, left_text string, right_text string, similarity double, spans array<struct<kind:string,text:string>>"
-
-
-def diff_rows(pairs: DataFrame, max_inline: int = MAX_INLINE) -> DataFrame:
-    """Rows of each pair (pair_id, a, b: arrays of block texts; null counts as empty)."""
-    none = F.array().cast("array<string>")
-    sides = pairs.select(F.col("pair_id").cast("long"), F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    same = sides.where(F.col("a") == F.col("b")).select("pair_id", F.posexplode("a").alias("row_ix", "t"))
-    blank = F.lit(None)
-    equal = same.select("pair_id", "row_ix", F.lit("equal").alias("kind"), F.col("row_ix").alias("left_ix"), F.col("row_ix").alias("right_ix"), F.col("t").alias("left_text"), F.col("t").alias("right_text"), blank.cast("double").alias("similarity"), blank.cast("array<struct<kind:string,text:string>>").alias("spans"))
+def spans_of(left: Column, right: Column, limit: int | None = alignment.EDIT_LIMIT) -> Column:
+    """Spans of two texts; null counts as empty."""
+    told = F.pandas_udf(lambda a, b: pd.Series([[{"kind": k, "text": x} for k, x in inline(p or "", q or "", limit)] for p, q in zip(a, b, strict=True)]), SPANS)
+    return told(left, right)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for pair, a, b in zip(pdf["pair_id"], pdf["a"], pdf["b"], strict=True):
-                rows = [
-                    (pair, n, kind, i, j, None if i is None else a[i], None if j is None else b[j], s, None if spans is None else [{"kind": k, "text": t} for k, t in spans])
-                    for n, (kind, i, j, s, spans) in enumerate(compare(list(a), list(b), max_inline))
-                ]
-                out = pd.DataFrame(rows, columns=["pair_id", "row_ix", "kind", "left_ix", "right_ix", "left_text", "right_text", "similarity", "spans"])
-                yield out.astype({"left_ix": "Int32", "right_ix": "Int32", "similarity": "float64"})
 
-    return sides.where(F.col("a") != F.col("b")).mapInPandas(run, ROWS).unionByName(equal)
-
-
-def inline_spans(pairs: DataFrame) -> DataFrame:
+def inline_spans(pairs: DataFrame, limit: int | None = alignment.EDIT_LIMIT) -> DataFrame:
     """pair_id and the spans of its texts left and right (null counts as empty)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [[{"kind": k, "text": t} for k, t in inline(a or "", b or "")] for a, b in zip(pdf["left"], pdf["right"], strict=True)]
-            yield pd.DataFrame({"pair_id": pdf["pair_id"], "spans": spans})
-
-    return pairs.select(F.col("pair_id").cast("long"), "left", "right").mapInPandas(run, "pair_id long, spans array<struct<kind:string,text:string>>")
+    return pairs.select(F.col("pair_id").cast("long"), spans_of(F.col("left"), F.col("right"), limit).alias("spans"))
+
+
+def runs(left: DataFrame, right: DataFrame, edit_limit: int | None = alignment.EDIT_LIMIT) -> DataFrame:
+    """All blocks of both sides (pair_id, block_ix, text), aligned: pair_id, side (0 or 1), ix, text, other (the place of the equal
+    block, or null), run (a number that rises with the runs between equal blocks) and place (the block's place on its side of the
+    run). Blocks are numbered by block_ix; a null text counts as empty, and rows without a pair_id are left out."""
+    order = Window.partitionBy("pair_id", "side").orderBy("block_ix")
+    both = left.select(F.col("pair_id").cast("long"), F.lit(0).alias("side"), "block_ix", "text").unionByName(right.select(F.col("pair_id").cast("long"), F.lit(1).alias("side"), "block_ix", "text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(both.where("pair_id is not null").select("pair_id", "side", (F.row_number().over(order) - 1).alias("ix"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("code")), "blocks")
+    met = alignment.matches(rows, edit_limit)
+    of = lambda side, ix, other: F.struct(F.lit(side).alias("side"), F.col(ix).alias("ix"), F.col(other).alias("other"))
+    sides = met.select("pair_id", F.explode(F.array(of(0, "i", "j"), of(1, "j", "i"))).alias("x")).select("pair_id", "x.*")
+    told = rows.drop("code").join(sides, ["pair_id", "side", "ix"], "left")
+    here = F.when(F.col("other").isNotNull(), F.struct("ix", "other"))
+    told = before(told, ["pair_id", "side"], F.col("ix"), here, "last")
+    return told.select("pair_id", "side", "ix", "text", "other", F.coalesce(F.col("last.ix") + F.col("last.other") + 2, F.lit(0)).cast("long").alias("run"), (F.col("ix") - F.coalesce("last.ix", F.lit(-1)) - 1).alias("place"))
+
+
+def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_INLINE, edit_limit: int | None = alignment.EDIT_LIMIT, max_blocks: int | None = None) -> DataFrame:
+    """The rows of each pair, from the blocks of both sides (pair_id, block_ix, text): ROWS; each block is in one row.
+
+    In a run, deleted and modified blocks come in the order of the left side; an inserted block comes before the first modified one
+    whose right block is behind it, or last. Modified blocks of more than ``max_inline`` UTF-16 units have no spans (None: all have).
+    A pair of more than ``max_blocks`` blocks (None: no bound) has a single row, whose kind is the error."""
+    large = None
+    if max_blocks is not None:
+        sizes = left.select("pair_id").unionByName(right.select("pair_id")).groupBy(F.col("pair_id").cast("long").alias("pair_id")).agg(F.count(F.lit(1)).alias("blocks"))
+        large = stored(sizes.where(F.col("blocks") > max_blocks).select("pair_id"), "large")
+        left, right = (side.join(large, "pair_id", "left_anti") for side in (left, right))
+    rows = stored(runs(left, right, edit_limit), "runs")
+    changed = rows.where("other is null").drop("other")
+    pairs = stored(pairing.pairs(changed), "pairs")
+    run = pairing.RUN
+
+    # One scan for both sides: deleted blocks look back for the furthest right block that was taken, inserted ones look
+    # from the end for the first deleted block that took one behind them.
+    taken = pairs.select(*run, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("place"), F.col("j").alias("mate")), F.struct(F.lit(1).alias("side"), F.col("j").alias("place"), F.col("i").alias("mate")))).alias("x"), "score").select(*run, "x.*", "score")
+    told = changed.join(taken, [*run, "side", "place"], "left")
+    at = F.when(F.col("side") == 0, F.col("place")).otherwise(-F.col("place"))
+    told = before(told, [*run, "side"], at, F.when(F.col("side") == 0, F.col("mate") + 1).otherwise(-F.col("mate")), "seen")
+    deleted = told.where("side = 0").withColumn("at", F.col("run") + F.col("place") + F.greatest(F.coalesce("seen", F.lit(0)), F.coalesce(F.col("mate") + 1, F.lit(0))))
+    lengths = changed.where("side = 0").groupBy(*run).agg(F.count(F.lit(1)).alias("length"))
+    alone = told.where("side = 1 and mate is null").join(lengths, run, "left").withColumn("at", F.col("run") + F.col("place") + F.coalesce(-F.col("seen"), "length", F.lit(0)))
+
+    partner = told.where("side = 1 and mate is not null").select(*run, F.col("place").alias("mate"), F.col("ix").alias("right_ix"), F.col("text").alias("right_text"))
+    modified = deleted.where("mate is not null").join(partner, [*run, "mate"])
+    fits = F.lit(True) if max_inline is None else (u16_length(F.col("text")) <= max_inline) & (u16_length(F.col("right_text")) <= max_inline)
+    short = lambda test: modified.where(test).select("pair_id", "at", F.lit("modify").alias("kind"), F.col("ix").alias("left_ix"), "right_ix", F.col("text").alias("left_text"), "right_text", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("similarity"))
+    out = short(fits).withColumn("spans", spans_of(F.col("left_text"), F.col("right_text"), edit_limit))
+    if max_inline is not None:
+        out = out.unionByName(short(~fits).withColumn("spans", F.lit(None).cast(SPANS)))
+    none = lambda kind: F.lit(None).cast(kind)
+    plain = lambda df, kind, *columns: df.select("pair_id", "at", F.lit(kind).alias("kind"), *(c.alias(name) for c, name in zip(columns, ("left_ix", "right_ix", "left_text", "right_text"), strict=True)), none("double").alias("similarity"), none(SPANS).alias("spans"))
+    ix, text, no_ix, no_text = F.col("ix"), F.col("text"), none("int"), none("string")
+    equal = rows.where("side = 0 and other is not null").withColumn("at", (F.col("ix") + F.col("other")).cast("long"))
+    out = out.unionByName(plain(equal, "equal", ix, F.col("other"), text, text)).unionByName(plain(deleted.where("mate is null"), "delete", ix, no_ix, text, no_text)).unionByName(plain(alone, "insert", no_ix, ix, no_text, text))
+    out = before(out, ["pair_id"], F.col("at"), F.lit(1), "row_ix", total=True).withColumn("row_ix", F.coalesce("row_ix", F.lit(0)).cast("int")).select(ROWS)
+    if large is not None:
+        out = out.unionByName(large.select("pair_id", F.lit(0).alias("row_ix"), F.lit("OUT_OF_MEMORY").alias("kind"), *(none(k).alias(c) for c, k in zip(ROWS[3:], ("int", "int", "string", "string", "double", SPANS), strict=True))))
+    return out
 
 
 def statistics(rows: DataFrame) -> DataFrame:
     """Per pair the rows of each kind and the deleted and inserted characters (of modified rows those of their spans)."""
     count = lambda kind: F.sum((F.col("kind") == kind).cast("long")).alias(f"n_{kind}")
-    from folioforge.functions.text import u16_length
-
     def chars(kind: str, side: str):
         inside = F.aggregate(F.filter("spans", lambda s: s["kind"] == kind), F.lit(0), lambda n, s: n + u16_length(s["text"]))
         whole = u16_length(F.coalesce(F.col(side), F.lit("")))

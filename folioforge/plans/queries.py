@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from folioforge.functions import similarity
 from folioforge.functions import text as t
+from folioforge.functions.scratch import stored
 from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
 from folioforge.sources import decode, files
 
@@ -137,7 +138,7 @@ def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A revision of each document: lines dropped, edited and inserted by their number.
 def _revised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = _blocks(spark, sf_dir).select("doc_id", "block_ix", "text")
+    left = stored(_blocks(spark, sf_dir).select("doc_id", "block_ix", "text"), "left")
     place = F.col("doc_id") + F.col("block_ix")
     kept = left.where(place % 7 != 3).select("doc_id", (F.col("block_ix") * 2).alias("ord"), F.when(place % 5 == 1, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")).alias("text"))
     added = left.where("block_ix % 11 = 4").select("doc_id", (F.col("block_ix") * 2 + 1).alias("ord"), F.concat(F.lit("Inserted paragraph "), F.col("block_ix").cast("string")).alias("text"))
@@ -150,29 +151,24 @@ _RIGHT = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) -
       UNION ALL SELECT doc_id, block_ix * 2 + 1, 'Inserted paragraph ' || block_ix FROM ({_BLOCKS}) WHERE block_ix % 11 = 4)"""
 
 
-def _array(side: DataFrame, name: str) -> DataFrame:
-    return side.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda s: s["text"]).alias(name))
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = _revised(spark, sf_dir)
-    return _array(left, "a").join(_array(right, "b"), "doc_id", "full").withColumnRenamed("doc_id", "pair_id")
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return left.withColumnRenamed("doc_id", "pair_id"), right.withColumnRenamed("doc_id", "pair_id")
 
 
 @query(f"SELECT doc_id AS pair_id, block_ix::INT AS left_ix, text AS left_text FROM ({_BLOCKS})")
 def diff_roundtrip_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_rows(_pairs(spark, sf_dir)).where("left_ix is not null").select("pair_id", "left_ix", "left_text")
+    return diff.diff_rows(*_sides(*_revised(spark, sf_dir))).where("left_ix is not null").select("pair_id", "left_ix", "left_text")
 
 
 @query(f"SELECT doc_id AS pair_id, block_ix::INT AS right_ix, text AS right_text FROM ({_RIGHT})")
 def diff_roundtrip_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_rows(_pairs(spark, sf_dir)).where("right_ix is not null").select("pair_id", "right_ix", "right_text")
+    return diff.diff_rows(*_sides(*_revised(spark, sf_dir))).where("right_ix is not null").select("pair_id", "right_ix", "right_text")
 
 
 @query(f"SELECT DISTINCT doc_id AS pair_id, 0::BIGINT AS changes FROM ({_BLOCKS})")
 def self_diff_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _array(_blocks(spark, sf_dir), "a").select(F.col("doc_id").alias("pair_id"), "a", F.col("a").alias("b"))
-    return diff.diff_rows(a).groupBy("pair_id").agg(F.sum((F.col("kind") != "equal").cast("long")).alias("changes"))
+    own = _blocks(spark, sf_dir)
+    return diff.diff_rows(*_sides(own, own)).groupBy("pair_id").agg(F.sum((F.col("kind") != "equal").cast("long")).alias("changes"))
 
 
 # Of these pairs every row is known: each block's text is a hash of it and its place, so that no two are alike, and what is
@@ -181,12 +177,12 @@ def _unlike(side: DataFrame) -> DataFrame:
     return side.withColumn("text", F.concat(F.md5(F.concat_ws(" ", "doc_id", "at", "text").cast("binary")), F.lit(" "), F.md5(F.concat_ws("-", "doc_id", "at", "text").cast("binary"))))
 
 
-def _known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _unlike(_blocks(spark, sf_dir).select("doc_id", "block_ix", F.col("block_ix").alias("at"), "text"))
+def _known_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = stored(_unlike(_blocks(spark, sf_dir).select("doc_id", "block_ix", F.col("block_ix").alias("at"), "text")), "left")
     place = F.col("doc_id") + F.col("at")
     kept = left.where(place % 7 != 3).select("doc_id", (F.col("at") * 2).alias("block_ix"), F.when(place % 5 == 1, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")).alias("text"))
     added = left.where("at % 11 = 4").select("doc_id", (F.col("at") * 2 + 1).alias("block_ix"), F.concat(F.lit("Inserted paragraph "), F.col("at").cast("string")).alias("text"))
-    return _array(left, "a").join(_array(kept.unionByName(added), "b"), "doc_id", "full").withColumnRenamed("doc_id", "pair_id")
+    return _sides(left, kept.unionByName(added))
 
 
 _KNOWN_LEFT = f"SELECT doc_id, block_ix, md5(doc_id || ' ' || block_ix || ' ' || text) || ' ' || md5(doc_id || '-' || block_ix || '-' || text) AS text FROM ({_BLOCKS})"
@@ -205,7 +201,7 @@ _KNOWN_PAIRS = f"""
       sum(CASE WHEN kind = 'delete' THEN length(left_text) ELSE 0 END)::BIGINT AS delete_chars, sum(CASE WHEN kind = 'insert' THEN length(right_text) WHEN kind = 'modify' THEN 8 ELSE 0 END)::BIGINT AS insert_chars
     FROM d GROUP BY 1""")
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.statistics(diff.diff_rows(_known_pairs(spark, sf_dir)))
+    return diff.statistics(diff.diff_rows(*_known_pairs(spark, sf_dir)))
 
 
 @query(f"""{_KNOWN_PAIRS}
@@ -214,7 +210,7 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN kind = 'modify' THEN left_text || '| revised' END AS spans
     FROM d""")
 def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = diff.diff_rows(_known_pairs(spark, sf_dir)).drop("row_ix")
+    rows = diff.diff_rows(*_known_pairs(spark, sf_dir)).drop("row_ix")
     return rows.withColumn("spans", F.array_join(F.transform("spans", lambda x: x["text"]), "|"))
 
 
@@ -226,7 +222,7 @@ def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM i JOIN j ON i.pair_id = j.pair_id AND i.run = j.run AND abs(i - j) <= 3""")
 def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed blocks of one run that may be paired; of those that are kin the similarity."""
-    rows = diff.diff_rows(_known_pairs(spark, sf_dir))
+    rows = diff.diff_rows(*_known_pairs(spark, sf_dir))
     order = Window.partitionBy("pair_id").orderBy("row_ix")
     runs = rows.withColumn("run", F.sum((F.col("kind") == "equal").cast("int")).over(order)).where("kind <> 'equal'")
     side = lambda ix, text, name: runs.where(F.col(ix).isNotNull()).select("pair_id", "run", (F.row_number().over(Window.partitionBy("pair_id", "run").orderBy(ix)) - 1).alias(name), F.col(text).alias("text"), ix)
@@ -406,7 +402,7 @@ def warning_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT pair_id, count_if(kind = 'equal') AS e, count_if(kind <> 'equal') AS c, count_if(kind <> 'insert') AS nl, count_if(kind <> 'delete') AS nr FROM d GROUP BY 1)
     SELECT pair_id, concat_ws(',', CASE WHEN pair_id % 3 = 0 THEN 'same-file' END, CASE WHEN nl = 0 THEN 'left-empty' END, CASE WHEN nr = 0 THEN 'right-empty' END, CASE WHEN e = 0 AND c > 0 THEN 'nothing-in-common' END) AS notes FROM s""")
 def pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = diff.statistics(diff.diff_rows(_known_pairs(spark, sf_dir)))
+    told = diff.statistics(diff.diff_rows(*_known_pairs(spark, sf_dir)))
     same = F.col("pair_id") % 3
     pairs = told.withColumns({"left_name": F.lit("a.txt"), "right_name": F.when(same == 1, "b.txt").otherwise("a.txt"), "left_size": F.lit(5), "right_size": F.when(same == 2, 6).otherwise(5), "left_blocks": F.col("n_equal") + F.col("n_modify") + F.col("n_delete"), "right_blocks": F.col("n_equal") + F.col("n_modify") + F.col("n_insert")})
     return quality.pair_notes(pairs)

@@ -27,26 +27,27 @@ def test_alignment_rebuilds_both_sides():
     rng = random.Random(12345)
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(20))] for _ in range(2))
-        assert applied(a, b, diff.align(a, b))
+        assert applied(a, b, diff.span_script(a, b, 1500))
 
 
 def test_alignment_of_long_sequences():
     a = [f"line {i}" for i in range(3000)]
     b = a[:1000] + ["changed"] + a[1001:2000] + ["new"] + a[2000:]
-    ops = diff.align(a, b)
+    ops = diff.span_script(a, b, 1500)
     assert applied(a, b, ops) and sum(k != "equal" for k, _, _ in ops) < 10
     a, b = [f"a{i}" for i in range(600)], [f"b{i}" for i in range(600)]
-    assert applied(a, b, diff.align(a, b))
+    assert applied(a, b, diff.span_script(a, b, 1500))
 
 
-def test_rows():
-    assert [r[0] for r in diff.compare(["A", "B", "C"], ["A", "B", "C"])] == ["equal"] * 3
-    assert [r[0] for r in diff.compare(["A", "C"], ["A", "B", "C"])] == ["equal", "insert", "equal"]
-    assert diff.compare([], []) == []
-    long = "a" * 30
-    assert diff.compare([long + "x"], [long + "y"], max_inline=10)[0][4] is None
-    rows = diff.compare(["alpha beta gamma", "one two three"], ["one two three!", "zzz", "alpha beta gammas"])
-    assert sorted(r[2] for r in rows if r[2] is not None) == [0, 1, 2]
+def test_rows(spark):
+    def kinds(left, right):
+        sides = [spark.createDataFrame([(1, i, x) for i, x in enumerate(side)], "pair_id long, block_ix int, text string") for side in (left, right)]
+        return [(r["kind"], r["right_ix"]) for r in diff.diff_rows(*sides).orderBy("row_ix").collect()]
+
+    assert kinds(["A", "B", "C"], ["A", "B", "C"]) == [("equal", 0), ("equal", 1), ("equal", 2)]
+    assert [k for k, _ in kinds(["A", "C"], ["A", "B", "C"])] == ["equal", "insert", "equal"]
+    rows = kinds(["alpha beta gamma", "one two three"], ["one two three!", "zzz", "alpha beta gammas"])
+    assert sorted(j for _, j in rows if j is not None) == [0, 1, 2]
 
 
 @pytest.mark.parametrize("a, b", [("", "x y"), ("x y", ""), ("same", "same"), ("the cat sat", "the cats sat"), ("계약서를 보라", "계약서는 보라")])
