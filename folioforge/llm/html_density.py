@@ -53,6 +53,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 STRONG = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion sidebar sidebars menu menus navbar nav navigation breadcrumb breadcrumbs cookie cookies gdpr consent notice notices notification notifications popup modal newsletter subscribe subscription comment comments disqus replies masthead footer pagination pager toolbar".split())
 WEAK = frozenset("alert social share sharing shares related recommended recommendations widget widgets tags toplinks skip login signup header".split())
 COMMENTS = frozenset("comment comments disqus replies".split())
+# Beside such tokens, any word that is strong or begins like this marks an element that holds neither an article nor an h1 of its own.
+STEMS = ("comment", "advert", "sponsor", "promo")
+LOOSE = frozenset("respond related".split())
 NEUTRAL = frozenset("box block section sections area wrapper wrap container list lists item items bar inner outer top bottom left right main site page global links link buttons button panel group text body col column row primary secondary header side small large fixed sticky js the".split())
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -70,7 +73,7 @@ class Node:
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.first, self.end, self.density, self.total = first, 0, 0.0, 0.0
-        self.suspect = suspect  # "", "gone", "tag", "form", "mark" or "comments"
+        self.suspect = suspect  # "", "gone", "tag", "form", "mark", "loose" or "comments"
         self.closed, self.depth = False, 0
         self.own = self.clear = self.blocks = 0
         self.top = self.unit = False
@@ -79,8 +82,8 @@ class Node:
 
 
 def _mark(attributes: str) -> str:
-    """ "mark" or "comments" by the words of class, id and role, else ""."""
-    strong = weak = comments = False
+    """ "mark" or "comments" by the words of class, id and role, "loose" by any of their words, else ""."""
+    strong = weak = comments = loose = False
     every = True
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
@@ -90,13 +93,14 @@ def _mark(attributes: str) -> str:
         for token in value.split():
             words = [w.lower() for w in WORDS.findall(token)]
             known = [w for w in words if w in STRONG or w in WEAK]
+            loose |= any(w in STRONG or w in LOOSE or w.startswith(STEMS) for w in words)
             if not words or not all(w in STRONG or w in WEAK or w in NEUTRAL or w.isdigit() for w in words):
                 every = False
             elif known:
                 strong |= any(w in STRONG for w in known)
                 comments |= any(w in COMMENTS for w in known)
                 weak = True
-    return "comments" if comments else "mark" if strong or (weak and every) else ""
+    return "comments" if comments else "mark" if strong or (weak and every) else "loose" if loose else ""
 
 
 def _suspect(tag: str, attributes: str, in_article: bool) -> str:
@@ -267,7 +271,9 @@ def leave_out(order: list[Node], stream: list[str | None]) -> list[Node]:
             node.own = node.clear = 0
         node.blocks = node.blocks or int(node.tag not in INLINE and node.clear > 0)
         node.top |= node.tag == "h1"
-        node.unit |= node.tag in ("article", "main") and node.suspect in ("", "mark")
+        node.unit |= node.tag in ("article", "main") and node.suspect in ("", "mark", "loose")
+        if node.suspect == "loose" and (node.unit or node.top):
+            node.suspect = ""
         parent = node.parent
         if parent is not None and node.suspect != "gone":
             parent.own += node.own
@@ -291,7 +297,7 @@ def leave_out(order: list[Node], stream: list[str | None]) -> list[Node]:
             spared = False
             if not outside_unit and node.suspect != "comments":
                 spared = node.unit and node.suspect != "gone"
-                if node.suspect in ("form", "mark"):
+                if node.suspect in ("form", "mark", "loose"):
                     spared |= node.clear > root.clear and (node.top or node.blocks >= LEAST_BLOCKS)
                 if node.tag == "button":
                     spared |= node.unit or (node.own > root.clear and node.top)

@@ -63,6 +63,17 @@ def folding() -> np.ndarray:
     return _folding
 
 
+_letters: np.ndarray | None = None
+
+
+def letters_of(codes: np.ndarray) -> np.ndarray:
+    """1 for each code point that is a letter; marks are part of the texts, but no letters."""
+    global _letters
+    if _letters is None:
+        _letters = np.array([chr(code).isalpha() for code in range(0x110000)])
+    return _letters[codes].astype(np.int64)
+
+
 def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all texts, each with ORDER - 1 spaces before and one after, runs of spaces joined inside; and
     the offsets of the texts."""
@@ -158,7 +169,7 @@ class Model:
                 upto += 1
             codes, offsets = folded(texts[at:upto])
             sums, n = self._sums(codes, offsets)
-            letters[at:upto] = np.add.reduceat((codes != 32).astype(np.int64), offsets[:-1])
+            letters[at:upto] = np.add.reduceat(letters_of(codes), offsets[:-1])
             out[at:upto] = -sums / np.maximum(n, 1)[:, None]
             at = upto
         return out, letters
@@ -387,5 +398,5 @@ def rejects(text: Column, model: Model | None, spark) -> Column:
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 5."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+    """crc32 of the id as text, modulo 5; a null id counts as empty text, so it is 0."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))

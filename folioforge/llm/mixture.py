@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Each source's words, in a fixed order of its documents, are packed into blocks of ``block_words`` (the
-last one may be shorter). The mix has as many block slots as the targets ask for, in output shards of about
+last one may be shorter; sources of few words have smaller blocks, so that each has ``LEAST_BLOCKS`` of them or blocks of one word). The mix has as many block slots as the targets ask for, in output shards of about
 ``shard_slots``. A source's slots are dealt over the shards by a multinomial draw: down a tree of halves of the shards by
 binomial draws, and where few are left by a draw for each, all seeded by their place in the tree. So the counts of each
 source in each shard are multinomial, their totals over all shards are the targets, and a task finds the part of the
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from folioforge.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 128
+BLOCK_WORDS, LEAST_BLOCKS = 128, 64
 SHARD_SLOTS = 4096
 ROWS_PER_CHUNK = 4096
 #: So many chunks of documents, and of slots, are one group of the level above.
@@ -168,7 +168,7 @@ def _numbered(sized: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame, n: int, rows_per_chunk: int = ROWS_PER_CHUNK, fan: int = FAN) -> DataFrame:
-    """The rows (rid, doc_id, text_key, copy, size, source_no) with first, the place of their first word among their
+    """The rows (rid, doc_id, text_key, copy, size, source_no, block_words) with first, the place of their first word among their
     source's words.
 
     The sum runs in three steps, so that no task holds a whole source: rows are dealt into chunks by a hash, ``fan``
@@ -183,12 +183,12 @@ def packed(rows: DataFrame, n: int, rows_per_chunk: int = ROWS_PER_CHUNK, fan: i
     in_group = F.sum("s").over(Window.partitionBy("source_no", "grp").orderBy("chunk")) - F.col("s")
     starts = sums.withColumn("in_group", in_group).join(group_first, ["source_no", "grp"]).select("source_no", "chunk", (F.col("group_first") + F.col("in_group")).alias("chunk_first"))
     inside = F.sum("size").over(Window.partitionBy("source_no", "chunk").orderBy("doc_id", "text_key", "copy").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return dealt.withColumn("inside", inside).join(starts, ["source_no", "chunk"]).select("rid", "size", "source_no", (F.col("chunk_first") + F.col("inside")).alias("first"))
+    return dealt.withColumn("inside", inside).join(starts, ["source_no", "chunk"]).select("rid", "size", "source_no", "block_words", (F.col("chunk_first") + F.col("inside")).alias("first"))
 
 
 @dataclass
 class Mix:
-    sources: DataFrame  # source, source_no, source_size, target, blocks, draws
+    sources: DataFrame  # source, source_no, source_size, target, block_words, blocks, draws
     n_sources: int
     sized: DataFrame  # rid, doc_id, source, text_key, size, copy, many: a row for each document, in the shared folder
     pieces: DataFrame  # rid, source_no, block, begin, n (words of the row in the block)
@@ -199,15 +199,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # Texts are read and measured once: all sums run over this narrow table. A row's number is fixed by its being written.
     sized, _ = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"), *extra), "sizes")
     wanted = targets(ordered_sources(sized), weights, share, max_repeat)
-    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
+    own_block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"source_size div {LEAST_BLOCKS}"))).cast("long")
+    blocks = F.expr("(source_size + block_words - 1) div block_words")
     draws = F.when(F.col("source_size") > 0, F.least(F.rint(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * max_repeat)).otherwise(F.lit(0).cast("long"))
-    sources, _ = written(wanted.withColumn("blocks", blocks).withColumn("draws", draws), "sources")
+    sources, _ = written(wanted.withColumn("block_words", own_block).withColumn("blocks", blocks).withColumn("draws", draws), "sources")
     totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("draws").alias("d")).first()
     numbered = _numbered(sized)
-    with_no = _with_source(numbered.where("size > 0"), sources, totals["n"], "source_no")
+    with_no = _with_source(numbered.where("size > 0"), sources, totals["n"], "source_no", "block_words")
     inside = packed(with_no, sized.count(), rows_per_chunk, fan)
-    w = F.lit(block_words)
-    cut = inside.select("*", F.explode(F.sequence(F.expr(f"first div {block_words}"), F.expr(f"(first + size - 1) div {block_words}"))).alias("block"))
+    w = F.col("block_words")
+    cut = inside.select("*", F.explode(F.sequence(F.expr("first div block_words"), F.expr("(first + size - 1) div block_words"))).alias("block"))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * w - F.col("first"))
     end = F.least(F.col("size"), (F.col("block") + 1) * w - F.col("first"))
     pieces = cut.select("rid", "source_no", "block", begin.alias("begin"), (end - begin).alias("n"))

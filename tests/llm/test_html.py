@@ -162,3 +162,20 @@ def test_extract(spark):
     rows = html_density.extract(spark.createDataFrame([(1, None, None, "e"), (2, "u", page, "e"), (2, "u", page, "e")], "page_id long, url string, html string, text string")).collect()
     assert [r["n_chars"] for r in rows] == [0, *[len(html_density.main_text(page))] * 2]
     assert html_density.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+MARKS = "comments reader-comments post-comments user-comments comment-thread commentlist entry-comments respond ad-slot google-ad article-ad ad advert sponsored-content promo privacy-notice cookie-notice related-posts author-menu sidebar newsletter-signup".split()
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_marked_parts_of_articles_go(mark):
+    """Inside of an article, and behind one that is shorter; elements that hold the article, or its heading, stay whatever their marks."""
+    own = "<h1>Head</h1><p>One sentence of the text, and some more of it.</p>"
+    loud = "<p>Some words of a reader, many more than the article itself has, and again as many of them.</p>" * 4
+    for page in (
+        f"<body><article>{own}<div class='{mark}'>{loud}</div></article></body>",
+        f"<body><div><article>{own}</article></div><section class='{mark}'>{loud}</section></body>",
+        f"<body><div class='x-{mark}-layout'><article>{own}</article></div></body>",
+        f"<body><div class='post has-{mark}-below'><article>{own}<div class='{mark}'>{loud}</div></article></div></body>",
+    ):
+        assert html_density.main_text(page) == "Head\n\nOne sentence of the text, and some more of it."

@@ -91,3 +91,14 @@ def test_odd_texts(spark, docs):
     got = {r["doc_id"]: r for r in kneser_ney.predict(spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")), model).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (1, 2, 3)) and 0 < got[4]["score"] <= 1
     assert kneser_ney.train(docs.limit(0)) is None and kneser_ney.predict(docs.limit(5), None).where("lang_pred = 'und'").count() == 5
+
+
+def test_marks_are_no_letters(spark, docs):
+    model = kneser_ney.train(docs)
+    odd = spark.createDataFrame([(1, "́́"), (2, "12 ́!"), (3, None), (4, "é the words of a text")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in kneser_ney.predict(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
+
+
+def test_fold_of_no_id(spark):
+    assert spark.createDataFrame([(None,)], "doc_id long").select(kneser_ney.fold(F.col("doc_id")).alias("f")).first()["f"] == 0

@@ -113,3 +113,15 @@ def test_a_large_draw():
 def test_permutation():
     for n in (1, 2, 5, 1000):
         assert sorted(mixture.permuted(np.arange(n), n, 3)) == list(range(n))
+
+
+def test_tiny_sources(spark):
+    """Sources of fewer words than a block: what is taken is near the targets all the same."""
+    docs = docs_of(spark, [(10 * k + i, "w " * 20, "en", s) for k, s in enumerate("abc") for i in range(5)] + [(99, "one two three", "en", "d")])
+    rows = mixture.taken_words(docs).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r["source_size"], r["target"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+        target[r["source_size"], r["target"]] = r["target"]
+    assert all(abs(taken[k] - target[k]) <= 1 for k in target)
