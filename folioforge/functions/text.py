@@ -158,24 +158,6 @@ def strip_markdown(text: Column) -> Column:
     return text
 
 
-def markdown_class(line: Column) -> Column:
-    """What a line of Markdown is by itself."""
-    kinds = [
-        ("fence", "^(\\s*)(```+|~~~+)(.*)$"),
-        ("blank", "^\\s*$"),
-        ("rule", "^\\s*(?:-(?:\\s*-){2,}|\\*(?:\\s*\\*){2,}|_(?:\\s*_){2,})\\s*$"),
-        ("heading", "^(#{1,6})\\s+(.*)$"),
-        ("quote", "^\\s*>\\s?"),
-        ("bullet", "^(\\s*)([-*+])\\s+(.*)$"),
-        ("ordered", "^(\\s*)(\\d{1,9})[.)]\\s+(.*)$"),
-        ("table", "^\\s*\\|.*\\|\\s*$"),
-    ]
-    out = F.lit("text")
-    for kind, pattern in reversed(kinds):
-        out = F.when(line.rlike(pattern), kind).otherwise(out)
-    return out
-
-
 # The named references that the scanner knows.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 REFERENCE = "&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"

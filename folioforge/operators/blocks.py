@@ -10,14 +10,14 @@ from folioforge.functions import text as t
 
 
 def split_paragraphs(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Paragraphs between blank lines: keys, draft_ix, raw_text, char_offset (of the piece in the text). Blank
+    """Paragraphs between blank lines: keys, draft_ix, raw_text, char_offset (of the piece in the text, in UTF-16 units). Blank
     pieces go; line breaks are unified first. The offset sums what is before a piece, in a window that plans without it leave out."""
     body = t.unify_newlines(F.col(text))
     sep = "\\n[ \\t]*\\n"
     parts, gaps = F.split(body, sep, -1), F.regexp_extract_all(body, F.lit(sep), F.lit(0))
     cut = docs.select(*keys, parts.alias("parts"), gaps.alias("gaps"))
     rows = cut.select(*keys, F.posexplode(F.arrays_zip(F.col("parts").alias("part"), F.col("gaps").alias("gap"))).alias("draft_ix", "x"))
-    size = F.length("x.part") + F.coalesce(F.length("x.gap"), F.lit(0))
+    size = t.u16_length(F.col("x.part")) + F.coalesce(F.length("x.gap"), F.lit(0))
     at = F.sum(size).over(Window.partitionBy(*keys).orderBy("draft_ix")) - size
     told = rows.select(*keys, "draft_ix", F.col("x.part").alias("raw_text"), at.cast("long").alias("char_offset")).where(F.col("raw_text").isNotNull())
     return told.where(t.trim(F.col("raw_text")) != "")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import MARKUP
@@ -28,6 +28,15 @@ BLOCKS = "array<struct<type string, level int, raw_text string, char_offset long
 FLOWING = ("paragraph", "quote", "listItem")
 
 
+def line_class(line: Column) -> Column:
+    """What a line is by itself: fence, blank, rule, heading, quote, bullet, ordered, table or text."""
+    item = F.when(line.rlike(ITEM.pattern), F.when(line.rlike(r"^\s*\d"), "ordered").otherwise("bullet"))
+    out = F.coalesce(item, F.when(line.rlike(TABLE_ROW.pattern), "table"), F.lit("text"))
+    for kind, pattern in (("quote", QUOTE.pattern), ("heading", HEADING.pattern), ("rule", RULE.pattern), ("blank", r"^\s*$"), ("fence", FENCE.pattern)):
+        out = F.when(line.rlike(pattern), kind).otherwise(out)
+    return out
+
+
 def strip_inline(line: str) -> str:
     for p in _MARKUP:
         line = p.sub(r"\1", line)
@@ -88,8 +97,15 @@ def parse(text: str) -> Iterator[tuple[str, int | None, str, int]]:
 
 
 def _parsed(texts: pd.Series) -> pd.Series:
-    names = ("type", "level", "raw_text", "char_offset")
-    return texts.map(lambda t: None if t is None else [dict(zip(names, b, strict=True)) for b in parse(t)])
+    return texts.map(lambda t: None if t is None else list(_placed(t)))
+
+
+def _placed(text: str) -> Iterator[dict]:
+    """The blocks with their places in UTF-16 units."""
+    units = at = 0
+    for kind, level, body, place in parse(text):
+        units, at = units + len(text[at:place].encode("utf-16-le", "surrogatepass")) // 2, place
+        yield {"type": kind, "level": level, "raw_text": body, "char_offset": units}
 
 
 def blocks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

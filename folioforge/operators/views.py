@@ -67,6 +67,18 @@ def triple_segments(spans: DataFrame, key: str = "pair_id") -> DataFrame:
     return out.select(key, "row_ix", "seg_ix", F.when(F.col("eq"), "common").otherwise("divergent").alias("kind"), F.when(F.col("eq"), F.col("c")).alias("text"), F.when(~F.col("eq"), F.col("l")).alias("left_text"), F.when(~F.col("eq"), F.col("r")).alias("right_text"))
 
 
+def row_segments(rows: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The segments of all rows of a comparison (key, row_ix, kind, left_text, right_text, spans). An equal row is common (none
+    if it is empty); a row of one side, and a modified one without spans, is divergent, a missing side of it empty."""
+    inline = (F.col("kind") == "modify") & (F.coalesce(F.size("spans"), F.lit(0)) > 0)
+    spans = rows.where(inline).select(key, "row_ix", F.posexplode("spans").alias("span_ix", "s")).select(key, "row_ix", "span_ix", "s.*")
+    same = F.col("kind") == "equal"
+    text = F.coalesce("right_text", "left_text", F.lit(""))
+    side = lambda c: F.when(~same, F.coalesce(c, F.lit(""))).alias(c)
+    whole = rows.where(~inline & (~same | (text != ""))).select(key, "row_ix", F.lit(0).cast("long").alias("seg_ix"), F.when(same, "common").otherwise("divergent").alias("kind"), F.when(same, text).alias("text"), side("left_text"), side("right_text"))
+    return triple_segments(spans, key).unionByName(whole)
+
+
 def common_text(segments: DataFrame, key: str = "pair_id") -> DataFrame:
     """What both sides share: the common segments joined in order."""
     common = segments.where("kind = 'common'")

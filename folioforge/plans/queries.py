@@ -12,7 +12,7 @@ from folioforge.functions import similarity
 from folioforge.functions import text as t
 from folioforge.functions.scratch import stored
 from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
-from folioforge.sources import decode, files
+from folioforge.sources import decode, documents, files, hwp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,9 +92,15 @@ _BLOCK_TEXT = "trim(regexp_replace(raw_text, '[ \\t]+', ' ', 'g'), ' '||chr(10))
 _BLOCKS = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY draft_ix) - 1 AS block_ix, {_BLOCK_TEXT} AS text, raw_text FROM ({_LINES})"
 
 
-@query(f"SELECT doc_id, draft_ix::INT AS draft_ix, raw_text, (sum(length(raw_text) + 2) OVER (PARTITION BY doc_id ORDER BY draft_ix) - length(raw_text) - 2)::BIGINT AS char_offset FROM ({_PARTS}) QUALIFY trim(raw_text, ' '||chr(9)||chr(10)) <> ''")
+# Some characters beyond the basic plane are put in; each is two units of an offset.
+_FAR = _PARTS.replace("replace(text, chr(10), chr(10)||chr(10))", "replace(replace(text, 'the', chr(128512)), chr(10), chr(10)||chr(10))")
+_UNITS = "(length(raw_text) + length(raw_text) - length(replace(raw_text, chr(128512), '')) + 2)"
+
+
+@query(f"SELECT doc_id, draft_ix::INT AS draft_ix, raw_text, (sum({_UNITS}) OVER (PARTITION BY doc_id ORDER BY draft_ix) - {_UNITS})::BIGINT AS char_offset FROM ({_FAR}) QUALIFY trim(raw_text, ' '||chr(9)||chr(10)) <> ''")
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paragraphs(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit("the"), F.lit("\U0001F600")), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return blocks.split_paragraphs(docs)
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +321,53 @@ def common_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.common_text(views.triple_segments(_word_spans(spark, sf_dir)))
 
 
+_ROW_SEGMENTS = f"""{_KNOWN_PAIRS}
+    SELECT pair_id, left_ix::INT AS left_ix, right_ix::INT AS right_ix, seg_ix, CASE WHEN kind = 'equal' OR (kind = 'modify' AND seg_ix = 0) THEN 'common' ELSE 'divergent' END AS kind,
+      CASE WHEN kind = 'equal' OR (kind = 'modify' AND seg_ix = 0) THEN left_text END AS text,
+      CASE WHEN kind = 'delete' THEN left_text WHEN kind = 'insert' OR (kind = 'modify' AND seg_ix = 1) THEN '' END AS left_text,
+      CASE WHEN kind = 'insert' THEN right_text WHEN kind = 'delete' THEN '' WHEN kind = 'modify' AND seg_ix = 1 THEN ' revised' END AS right_text
+    FROM d, range(2) r(seg_ix) WHERE seg_ix = 0 OR kind = 'modify'"""
+
+
+def _row_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = stored(diff.diff_rows(*_known_pairs(spark, sf_dir)), "diff")
+    return rows, views.row_segments(rows)
+
+
+@query(_ROW_SEGMENTS)
+def row_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, segments = _row_segments(spark, sf_dir)
+    return segments.join(rows.select("pair_id", "row_ix", "left_ix", "right_ix"), ["pair_id", "row_ix"]).drop("row_ix")
+
+
+@query(f"SELECT pair_id, string_agg(text, '' ORDER BY left_ix) AS common_text FROM ({_ROW_SEGMENTS}) WHERE kind = 'common' GROUP BY 1")
+def agreed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both sides of a pair share, over all its rows."""
+    return views.common_text(_row_segments(spark, sf_dir)[1])
+
+
+# Pairs of many blocks that are alike: a block is one of a few texts by its place, and sides differ in what is dropped and put in.
+def _alike_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = _blocks(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), "block_ix", F.concat(F.lit("line "), (F.length("text") % 4).cast("string")).alias("text"))
+    place = F.col("pair_id") + F.col("block_ix")
+    return own, own.where(place % 6 != 1).withColumn("text", F.when(place % 8 == 2, "line 9").otherwise(F.col("text")))
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id AS pair_id, block_ix, 'line ' || length(text) % 4 AS text FROM ({_BLOCKS})),
+    r AS (SELECT pair_id, CASE WHEN (pair_id + block_ix) % 8 = 2 THEN 'line 9' ELSE text END AS text FROM l WHERE (pair_id + block_ix) % 6 <> 1)
+    SELECT pair_id, (SELECT coalesce(string_agg(text, '|' ORDER BY text), '') FROM l WHERE l.pair_id = p.pair_id) AS left_texts, (SELECT coalesce(string_agg(text, '|' ORDER BY text), '') FROM r WHERE r.pair_id = p.pair_id) AS right_texts, true AS ordered
+    FROM (SELECT DISTINCT pair_id FROM l) p""")
+def diff_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pairs of blocks that are mostly alike: the texts of each side of their rows, and whether rows are numbered without gaps and equal
+    rows rise on both sides."""
+    rows = diff.diff_rows(*_alike_pairs(spark, sf_dir))
+    order = Window.partitionBy("pair_id", F.col("kind") == "equal").orderBy("row_ix")
+    fine = (F.col("kind") != "equal") | F.coalesce((F.col("left_ix") > F.lag("left_ix").over(order)) & (F.col("right_ix") > F.lag("right_ix").over(order)), F.lit(True))
+    texts = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "|")
+    return rows.withColumn("fine", fine).groupBy("pair_id").agg(texts("left_text").alias("left_texts"), texts("right_text").alias("right_texts"), (F.min("fine") & (F.max("row_ix") == F.count(F.lit(1)) - 1)).alias("ordered"))
+
+
 # Characters that the report counts are put in: control, replacement, private, jamo, Hangul, and one beyond the basic plane.
 _DIRT = ((" was ", "\x01", "chr(1)"), ("eau", "\ufffd", "chr(65533)"), ("sch", "\ue000", "chr(57344)"), (" th", "\u1100\u3131", "chr(4352)||chr(12593)"), ("ing", "\uac01", "chr(44033)"), (" de ", "\U0001f600", "chr(128512)"), (" el ", "\x7f", "chr(127)"))
 
@@ -540,6 +593,29 @@ def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.over_pages(_pdf_drafts(spark, sf_dir)).select("doc_id", "block_ix", "page", "type", "text", "joined")
 
 
+# A document's blocks as pages of 20 items each; as fonts change from line to line, every line is a paragraph of its own.
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    at = F.col("block_ix") % 20
+    found = _blocks(spark, sf_dir).select("doc_id", F.floor(F.col("block_ix") / 20).cast("int").alias("page"), at.cast("int").alias("ix"), F.concat(F.lit("“"), "text").alias("str"), F.lit(50.0).alias("x"), (700.0 - at * 20).alias("y"), F.lit(500.0).alias("width"), F.lit(10.0).alias("height"), F.concat(F.lit("F"), (F.col("block_ix") % 2).cast("string")).alias("font_name"), F.lit(0).alias("rotation"))
+    return found, found.select("doc_id", "page").distinct().select("*", F.lit(600.0).alias("width"), F.lit(0.0).alias("y_min"), F.lit(2000.0).alias("y_max"))
+
+
+_PDF = f"""
+    WITH d AS (SELECT doc_id, block_ix // 20 AS page, block_ix, regexp_replace('“' || text, '\\s+', ' ', 'g') AS text FROM ({_BLOCKS})),
+    c AS (SELECT doc_id, sum(length('“' || text)) AS chars, count(DISTINCT block_ix // 20) AS pages FROM ({_BLOCKS}) GROUP BY 1),
+    j AS (SELECT *, CASE WHEN lag(page) OVER w < page AND NOT lag({_ENDS.replace("body", "text")}) OVER w AND NOT ({_BEGINS}) THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY block_ix)),
+    k AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY block_ix) - 1)::BIGINT AS ix FROM j),
+    b AS (SELECT doc_id, ix, min(page) AS page, string_agg(text, ' ' ORDER BY block_ix) AS raw_text FROM k GROUP BY ALL)"""
+
+
+@query(f"""{_PDF}
+    SELECT doc_id, ix::INT AS block_ix, lower(to_base(ix, 36)) || '-' || lower(to_base({_FNV}::BIGINT, 36)) AS block_id, 'paragraph' AS type, text, raw_text, (page + 1)::INT AS page, char_offset
+    FROM (SELECT *, {_sql_normal(t.DEFAULTS["pdf"], "raw_text")} AS text, (sum(length(raw_text)) OVER (PARTITION BY doc_id ORDER BY ix) - length(raw_text))::BIGINT AS char_offset FROM b) JOIN c USING (doc_id) WHERE chars / pages >= 50""")
+def parsed_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed text into finished blocks; documents of few characters a page have none."""
+    return geometry.parse(*_placed(spark, sf_dir))[1].drop("level")
+
+
 @query("""SELECT doc_id, CASE WHEN heavy AND d = 'suspect' THEN 'scanned' WHEN heavy AND d = 'text' AND per < 400 THEN 'suspect' ELSE d END AS density
     FROM (SELECT *, CASE WHEN per < 50 THEN 'scanned' WHEN per < 200 THEN 'suspect' ELSE 'text' END AS d, pages > 0 AND images > 0.8 * pages AS heavy FROM (SELECT doc_id, doc_id % 8 AS pages, doc_id % 8 * (doc_id % 2) AS images, CASE WHEN doc_id % 8 > 0 THEN length(text) / (doc_id % 8) ELSE 0 END AS per FROM documents))""")
 def scan_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +638,7 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, block_ix::INT AS block_ix, ['heading', 'bullet', 'ordered', 'quote', 'fence', 'table', CASE WHEN text ~ '^\\d{{1,9}}[.)]\\s.*' THEN 'ordered' ELSE 'text' END, 'text', 'rule'][(doc_id + block_ix) % 9 + 1] AS kind FROM ({_BLOCKS})")
 def md_line_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _markdown(spark, sf_dir).select("doc_id", "block_ix", t.markdown_class(F.col("line")).alias("kind"))
+    return _markdown(spark, sf_dir).select("doc_id", "block_ix", markdown.line_class(F.col("line")).alias("kind"))
 
 
 @query("SELECT doc_id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext, CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'markdown' THEN 'text' WHEN 'docx' THEN 'docx' WHEN 'pdf' THEN 'pdf' WHEN 'hwp' THEN 'hwp' WHEN 'hwpx' THEN 'hwp' END AS fmt_group FROM (SELECT doc_id, source || '.' || ['TXT','md','markdown','docx','pdf','hwp','hwpx','exe'][doc_id % 8 + 1] AS name FROM documents)")
@@ -685,3 +761,79 @@ def side_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.where(F.exists("spans", lambda x: x["kind"] != "insert") & F.exists("spans", lambda x: x["kind"] != "delete"))
     show = lambda side: views.side_text(F.lit("modify"), F.col("spans"), F.lit(None), F.lit(None), side)
     return rows.select("pair_id", "row_ix", show("left").alias("left_text"), show("right").alias("right_text"))
+
+
+_LOUD = t.Options(ignore_case=True, normalize_punct=True)
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY draft_ix) - 1)::INT AS block_ix, text, raw_text FROM (SELECT doc_id, draft_ix, raw_text, {_sql_normal(_LOUD, 'raw_text')} AS text FROM ({_LINES})) WHERE text <> ''")
+def renormalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that were stored with their raw text, under other options; nothing is parsed again."""
+    return blocks.renormalize(stored(_blocks(spark, sf_dir).select("doc_id", "block_ix", "text", "raw_text"), "parsed"), _LOUD).select("doc_id", "block_ix", "text", "raw_text")
+
+
+# Files of the documents: UTF-8, UTF-16 with and without a mark, empty, and what only begins like a PDF or DOCX file.
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way, raw = F.col("doc_id") % 6, F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    bytes_of = F.when(way == 0, F.encode(raw, "UTF-8")).when(way == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(raw, "UTF-16LE"))).when(way == 2, F.encode(raw, "UTF-16LE"))
+    bytes_of = bytes_of.when(way == 4, F.concat(F.encode(F.lit("%PDF-1.7\n"), "UTF-8"), F.encode(raw, "UTF-8"))).when(way == 5, F.concat(F.unhex(F.lit("504B0304")), F.encode(raw, "UTF-8"))).otherwise(F.unhex(F.lit("")))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(way == 4, ".pdf").when(way == 5, ".docx").otherwise(".txt"))
+    return _table(spark, sf_dir, "documents").where("length(text) >= 40").select(name.alias("path"), bytes_of.alias("content")).withColumn("length", F.length("content").cast("long"))
+
+
+_FILES = f"""
+    WITH f AS (SELECT doc_id, text, doc_id % 6 AS way, doc_id || CASE doc_id % 6 WHEN 4 THEN '.pdf' WHEN 5 THEN '.docx' ELSE '.txt' END AS path FROM documents WHERE length(text) >= 40),
+    n AS (SELECT doc_id, count(*) AS n FROM ({_BLOCKS}) GROUP BY 1),
+    p AS (SELECT f.*, CASE way WHEN 3 THEN 'EMPTY_FILE' WHEN 4 THEN 'UNSUPPORTED_FORMAT' WHEN 5 THEN 'CORRUPTED' END AS error, CASE WHEN way < 2 THEN 1.0 WHEN way = 2 THEN 0.7 END::DOUBLE AS confidence, CASE WHEN way < 3 THEN coalesce(n.n, 0) ELSE 0 END::BIGINT AS n_blocks FROM f LEFT JOIN n USING (doc_id))"""
+
+
+@query(f"{_FILES} SELECT path, CASE WHEN way = 3 THEN NULL WHEN way = 4 THEN 'pdf' WHEN way = 5 THEN 'docx' ELSE 'txt' END AS format, confidence, n_blocks, error FROM p")
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of files of several encodings, and of those that are refused."""
+    return documents.parse_files(_files(spark, sf_dir)).docs.select("path", "format", "confidence", "n_blocks", "error")
+
+
+@query(f"{_FILES} SELECT path, 'ENCODING_GUESS' AS code, 'warn' AS severity FROM p WHERE way = 2")
+def parse_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.parse_files(_files(spark, sf_dir)).warnings.select("path", "code", "severity")
+
+
+def _file_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = stored(documents.parse_files(_files(spark, sf_dir)).docs, "docs")
+    number = F.split("path", "\\.")[0].cast("long")
+    sides = docs.select(number.alias("pair_id"), F.col("path").alias("left_path")).join(docs.select((number - 1).alias("pair_id"), F.col("path").alias("right_path")), "pair_id")
+    return sides, docs
+
+
+_GATE = f"{_FILES} SELECT l.doc_id AS pair_id, {{}}.path AS left_path, {{}}.path AS right_path, coalesce({{}}.error, {{}}.error) AS refused FROM p l JOIN p r ON r.doc_id = l.doc_id + 1".format
+
+
+@query(_GATE("l", "r", "l", "r"))
+def pair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.gate(*_file_pairs(spark, sf_dir))
+
+
+@query(_GATE("r", "l", "r", "l"))
+def swapped_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their sides exchanged: the other side's error comes first."""
+    pairs, docs = _file_pairs(spark, sf_dir)
+    return documents.gate(documents.swap(pairs), docs)
+
+
+# A section of records for each document: of each line a paragraph header, and its text as units, with a tab as a control of eight units.
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    little = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.pmod(F.shiftrightunsigned(n.cast("long"), 8 * k), F.lit(256))), 2, "0") for k in range(4)]))
+    record = lambda tag, payload: F.concat(little(F.lit(tag) + F.shiftleft(F.least(F.length(payload), F.lit(0xFFF)).cast("long"), 20)), F.when(F.length(payload) >= 0xFFF, little(F.length(payload))).otherwise(F.unhex(F.lit(""))), payload)
+    units = lambda line: F.encode(F.replace(line, F.lit(" of "), F.lit("\t1234567")), "UTF-16LE")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.hex(F.concat(record(66, F.unhex(F.lit("00"))), record(67, units(x)))))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array(F.unhex(F.array_join(lines, ""))).alias("sections"))
+
+
+_HWP_TEXT = "replace(x, ' of ', chr(9))"
+
+
+@query(f"""SELECT path, (row_number() OVER (PARTITION BY path ORDER BY i) - 1)::INT AS draft_ix, 0 AS section, raw_text, (sum(length(raw_text)) OVER (PARTITION BY path ORDER BY i) - length(raw_text))::BIGINT AS char_offset
+    FROM (SELECT doc_id::VARCHAR AS path, i, {_HWP_TEXT} AS raw_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE trim(raw_text, ' '||chr(9)) <> ''""")
+def hwp_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary records of sections into paragraphs."""
+    return hwp.paragraphs(hwp.section_records(_sections(spark, sf_dir)))

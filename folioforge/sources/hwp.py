@@ -208,6 +208,11 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return whole.select("path", (F.row_number().over(order) - 1).cast("int").alias("draft_ix"), "section", "raw_text", (F.sum(size).over(order) - size).cast("long").alias("char_offset"))
 
 
+def utf16(raw: Column) -> Column:
+    """Little-endian UTF-16; what isn't is replaced."""
+    return F.pandas_udf(lambda x: x.map(lambda b: None if b is None else bytes(b).decode("utf-16-le", "replace")), "string")(raw)
+
+
 def read_hwp(contents: DataFrame, options: t.Options = t.DEFAULTS["hwp"]) -> tuple[DataFrame, DataFrame]:
     """(docs, blocks) of HWP files (path, content). docs: path, version, sections, confidence, warnings (comma-joined), error.
 
@@ -218,7 +223,7 @@ def read_hwp(contents: DataFrame, options: t.Options = t.DEFAULTS["hwp"]) -> tup
     body = b.finish_blocks(paragraphs(rows), options, keys=("path",)).withColumn("type", F.lit("paragraph"))
     sizes = body.groupBy("path").agg(F.sum(t.u16_length(F.col("text"))).alias("chars"))
     # Whole code points of an even number of bytes.
-    preview = strip_controls(t.unify_newlines(F.decode(F.col("preview"), "UTF-16LE")))
+    preview = strip_controls(t.unify_newlines(utf16(F.col("preview"))))
     even = F.when(F.col("preview").isNotNull(), F.expr("substring(preview, 1, length(preview) div 2 * 2)"))
     shown = files.withColumn("preview", even).select("path", "error", "version", F.size("sections").alias("sections"), t.trim(preview).alias("preview")).join(sizes, "path", "left").na.fill(0, ["chars"])
     tables = rows.where(F.col("tag") == TABLE).select("path").distinct().withColumn("tables", F.lit(True))

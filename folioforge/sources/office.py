@@ -159,7 +159,7 @@ def parse(content: bytes, fmt: str) -> dict:
                 raise Refused("CORRUPTED")
             for type_, level, text, section in (hwpx if fmt == "hwpx" else docx)(archive, warnings):
                 blocks.append({"type": type_, "level": level, "raw_text": text, "section": section, "char_offset": at})
-                at += len(text)
+                at += len(text.encode("utf-16-le", "surrogatepass")) // 2
     except Refused as error:
         return {"blocks": [], "warnings": warnings, "error": str(error)}
     except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, RecursionError, EOFError, NotImplementedError, RuntimeError):
