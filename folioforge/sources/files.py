@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def extension(name: Column) -> Column:
 
 
 def _mapped(key: Column, table: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def format_of_extension(ext: Column) -> Column:
@@ -46,15 +50,21 @@ def zero_pattern(head: Column) -> Column:
 
 def sniff(content: Column) -> Column:
     """pdf, cfb or zip by the first bytes, else text or binary."""
-    head = F.hex(F.substring(content, 1, 4096))
-    zeros = F.size(F.filter(F.regexp_extract_all(head, F.lit("[0-9A-F]{2}"), F.lit(0)), lambda b: b == "00"))
-    text = head.startswith("FFFE") | head.startswith("FEFF") | (zeros * 100 < F.greatest(F.length(head) / 2, F.lit(1))) | zero_pattern(head)
-    return F.coalesce(_mapped(F.substring(head, 1, 8), MAGIC), F.when(text, "text").otherwise("binary"))
+
+    def told(head: Column) -> Column:
+        zeros = F.size(F.filter(F.regexp_extract_all(head, F.lit("[0-9A-F]{2}"), F.lit(0)), lambda b: b == "00"))
+        text = head.startswith("FFFE") | head.startswith("FEFF") | (zeros * 100 < F.greatest(F.length(head) / 2, F.lit(1))) | zero_pattern(head)
+        return F.coalesce(_mapped(F.substring(head, 1, 8), MAGIC), F.when(text, "text").otherwise("binary"))
+
+    return _bound(F.hex(F.substring(content, 1, 4096)), told)
 
 
 def resolve(name: Column, content: Column) -> Column:
     """The format: the content's, with the name where it leaves a choice; null for binary files."""
-    declared, seen = format_of_extension(extension(name)), sniff(content)
+    return _bound(F.struct(format_of_extension(extension(name)).alias("declared"), sniff(content).alias("seen")), lambda x: _chosen(x["declared"], x["seen"]))
+
+
+def _chosen(declared: Column, seen: Column) -> Column:
     return (
         F.when(seen == "pdf", "pdf").when(seen == "cfb", "hwp")
         .when(seen == "zip", F.when(declared == "hwpx", "hwpx").otherwise("docx"))
@@ -64,9 +74,13 @@ def resolve(name: Column, content: Column) -> Column:
 
 def resolved(name: Column, content: Column) -> Column:
     """format, mismatch (whether the name says another one) and error: names and contents of no known format are refused."""
-    declared, actual = format_of_extension(extension(name)), resolve(name, content)
-    known = declared.isNotNull() & actual.isNotNull()
-    return F.struct(F.when(known, actual).alias("format"), (known & (actual != declared)).alias("mismatch"), F.when(~known, "UNSUPPORTED_FORMAT").alias("error"))
+
+    def told(x: Column) -> Column:
+        declared, actual = x["declared"], x["actual"]
+        known = declared.isNotNull() & actual.isNotNull()
+        return F.struct(F.when(known, actual).alias("format"), (known & (actual != declared)).alias("mismatch"), F.when(~known, "UNSUPPORTED_FORMAT").alias("error"))
+
+    return _bound(F.struct(format_of_extension(extension(name)).alias("declared"), resolve(name, content).alias("actual")), told)
 
 
 def size_error(length: Column) -> Column:
