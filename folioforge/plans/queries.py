@@ -12,7 +12,7 @@ from folioforge.functions import similarity
 from folioforge.functions import text as t
 from folioforge.functions.scratch import stored
 from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
-from folioforge.sources import decode, documents, files, hwp
+from folioforge.sources import decode, documents, files, hwp, office
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -837,3 +837,32 @@ _HWP_TEXT = "replace(x, ' of ', chr(9))"
 def hwp_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary records of sections into paragraphs."""
     return hwp.paragraphs(hwp.section_records(_sections(spark, sf_dir)))
+
+
+# The part of a DOCX file for each document: its lines as headings, list items, tables of two cells, and paragraphs with a tab and deleted text.
+def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    run = lambda x: F.concat(F.lit("<w:r><w:t>"), safe(x), F.lit("</w:t></w:r>"))
+    para = lambda props, x: F.concat(F.lit("<w:p><w:pPr>"), props, F.lit("</w:pPr>"), run(x), F.lit("</w:p>"))
+
+    def block(x, i):
+        number = lambda n: n.cast("string")
+        heading = para(F.concat(F.lit('<w:pStyle w:val="Heading'), number(i % 3 + 1), F.lit('"/>')), x)
+        item = para(F.concat(F.lit('<w:numPr><w:ilvl w:val="'), number(i % 2), F.lit('"/></w:numPr>')), x)
+        table = F.concat(F.lit("<w:tbl><w:tr><w:tc>"), para(F.lit(""), x), F.lit("</w:tc><w:tc><w:p/></w:tc><w:tc>"), para(F.lit(""), F.lit("x")), F.lit("</w:tc></w:tr></w:tbl>"))
+        plain = F.concat(F.lit("<w:p>"), run(x), F.lit("<w:r><w:tab/><w:t>end</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del></w:p>"))
+        return F.when(i % 7 == 0, heading).when(i % 7 == 3, item).when(i % 7 == 5, table).otherwise(plain)
+
+    body = F.array_join(F.transform(F.split("text", "\n", -1), block), "")
+    part = F.struct(F.lit(0).alias("section"), F.concat(F.lit('<?xml version="1.0"?><w:document xmlns:w="u"><w:body>'), body, F.lit("</w:body></w:document>")).alias("xml"))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("docx").alias("format"), F.lit(None).cast("string").alias("error"), F.array(part).alias("parts"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id::VARCHAR AS path, i - 1 AS i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    b AS (SELECT *, CASE WHEN i % 7 = 5 THEN trim(x, ' ' || chr(9)) || ' |  | x' WHEN i % 7 IN (0, 3) THEN x ELSE x || chr(9) || 'end' END AS raw_text FROM l)
+    SELECT path, i::INT AS draft_ix, CASE i % 7 WHEN 0 THEN 'heading' WHEN 3 THEN 'listItem' WHEN 5 THEN 'table' ELSE 'paragraph' END AS type, CASE i % 7 WHEN 0 THEN i % 3 + 1 WHEN 3 THEN i % 2 END::INT AS level, raw_text,
+      (sum(length(raw_text)) OVER (PARTITION BY path ORDER BY i) - length(raw_text))::BIGINT AS char_offset FROM b""")
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, list items, headings and tables of DOCX parts, from their event rows."""
+    return office.drafts(_docx(spark, sf_dir)).drop("section")

@@ -47,8 +47,7 @@ def parse_files(contents: DataFrame, options: dict[str, t.Options] = t.DEFAULTS)
     text_blocks = parse.text_blocks(texts.select("path", "format", "text"), options["text"])
     text_docs = texts.select("path", decode.confidence(F.col("guessed")).alias("confidence"), F.when(F.col("guessed"), F.array(F.lit("ENCODING_GUESS"))).otherwise(F.array().cast("array<string>")).alias("codes"), F.lit(None).cast("string").alias("parse_error"))
 
-    zipped = office.read_office(fine.select("path", "content", "format"))
-    drafts = office.drafts(zipped.where("error is null"))
+    zipped, drafts = office.read_office(fine.select("path", "content", "format"))
     office_blocks = b.finish_blocks(drafts, options["docx"], keys=("path",))
     office_docs = zipped.select("path", F.lit(0.95).alias("confidence"), F.col("warnings").alias("codes"), F.col("error").alias("parse_error"))
 

@@ -1,4 +1,13 @@
-"""DOCX and HWPX files, which are XML in a zip, into blocks."""
+"""DOCX and HWPX files, which are XML in a zip, into blocks.
+
+A task only opens the zip. The parts become event rows (``operators.xml``), and all else is told from these by windows over a part in
+order: how many elements of a kind are open at an event, and which was opened last among those at the same depth. So a text knows its
+paragraph, a paragraph its cell, row and outermost table, and what is deleted or a property is left out; paragraphs, cells,
+rows and tables are then put together by grouping.
+
+A paragraph within a paragraph (a text box) is a block of its own after it. A table is one block: rows are lines, cells are
+parted by ' | ', and a cell has the lines of all its paragraphs, those of tables inside of it too.
+"""
 
 from __future__ import annotations
 
@@ -6,184 +15,189 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from folioforge.functions import text as t
+from folioforge.operators import xml
 
 # Limits, names of heading styles, elements that stand for one character.
 MAX_ENTRIES, MAX_XML = 2000, 256 << 20
-DOCX_HEADING = re.compile(r"^(?:heading|제목|개요)\s*([1-9])$", re.IGNORECASE)
-HWPX_HEADING = re.compile(r"(?:개요|제목)\s*([1-9])|^(?:outline|heading)\s*([1-9])$", re.IGNORECASE)
-QUOTE = re.compile("quote|인용", re.IGNORECASE)
+DOCX_HEADING = r"(?i)^(?:heading|제목|개요)\s*([1-9])$"
+HWPX_HEADING = r"(?i)(?:개요|제목)\s*([1-9])|^(?:outline|heading)\s*([1-9])$"
+QUOTE = "(?i)quote|인용"
 CHARACTERS = {"tab": "\t", "br": "\n", "cr": "\n", "lineBreak": "\n"}
 
-PARSED = "struct<blocks array<struct<type string, level int, raw_text string, section int, char_offset long>>, warnings array<string>, error string>"
-Node = ElementTree.Element
+OPENED = "struct<error string, warnings array<string>, parts array<struct<section int, xml string>>>"
+PART = ["path", "section"]
+#: The section of a part that holds styles, and of the only part of a DOCX file.
+HEADER, WHOLE = -1, 0
 
 
 class Refused(Exception):
     """The file can't be read; the argument says why."""
 
 
-def local(name: str) -> str:
-    return name.rpartition("}")[2]
-
-
-def value(node: Node | None, key: str = "val") -> str | None:
-    return None if node is None else next((v for k, v in node.attrib.items() if local(k) == key), None)
-
-
-def nearest(node: Node, name: str, stop: tuple[str, ...] = ("tbl",)) -> Iterator[Node]:
-    """Descendants of a name, from the outside; not those inside of each other or of ``stop``."""
-    for child in node:
-        if local(child.tag) == name:
-            yield child
-        elif local(child.tag) not in stop:
-            yield from nearest(child, name, stop)
-
-
-def paragraph_text(node: Node) -> tuple[str, list[Node]]:
-    """The text of a paragraph without what is deleted, and the paragraphs and tables that lie inside of it."""
-    parts: list[str] = []
-    inner: list[Node] = []
-
-    def go(parent: Node, in_text: bool) -> None:
-        if in_text:
-            parts.append(parent.text or "")
-        for child in parent:
-            name = local(child.tag)
-            if name in ("p", "tbl"):
-                inner.append(child)
-            elif name in CHARACTERS or (name == "ctrl" and value(child, "id") == "tab"):
-                parts.append(CHARACTERS.get(name, "\t"))
-            elif name not in ("pPr", "del"):
-                go(child, name == "t")
-            if in_text:
-                parts.append(child.tail or "")
-
-    go(node, False)
-    return "".join(parts), inner
-
-
-def table_text(table: Node) -> tuple[str, bool]:
-    """Rows as lines, cells between ' | '; a cell has the lines of its paragraphs, those of tables inside of it too."""
-    rows = [[("\n".join(paragraph_text(p)[0] for p in cell.iter() if local(p.tag) == "p")).strip() for cell in nearest(row, "tc")] for row in nearest(table, "tr")]
-    rows = [r for r in rows if r]
-    return "\n".join(" | ".join(r) for r in rows), bool(rows)
-
-
-def docx_kind(paragraph: Node) -> tuple[str, int | None]:
-    found = {local(n.tag): n for pr in nearest(paragraph, "pPr", ("p", "tbl")) for n in pr.iter()}
-    style, outline = value(found.get("pStyle")), value(found.get("outlineLvl"))
-    if style and (m := DOCX_HEADING.match(style)):
-        return "heading", int(m[1])
-    if outline and outline.isdecimal() and int(outline) <= 8:
-        return "heading", int(outline) + 1
-    if "numPr" in found:
-        depth = value(found.get("ilvl")) or "0"
-        return "listItem", int(depth) if depth.isdecimal() else 0
-    return ("quote" if style and QUOTE.search(style) else "paragraph"), None
-
-
-def blocks_of(node: Node, kind) -> Iterator[tuple[str, int | None, str]]:
-    """Blocks below a node in document order; ``kind`` gives type and level of a paragraph."""
-    for child in node:
-        name = local(child.tag)
-        if name == "p":
-            text, inner = paragraph_text(child)
-            yield *kind(child), text
-            holder = ElementTree.Element("inner")
-            holder.extend(inner)
-            yield from blocks_of(holder, kind)
-        elif name == "tbl":
-            text, any_rows = table_text(child)
-            if any_rows:
-                yield "table", None, text
-        elif name != "del":
-            yield from blocks_of(child, kind)
-
-
-def _root(archive: zipfile.ZipFile, name: str) -> Node | None:
+def _part(archive: zipfile.ZipFile, name: str) -> tuple[str, dict[str, str]] | None:
+    """The text of a well-formed part with the attributes of its first element; None if the archive hasn't got it."""
     try:
         entry = archive.getinfo(name)
     except KeyError:
         return None
     if entry.file_size > MAX_XML:
         raise Refused("OUT_OF_MEMORY")
-    return ElementTree.fromstring(archive.read(entry))
+    raw, first = archive.read(entry), []
+    parser = expat.ParserCreate()
+    parser.StartElementHandler = lambda _, attributes: first or first.append(attributes)
+    parser.Parse(raw, True)
+    text = raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig", "replace")
+    return text.replace("\r\n", "\n").replace("\r", "\n"), first[0]
 
 
-def docx(archive: zipfile.ZipFile, warnings: list[str]) -> Iterator[tuple[str, int | None, str, int | None]]:
-    root = _root(archive, "word/document.xml")
-    if root is None:
+def _docx(archive: zipfile.ZipFile) -> tuple[list[dict], list[str]]:
+    body = _part(archive, "word/document.xml")
+    if body is None:
         raise Refused("CORRUPTED")
-    for block in blocks_of(root, docx_kind):
-        yield *block, None
-
-
-def hwpx(archive: zipfile.ZipFile, warnings: list[str]) -> Iterator[tuple[str, int | None, str, int | None]]:
-    header = _root(archive, "Contents/header.xml")
-    levels: dict[str | None, int] = {}
-    for styles in () if header is None else nearest(header, "styles"):
-        for style in nearest(styles, "style"):
-            if m := HWPX_HEADING.search(value(style, "name") or value(style, "engName") or ""):
-                levels[value(style, "id")] = int(m[1] or m[2])
-    declared = value(header, "secCnt") or "0"
-    present = sum(bool(re.fullmatch(r"Contents/section\d+\.xml", n, re.IGNORECASE)) for n in archive.namelist())
+    return [{"section": WHOLE, "xml": body[0]}], []
 
-    def kind(paragraph: Node) -> tuple[str, int | None]:
-        level = levels.get(value(paragraph, "styleIDRef"))
-        return ("paragraph" if level is None else "heading"), level
 
+def _hwpx(archive: zipfile.ZipFile) -> tuple[list[dict], list[str]]:
+    header = _part(archive, "Contents/header.xml")
+    parts = [{"section": HEADER, "xml": header[0]}] if header else []
+    declared = next((v for k, v in header[1].items() if k.rpartition(":")[2] == "secCnt"), "0") if header else "0"
+    present = sum(bool(re.fullmatch(r"Contents/section\d+\.xml", n, re.IGNORECASE)) for n in archive.namelist())
+    warnings = []
     # A declared count can't exceed what an archive may hold.
     for section in range(max(min(int(declared), MAX_ENTRIES) if declared.isdecimal() else 0, present, 1)):
-        root = _root(archive, f"Contents/section{section}.xml")
-        if root is None:
+        body = _part(archive, f"Contents/section{section}.xml")
+        if body is None:
             warnings.append("HWPX_SECTION_MISSING")
-            continue
-        for block in blocks_of(root, kind):
-            yield *block, section
-    warnings.append("HWP_NO_PAGE_INFO")
+        else:
+            parts.append({"section": section, "xml": body[0]})
+    return parts, [*warnings, "HWP_NO_PAGE_INFO"]
 
 
-def parse(content: bytes, fmt: str) -> dict:
-    """Blocks, warnings and error of a file; a file with an error has no blocks."""
-    warnings: list[str] = []
-    blocks, at = [], 0
+def unzipped(content: bytes, fmt: str) -> dict:
+    """The XML parts of a file, warnings and error."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             if len(archive.infolist()) > MAX_ENTRIES:
                 raise Refused("CORRUPTED")
-            for type_, level, text, section in (hwpx if fmt == "hwpx" else docx)(archive, warnings):
-                blocks.append({"type": type_, "level": level, "raw_text": text, "section": section, "char_offset": at})
-                at += len(text.encode("utf-16-le", "surrogatepass")) // 2
+            parts, warnings = (_hwpx if fmt == "hwpx" else _docx)(archive)
     except Refused as error:
-        return {"blocks": [], "warnings": warnings, "error": str(error)}
-    except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, RecursionError, EOFError, NotImplementedError, RuntimeError):
-        return {"blocks": [], "warnings": warnings, "error": "CORRUPTED"}
-    if any(b["type"] == "table" for b in blocks):
-        warnings.append("TABLE_FLATTENED")
-    empty = not any(b["raw_text"].strip() for b in blocks)
-    if empty and fmt == "docx":
-        warnings.append("PARTIAL_PARSE")
-    return {"blocks": blocks, "warnings": warnings, "error": "CORRUPTED" if empty and fmt == "hwpx" else None}
-
-
-def _parsed(contents: pd.Series, formats: pd.Series) -> pd.DataFrame:
-    rows = [{"blocks": None, "warnings": None, "error": None} if c is None else parse(bytes(c), f) for c, f in zip(contents, formats, strict=True)]
-    return pd.DataFrame(rows, columns=["blocks", "warnings", "error"])
-
-
-def read_office(contents: DataFrame) -> DataFrame:
-    """path, format, blocks, warnings, error of files (path, content, format): a row for each DOCX or HWPX file. A file
-    is one row and is read by one task; null content has null results."""
-    chosen = contents.where(F.col("format").isin("docx", "hwpx")).select("path", "format", F.pandas_udf(_parsed, PARSED)("content", "format").alias("p"))
-    return chosen.select("path", "format", "p.*")
-
-
-def drafts(parsed: DataFrame) -> DataFrame:
-    """Draft blocks of read_office's rows: path, draft_ix, type, level, raw_text, section, char_offset."""
-    return parsed.select("path", F.posexplode("blocks").alias("draft_ix", "b")).select("path", "draft_ix", "b.*")
+        return {"error": str(error), "warnings": [], "parts": []}
+    except (zipfile.BadZipFile, zlib.error, expat.ExpatError, EOFError, NotImplementedError, RuntimeError):
+        return {"error": "CORRUPTED", "warnings": [], "parts": []}
+    return {"error": None, "warnings": warnings, "parts": parts}
+
+
+def _opened(contents: pd.Series, formats: pd.Series) -> pd.DataFrame:
+    none = {"error": None, "warnings": None, "parts": None}
+    return pd.DataFrame([none if c is None else unzipped(bytes(c), f) for c, f in zip(contents, formats, strict=True)], columns=["error", "warnings", "parts"])
+
+
+def _value(name: str) -> Column:
+    """An attribute by its name without prefix."""
+    return F.get(F.filter("attrs", lambda a: xml.local_name(a["name"]) == name), F.lit(0))["value"]
+
+
+def scoped(events: DataFrame) -> DataFrame:
+    """Events (PART, event_ix, kind, name, attrs, self_closing, text) in order with ``at`` (elements that close themselves have two),
+    the numbers of open elements p, tbl, del, pPr, tc and of all, and ``para``, ``table``, ``row`` and ``cell``: where the innermost
+    paragraph, and the row and cell of the outermost table, were opened."""
+    both = F.when((F.col("kind") == "open") & F.col("self_closing"), F.array(F.lit("open"), F.lit("close"))).otherwise(F.array("kind"))
+    rows = events.withColumn("kinds", both).select(*PART, "event_ix", F.posexplode("kinds").alias("half", "kind"), "name", "attrs", "text").withColumn("at", (F.col("event_ix") * 2 + F.col("half")).cast("long"))
+    order = Window.partitionBy(*PART).orderBy("at")
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    opens = lambda name: (F.col("kind") == "open") & (F.col("name") == name)
+    count = lambda name: F.sum(F.when(F.col("name") == name, step).otherwise(0)).over(order)
+    rows = rows.withColumns({"n_p": count("p"), "n_tbl": count("tbl"), "n_del": count("del"), "n_ppr": count("pPr"), "n_t": count("t"), "depth": F.sum(step).over(order)})
+    outer = F.col("n_tbl") == 1
+    last = lambda test, value="at": F.last(F.when(test, F.col(value)), ignorenulls=True).over(order)
+    rows = rows.withColumns({"table": last(opens("tbl") & outer), "row": last(opens("tr") & outer), "cell": last(opens("tc") & outer), "text_depth": last(opens("t"), "depth"), "n_tc": F.sum(F.when(outer & (F.col("name") == "tc"), step).otherwise(0)).over(order)})
+    same_depth = Window.partitionBy(*PART, "n_p").orderBy("at")
+    return rows.withColumn("para", F.last(F.when(opens("p"), F.struct("at", "n_tbl")), ignorenulls=True).over(same_depth))
+
+
+def _joined(group: list[str], rows: DataFrame, order: str, text: str, between: str, name: str, *more: Column) -> DataFrame:
+    return rows.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), between).alias(name), *more)
+
+
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """The paragraphs of scoped events: PART, at, style (of HWPX), p_style, outline, numbered, ilvl, n_tbl, n_tc, table, row, cell and text."""
+    seen = (F.col("n_del") == 0) & (F.col("n_ppr") == 0)
+    char = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARACTERS.items() for x in pair]), F.col("name"))
+    piece = F.when((F.col("kind") == "text") & (F.col("n_t") > 0) & (F.col("depth") == F.col("text_depth")), F.col("text")).when(F.col("kind") == "open", F.coalesce(char, F.when((F.col("name") == "ctrl") & (_value("id") == "tab"), "\t")))
+    own = (F.col("n_p") > 0) & (F.col("para.n_tbl") == F.col("n_tbl"))
+    pieces = rows.where(seen & own).select(*PART, F.col("para.at").alias("p_at"), "at", piece.alias("piece")).where("piece is not null")
+    texts = _joined([*PART, "p_at"], pieces, "at", "piece", "", "text")
+    inside = rows.where((F.col("kind") == "open") & (F.col("n_ppr") > 0) & (F.col("n_p") > 0) & F.col("name").isin("pStyle", "outlineLvl", "numPr", "ilvl"))
+    said = lambda name, value, alias: F.max_by(F.when(F.col("name") == name, value), F.when(F.col("name") == name, F.col("at"))).alias(alias)
+    props = inside.groupBy(*PART, F.col("para.at").alias("p_at")).agg(said("pStyle", _value("val"), "p_style"), said("outlineLvl", _value("val"), "outline"), F.max(F.col("name") == "numPr").alias("numbered"), said("ilvl", _value("val"), "ilvl"))
+    here = (F.col("n_ppr") == 0) & ((F.col("n_del") == 0) | (F.col("n_tbl") > 0))  # a deleted paragraph of a cell is an empty line
+    opened = rows.where(here & (F.col("kind") == "open") & (F.col("name") == "p")).select(*PART, "at", _value("styleIDRef").alias("style"), "n_tbl", "n_tc", "table", "row", "cell", F.col("at").alias("p_at"))
+    return opened.join(texts, [*PART, "p_at"], "left").join(props, [*PART, "p_at"], "left").drop("p_at").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def tables(rows: DataFrame, paras: DataFrame) -> DataFrame:
+    """PART, at and raw_text of the outermost tables that have cells."""
+    cells = rows.where((F.col("kind") == "open") & (F.col("name") == "tc") & (F.col("n_tbl") == 1) & (F.col("n_del") == 0)).select(*PART, "table", "row", "cell")
+    lines = _joined([*PART, "cell"], paras.where("n_tbl > 0 and n_tc > 0"), "at", "text", "\n", "lines")
+    told = cells.join(lines, [*PART, "cell"], "left").withColumn("lines", t.trim(F.coalesce("lines", F.lit(""))))
+    whole = _joined([*PART, "table", "row"], told, "cell", "lines", " | ", "line")
+    return _joined([*PART, "table"], whole, "row", "line", "\n", "raw_text").withColumnRenamed("table", "at")
+
+
+def _levels(header: DataFrame) -> DataFrame:
+    """path, style and level of the heading styles in the headers' events; the last of an id counts."""
+    order = Window.partitionBy("path").orderBy("event_ix")
+    step = F.when((F.col("name") == "styles") & (F.col("kind") == "open") & ~F.col("self_closing"), 1).when((F.col("name") == "styles") & (F.col("kind") == "close"), -1).otherwise(0)
+    named = F.coalesce(F.nullif(_value("name"), F.lit("")), _value("engName"), F.lit(""))
+    found = header.withColumn("inside", F.sum(step).over(order)).where("inside > 0 and kind = 'open' and name = 'style'").select("path", "event_ix", _value("id").alias("style"), F.when(named.rlike(HWPX_HEADING), F.coalesce(F.nullif(F.regexp_extract(named, HWPX_HEADING, 1), F.lit("")), F.regexp_extract(named, HWPX_HEADING, 2)).cast("int")).alias("level"))
+    return found.where("level is not null and style is not null").groupBy("path", "style").agg(F.max_by("level", "event_ix").alias("level"))
+
+
+def drafts(files: DataFrame) -> DataFrame:
+    """Draft blocks of opened files: path, draft_ix, type, level, raw_text, section (of HWPX), char_offset (in UTF-16 units)."""
+    parts = files.where("error is null").select("path", "format", F.explode("parts").alias("p")).select("path", "format", "p.*")
+    events = xml.events(parts, "xml", ("path", "format", "section"))
+    rows = scoped(events.where(F.col("section") > HEADER))
+    paras = paragraphs(rows)
+    styles = _levels(events.where(F.col("section") == HEADER))
+    digit = lambda c: c.rlike("^[0-9]{1,9}$")
+    heading = F.regexp_extract("p_style", DOCX_HEADING, 1)
+    outline = F.when(digit(F.col("outline")) & (F.col("outline").cast("int") <= 8), F.col("outline").cast("int") + 1)
+    level = F.coalesce(F.col("level"), F.when(heading != "", heading.cast("int")), outline)
+    depth = F.when(digit(F.col("ilvl")), F.col("ilvl").cast("int")).otherwise(0)
+    kind = F.when(level.isNotNull(), "heading").when(F.coalesce("numbered", F.lit(False)), "listItem").when(F.col("p_style").rlike(QUOTE), "quote").otherwise("paragraph")
+    lines = paras.where("n_tbl = 0").join(styles, ["path", "style"], "left").select(*PART, "at", kind.alias("type"), F.when(kind == "heading", level).when(kind == "listItem", depth).alias("level"), F.col("text").alias("raw_text"))
+    found = lines.unionByName(tables(rows, paras).select(*PART, "at", F.lit("table").alias("type"), F.lit(None).cast("int").alias("level"), "raw_text"))
+    order, size = Window.partitionBy("path").orderBy("section", "at"), t.u16_length(F.col("raw_text"))
+    placed = found.withColumns({"draft_ix": (F.row_number().over(order) - 1).cast("int"), "char_offset": (F.sum(size).over(order) - size).cast("long")})
+    kinds = files.select("path", "format")
+    return placed.join(kinds, "path").select("path", "draft_ix", "type", "level", "raw_text", F.when(F.col("format") == "hwpx", F.col("section")).alias("section"), "char_offset")
+
+
+def opened(contents: DataFrame) -> DataFrame:
+    """path, format, error, warnings and parts (section and XML) of the DOCX and HWPX files among (path, content, format); null for
+    null content. A file is opened by one task."""
+    chosen = contents.where(F.col("format").isin("docx", "hwpx"))
+    return chosen.select("path", "format", F.pandas_udf(_opened, OPENED)("content", "format").alias("o")).select("path", "format", "o.*")
+
+
+def read_office(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, drafts) of files (path, content, format): docs has path, format, warnings and error. A file without text is corrupted
+    if it is HWPX, else read in part; one with an error has no drafts."""
+    files = opened(contents)
+    found = drafts(files)
+    seen = found.groupBy("path").agg(F.max(F.col("type") == "table").alias("tables"), F.max(t.trim(F.col("raw_text")) != "").alias("full"))
+    told = files.drop("parts").join(seen, "path", "left").na.fill(False, ["tables", "full"])
+    error = F.coalesce("error", F.when(F.col("warnings").isNotNull() & ~F.col("full") & (F.col("format") == "hwpx"), "CORRUPTED"))
+    codes = [("TABLE_FLATTENED", F.col("error").isNull() & F.col("tables")), ("PARTIAL_PARSE", F.col("error").isNull() & ~F.col("full") & (F.col("format") == "docx"))]
+    said = F.concat("warnings", F.filter(F.array(*[F.when(test, name) for name, test in codes]), lambda w: w.isNotNull()))
+    docs = told.select("path", "format", said.alias("warnings"), error.alias("error"))
+    return docs, found.join(docs.where("error is not null").select("path"), "path", "left_anti")
