@@ -866,3 +866,28 @@ def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs, list items, headings and tables of DOCX parts, from their event rows."""
     return office.drafts(_docx(spark, sf_dir)).drop("section")
+
+
+# A structure tree for each document: of its lines headings, paragraphs, list items, cells of tables (all with marked content below) and figures with
+# a text of their own.
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("i", "x"))
+    i, none, own = F.col("i"), F.lit(None).cast("string"), F.concat(F.lit("m"), F.col("i").cast("string"))
+    node = lambda at, parent, role, alt, mark: F.struct((i * 3 + at).cast("long").alias("node_id"), parent.cast("long").alias("parent_id"), i.alias("ord"), role.alias("role"), alt.alias("alt"), mark.alias("id"))
+    role = F.element_at(F.array(*map(F.lit, ("H2", "P", "LI", "Table", "Figure"))), (i % 5 + 1).cast("int"))
+    figure = i % 5 == 4
+    top = node(0, F.lit(-1), role, F.when(figure, F.col("x")), none)
+    cell = node(1, i * 3, F.when(i % 5 == 3, "TD").otherwise("Span"), none, F.when(i % 5 != 3, own))
+    inner = node(2, i * 3 + 1, F.lit("P"), none, own)
+    nodes = lines.select("doc_id", "page", F.explode(F.when(figure, F.array(top)).when(i % 5 == 3, F.array(top, cell, inner)).otherwise(F.array(top, cell))).alias("n")).select("doc_id", "page", "n.*")
+    mark = lambda at, kind, name, text: F.struct((i * 3 + at).alias("ix"), kind.alias("type"), name.alias("id"), text.alias("str"), F.lit(False).alias("has_eol"))
+    marked = lines.where(~figure).select("doc_id", "page", F.explode(F.array(mark(0, F.lit("beginMarkedContentProps"), own, none), mark(1, none, none, F.col("x")), mark(2, F.lit("endMarkedContent"), none, none))).alias("m")).select("doc_id", "page", "m.*")
+    return nodes, geometry.marked_texts(marked)
+
+
+@query("""
+    SELECT doc_id, 0 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS draft_ix, ['heading', 'paragraph', 'listItem', 'table', 'image'][(i - 1) % 5 + 1] AS type, CASE WHEN (i - 1) % 5 = 0 THEN 2 END::INT AS level, text
+    FROM (SELECT doc_id, i, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE text <> ''""")
+def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of structure trees and the marked content that they name."""
+    return geometry.structure_blocks(*_tree(spark, sf_dir))

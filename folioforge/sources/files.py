@@ -14,9 +14,12 @@ MAGIC = {"25504446": "pdf", "D0CF11E0": "cfb", "504B0304": "zip"}
 MAX_FILE_BYTES = 30 * 1024 * 1024
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of all files with a known extension below a folder; hidden files and folders are passed over."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(extension(F.col("path")).isin(*FORMATS) & ~F.col("path").rlike("/\\.[^/]*")).select("path", "length", "content")
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """path, length, content of all files with a known extension below a folder; hidden files and folders are passed over. The
+    reader gets the bound on the length, so larger files are listed, but never opened: their content is null. Spark's readers pass over files of no bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(extension(F.col("path")).isin(*FORMATS) & ~F.col("path").rlike("/\\.[^/]*"))
+    fits = F.col("length") <= max_bytes
+    return found.where(fits).select("path", "length", "content").unionByName(found.where(~fits).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def extension(name: Column) -> Column:
