@@ -6,22 +6,24 @@ future needs: the last token after one more byte is the longest vocabulary entry
 compatibly on the last token at the place where it begins (two tokens are compatible if BPE turns their
 bytes into just these two). Each transition carries the change of the number of emitted tokens. States and
 transitions are compiled when they are first met, from the tokenizer's own vocabulary and BPE model, and
-held in a table of at most ``MAX_STATES`` rows: when it is full, in the middle of a text too, it starts anew with
-the states that are still in use.
+held in a table of at most ``MAX_STATES`` rows and ``MAX_TABLE`` cells: when it is full, in the middle of a text too, it starts anew with
+the states that are still in use. A tokenizer with a normaliser, or that cuts texts in another way, is refused.
 
 Texts are cut into chunks that run side by side. BPE works inside the pieces that the tokenizer's pattern cuts; where a
 piece begins is decided by the character classes of at most three characters before and one after, for all characters
 at once. A chunk that begins with a piece begins in the start state whatever came before: its state map is constant. A
 chunk inside of a long piece has a map from the states it may begin in to the state it ends in and the tokens it
 emits. The map's first entry is for the state that ``WARM`` bytes of run-up lead to, which mostly is the right one; chunks
-of the same bytes share their map. The maps are composed in order; entries that the composition misses are run, all
-chunks side by side again, until none is missing. Special strings of the tokenizer are one token each, and cut the text.
+of the same bytes share their map. The maps are composed by a parallel prefix scan: each entry points to the one that it leads to
+in the next chunk, and pointers are doubled, so that after log2 of the number of chunks all entries that the text takes are known.
+Those that are missing are run, all chunks side by side again, until none is. Special strings of the tokenizer are one token each, and cut the text.
 
 Null is an empty text. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import bounded_batches
 
-MAX_STATES = 200_000
+#: Cells have four bytes; there is one for each state and each byte that was met.
+MAX_STATES, MAX_TABLE = 200_000, 16 << 20
 SLICE_CHARS = 1 << 20
 CHUNK, WARM = 1024, 64
 SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
@@ -84,6 +87,10 @@ class Transducer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        cut = form.get("pre_tokenizer") or {}
+        if form.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("not a byte-level tokenizer that cuts texts by its usual pattern")
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -108,7 +115,7 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.symbol = np.full(256, -1, np.int16)  # column of a byte: only bytes that were met have one
         self.columns = 0
-        self.table = np.full((4096, 64), -1, np.int64)
+        self.table = np.full((4096, 64), -1, np.int32)
 
     def _renumber(self, live: list[np.ndarray]) -> None:
         """Starts the table anew with the states in the arrays alone, which get their new numbers in place."""
@@ -117,7 +124,7 @@ class Transducer:
         self.number = {s: i for i, s in enumerate(self.states)}
         for states in live:
             states[:] = np.searchsorted(used, states)
-        self.table = np.full((max(4096, 2 * len(used)), self.table.shape[1]), -1, np.int64)
+        self.table = np.full((max(4096, 2 * len(used)), self.table.shape[1]), -1, np.int32)
 
     def _bpe(self, raw: bytes) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.char.__getitem__, raw)))]
@@ -230,28 +237,47 @@ class Transducer:
         names = {c: i for i, c in enumerate(dict.fromkeys(content))}
         kind = np.array([names[c] for c in content], np.int64)
         keys, begin, end, emitted = kind[open_], first[open_], last[open_], total[open_]
+        inside = np.flatnonzero(open_)
+        heads = inside[~open_[inside - 1]]  # a text begins with a piece, so the first chunk is never one of these
+        follows = np.append(open_[1:], False)
         while True:
-            known = {(int(k), int(s)): i for i, (k, s) in enumerate(zip(keys, begin, strict=True))}
-            guess = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-            missing: dict[tuple[int, int], int] = {}
-            state = 0
-            for i in range(len(at)):
-                if not open_[i]:
-                    state = int(last[i])
-                    continue
-                key = (int(kind[i]), state)
-                entry = known.get(key)
-                if entry is None:
-                    missing.setdefault(key, i)
-                    entry = guess[key[0]]  # go on as if, to find what else is missing
-                total[i], state = emitted[entry], int(end[entry])
-            if not missing:
+            # A place for each chunk inside of a piece and each entry of its map.
+            by_kind = np.argsort(keys, kind="stable")
+            lo, n = np.searchsorted(keys[by_kind], kind[inside]), np.bincount(keys, minlength=len(names))[kind[inside]]
+            chunk = np.repeat(inside, n)
+            entry = by_kind[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(chunk))]
+            own = np.zeros(len(at), np.int64)
+            own[inside] = np.cumsum(n) - n  # the first place of a chunk, to go on from where an entry is missing
+            states = len(self.states)
+            code = chunk * states + begin[entry]
+            sorted_code = np.argsort(code)
+
+            def find(chunks: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """The places of entries (chunk, state), and which are missing; for these the chunk's first place."""
+                i = np.searchsorted(code, chunks * states + wanted, sorter=sorted_code)
+                place = sorted_code[np.minimum(i, len(code) - 1)]
+                there = code[place] == chunks * states + wanted
+                return np.where(there, place, own[chunks]), ~there
+
+            jump, lost = np.arange(len(chunk)), np.zeros(len(chunk), bool)
+            on = np.flatnonzero(follows[chunk])
+            jump[on], lost[on] = find(chunk[on] + 1, end[entry[on]])
+            start, start_lost = find(heads, last[heads - 1])
+            taken = np.zeros(len(chunk), bool)
+            taken[start] = True
+            for _ in range(len(inside).bit_length()):
+                taken[jump[taken]] = True
+                jump = jump[jump]
+            wanted = np.flatnonzero(taken & lost)
+            if not len(wanted) and not start_lost.any():
+                total[chunk[taken]] = emitted[entry[taken]]
                 return total
-            lanes = np.array(list(missing.values()))
-            start = np.array([s for _, s in missing], np.int64)
-            more = np.array([k for k, _ in missing], np.int64)
-            new_first, new_last, new_total = self._run(raw, piece, at[lanes], upto[lanes], np.zeros(len(lanes), np.int64), start, [begin, end, last])
-            keys, begin, end, emitted = np.append(keys, more), np.append(begin, new_first), np.append(end, new_last), np.append(emitted, new_total)
+            lanes = np.concatenate((chunk[wanted] + 1, heads[start_lost]))
+            state = np.concatenate((end[entry[wanted]], last[heads[start_lost] - 1]))
+            _, once = np.unique(kind[lanes] * states + state, return_index=True)
+            lanes, state = lanes[once], state[once]
+            new_first, new_last, new_total = self._run(raw, piece, at[lanes], upto[lanes], np.zeros(len(lanes), np.int64), state, [begin, end, last])
+            keys, begin, end, emitted = np.append(keys, kind[lanes]), np.append(begin, new_first), np.append(end, new_last), np.append(emitted, new_total)
 
     def _run(self, raw: np.ndarray, piece: np.ndarray, at: np.ndarray, upto: np.ndarray, warm: np.ndarray, state: np.ndarray, live: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs chunks side by side: of each the state after its run-up, its last state and the tokens emitted after the
@@ -274,7 +300,7 @@ class Transducer:
             if step in run_ups:
                 done = warm == step
                 first[done], total[done] = now[done], 0
-            if len(self.states) > MAX_STATES:
+            if len(self.states) > min(MAX_STATES, MAX_TABLE // self.table.shape[1]):
                 self._renumber([now, first, *live])
             here = place[:m]
             symbol = read[here]

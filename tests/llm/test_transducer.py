@@ -51,3 +51,22 @@ def test_small_chunks(path, monkeypatch, warm):
     texts = ["".join(rng.choice(parts[i % 2]) for _ in range(rng.randrange(300))) for i in range(200)]
     machine = transducer.Transducer(path)
     assert [int(machine.counts([x])[0]) for x in texts] == expected(path, texts) == machine.counts(texts).tolist()
+
+
+def test_the_table_is_bounded_by_cells(path, monkeypatch):
+    monkeypatch.setattr(transducer, "MAX_TABLE", 64 * 250)
+    texts = [x[:2500] for x in long_pieces(random.Random(8))]
+    machine = transducer.Transducer(path)
+    assert machine.counts(texts).tolist() == expected(path, texts) and machine.table.dtype.itemsize == 4
+
+
+def test_other_patterns_are_refused(path, tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    for change in ({"pre_tokenizer": pre_tokenizers.Whitespace()}, {"pre_tokenizer": pre_tokenizers.ByteLevel(add_prefix_space=True)}, {"normalizer": normalizers.Lowercase()}):
+        other = Tokenizer.from_file(path)
+        for name, value in change.items():
+            setattr(other, name, value)
+        other.save(str(tmp_path / "other.json"))
+        with pytest.raises(ValueError):
+            transducer.Transducer(str(tmp_path / "other.json"))
