@@ -24,9 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
 _made: dict[str, str] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, read from a Parquet table of this application, which goes when the application ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = f"{shared_folder(spark)}/folioforge-rows/{app}-{uuid.uuid4().hex[:8]}"
@@ -34,6 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files.mkdirs(where)
         files.deleteOnExit(where)
-    path = f"{_made[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_made[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, read from a Parquet table of this application, which goes when the application ends."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -97,10 +97,10 @@ def parse(text: str) -> Iterator[tuple[str, int | None, str, int]]:
 
 
 def _parsed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else list(_placed(t)))
+    return texts.map(lambda t: None if t is None else list(placed(t)))
 
 
-def _placed(text: str) -> Iterator[dict]:
+def placed(text: str) -> Iterator[dict]:
     """The blocks with their places in UTF-16 units."""
     units = at = 0
     for kind, level, body, place in parse(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql.window import Window
 
 from folioforge.functions import similarity
 from folioforge.functions import text as t
-from folioforge.functions.scratch import stored
+from folioforge.functions.scratch import fresh_folder, stored
 from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
-from folioforge.sources import decode, documents, files, hwp, office
+from folioforge.sources import decode, documents, files, hwp, office, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -769,7 +770,9 @@ _LOUD = t.Options(ignore_case=True, normalize_punct=True)
 @query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY draft_ix) - 1)::INT AS block_ix, text, raw_text FROM (SELECT doc_id, draft_ix, raw_text, {_sql_normal(_LOUD, 'raw_text')} AS text FROM ({_LINES})) WHERE text <> ''")
 def renormalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that were stored with their raw text, under other options; nothing is parsed again."""
-    return blocks.renormalize(stored(_blocks(spark, sf_dir).select("doc_id", "block_ix", "text", "raw_text"), "parsed"), _LOUD).select("doc_id", "block_ix", "text", "raw_text")
+    name = f"parsed_{uuid.uuid4().hex[:12]}"
+    store.save(_blocks(spark, sf_dir).select("doc_id", "block_ix", "text", "raw_text"), name, fresh_folder(spark, "parsed"), max(store.BUCKETS, spark.sparkContext.defaultParallelism))
+    return store.under(spark, name, _LOUD).select("doc_id", "block_ix", "text", "raw_text")
 
 
 # Files of the documents: UTF-8, UTF-16 with and without a mark, empty, and what only begins like a PDF or DOCX file.
@@ -891,3 +894,20 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of structure trees and the marked content that they name."""
     return geometry.structure_blocks(*_tree(spark, sf_dir))
+
+
+# The same rows by table functions, in SQL.
+@query(f"SELECT page_id, name, count(*) AS n, min(event_ix)::INT AS first_ix FROM ({SQL['xml_events']}) WHERE kind = 'open' GROUP BY ALL")
+def sql_xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of each page, by the table function ``xml_events``."""
+    tables.register(spark)
+    return spark.sql("SELECT page_id, e.name, count(*) AS n, min(e.event_ix) AS first_ix FROM {pages}, LATERAL xml_events(html) AS e WHERE e.kind = 'open' GROUP BY page_id, e.name", pages=_table(spark, sf_dir, "pages"))
+
+
+@query("""
+    SELECT doc_id::VARCHAR AS path, tag, count(*) AS n, sum(bytes)::BIGINT AS bytes
+    FROM (SELECT doc_id, unnest([66, 67]) AS tag, unnest([1, 2 * length(replace(x, ' of ', chr(9) || '1234567'))]) AS bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)) GROUP BY ALL""")
+def sql_hwp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and their bytes by tag, by the table function ``hwp_records``."""
+    tables.register(spark)
+    return spark.sql("SELECT path, r.tag, count(*) AS n, sum(length(r.payload)) AS bytes FROM {sections}, LATERAL hwp_records(sections[0]) AS r GROUP BY path, r.tag", sections=_sections(spark, sf_dir))
