@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ LINE = re.compile(r"([^\r\n]*)(?:\r\n?|\n|$)")
 _MARKUP = [re.compile(p) for p in MARKUP]
 
 BLOCKS = "array<struct<type string, level int, raw_text string, char_offset long>>"
+FENCES = ("`", "~")
 #: Blocks whose text goes on in a line that is nothing else.
 FLOWING = ("paragraph", "quote", "listItem")
 
@@ -43,7 +45,7 @@ def strip_inline(line: str) -> str:
     return line
 
 
-def _line(line: str, after: str | None) -> tuple[str, int | None, str]:
+def _line(line: str, after: str) -> tuple[str, int | None, str]:
     """Type, level and text of a line outside of code, after an open block of type ``after``. The types ``end``
     (closes the open block), ``title`` (makes it a heading) and ``skip`` (adds nothing to it) are no blocks."""
     if not line.strip() or (RULE.match(line) and after != "paragraph"):
@@ -63,37 +65,63 @@ def _line(line: str, after: str | None) -> tuple[str, int | None, str]:
     return "text", None, strip_inline(line)
 
 
-def parse(text: str) -> Iterator[tuple[str, int | None, str, int]]:
-    """(type, level, text without markup, place of its first line) of each block. Code that isn't closed ends with the text."""
-    block, fence = None, None  # block: type, level, lines, place
-    for m in LINE.finditer(text):
-        line, found = m[1], FENCE.match(m[1])
-        if fence:
-            if found and found[1][0] == fence[0] and len(found[1]) >= len(fence):
-                yield block[0], block[1], "\n".join(block[2]), block[3]
-                block = fence = None
-            elif m.end() > m.start():
-                block[2].append(line)
+@dataclass
+class Block:
+    """A block, or what one piece of a text holds of it. ``starts``: its first line is there. A block that began before
+    the piece has no type, unless it becomes a heading there."""
+
+    type: str | None
+    level: int | None
+    lines: list[str]
+    place: int
+    starts: bool = True
+
+
+def step(line: str, state: str) -> tuple[str, str, int | None, str]:
+    """State after a line, what it does, level, text. A state is the type of the open block, the marks that opened the code, or
+    empty. A line adds to the open block, ends it, makes it a title, is skipped, or starts a block of the type named."""
+    found = FENCE.match(line)
+    if state[:1] in FENCES:
+        closed = found and found[1][0] == state[0] and len(found[1]) >= len(state)
+        return ("", "end", None, "") if closed else (state, "add", None, line)
+    if found:
+        return found[1], "code", None, ""
+    kind, level, body = _line(line, state)
+    if kind == "skip" or (kind == state and kind in ("quote", "table")) or (kind == "text" and state in FLOWING):
+        return state, kind if kind == "skip" else "add", None, body
+    if kind in ("end", "title", "heading"):
+        return "", kind, level, body
+    kind = "paragraph" if kind == "text" else kind
+    return kind, kind, level, body
+
+
+def lines_of(text: str) -> Iterator[tuple[int, str]]:
+    """Place and text of each line; after the last line break there is none."""
+    return ((m.start(), m[1]) for m in LINE.finditer(text) if m.end() > m.start())
+
+
+def parse(text: str, state: str = "") -> Iterator[Block]:
+    """The blocks of a text, or of a piece of whole lines that begins in ``state``. Code that isn't closed ends with the text."""
+    block = Block(None, None, [], 0, False) if state else None
+    for place, line in lines_of(text):
+        state, does, level, body = step(line, state)
+        if does == "add":
+            block.lines.append(body)
             continue
-        kind, level, body = ("code", None, "") if found else _line(line, block and block[0])
-        if kind == "skip":
-            continue
-        if kind == "title":
-            block[:2] = "heading", level
-        elif block and (kind == block[0] in ("quote", "table") or (kind == "text" and block[0] in FLOWING)):
-            block[2].append(body)
+        if does == "skip":
             continue
+        if does == "title":
+            block.type, block.level = "heading", level
         if block:
-            yield block[0], block[1], "\n".join(block[2]), block[3]
+            yield block
         block = None
-        if kind == "code":
-            fence, block = found[1], ["code", None, [], m.start()]
-        elif kind == "heading":
-            yield "heading", level, body, m.start()
-        elif kind not in ("end", "title"):
-            block = ["paragraph" if kind == "text" else kind, level, [body], m.start()]
+        if does not in ("end", "title"):
+            block = Block(does, level, [] if does == "code" else [body], place)
+        if does == "heading":
+            yield block
+            block = None
     if block:
-        yield block[0], block[1], "\n".join(block[2]), block[3]
+        yield block
 
 
 def _parsed(texts: pd.Series) -> pd.Series:
@@ -103,13 +131,17 @@ def _parsed(texts: pd.Series) -> pd.Series:
 def placed(text: str) -> Iterator[dict]:
     """The blocks with their places in UTF-16 units."""
     units = at = 0
-    for kind, level, body, place in parse(text):
-        units, at = units + len(text[at:place].encode("utf-16-le", "surrogatepass")) // 2, place
-        yield {"type": kind, "level": level, "raw_text": body, "char_offset": units}
+    for block in parse(text):
+        units, at = units + u16_units(text[at : block.place]), block.place
+        yield {"type": block.type, "level": block.level, "raw_text": "\n".join(block.lines), "char_offset": units}
+
+
+def u16_units(text: str) -> int:
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def blocks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Draft blocks: keys, draft_ix, type, level, raw_text, char_offset. Null and empty texts have none. A block depends on
-    the lines before it, so a document is read in order, in one row; documents are spread as they come."""
+    """Draft blocks: keys, draft_ix, type, level, raw_text, char_offset. Null and empty texts have none. A document
+    is read in order, in one row; ``markdown_pieces`` cuts long ones."""
     rows = docs.select(*keys, F.posexplode(F.pandas_udf(_parsed, BLOCKS)(F.col(text))).alias("draft_ix", "b"))
     return rows.select(*keys, "draft_ix", "b.*")

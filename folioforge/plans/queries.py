@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from folioforge.functions import similarity
 from folioforge.functions import text as t
 from folioforge.functions.scratch import fresh_folder, stored
-from folioforge.operators import blocks, diff, geometry, markdown, quality, views, xml
+from folioforge.operators import blocks, diff, geometry, markdown, markdown_pieces, quality, views, xml
 from folioforge.sources import decode, documents, files, hwp, office, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -693,15 +693,28 @@ def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MD_TEXT = "'x ' || regexp_replace(text, '[][*_`~|<>#!\\\\]', '', 'g') || ' y'"
 
 
-@query(f"SELECT doc_id, block_ix::INT AS draft_ix, ['heading', 'listItem', 'quote', 'code', 'table', 'paragraph'][(doc_id + block_ix) % 6 + 1] AS type, [2, 1, NULL, NULL, NULL, NULL][(doc_id + block_ix) % 6 + 1]::INT AS level, {_MD_TEXT} AS raw_text FROM ({_BLOCKS})")
-def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MD_BLOCKS = f"SELECT doc_id, block_ix::INT AS draft_ix, ['heading', 'listItem', 'quote', 'code', 'table', 'paragraph'][(doc_id + block_ix) % 6 + 1] AS type, [2, 1, NULL, NULL, NULL, NULL][(doc_id + block_ix) % 6 + 1]::INT AS level, {_MD_TEXT} AS raw_text FROM ({_BLOCKS})"
+
+
+def _md_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown documents made of the documents' lines, by turns as each type of block."""
     x = F.concat(F.lit("x "), F.regexp_replace("text", "[\\]\\[*_`~|<>#!\\\\]", ""), F.lit(" y"))
     forms = [("## ", " ##"), ("  - ", ""), ("> ", ""), ("```sql\n", "\n```"), ("| ", " |\n|---|"), ("", "")]
     made = F.array(*[F.concat(F.lit(a), x, F.lit(b)) for a, b in forms])
     lines = _blocks(spark, sf_dir).select("doc_id", "block_ix", F.element_at(made, (F.pmod(F.col("doc_id") + F.col("block_ix"), F.lit(6)) + 1).cast("int")).alias("line"))
     docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ix", "line")))["line"].alias("lines"))
-    return markdown.blocks(docs.select("doc_id", F.array_join("lines", "\n\n").alias("text"))).select("doc_id", "draft_ix", "type", "level", "raw_text")
+    return docs.select("doc_id", F.array_join("lines", "\n\n").alias("text"))
+
+
+@query(_MD_BLOCKS)
+def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.blocks(_md_texts(spark, sf_dir)).select("doc_id", "draft_ix", "type", "level", "raw_text")
+
+
+@query(_MD_BLOCKS)
+def md_piece_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, read in pieces of some lines each."""
+    return markdown_pieces.long_blocks(_md_texts(spark, sf_dir), span=1024).select("doc_id", "draft_ix", "type", "level", "raw_text")
 
 
 _HEADS = {"%PDF": "25504446", "cfb": "D0CF11E0", "zip": "504B0304", "text": "", "marked": "FFFE", "zeros": "000000000000"}

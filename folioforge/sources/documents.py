@@ -43,8 +43,8 @@ def parse_files(contents: DataFrame, options: dict[str, t.Options] = t.DEFAULTS)
     told = sized.withColumn("r", F.when(F.col("size_error").isNull(), files.resolved(F.col("path"), F.col("content")))).select("path", "length", "content", F.col("r.format").alias("format"), F.coalesce(F.col("r.mismatch"), F.lit(False)).alias("mismatch"), F.coalesce("size_error", "r.error").alias("error"))
     fine = told.where("error is null")
 
-    texts = fine.where(F.col("format").isin("txt", "md")).select("path", "format", decode.decoded(F.col("content")).alias("d")).select("path", "format", "d.text", "d.guessed")
-    text_blocks = parse.text_blocks(texts.select("path", "format", "text"), options["text"])
+    texts = fine.where(F.col("format").isin("txt", "md")).select("path", "format", "length", decode.decoded(F.col("content")).alias("d")).select("path", "format", "length", "d.text", "d.guessed")
+    text_blocks = parse.text_blocks(texts.select("path", "format", "length", "text"), options["text"])
     text_docs = texts.select("path", decode.confidence(F.col("guessed")).alias("confidence"), F.when(F.col("guessed"), F.array(F.lit("ENCODING_GUESS"))).otherwise(F.array().cast("array<string>")).alias("codes"), F.lit(None).cast("string").alias("parse_error"))
 
     zipped, drafts = office.read_office(fine.select("path", "content", "format"))

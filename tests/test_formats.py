@@ -11,7 +11,7 @@ from folioforge.sources import decode, parse
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["xml_entities", "xml_events", "xml_attributes", "decode_bytes", "md_blocks"])
+@pytest.mark.parametrize("name", ["xml_entities", "xml_events", "xml_attributes", "decode_bytes", "md_blocks", "md_piece_blocks"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages"):
@@ -24,7 +24,7 @@ def test_against_sql(spark, name):
 
 
 def md(text):
-    return [b[:3] for b in markdown.parse(text)]
+    return [(b.type, b.level, "\n".join(b.lines)) for b in markdown.parse(text)]
 
 
 def test_markdown():
@@ -33,7 +33,7 @@ def test_markdown():
     assert md("```py\n# no\n~~~\n\n````\n|a|b|\n|-|-|\n| c | `d` |") == [("code", None, "# no\n~~~\n"), ("table", None, "a | b\nc | d")]
     assert md("~~~\nopen") == [("code", None, "open")]
     assert md("") == md("\n \n") == []
-    assert [b[3] for b in markdown.parse("a\r\n\r\n# b\nc")] == [0, 5, 9]
+    assert [b.place for b in markdown.parse("a\r\n\r\n# b\nc")] == [0, 5, 9]
 
 
 def test_markdown_rows(spark):
