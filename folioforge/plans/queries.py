@@ -48,14 +48,19 @@ _INJ = "replace(replace(replace(replace(replace(replace(text,' the ',chr(160)||'
 _WSL = "\\t\\x0b\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 
 
+# The SQL's own tables of characters: full-width forms by their codes; quotes and dashes, and what they become.
+_SQL_WIDE = "(SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(65281, 65375) AS w(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) AS w(c))"
+_SQL_PUNCT = "'\u2018\u2019\u201a\u201b\u2032\u201c\u201d\u201e\u201f\u2033\u2010\u2011\u2012\u2013\u2014\u2015\u2212', '''''''''''\"\"\"\"\"-------'"
+
+
 def _sql_normal(o: t.Options, text: str = _INJ) -> str:
     x = f"regexp_replace(regexp_replace(nfc_normalize({text}), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g'), '\\r\\n?', chr(10), 'g')"
     if o.fold_width:
-        x = f"translate({x}, '{t.FULL_WIDTH}', '{t.HALF_WIDTH.replace(chr(39), chr(39) * 2)}')"
+        x = f"translate({x}, {_SQL_WIDE})"
     if o.join_hyphen:
         x = f"regexp_replace({x}, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g')"
     if o.normalize_punct:
-        x = f"replace(translate({x}, '{t.SINGLE_QUOTES + t.DOUBLE_QUOTES + t.DASHES}', '{chr(39) * 2 * len(t.SINGLE_QUOTES)}{chr(34) * len(t.DOUBLE_QUOTES)}{'-' * len(t.DASHES)}'), chr(8230), '...')"
+        x = f"replace(translate({x}, {_SQL_PUNCT}), chr(8230), '...')"
     if o.ignore_whitespace:
         x = f"regexp_replace({x}, '[ \\t\\x{{00A0}}\\x{{3000}}]+', ' ', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '(?m)^[{_WSL}]+|[{_WSL}]+$', '', 'g'), '^[\\n{_WSL}]+|[\\n{_WSL}]+$', '', 'g')"
@@ -384,7 +389,8 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIRTY = "text"
 for _a, _, _c in _DIRT:
     _DIRTY = f"replace({_DIRTY}, '{_a}', {_c})"
-_KINDS_OF = "[" + ",".join(f"'{k}'" for k in quality.TYPES) + "]"
+_KINDS = ("heading", "paragraph", "listItem", "table", "code", "quote", "image", "pageBreak")
+_KINDS_OF = "[" + ",".join(f"'{k}'" for k in _KINDS) + "]"
 _UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
 _QUALITY = f"""
     SELECT doc_id, source, {_UNITS.format("x")} AS n_chars, len(regexp_extract_all(x, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) AS n_control, len(regexp_extract_all(x, chr(65533))) AS n_replaced, len(regexp_extract_all(x, chr(57344))) AS n_private,
@@ -392,7 +398,7 @@ _QUALITY = f"""
     FROM (SELECT doc_id, source, {_DIRTY} AS x FROM documents)"""
 
 
-@query(f"SELECT doc_id, 1::BIGINT AS n_blocks, 0::BIGINT AS n_empty, n_chars::BIGINT AS n_chars, n_chars::BIGINT AS n_raw, n_control::BIGINT AS n_control, n_replaced::BIGINT AS n_replaced, n_private::BIGINT AS n_private, n_jamo::BIGINT AS n_jamo, n_hangul::BIGINT AS n_hangul, n_visible::BIGINT AS n_visible, round(CASE WHEN n_visible > 0 THEN n_hangul / n_visible ELSE 0 END, 9) AS hangul_share, {', '.join(f'(k = {i})::INT::BIGINT AS n_{name}' for i, name in enumerate(quality.TYPES))} FROM ({_QUALITY})")
+@query(f"SELECT doc_id, 1::BIGINT AS n_blocks, 0::BIGINT AS n_empty, n_chars::BIGINT AS n_chars, n_chars::BIGINT AS n_raw, n_control::BIGINT AS n_control, n_replaced::BIGINT AS n_replaced, n_private::BIGINT AS n_private, n_jamo::BIGINT AS n_jamo, n_hangul::BIGINT AS n_hangul, n_visible::BIGINT AS n_visible, round(CASE WHEN n_visible > 0 THEN n_hangul / n_visible ELSE 0 END, 9) AS hangul_share, {', '.join(f'(k = {i})::INT::BIGINT AS n_{name}' for i, name in enumerate(_KINDS))} FROM ({_QUALITY})")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stats(_dirty(spark, sf_dir)).withColumn("hangul_share", F.round("hangul_share", 9))
 
@@ -649,8 +655,9 @@ def format_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", files.extension(F.col("name")).alias("ext"), files.group_of(files.format_of_extension(files.extension(F.col("name")))).alias("fmt_group"))
 
 
-# Pages as events: the pattern of the pieces is the operator's.
-_PIECES = f"SELECT page_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT page_id, regexp_extract_all(html, '{xml.PIECE}') AS p FROM pages)"
+# Pages as events. In DuckDB's patterns a dot takes in line breaks only where s says so; a page ends with \\z.
+_SQL_PIECE = "(?s)<!--.*?(?:-->|\\z)|<!\\[CDATA\\[.*?(?:\\]\\]>|\\z)|<[!?][^>]*(?:>|\\z)|<[^>]*>|<.*|[^<]+"
+_PIECES = f"SELECT page_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT page_id, regexp_extract_all(html, '{_SQL_PIECE}') AS p FROM pages)"
 _TAGS = f"SELECT page_id, i, piece, regexp_extract(piece, '(?s)^<(.*?)/?>$', 1) AS inside FROM ({_PIECES}) WHERE piece LIKE '<%>' AND piece NOT LIKE '<!%' AND piece NOT LIKE '<?%' AND piece NOT LIKE '</%'"
 _KNOWN = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
 
@@ -666,7 +673,7 @@ def xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.events(_table(spark, sf_dir, "pages"), "html", ("page_id",)).select("page_id", "event_ix", "kind", "name", "text")
 
 
-_ATTRIBUTE = xml.ATTRIBUTE.replace("'", "''")
+_ATTRIBUTE = "([a-zA-Z0-9_:.-]+)[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*(\"[^\"]*\"|''[^'']*''|[^ \\t\\n\\f\\r\"''>]+)"
 
 
 @query(f"""
@@ -824,6 +831,23 @@ def _file_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 _GATE = f"{_FILES} SELECT l.doc_id AS pair_id, {{}}.path AS left_path, {{}}.path AS right_path, coalesce({{}}.error, {{}}.error) AS refused FROM p l JOIN p r ON r.doc_id = l.doc_id + 1".format
 
 
+@query(f"""{_FILES}, g AS (SELECT *, CASE way WHEN 4 THEN 'pdf' WHEN 5 THEN 'docx' ELSE 'text' END AS grp FROM p)
+    SELECT l.doc_id AS pair_id, CASE WHEN l.grp = r.grp THEN 'compare' ELSE 'viewer-split' END AS mode, CASE WHEN l.grp = r.grp THEN l.grp END AS fmt_group, CASE WHEN l.grp = r.grp THEN false END AS cross_format FROM g l JOIN g r ON r.doc_id = l.doc_id + 1""")
+def pair_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pairs of files that were read allow."""
+    pairs, _ = _file_pairs(spark, sf_dir)
+    return pairs.select("pair_id", files.mode_of(F.array("left_path", "right_path")).alias("m")).select("pair_id", "m.mode", "m.fmt_group", "m.cross_format")
+
+
+@query(f"{_FILES} SELECT l.doc_id AS pair_id, ((l.way = 2)::INT + (r.way = 2)::INT)::BIGINT AS loud, 0::BIGINT AS quiet, coalesce(least(l.confidence, r.confidence), 1.0) AS lowest, false AS low FROM p l JOIN p r ON r.doc_id = l.doc_id + 1")
+def pair_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings and confidences of both files of a pair."""
+    parsed = documents.parse_files(_files(spark, sf_dir))
+    pairs, docs = _file_pairs(spark, sf_dir)
+    sides = pairs.select("pair_id", F.explode(F.array("left_path", "right_path")).alias("path"))
+    return quality.triage(sides.join(parsed.warnings, "path").select("pair_id", "severity"), sides.join(docs, "path").select("pair_id", "confidence"))
+
+
 @query(_GATE("l", "r", "l", "r"))
 def pair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.gate(*_file_pairs(spark, sf_dir))
