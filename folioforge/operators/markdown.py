@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -45,24 +45,24 @@ def strip_inline(line: str) -> str:
     return line
 
 
-def _line(line: str, after: str) -> tuple[str, int | None, str]:
+def _line(line: str, after: str, strip: Callable[[str], str]) -> tuple[str, int | None, str]:
     """Type, level and text of a line outside of code, after an open block of type ``after``. The types ``end``
     (closes the open block), ``title`` (makes it a heading) and ``skip`` (adds nothing to it) are no blocks."""
     if not line.strip() or (RULE.match(line) and after != "paragraph"):
         return "end", None, ""
     if m := HEADING.match(line):
-        return "heading", len(m[1]), strip_inline(re.sub(r"\s+#+\s*$", "", m[2]))
+        return "heading", len(m[1]), strip(re.sub(r"\s+#+\s*$", "", m[2]))
     if after == "paragraph" and (m := SETEXT.match(line)):
         return "title", 1 if m[1][0] == "=" else 2, ""
     if m := QUOTE.match(line):
-        return "quote", None, strip_inline(line[m.end() :])
+        return "quote", None, strip(line[m.end() :])
     if m := ITEM.match(line):
-        return "listItem", len(m[1]) // 2, strip_inline(m[2])
+        return "listItem", len(m[1]) // 2, strip(m[2])
     if TABLE_ROW.match(line):
         if after == "table" and TABLE_DELIM.match(line):
             return "skip", None, ""
-        return "table", None, " | ".join(strip_inline(c).strip() for c in line.strip()[1:-1].split("|"))
-    return "text", None, strip_inline(line)
+        return "table", None, " | ".join(strip(c).strip() for c in line.strip()[1:-1].split("|"))
+    return "text", None, strip(line)
 
 
 @dataclass
@@ -77,7 +77,7 @@ class Block:
     starts: bool = True
 
 
-def step(line: str, state: str) -> tuple[str, str, int | None, str]:
+def step(line: str, state: str, strip: Callable[[str], str] = strip_inline) -> tuple[str, str, int | None, str]:
     """State after a line, what it does, level, text. A state is the type of the open block, the marks that opened the code, or
     empty. A line adds to the open block, ends it, makes it a title, is skipped, or starts a block of the type named."""
     found = FENCE.match(line)
@@ -86,7 +86,7 @@ def step(line: str, state: str) -> tuple[str, str, int | None, str]:
         return ("", "end", None, "") if closed else (state, "add", None, line)
     if found:
         return found[1], "code", None, ""
-    kind, level, body = _line(line, state)
+    kind, level, body = _line(line, state, strip)
     if kind == "skip" or (kind == state and kind in ("quote", "table")) or (kind == "text" and state in FLOWING):
         return state, kind if kind == "skip" else "add", None, body
     if kind in ("end", "title", "heading"):

@@ -63,7 +63,7 @@ class _Runs:
     def line(self, line: str) -> None:
         before, self.at = self.at, {}
         for state, (n, members) in before.items():
-            after, does, _, _ = step(line, state)
+            after, does, _, _ = step(line, state, str)
             self.add(after, n + (does not in WITHIN), members)
 
     def ends(self) -> Map:
@@ -151,7 +151,10 @@ def long_blocks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("d
     named = F.struct(*[F.col(k) for k in keys])
     told = docs.where(F.col(text) != "").select(named.alias("_keys"), F.sha2(F.concat(F.to_json(named), F.lit("\n"), F.col(text)), 256).alias("_id"), F.col(text).alias("_text"))
     cuts = told.select("_keys", "_id", F.posexplode(F.pandas_udf(cut_all, CUT)("_text")).alias("_piece", "_x"))
-    pieces = cuts.groupBy("_id", "_piece").agg(F.first("_keys").alias("_keys"), F.first("_x.units").alias("_at"), F.first("_x.text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+    # Pieces are few bytes but much work, so their number of tasks is fixed: adaptive execution would make few tasks of them.
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = cuts.repartition(tasks, "_id", "_piece").groupBy("_id", "_piece").agg(F.first("_keys").alias("_keys"), F.first("_x.units").alias("_at"), F.first("_x.text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
 
     maps = pieces.select("_id", "_piece", F.floor(F.col("_piece") / fan).alias("_run"), map_of("_text").alias("_map"))
     runs = maps.groupBy("_id", "_run").agg(F.array_sort(F.collect_list(F.struct("_piece", "_map"))).alias("_m"))
