@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.batches import vectorized
+
 
 def pair_counts(text: str) -> Counter:
     """How often each pair of UTF-16 units occurs."""
@@ -34,7 +36,7 @@ def _dice(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def dice_of(left: Column, right: Column) -> Column:
-    return F.pandas_udf(_dice, "double")(left, right)
+    return vectorized(_dice, "double")(left, right)
 
 
 def dice(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:

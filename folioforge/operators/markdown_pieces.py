@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.batches import vectorized
 from folioforge.operators.markdown import FENCE, FENCES, lines_of, parse, step, u16_units
 
 #: Characters of a piece, apart from the rest of its last line.
@@ -147,10 +148,10 @@ def long_blocks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("d
     def cut_all(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"units": u, "text": p} for u, p in cut(t, span)])
 
-    map_of, compose, places, read = (F.pandas_udf(f, schema) for f, schema in ((_map_of, "string"), (_composed, "string"), (_places, PLACES), (_parts, PARTS)))
+    map_of, compose, places, read = (vectorized(f, schema) for f, schema in ((_map_of, "string"), (_composed, "string"), (_places, PLACES), (_parts, PARTS)))
     named = F.struct(*[F.col(k) for k in keys])
     told = docs.where(F.col(text) != "").select(named.alias("_keys"), F.sha2(F.concat(F.to_json(named), F.lit("\n"), F.col(text)), 256).alias("_id"), F.col(text).alias("_text"))
-    cuts = told.select("_keys", "_id", F.posexplode(F.pandas_udf(cut_all, CUT)("_text")).alias("_piece", "_x"))
+    cuts = told.select("_keys", "_id", F.posexplode(vectorized(cut_all, CUT)("_text")).alias("_piece", "_x"))
     # Pieces are few bytes but much work, so their number of tasks is fixed: adaptive execution would make few tasks of them.
     spark = docs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
