@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions import text as t
+from folioforge.functions.batches import vectorized
+
 CONTEXT, LEAST_HIDDEN = 3, 6
 
 
@@ -55,28 +58,43 @@ def change_nav(rows: DataFrame, key: str = "pair_id") -> DataFrame:
     return rows.where("kind <> 'equal'").select(key, "row_ix", (F.row_number().over(order) - 1).alias("change_ix"), F.lag("row_ix").over(order).alias("previous_row"), F.lead("row_ix").over(order).alias("next_row"))
 
 
+def segments_of(spans: Column) -> Column:
+    """The segments of one row from its spans (array of kind and text, in order), an array of kind, text (common), left_text and right_text
+    (divergent). Each span is read where it lies: nothing is exploded, sorted or shuffled."""
+    eq = lambda s: s["kind"] == "equal"
+    joined = lambda part: F.array_join(F.transform(part, lambda s: s["text"]), "")
+
+    def told(part: Column) -> Column:
+        same, side = eq(F.get(part, F.lit(0))), lambda kind: joined(F.filter(part, lambda s: s["kind"] == kind))
+        return F.struct(F.when(same, "common").otherwise("divergent").alias("kind"), F.when(same, joined(part)).alias("text"), F.when(~same, side("delete")).alias("left_text"), F.when(~same, side("insert")).alias("right_text"))
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (eq(F.get(s, i)) != eq(F.get(s, i - 1))))
+        return t.bound(starts, lambda at: F.transform(at, lambda i, k: t.bound(F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i), told)))
+
+    return t.bound(spans, cut)
+
+
+def span_segments(rows: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Common and divergent segments of modified rows (key, row_ix, spans): seg_ix, kind, text (common), left and right (divergent)."""
+    return rows.select(key, "row_ix", F.posexplode(segments_of(F.col("spans"))).alias("seg_ix", "s")).select(key, "row_ix", F.col("seg_ix").cast("long").alias("seg_ix"), "s.*")
+
+
 def triple_segments(spans: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Common and divergent segments of modified rows from their spans (key, row_ix, span_ix, kind, text):
-    seg_ix, kind, text (common), left and right (divergent)."""
-    order = Window.partitionBy(key, "row_ix").orderBy("span_ix")
-    eq = F.col("kind") == "equal"
-    new = F.when(F.lag(eq).over(order).eqNullSafe(eq), 0).otherwise(1)
-    grouped = spans.withColumn("eq", eq).withColumn("new", new).withColumn("seg_ix", F.sum("new").over(order) - 1)
-    join = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("span_ix", "text")))), lambda s: s["text"]), "")
-    out = grouped.groupBy(key, "row_ix", "seg_ix", "eq").agg(join(eq).alias("c"), join(F.col("kind") == "delete").alias("l"), join(F.col("kind") == "insert").alias("r"))
-    return out.select(key, "row_ix", "seg_ix", F.when(F.col("eq"), "common").otherwise("divergent").alias("kind"), F.when(F.col("eq"), F.col("c")).alias("text"), F.when(~F.col("eq"), F.col("l")).alias("left_text"), F.when(~F.col("eq"), F.col("r")).alias("right_text"))
+    """The same from spans that are rows (key, row_ix, span_ix, kind, text)."""
+    whole = spans.groupBy(key, "row_ix").agg(F.array_sort(F.collect_list(F.struct("span_ix", "kind", "text"))).alias("spans"))
+    return span_segments(whole, key)
 
 
 def row_segments(rows: DataFrame, key: str = "pair_id") -> DataFrame:
     """The segments of all rows of a comparison (key, row_ix, kind, left_text, right_text, spans). An equal row is common (none
     if it is empty); a row of one side, and a modified one without spans, is divergent, a missing side of it empty."""
     inline = (F.col("kind") == "modify") & (F.coalesce(F.size("spans"), F.lit(0)) > 0)
-    spans = rows.where(inline).select(key, "row_ix", F.posexplode("spans").alias("span_ix", "s")).select(key, "row_ix", "span_ix", "s.*")
     same = F.col("kind") == "equal"
     text = F.coalesce("right_text", "left_text", F.lit(""))
     side = lambda c: F.when(~same, F.coalesce(c, F.lit(""))).alias(c)
     whole = rows.where(~inline & (~same | (text != ""))).select(key, "row_ix", F.lit(0).cast("long").alias("seg_ix"), F.when(same, "common").otherwise("divergent").alias("kind"), F.when(same, text).alias("text"), side("left_text"), side("right_text"))
-    return triple_segments(spans, key).unionByName(whole)
+    return span_segments(rows.where(inline), key).unionByName(whole)
 
 
 def common_text(segments: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -85,6 +103,13 @@ def common_text(segments: DataFrame, key: str = "pair_id") -> DataFrame:
     return common.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "seg_ix", "text"))), lambda s: s["text"]), "").alias("common_text"))
 
 
+def shared_text(rows: DataFrame, key: str = "pair_id") -> DataFrame:
+    """What both sides share, from modified rows (key, row_ix, spans): the common segments of a row are joined where they lie, then those of a pair's rows."""
+    same = lambda s: s["kind"] == "equal"
+    text = F.array_join(F.transform(F.filter("spans", same), lambda s: s["text"]), "")
+    return common_text(rows.where(F.exists("spans", same)).select(key, "row_ix", F.lit(0).cast("long").alias("seg_ix"), F.lit("common").alias("kind"), text.alias("text")), key)
+
+
 SHORT, NEAR = 3, 12
 _GRAPHEME = regex.compile(r"\X")
 _WORDS = regex.compile(r"(?V1w)\b")
@@ -116,7 +141,7 @@ def with_context(segments: DataFrame, key: str = "pair_id", short: int = SHORT,
     order = Window.partitionBy(key, "row_ix").orderBy("seg_ix")
     lonely = (F.col("kind") == "divergent") & (F.greatest(*[F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\X"), F.lit(0))) for c in ("left_text", "right_text")]) < short)
     beside = segments.withColumn("_b", F.when(lonely, F.lag("text").over(order))).withColumn("_a", F.when(lonely, F.lead("text").over(order)))
-    head, tail = F.pandas_udf(lambda x: cut(x, False), "string"), F.pandas_udf(lambda x: cut(x, True), "string")
+    head, tail = vectorized(lambda x: cut(x, False), "string"), vectorized(lambda x: cut(x, True), "string")
     return beside.withColumn("before", tail("_b")).withColumn("after", head("_a")).drop("_a", "_b")
 
 
