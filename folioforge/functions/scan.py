@@ -18,6 +18,6 @@ def before(rows: DataFrame, keys: list[str], at: Column, value: Column, name: st
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cut.groupBy(*keys, "_part").agg(fold("_value").alias("_whole")).select(*keys, "_part", fold("_whole").over(earlier).alias("_far")).where("_far is not null")
     inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    near = cut.withColumn("_near", fold("_value").over(inside)).join(parts, [*keys, "_part"], "left")
+    near = cut.withColumn("_near", fold("_value").over(inside)).join(parts.hint("merge"), [*keys, "_part"], "left")
     both = F.coalesce(F.col("_near") + F.col("_far"), "_near", "_far") if total else F.when(F.col("_near").isNull() | (F.col("_far") > F.col("_near")), F.col("_far")).otherwise(F.col("_near"))
     return near.select(*rows.columns, both.alias(name))

@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.batches import vectorized
 from folioforge.functions.scan import before
-from folioforge.functions.scratch import stored
+from folioforge.functions.scratch import paired, stored
 
 EDIT_LIMIT, ANCHOR_LEAST = 1500, 400
 #: Frontiers between those that are kept; the ones between are made again on the way back.
@@ -159,7 +160,7 @@ def _compared(rows: DataFrame, limit: int | None) -> DataFrame:
             out.append([{"i": i, "j": j} for i, j in range_matches(*sides, limit)])
         return pd.Series(out)
 
-    told = F.pandas_udf(run, "array<struct<i:int,j:int>>")
+    told = vectorized(run, "array<struct<i:int,j:int>>")
     whole = rows.groupBy(*RANGE).agg(F.array_sort(F.collect_list(F.struct("side", "ix", "code"))).alias("found"), F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
     both = whole.where("n > 0 and m > 0").select(*RANGE, told("found").alias("found"))
     return both.select(*RANGE, F.explode("found").alias("x")).select("pair_id", (F.col("a0") + F.col("x.i")).alias("i"), (F.col("b0") + F.col("x.j")).alias("j"))
@@ -168,7 +169,7 @@ def _compared(rows: DataFrame, limit: int | None) -> DataFrame:
 def _sized(rows: DataFrame) -> DataFrame:
     """With n and m, the elements of each range on both sides; ranges with none on one side go."""
     size = rows.groupBy(*RANGE).agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m")).where("n > 0 and m > 0")
-    return rows.join(size, RANGE)
+    return paired(rows, size, RANGE)
 
 
 def _trimmed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +181,7 @@ def _trimmed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = ends.groupBy(*RANGE, "e.end", "e.k").agg((F.min("code") != F.max("code")).alias("unlike"))
     first = lambda end: F.min(F.when(F.col("unlike") & (F.col("end") == end), F.col("k")))
     cut = met.groupBy(*RANGE).agg(first(0).alias("head"), first(1).alias("tail"))
-    told = rows.join(cut, RANGE).withColumn("head", F.coalesce("head", F.least("n", "m"))).withColumn("tail", F.least(F.coalesce("tail", F.least("n", "m")), F.least("n", "m") - F.col("head")))
+    told = paired(rows, cut, RANGE).withColumn("head", F.coalesce("head", F.least("n", "m"))).withColumn("tail", F.least(F.coalesce("tail", F.least("n", "m")), F.least("n", "m") - F.col("head")))
     left = told.where("side = 0")
     matches = left.where("place < head").select("pair_id", F.col("ix").alias("i"), (F.col("b0") + F.col("place")).alias("j")).unionByName(
         left.where("back < tail and place >= head").select("pair_id", F.col("ix").alias("i"), (F.col("b0") + F.col("m") - 1 - F.col("back")).alias("j"))
@@ -209,7 +210,7 @@ def _rising(found: DataFrame) -> DataFrame:
 def _between(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """The rows that are no anchors, each in the range behind the last anchor before it."""
     sides = anchors.select(*RANGE, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("ix")), F.struct(F.lit(1).alias("side"), F.col("j").alias("ix")))).alias("x"), F.struct((F.col("i") + 1).alias("a"), (F.col("j") + 1).alias("b")).alias("next"))
-    told = rows.join(sides.select(*RANGE, "x.side", "x.ix", "next"), [*RANGE, "side", "ix"], "left")
+    told = paired(rows, sides.select(*RANGE, "x.side", "x.ix", "next"), [*RANGE, "side", "ix"], "left")
     told = before(told, [*RANGE, "side"], F.col("ix"), F.col("next"), "start").where("next is null")
     return told.select("pair_id", F.coalesce("start.a", "a0").cast("int").alias("a0"), F.coalesce("start.b", "b0").cast("int").alias("b0"), "side", "ix", "code")
 
@@ -220,8 +221,8 @@ def matches(rows: DataFrame, edit_limit: int | None = EDIT_LIMIT) -> DataFrame:
     sizes = stored(rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > ANCHOR_LEAST), "long-pairs")
     if sizes.isEmpty():
         return _compared(elements, edit_limit)
-    out = _compared(elements.join(sizes, "pair_id", "left_anti"), edit_limit)
-    open_rows = stored(_sized(elements.join(sizes, "pair_id", "left_semi")), "ranges")
+    out = _compared(paired(elements, sizes, "pair_id", "left_anti"), edit_limit)
+    open_rows = stored(_sized(paired(elements, sizes, "pair_id", "left_semi")), "ranges")
     while not open_rows.isEmpty():
         equal, rest = _trimmed(open_rows)
         rest = stored(rest, "rests")
@@ -230,8 +231,8 @@ def matches(rows: DataFrame, edit_limit: int | None = EDIT_LIMIT) -> DataFrame:
         once = long.groupBy(*RANGE, "code").agg(place(0).alias("i"), place(1).alias("j"), F.count(F.lit(1)).alias("k")).where("k = 2 and i is not null and j is not null").select(*RANGE, "i", "j")
         anchors = stored(_rising(once), "anchors")
         anchored = anchors.select(*RANGE).distinct()
-        plain = rest.where(F.col("n") + F.col("m") <= ANCHOR_LEAST).unionByName(long.join(anchored, RANGE, "left_anti"))
-        parts = stored(_sized(_between(long.join(anchored, RANGE, "left_semi").drop("n", "m"), anchors)), "ranges")
+        plain = rest.where(F.col("n") + F.col("m") <= ANCHOR_LEAST).unionByName(paired(long, anchored, RANGE, "left_anti"))
+        parts = stored(_sized(_between(paired(long, anchored, RANGE, "left_semi").drop("n", "m"), anchors)), "ranges")
         short = parts.where(F.col("n") + F.col("m") <= ANCHOR_LEAST)
         compared = _compared(plain.drop("n", "m").unionByName(short.drop("n", "m")), edit_limit)
         out = out.unionByName(equal).unionByName(anchors.select("pair_id", "i", "j")).unionByName(compared)

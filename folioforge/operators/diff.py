@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.batches import vectorized
 from folioforge.functions.scan import before
-from folioforge.functions.scratch import stored
+from folioforge.functions.scratch import paired, stored
 from folioforge.functions.similarity import coefficient as dice
 from folioforge.functions.text import WS, u16_length
 from folioforge.operators import alignment, pairing
@@ -96,7 +97,7 @@ def inline(left: str, right: str, limit: int | None = alignment.EDIT_LIMIT) -> l
 
 def spans_of(left: Column, right: Column, limit: int | None = alignment.EDIT_LIMIT) -> Column:
     """Spans of two texts; null counts as empty."""
-    told = F.pandas_udf(lambda a, b: pd.Series([[{"kind": k, "text": x} for k, x in inline(p or "", q or "", limit)] for p, q in zip(a, b, strict=True)]), SPANS)
+    told = vectorized(lambda a, b: pd.Series([[{"kind": k, "text": x} for k, x in inline(p or "", q or "", limit)] for p, q in zip(a, b, strict=True)]), SPANS)
     return told(left, right)
 
 
@@ -116,7 +117,7 @@ def runs(left: DataFrame, right: DataFrame, edit_limit: int | None = alignment.E
     met = alignment.matches(rows, edit_limit)
     of = lambda side, ix, other: F.struct(F.lit(side).alias("side"), F.col(ix).alias("ix"), F.col(other).alias("other"))
     sides = met.select("pair_id", F.explode(F.array(of(0, "i", "j"), of(1, "j", "i"))).alias("x")).select("pair_id", "x.*")
-    told = rows.drop("code").join(sides, ["pair_id", "side", "ix"], "left")
+    told = paired(rows.drop("code"), sides, ["pair_id", "side", "ix"], "left")
     here = F.when(F.col("other").isNotNull(), F.struct("ix", "other"))
     told = before(told, ["pair_id", "side"], F.col("ix"), here, "last")
     return told.select("pair_id", "side", "ix", "text", "other", F.coalesce(F.col("last.ix") + F.col("last.other") + 2, F.lit(0)).cast("long").alias("run"), (F.col("ix") - F.coalesce("last.ix", F.lit(-1)) - 1).alias("place"))
@@ -132,7 +133,7 @@ def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_IN
     if max_blocks is not None:
         sizes = left.select("pair_id").unionByName(right.select("pair_id")).groupBy(F.col("pair_id").cast("long").alias("pair_id")).agg(F.count(F.lit(1)).alias("blocks"))
         large = stored(sizes.where(F.col("blocks") > max_blocks).select("pair_id"), "large")
-        left, right = (side.join(large, "pair_id", "left_anti") for side in (left, right))
+        left, right = (paired(side, large, "pair_id", "left_anti") for side in (left, right))
     rows = stored(runs(left, right, edit_limit), "runs")
     changed = rows.where("other is null").drop("other")
     pairs = stored(pairing.pairs(changed), "pairs")
@@ -141,15 +142,15 @@ def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_IN
     # One scan for both sides: deleted blocks look back for the furthest right block that was taken, inserted ones look
     # from the end for the first deleted block that took one behind them.
     taken = pairs.select(*run, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("place"), F.col("j").alias("mate")), F.struct(F.lit(1).alias("side"), F.col("j").alias("place"), F.col("i").alias("mate")))).alias("x"), "score").select(*run, "x.*", "score")
-    told = changed.join(taken, [*run, "side", "place"], "left")
+    told = paired(changed, taken, [*run, "side", "place"], "left")
     at = F.when(F.col("side") == 0, F.col("place")).otherwise(-F.col("place"))
     told = before(told, [*run, "side"], at, F.when(F.col("side") == 0, F.col("mate") + 1).otherwise(-F.col("mate")), "seen")
     deleted = told.where("side = 0").withColumn("at", F.col("run") + F.col("place") + F.greatest(F.coalesce("seen", F.lit(0)), F.coalesce(F.col("mate") + 1, F.lit(0))))
     lengths = changed.where("side = 0").groupBy(*run).agg(F.count(F.lit(1)).alias("length"))
-    alone = told.where("side = 1 and mate is null").join(lengths, run, "left").withColumn("at", F.col("run") + F.col("place") + F.coalesce(-F.col("seen"), "length", F.lit(0)))
+    alone = paired(told.where("side = 1 and mate is null"), lengths, run, "left").withColumn("at", F.col("run") + F.col("place") + F.coalesce(-F.col("seen"), "length", F.lit(0)))
 
     partner = told.where("side = 1 and mate is not null").select(*run, F.col("place").alias("mate"), F.col("ix").alias("right_ix"), F.col("text").alias("right_text"))
-    modified = deleted.where("mate is not null").join(partner, [*run, "mate"])
+    modified = paired(deleted.where("mate is not null"), partner, [*run, "mate"])
     fits = F.lit(True) if max_inline is None else (u16_length(F.col("text")) <= max_inline) & (u16_length(F.col("right_text")) <= max_inline)
     short = lambda test: modified.where(test).select("pair_id", "at", F.lit("modify").alias("kind"), F.col("ix").alias("left_ix"), "right_ix", F.col("text").alias("left_text"), "right_text", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("similarity"))
     out = short(fits).withColumn("spans", spans_of(F.col("left_text"), F.col("right_text"), edit_limit))

@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.batches import vectorized
 from folioforge.functions.similarity import pair_counts, shared_share
-from folioforge.functions.scratch import stored
+from folioforge.functions.scratch import paired, stored
 
 PAIR_ABOVE, PAIR_WINDOW = 0.5, 3
 BUCKET = 128
@@ -80,7 +81,7 @@ def pairs(changed: DataFrame, bucket: int = BUCKET) -> DataFrame:
             out.append(([{"at": k, "shift": s, "score": v} for k, s, v in told], ends))
         return pd.DataFrame(out, columns=["wishes", "ends"])
 
-    told = blocks.where("last is not null and most = 1").select(*RUN, "bucket", F.pandas_udf(wish, f"struct<wishes:{_LIST},ends:binary>")("bucket", "found").alias("x")).select(*RUN, "bucket", "x.*")
+    told = blocks.where("last is not null and most = 1").select(*RUN, "bucket", vectorized(wish, f"struct<wishes:{_LIST},ends:binary>")("bucket", "found").alias("x")).select(*RUN, "bucket", "x.*")
     told = stored(told, "wishes")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +100,6 @@ def pairs(changed: DataFrame, bucket: int = BUCKET) -> DataFrame:
         chosen = (_choices([(c["at"], c["shift"], c["score"]) for c in told], state, bucket)[0] for told, state in zip(wishes, states, strict=True))
         return pd.Series([[{"at": k, "shift": s, "score": v} for k, s, v in found] for found in chosen])
 
-    taken = F.explode(F.pandas_udf(take, _LIST)("wishes", F.coalesce("state", F.lit(0))))
-    rows = told.join(states, [*RUN, "bucket"], "left").select(*RUN, "bucket", taken.alias("c")).withColumn("i", (F.col("bucket") * bucket + F.col("c.at")).cast("int"))
+    taken = F.explode(vectorized(take, _LIST)("wishes", F.coalesce("state", F.lit(0))))
+    rows = paired(told, states, [*RUN, "bucket"], "left").select(*RUN, "bucket", taken.alias("c")).withColumn("i", (F.col("bucket") * bucket + F.col("c.at")).cast("int"))
     return rows.select(*RUN, "i", (F.col("i") + F.col("c.shift") - PAIR_WINDOW).cast("int").alias("j"), "c.score")
