@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as t
+from folioforge.functions.scratch import stored
 from folioforge.operators import blocks as b
 from folioforge.sources import decode, files, hwp, office, parse
 
@@ -38,12 +39,14 @@ def _columns(df: DataFrame) -> DataFrame:
 def parse_files(contents: DataFrame, options: dict[str, t.Options] = t.DEFAULTS) -> Parsed:
     """Files (path, length, content): sizes are looked at before contents, formats are told by both name and content, and each
     format goes to its parser. A file that is refused is a row with an error and no blocks, and no other file fails with
-    it. The bytes of PDF files are not read here: their placed text goes to ``operators.geometry``."""
+    it. Decoded texts, opened files and what is said of each file are stored, so that each file is read once, whoever asks for its
+    blocks, its document or its warnings. The bytes of PDF files are not read here: their placed text goes to ``operators.geometry``."""
     sized = contents.select("path", "length", "content", files.size_error(F.col("length")).alias("size_error"))
     told = sized.withColumn("r", F.when(F.col("size_error").isNull(), files.resolved(F.col("path"), F.col("content")))).select("path", "length", "content", F.col("r.format").alias("format"), F.coalesce(F.col("r.mismatch"), F.lit(False)).alias("mismatch"), F.coalesce("size_error", "r.error").alias("error"))
     fine = told.where("error is null")
 
     texts = fine.where(F.col("format").isin("txt", "md")).select("path", "format", "length", decode.decoded(F.col("content")).alias("d")).select("path", "format", "length", "d.text", "d.guessed")
+    texts = stored(texts, "texts")
     text_blocks = parse.text_blocks(texts.select("path", "format", "length", "text"), options["text"])
     text_docs = texts.select("path", decode.confidence(F.col("guessed")).alias("confidence"), F.when(F.col("guessed"), F.array(F.lit("ENCODING_GUESS"))).otherwise(F.array().cast("array<string>")).alias("codes"), F.lit(None).cast("string").alias("parse_error"))
 
@@ -57,7 +60,7 @@ def parse_files(contents: DataFrame, options: dict[str, t.Options] = t.DEFAULTS)
     blocks = _columns(text_blocks).unionByName(_columns(office_blocks)).unionByName(_columns(hwp_blocks))
     parsed = text_docs.unionByName(office_docs).unionByName(hwp_docs)
     counts = blocks.groupBy("path").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("section").alias("sections"), F.max((F.col("type") == "table").cast("int")).alias("tables"))
-    whole = told.drop("content").join(parsed, "path", "left").join(counts, "path", "left")
+    whole = stored(told.drop("content").join(parsed, "path", "left").join(counts, "path", "left"), "files")
     error = F.coalesce("error", "parse_error", F.when(F.col("format") == "pdf", "UNSUPPORTED_FORMAT"))
     versions = F.create_map(*[F.lit(x) for row in files.PARSERS for x in (row[0], row[2])])
     docs = whole.select("path", "format", files.group_of(F.col("format")).alias("fmt_group"), "length", F.when(F.col("confidence") <= 0.4, "hwp-prv@1").otherwise(versions[F.col("format")]).alias("parser_version"), F.when(error.isNull(), F.col("confidence")).alias("confidence"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("sections", F.lit(0)).alias("sections"), error.alias("error"))

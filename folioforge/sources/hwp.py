@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.batches import vectorized
+from folioforge.functions.scratch import stored
 from folioforge.functions import text as t
 from folioforge.operators import blocks as b
 
@@ -185,20 +187,20 @@ def _open(raw: bytes) -> dict:
 
 def opened(contents: DataFrame) -> DataFrame:
     """path, error, version, sections (of inflated bytes), preview of files (path, content): a file is read by one task."""
-    read = F.pandas_udf(lambda c: pd.DataFrame([_open(bytes(x)) for x in c], columns=["error", "version", "sections", "preview"]), OPENED)
+    read = vectorized(lambda c: pd.DataFrame([_open(bytes(x)) for x in c], columns=["error", "version", "sections", "preview"]), OPENED)
     return contents.where("content is not null").select("path", read("content").alias("o")).select("path", "o.*")
 
 
 def section_records(files: DataFrame) -> DataFrame:
     """path, section, ix, tag, level, payload of all records of opened files."""
-    read = F.pandas_udf(lambda s: s.map(lambda raw: [{"tag": a, "level": b, "payload": c} for a, b, c in records(bytes(raw))]), "array<struct<tag int, level int, payload binary>>")
+    read = vectorized(lambda s: s.map(lambda raw: [{"tag": a, "level": b, "payload": c} for a, b, c in records(bytes(raw))]), "array<struct<tag int, level int, payload binary>>")
     rows = files.select("path", F.posexplode("sections").alias("section", "raw"))
     return rows.select("path", "section", F.posexplode(read("raw")).alias("ix", "r")).select("path", "section", "ix", "r.*")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """The paragraphs of records: path, draft_ix, section, raw_text, char_offset (in UTF-16 units). A header begins one; those without text go."""
-    read = F.pandas_udf(lambda p: p.map(lambda raw: paragraph_text(bytes(raw))[0]), "string")
+    read = vectorized(lambda p: p.map(lambda raw: paragraph_text(bytes(raw))[0]), "string")
     told = rows.where(F.col("tag").isin(PARA_HEADER, PARA_TEXT))
     n = F.sum((F.col("tag") == PARA_HEADER).cast("int")).over(Window.partitionBy("path", "section").orderBy("ix"))
     texts = told.withColumn("n", n).where(F.col("tag") == PARA_TEXT).withColumn("text", read("payload"))
@@ -210,7 +212,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 
 def utf16(raw: Column) -> Column:
     """Little-endian UTF-16; what isn't is replaced."""
-    return F.pandas_udf(lambda x: x.map(lambda b: None if b is None else bytes(b).decode("utf-16-le", "replace")), "string")(raw)
+    return vectorized(lambda x: x.map(lambda b: None if b is None else bytes(b).decode("utf-16-le", "replace")), "string")(raw)
 
 
 def read_hwp(contents: DataFrame, options: t.Options = t.DEFAULTS["hwp"]) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +220,7 @@ def read_hwp(contents: DataFrame, options: t.Options = t.DEFAULTS["hwp"]) -> tup
 
     A file whose sections have few characters is read from its preview, if that has some (confidence 0.4); one without any
     text is corrupted."""
-    files = opened(contents)
+    files = stored(opened(contents), "opened")
     rows = section_records(files)
     body = b.finish_blocks(paragraphs(rows), options, keys=("path",)).withColumn("type", F.lit("paragraph"))
     sizes = body.groupBy("path").agg(F.sum(t.u16_length(F.col("text"))).alias("chars"))

@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.batches import vectorized
 from folioforge.functions import text as t
+from folioforge.functions.scratch import stored
 from folioforge.operators import xml
 
 # Limits, names of heading styles, elements that stand for one character.
@@ -186,13 +188,13 @@ def opened(contents: DataFrame) -> DataFrame:
     """path, format, error, warnings and parts (section and XML) of the DOCX and HWPX files among (path, content, format); null for
     null content. A file is opened by one task."""
     chosen = contents.where(F.col("format").isin("docx", "hwpx"))
-    return chosen.select("path", "format", F.pandas_udf(_opened, OPENED)("content", "format").alias("o")).select("path", "format", "o.*")
+    return chosen.select("path", "format", vectorized(_opened, OPENED)("content", "format").alias("o")).select("path", "format", "o.*")
 
 
 def read_office(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs, drafts) of files (path, content, format): docs has path, format, warnings and error. A file without text is corrupted
     if it is HWPX, else read in part; one with an error has no drafts."""
-    files = opened(contents)
+    files = stored(opened(contents), "opened")
     found = drafts(files)
     seen = found.groupBy("path").agg(F.max(F.col("type") == "table").alias("tables"), F.max(t.trim(F.col("raw_text")) != "").alias("full"))
     told = files.drop("parts").join(seen, "path", "left").na.fill(False, ["tables", "full"])
