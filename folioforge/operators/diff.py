@@ -102,8 +102,11 @@ def spans_of(left: Column, right: Column, limit: int | None = alignment.EDIT_LIM
 
 
 def inline_spans(pairs: DataFrame, limit: int | None = alignment.EDIT_LIMIT) -> DataFrame:
-    """pair_id and the spans of its texts left and right (null counts as empty)."""
-    return pairs.select(F.col("pair_id").cast("long"), spans_of(F.col("left"), F.col("right"), limit).alias("spans"))
+    """pair_id and the spans of its texts left and right (null counts as empty). Pairs are few bytes but much work, so the number of
+    their tasks is fixed: adaptive execution would make few tasks of them."""
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.select("pair_id", "left", "right").repartition(tasks).select(F.col("pair_id").cast("long"), spans_of(F.col("left"), F.col("right"), limit).alias("spans"))
 
 
 def runs(left: DataFrame, right: DataFrame, edit_limit: int | None = alignment.EDIT_LIMIT) -> DataFrame:
