@@ -148,22 +148,23 @@ def range_matches(a: Sequence, b: Sequence, limit: int | None = EDIT_LIMIT) -> l
 
 
 def _compared(rows: DataFrame, limit: int | None) -> DataFrame:
-    """(pair_id, i, j) of ranges (RANGE, side, ix, code), a range to a row."""
+    """(pair_id, i, j) of ranges (RANGE, side, ix, code), a range to a row. Python gets and gives arrays of codes and of places: one of
+    rows would be an object for each field of each element."""
 
-    def run(codes: pd.Series) -> pd.Series:
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         out = []
-        for found in codes:
+        for codes in zip(left, right, strict=True):
             number: dict[bytes, int] = {}
-            sides: tuple[list[int], list[int]] = ([], [])
-            for x in found:
-                sides[x["side"]].append(number.setdefault(bytes(x["code"]), len(number)))
-            out.append([{"i": i, "j": j} for i, j in range_matches(*sides, limit)])
-        return pd.Series(out)
+            found = range_matches(*([number.setdefault(bytes(x), len(number)) for x in side] for side in codes), limit)
+            out.append([np.array(places, np.int32) for places in zip(*found, strict=True)] or [np.empty(0, np.int32)] * 2)
+        return pd.DataFrame(out, columns=["i", "j"])
 
-    told = vectorized(run, "array<struct<i:int,j:int>>")
+    told = vectorized(run, "struct<i:array<int>,j:array<int>>")
     whole = rows.groupBy(*RANGE).agg(F.array_sort(F.collect_list(F.struct("side", "ix", "code"))).alias("found"), F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
-    both = whole.where("n > 0 and m > 0").select(*RANGE, told("found").alias("found"))
-    return both.select(*RANGE, F.explode("found").alias("x")).select("pair_id", (F.col("a0") + F.col("x.i")).alias("i"), (F.col("b0") + F.col("x.j")).alias("j"))
+    codes = lambda side: F.transform(F.filter("found", lambda x: x["side"] == side), lambda x: x["code"])
+    both = whole.where("n > 0 and m > 0").select(*RANGE, told(codes(0), codes(1)).alias("x"))
+    met = both.select(*RANGE, F.explode(F.arrays_zip(F.col("x.i").alias("i"), F.col("x.j").alias("j"))).alias("x"))
+    return met.select("pair_id", (F.col("a0") + F.col("x.i")).alias("i"), (F.col("b0") + F.col("x.j")).alias("j"))
 
 
 def _sized(rows: DataFrame) -> DataFrame:

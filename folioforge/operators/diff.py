@@ -19,7 +19,7 @@ from folioforge.functions.batches import vectorized
 from folioforge.functions.scan import before
 from folioforge.functions.scratch import paired, stored
 from folioforge.functions.similarity import coefficient as dice
-from folioforge.functions.text import WS, u16_length
+from folioforge.functions.text import WS, bound, u16_length
 from folioforge.operators import alignment, pairing
 
 REFINE_FROM, MAX_INLINE = 0.4, 5000
@@ -96,9 +96,14 @@ def inline(left: str, right: str, limit: int | None = alignment.EDIT_LIMIT) -> l
 
 
 def spans_of(left: Column, right: Column, limit: int | None = alignment.EDIT_LIMIT) -> Column:
-    """Spans of two texts; null counts as empty."""
-    told = vectorized(lambda a, b: pd.Series([[{"kind": k, "text": x} for k, x in inline(p or "", q or "", limit)] for p, q in zip(a, b, strict=True)]), SPANS)
-    return told(left, right)
+    """Spans of two texts; null counts as empty. Python gives arrays of kinds and of texts: one of spans would be some objects for each."""
+
+    def told(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        found = (inline(p or "", q or "", limit) for p, q in zip(left, right, strict=True))
+        return pd.DataFrame([[[k for k, _ in spans], [x for _, x in spans]] for spans in found], columns=["kind", "text"])
+
+    lists = vectorized(told, "struct<kind:array<string>,text:array<string>>")(left, right)
+    return bound(lists, lambda x: F.arrays_zip(x["kind"].alias("kind"), x["text"].alias("text"))).cast(SPANS)
 
 
 def inline_spans(pairs: DataFrame, limit: int | None = alignment.EDIT_LIMIT) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,12 @@ def _wishes(first: int, deleted: Sequence[tuple[int, str]], inserted: Sequence[t
     return out
 
 
-_LIST = "array<struct<at:int,shift:int,score:double>>"
+#: Wishes as arrays of their fields, which are small in Python.
+_LISTS = "at:array<int>,shift:array<int>,score:array<double>"
+
+
+def _lists(wishes: Wishes) -> list[np.ndarray]:
+    return [np.array([w[k] for w in wishes], kind) for k, kind in enumerate((np.int32, np.int32, np.float64))]
 
 
 def pairs(changed: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -71,17 +77,17 @@ def pairs(changed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     met = own.unionByName(changed.where("side = 1").withColumn("bucket", near))
     blocks = met.groupBy(*RUN, "bucket").agg(F.array_sort(F.collect_list(F.struct("side", "place", "text"))).alias("found"), F.max(F.when(F.col("side") == 0, F.col("place"))).alias("last"), F.max("side").alias("most"))
 
-    def wish(buckets: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def wish(buckets: pd.Series, i: pd.Series, deleted: pd.Series, j: pd.Series, inserted: pd.Series) -> pd.DataFrame:
         out = []
-        for at, rows in zip(buckets, found, strict=True):
-            deleted = [(x["place"], x["text"]) for x in rows if x["side"] == 0]
-            full = len(deleted) == bucket
-            told = _wishes(at * bucket, deleted, [(x["place"], x["text"]) for x in rows if x["side"] == 1])
-            ends = bytes(_choices(told, state, bucket)[1] for state in range(STATES)) if full else None
-            out.append(([{"at": k, "shift": s, "score": v} for k, s, v in told], ends))
-        return pd.DataFrame(out, columns=["wishes", "ends"])
-
-    told = blocks.where("last is not null and most = 1").select(*RUN, "bucket", vectorized(wish, f"struct<wishes:{_LIST},ends:binary>")("bucket", "found").alias("x")).select(*RUN, "bucket", "x.*")
+        for at, places, texts, others, theirs in zip(buckets, i, deleted, j, inserted, strict=True):
+            told = _wishes(at * bucket, list(zip(places.tolist(), texts, strict=True)), list(zip(others.tolist(), theirs, strict=True)))
+            ends = bytes(_choices(told, state, bucket)[1] for state in range(STATES)) if len(places) == bucket else None
+            out.append((*_lists(told), ends))
+        return pd.DataFrame(out, columns=["at", "shift", "score", "ends"])
+
+    of = lambda side, field: F.transform(F.filter("found", lambda x: x["side"] == side), lambda x: x[field])
+    told = vectorized(wish, f"struct<{_LISTS},ends:binary>")("bucket", *(of(side, field) for side in (0, 1) for field in ("place", "text")))
+    told = blocks.where("last is not null and most = 1").select(*RUN, "bucket", told.alias("x")).select(*RUN, "bucket", "x.*")
     told = stored(told, "wishes")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,10 +102,11 @@ def pairs(changed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     maps = told.where("ends is not null or bucket > 0").select(*RUN, "bucket", "ends")
     states = maps.groupBy(*RUN).applyInPandas(compose, "pair_id long, run long, bucket long, state int")
 
-    def take(wishes: pd.Series, states: pd.Series) -> pd.Series:
-        chosen = (_choices([(c["at"], c["shift"], c["score"]) for c in told], state, bucket)[0] for told, state in zip(wishes, states, strict=True))
-        return pd.Series([[{"at": k, "shift": s, "score": v} for k, s, v in found] for found in chosen])
+    def take(at: pd.Series, shift: pd.Series, score: pd.Series, states: pd.Series) -> pd.DataFrame:
+        rows = zip(at, shift, score, states, strict=True)
+        return pd.DataFrame([_lists(_choices(list(zip(a.tolist(), s.tolist(), v.tolist(), strict=True)), state, bucket)[0]) for a, s, v, state in rows], columns=["at", "shift", "score"])
 
-    taken = F.explode(vectorized(take, _LIST)("wishes", F.coalesce("state", F.lit(0))))
-    rows = paired(told, states, [*RUN, "bucket"], "left").select(*RUN, "bucket", taken.alias("c")).withColumn("i", (F.col("bucket") * bucket + F.col("c.at")).cast("int"))
+    taken = vectorized(take, f"struct<{_LISTS}>")("at", "shift", "score", F.coalesce("state", F.lit(0)))
+    rows = paired(told, states, [*RUN, "bucket"], "left").select(*RUN, "bucket", taken.alias("x"))
+    rows = rows.select(*RUN, "bucket", F.explode(F.arrays_zip(*(F.col(f"x.{name}").alias(name) for name in ("at", "shift", "score")))).alias("c")).withColumn("i", (F.col("bucket") * bucket + F.col("c.at")).cast("int"))
     return rows.select(*RUN, "i", (F.col("i") + F.col("c.shift") - PAIR_WINDOW).cast("int").alias("j"), "c.score")
