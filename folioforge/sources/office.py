@@ -1,9 +1,9 @@
 """DOCX and HWPX files, which are XML in a zip, into blocks.
 
-A task only opens the zip. The parts become event rows (``operators.xml``), and all else is told from these by windows over a part in
-order: how many elements of a kind are open at an event, and which was opened last among those at the same depth. So a text knows its
-paragraph, a paragraph its cell, row and outermost table, and what is deleted or a property is left out; paragraphs, cells,
-rows and tables are then put together by grouping.
+A task only opens the zip. The parts are dealt over tasks, and become event rows (``operators.xml``) there; all else is told from these by windows
+over a part in order: how many elements of a kind are open at an event, and which was opened last among those at the same depth. So a
+text knows its paragraph, a paragraph its cell, row and outermost table, and what is deleted or a property is left out. Events are read
+once: their paragraphs are put together by grouping and stored, then cells, rows and tables by grouping these.
 
 A paragraph within a paragraph (a text box) is a block of its own after it. A table is one block: rows are lines, cells are
 parted by ' | ', and a cell has the lines of all its paragraphs, those of tables inside of it too.
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from folioforge.functions.batches import vectorized
 from folioforge.functions import text as t
-from folioforge.functions.scratch import stored
+from folioforge.functions.scratch import paired, stored
 from folioforge.operators import xml
 
 # Limits, names of heading styles, elements that stand for one character.
@@ -102,86 +102,120 @@ def _opened(contents: pd.Series, formats: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([none if c is None else unzipped(bytes(c), f) for c, f in zip(contents, formats, strict=True)], columns=["error", "warnings", "parts"])
 
 
-def _value(name: str) -> Column:
-    """An attribute by its name without prefix."""
-    return F.get(F.filter("attrs", lambda a: xml.local_name(a["name"]) == name), F.lit(0))["value"]
+def _value(inner: Column, *names: str | Column) -> Column:
+    """The first attribute of a name (without prefix) of an open tag, from its inside."""
+    attrs = xml.inner_attributes(inner)
+    named = lambda name: F.get(F.filter(attrs, lambda a: xml.local_name(a["name"]) == name), F.lit(0))["value"]
+    return F.when(F.contains(inner, F.lit("=")), F.coalesce(*map(named, names)))
 
 
-def scoped(events: DataFrame) -> DataFrame:
-    """Events (PART, event_ix, kind, name, attrs, self_closing, text) in order with ``at`` (elements that close themselves have two),
-    the numbers of open elements p, tbl, del, pPr, tc and of all, and ``para``, ``table``, ``row`` and ``cell``: where the innermost
-    paragraph, and the row and cell of the outermost table, were opened."""
-    both = F.when((F.col("kind") == "open") & F.col("self_closing"), F.array(F.lit("open"), F.lit("close"))).otherwise(F.array("kind"))
-    rows = events.withColumn("kinds", both).select(*PART, "event_ix", F.posexplode("kinds").alias("half", "kind"), "name", "attrs", "text").withColumn("at", (F.col("event_ix") * 2 + F.col("half")).cast("long"))
+#: Elements that say something of the paragraph they are properties of, and the attributes that are read.
+PROPERTIES = ["pStyle", "outlineLvl", "numPr", "ilvl"]
+READ = {"p": "styleIDRef", "ctrl": "id", "pStyle": "val", "outlineLvl": "val", "ilvl": "val"}
+PLACE = ["n_tbl", "n_tc", "table", "row", "cell"]
+
+
+def scoped(parts: DataFrame) -> DataFrame:
+    """What the events of parts (PART, format, xml) say: PART, format, at (places rise), name, said and n_tbl, n_tc, table, row and cell, where the row
+    and cell of the outermost table were opened, of the rows that are a ``piece`` of text, a ``prop``, the begin of a paragraph (``begins``,
+    and ``shown`` unless it is left out), of a cell of an outermost table (``is_cell``) or of a header's ``style``; with ``para``, where the innermost paragraph was opened.
+
+    A part's rows are made where its text is, so that they are sorted there and not shuffled. An element that closes itself is open on
+    its own row only."""
+    is_open, name, inner = F.col("kind") == "open", F.col("name"), F.col("inner")
+    events = xml.pieces(parts.repartition(*PART), "xml", (*PART, "format")).withColumn("name", xml.local_name(F.col("qname")))
+    key = F.try_element_at(F.create_map(*[F.lit(x) for pair in READ.items() for x in pair]), name)
+    said = F.when(~is_open, F.col("text")).when((F.col("section") == HEADER) & (name == "style"), inner).when(name.isin(*READ), _value(inner, key))
+    closed = is_open & F.col("self_closing")
+    step = F.when(is_open & ~closed, 1).when(F.col("kind") == "close", -1).otherwise(0)
+    rows = events.select(*PART, "format", F.col("piece_ix").alias("at"), "kind", "name", said.alias("said"), step.alias("step"), F.coalesce(closed, F.lit(False)).cast("int").alias("closed"))
+
     order = Window.partitionBy(*PART).orderBy("at")
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    opens = lambda name: (F.col("kind") == "open") & (F.col("name") == name)
-    count = lambda name: F.sum(F.when(F.col("name") == name, step).otherwise(0)).over(order)
-    rows = rows.withColumns({"n_p": count("p"), "n_tbl": count("tbl"), "n_del": count("del"), "n_ppr": count("pPr"), "n_t": count("t"), "depth": F.sum(step).over(order)})
+    opens = lambda x: is_open & (name == x)
+    count = lambda test: F.sum(F.when(test, F.col("step")).otherwise(0)).over(order) + F.when(test, F.col("closed")).otherwise(0)
+    rows = rows.withColumns({f"n_{x.lower()}": count(name == x) for x in ("p", "tbl", "del", "pPr", "t", "styles")} | {"depth": count(F.lit(True))})
     outer = F.col("n_tbl") == 1
     last = lambda test, value="at": F.last(F.when(test, F.col(value)), ignorenulls=True).over(order)
-    rows = rows.withColumns({"table": last(opens("tbl") & outer), "row": last(opens("tr") & outer), "cell": last(opens("tc") & outer), "text_depth": last(opens("t"), "depth"), "n_tc": F.sum(F.when(outer & (F.col("name") == "tc"), step).otherwise(0)).over(order)})
-    same_depth = Window.partitionBy(*PART, "n_p").orderBy("at")
-    return rows.withColumn("para", F.last(F.when(opens("p"), F.struct("at", "n_tbl")), ignorenulls=True).over(same_depth))
-
-
-def _joined(group: list[str], rows: DataFrame, order: str, text: str, between: str, name: str, *more: Column) -> DataFrame:
-    return rows.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), between).alias(name), *more)
+    rows = rows.withColumns({"table": last(opens("tbl") & outer), "row": last(opens("tr") & outer), "cell": last(opens("tc") & outer), "text_depth": last(opens("t"), "depth"), "n_tc": count(outer & (name == "tc"))})
+
+    body, inside = F.col("section") > HEADER, F.col("n_ppr") > 0
+    char = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARACTERS.items() for x in pair]), name)
+    piece = F.when((F.col("kind") == "text") & (F.col("n_t") > 0) & (F.col("depth") == F.col("text_depth")), F.col("said")).when(is_open, F.coalesce(char, F.when((name == "ctrl") & (F.col("said") == "tab"), "\t")))
+    rows = rows.withColumns({
+        "piece": F.when(body & (F.col("n_del") == 0) & ~inside & (F.col("n_p") > 0), piece),
+        "prop": body & is_open & inside & (F.col("n_p") > 0) & name.isin(*PROPERTIES),
+        "begins": body & opens("p"),
+        "shown": ~inside & ((F.col("n_del") == 0) | (F.col("n_tbl") > 0)),  # a deleted paragraph of a cell is an empty line
+        "is_cell": body & opens("tc") & outer & (F.col("n_del") == 0),
+        "style": ~body & opens("style") & (F.col("n_styles") > 0),
+    })
+    rows = rows.where("piece is not null or prop or begins or is_cell or style")
+    para = F.last(F.when(F.col("begins"), F.struct("at", "n_tbl")), ignorenulls=True).over(Window.partitionBy(*PART, "n_p").orderBy("at"))
+    return rows.select(*PART, "format", "at", "name", "said", *PLACE, "piece", "prop", "begins", "shown", "is_cell", "style", para.alias("para"))
+
+
+def _text(order: str, text: str, between: str) -> Column:
+    """The texts of a group in order, joined; null ones are left out."""
+    pairs = F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text)))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x[text]), between)
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """The paragraphs of scoped events: PART, at, style (of HWPX), p_style, outline, numbered, ilvl, n_tbl, n_tc, table, row, cell and text."""
-    seen = (F.col("n_del") == 0) & (F.col("n_ppr") == 0)
-    char = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARACTERS.items() for x in pair]), F.col("name"))
-    piece = F.when((F.col("kind") == "text") & (F.col("n_t") > 0) & (F.col("depth") == F.col("text_depth")), F.col("text")).when(F.col("kind") == "open", F.coalesce(char, F.when((F.col("name") == "ctrl") & (_value("id") == "tab"), "\t")))
-    own = (F.col("n_p") > 0) & (F.col("para.n_tbl") == F.col("n_tbl"))
-    pieces = rows.where(seen & own).select(*PART, F.col("para.at").alias("p_at"), "at", piece.alias("piece")).where("piece is not null")
-    texts = _joined([*PART, "p_at"], pieces, "at", "piece", "", "text")
-    inside = rows.where((F.col("kind") == "open") & (F.col("n_ppr") > 0) & (F.col("n_p") > 0) & F.col("name").isin("pStyle", "outlineLvl", "numPr", "ilvl"))
-    said = lambda name, value, alias: F.max_by(F.when(F.col("name") == name, value), F.when(F.col("name") == name, F.col("at"))).alias(alias)
-    props = inside.groupBy(*PART, F.col("para.at").alias("p_at")).agg(said("pStyle", _value("val"), "p_style"), said("outlineLvl", _value("val"), "outline"), F.max(F.col("name") == "numPr").alias("numbered"), said("ilvl", _value("val"), "ilvl"))
-    here = (F.col("n_ppr") == 0) & ((F.col("n_del") == 0) | (F.col("n_tbl") > 0))  # a deleted paragraph of a cell is an empty line
-    opened = rows.where(here & (F.col("kind") == "open") & (F.col("name") == "p")).select(*PART, "at", _value("styleIDRef").alias("style"), "n_tbl", "n_tc", "table", "row", "cell", F.col("at").alias("p_at"))
-    return opened.join(texts, [*PART, "p_at"], "left").join(props, [*PART, "p_at"], "left").drop("p_at").withColumn("text", F.coalesce("text", F.lit("")))
-
-
-def tables(rows: DataFrame, paras: DataFrame) -> DataFrame:
-    """PART, at and raw_text of the outermost tables that have cells."""
-    cells = rows.where((F.col("kind") == "open") & (F.col("name") == "tc") & (F.col("n_tbl") == 1) & (F.col("n_del") == 0)).select(*PART, "table", "row", "cell")
-    lines = _joined([*PART, "cell"], paras.where("n_tbl > 0 and n_tc > 0"), "at", "text", "\n", "lines")
-    told = cells.join(lines, [*PART, "cell"], "left").withColumn("lines", t.trim(F.coalesce("lines", F.lit(""))))
-    whole = _joined([*PART, "table", "row"], told, "cell", "lines", " | ", "line")
-    return _joined([*PART, "table"], whole, "row", "line", "\n", "raw_text").withColumnRenamed("table", "at")
-
-
-def _levels(header: DataFrame) -> DataFrame:
-    """path, style and level of the heading styles in the headers' events; the last of an id counts."""
-    order = Window.partitionBy("path").orderBy("event_ix")
-    step = F.when((F.col("name") == "styles") & (F.col("kind") == "open") & ~F.col("self_closing"), 1).when((F.col("name") == "styles") & (F.col("kind") == "close"), -1).otherwise(0)
-    named = F.coalesce(F.nullif(_value("name"), F.lit("")), _value("engName"), F.lit(""))
-    found = header.withColumn("inside", F.sum(step).over(order)).where("inside > 0 and kind = 'open' and name = 'style'").select("path", "event_ix", _value("id").alias("style"), F.when(named.rlike(HWPX_HEADING), F.coalesce(F.nullif(F.regexp_extract(named, HWPX_HEADING, 1), F.lit("")), F.regexp_extract(named, HWPX_HEADING, 2)).cast("int")).alias("level"))
-    return found.where("level is not null and style is not null").groupBy("path", "style").agg(F.max_by("level", "event_ix").alias("level"))
+    """The paragraphs of scoped rows: PART, format, at, style (of HWPX), p_style, outline, numbered, ilvl, n_tbl, n_tc, table, row, cell and text; as rows
+    of their own the cells (``is_cell``, without text) and the heading styles' tags (``header``)."""
+    alone = F.col("is_cell") | F.col("style")
+    own = F.col("para.n_tbl") == F.col("n_tbl")
+    named = lambda name: F.col("prop") & (F.col("name") == name)
+    value = lambda name, alias: F.max_by(F.when(named(name), F.col("said")), F.when(named(name), F.col("at"))).alias(alias)
+    only = lambda test, value, alias: F.first(F.when(test, value), ignorenulls=True).alias(alias)
+    placed = rows.withColumns({"p_at": F.when(alone, F.col("at")).otherwise(F.col("para.at")), "piece": F.when(own, F.col("piece"))})
+    begin = F.struct(*PLACE, F.when(~F.col("is_cell"), F.col("said")).alias("style"), "is_cell")
+    told = placed.groupBy(*PART, "format", "p_at").agg(
+        only(F.col("is_cell") | (F.col("begins") & F.col("shown")), begin, "x"), only(F.col("style"), F.col("said"), "header"), _text("at", "piece", "").alias("text"),
+        value("pStyle", "p_style"), value("outlineLvl", "outline"), F.max(F.when(F.col("prop"), F.col("name") == "numPr")).alias("numbered"), value("ilvl", "ilvl"),
+    )
+    return told.where("x is not null or header is not null").select(*PART, "format", F.col("p_at").alias("at"), "x.*", "p_style", "outline", "numbered", "ilvl", "text", "header")
+
+
+def tables(paras: DataFrame) -> DataFrame:
+    """PART, format, at and raw_text of the outermost tables that have cells, from rows of paragraphs and cells."""
+    part = [*PART, "format"]
+    lines = paras.where("is_cell or (n_tbl > 0 and n_tc > 0)").withColumn("text", F.when(~F.col("is_cell"), F.col("text")))
+    of = lambda name: F.first(F.when(F.col("is_cell"), F.struct(name)), ignorenulls=True)[name].alias(name)
+    cells = lines.groupBy(*part, "cell").agg(F.max("is_cell").alias("known"), of("table"), of("row"), _text("at", "text", "\n").alias("text")).where("known")
+    cells = cells.withColumn("text", t.trim(F.col("text")))
+    whole = cells.groupBy(*part, "table", "row").agg(_text("cell", "text", " | ").alias("line"))
+    return whole.groupBy(*part, F.col("table").alias("at")).agg(_text("row", "line", "\n").alias("raw_text"))
+
+
+def _levels(paras: DataFrame) -> DataFrame:
+    """path and levels, from the heading styles of its header to their levels; the last of an id counts."""
+    inner = F.col("header")
+    named = F.coalesce(F.nullif(_value(inner, "name"), F.lit("")), _value(inner, "engName"), F.lit(""))
+    level = F.when(named.rlike(HWPX_HEADING), F.coalesce(F.nullif(F.regexp_extract(named, HWPX_HEADING, 1), F.lit("")), F.regexp_extract(named, HWPX_HEADING, 2)).cast("int"))
+    found = paras.where("header is not null").select("path", "at", _value(inner, "id").alias("style"), level.alias("level")).where("level is not null and style is not null")
+    last = found.groupBy("path", "style").agg(F.max_by("level", "at").alias("level"))
+    return last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("style", "level"))).alias("levels"))
 
 
 def drafts(files: DataFrame) -> DataFrame:
-    """Draft blocks of opened files: path, draft_ix, type, level, raw_text, section (of HWPX), char_offset (in UTF-16 units)."""
-    parts = files.where("error is null").select("path", "format", F.explode("parts").alias("p")).select("path", "format", "p.*")
-    events = xml.events(parts, "xml", ("path", "format", "section"))
-    rows = scoped(events.where(F.col("section") > HEADER))
-    paras = paragraphs(rows)
-    styles = _levels(events.where(F.col("section") == HEADER))
+    """Draft blocks of opened files: path, draft_ix, type, level, raw_text, section (of HWPX), char_offset (in UTF-16 units). A job is run when
+    this is called: it stores the paragraphs."""
+    parts = files.where("error is null and path is not null").select("path", "format", F.explode("parts").alias("p")).select("path", "format", "p.*")
+    paras = stored(paragraphs(scoped(parts)), "paragraphs")
+    lines = paras.where("header is null and not is_cell and n_tbl = 0").select(*PART, "format", "at", "style", "p_style", "outline", "numbered", "ilvl", F.col("text").alias("raw_text"))
+    grids = tables(paras).withColumn("grid", F.lit(True))
+    found = paired(lines.unionByName(grids, allowMissingColumns=True), _levels(paras), "path", "left")
     digit = lambda c: c.rlike("^[0-9]{1,9}$")
     heading = F.regexp_extract("p_style", DOCX_HEADING, 1)
     outline = F.when(digit(F.col("outline")) & (F.col("outline").cast("int") <= 8), F.col("outline").cast("int") + 1)
-    level = F.coalesce(F.col("level"), F.when(heading != "", heading.cast("int")), outline)
+    level = F.coalesce(F.try_element_at("levels", F.col("style")), F.when(heading != "", heading.cast("int")), outline)
     depth = F.when(digit(F.col("ilvl")), F.col("ilvl").cast("int")).otherwise(0)
-    kind = F.when(level.isNotNull(), "heading").when(F.coalesce("numbered", F.lit(False)), "listItem").when(F.col("p_style").rlike(QUOTE), "quote").otherwise("paragraph")
-    lines = paras.where("n_tbl = 0").join(styles, ["path", "style"], "left").select(*PART, "at", kind.alias("type"), F.when(kind == "heading", level).when(kind == "listItem", depth).alias("level"), F.col("text").alias("raw_text"))
-    found = lines.unionByName(tables(rows, paras).select(*PART, "at", F.lit("table").alias("type"), F.lit(None).cast("int").alias("level"), "raw_text"))
+    kind = F.when(F.col("grid"), "table").when(level.isNotNull(), "heading").when(F.coalesce("numbered", F.lit(False)), "listItem").when(F.col("p_style").rlike(QUOTE), "quote").otherwise("paragraph")
     order, size = Window.partitionBy("path").orderBy("section", "at"), t.u16_length(F.col("raw_text"))
-    placed = found.withColumns({"draft_ix": (F.row_number().over(order) - 1).cast("int"), "char_offset": (F.sum(size).over(order) - size).cast("long")})
-    kinds = files.select("path", "format")
-    return placed.join(kinds, "path").select("path", "draft_ix", "type", "level", "raw_text", F.when(F.col("format") == "hwpx", F.col("section")).alias("section"), "char_offset")
+    typed = found.withColumn("type", kind).withColumn("level", F.when(F.col("type") == "heading", level).when(F.col("type") == "listItem", depth))
+    placed = typed.withColumns({"draft_ix": (F.row_number().over(order) - 1).cast("int"), "char_offset": (F.sum(size).over(order) - size).cast("long")})
+    return placed.select("path", "draft_ix", "type", "level", "raw_text", F.when(F.col("format") == "hwpx", F.col("section")).alias("section"), "char_offset")
 
 
 def opened(contents: DataFrame) -> DataFrame:
