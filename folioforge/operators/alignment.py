@@ -32,6 +32,8 @@ EDIT_LIMIT, ANCHOR_LEAST = 1500, 400
 STRIDE = 256
 #: Up to so many edits, diagonals are met one by one.
 FEW = 64
+#: Up to so many places of one side times those of the other, common subsequences are counted in bits, half a megabyte of them.
+CELLS = 1 << 22
 
 Match = tuple[int, int]
 Op = tuple[str, int, int]  # equal, delete or insert; place in a; place in b (-1 where there is none)
@@ -85,10 +87,45 @@ def _further_few(a: list, b: list, reach: list[int], d: int) -> tuple[list[int],
     return out, False
 
 
-def shortest_edits(a: Sequence, b: Sequence, limit: int | None = EDIT_LIMIT) -> list[Op] | None:
-    """A shortest edit script, in order; None beyond the limit. Every STRIDE-th frontier is kept, so that memory grows with the
-    edits times STRIDE, not with their square."""
+def _edits_by_bits(a: Sequence, b: Sequence, most: int) -> list[Op] | None:
+    """The script of ``shortest_edits`` for short sides. A row of bits for each place of ``a``: bit j is 0 where the longest common
+    subsequence of what is before the places grows from j to j + 1. The furthest points that the frontiers keep are those where neither
+    neighbour has as long a one; so on the way back an insertion goes first, then a deletion."""
+    x, y, v = len(a), len(b), (1 << len(b)) - 1
+    whole, places = v, {}
+    for j, code in enumerate(b):
+        places[code] = places.get(code, 0) | 1 << j
+    rows = [v]
+    for code in a:
+        if code in places:
+            met = v & places[code]
+            v = (v + met | v - met) & whole
+        rows.append(v)
+    if x - y + 2 * v.bit_count() > most:
+        return None
+    out: list[Op] = []
+    while x and y:
+        bit = 1 << y - 1
+        if rows[x] & bit:
+            y -= 1
+            out.append(("insert", -1, y))
+        else:
+            x -= 1
+            if rows[x] & bit:
+                y -= 1
+                out.append(("equal", x, y))
+            else:
+                out.append(("delete", x, -1))
+    out += [("insert", -1, j) for j in range(y - 1, -1, -1)] or [("delete", i, -1) for i in range(x - 1, -1, -1)]
+    return out[::-1]
+
+
+def shortest_edits(a: Sequence, b: Sequence, limit: int | None = EDIT_LIMIT, cells: int = CELLS) -> list[Op] | None:
+    """A shortest edit script, in order; None beyond the limit. Sides of few ``cells`` are met in bits; for others every STRIDE-th frontier
+    is kept, so that memory grows with the edits times STRIDE, not with their square."""
     most = len(a) + len(b) if limit is None else min(len(a) + len(b), limit)
+    if len(a) * len(b) <= cells:
+        return _edits_by_bits(a, b, most)
     number: dict = {}
     few = [number.setdefault(v, len(number)) for v in a], [number.setdefault(v, len(number)) for v in b]
     many = tuple(np.array(side, np.int32) for side in few)
