@@ -45,5 +45,5 @@ def paired(rows: DataFrame, other: DataFrame, on: list[str] | str, how: str = "i
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, read from a Parquet table of this application, which goes when the application ends."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

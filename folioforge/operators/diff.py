@@ -125,10 +125,12 @@ def runs(left: DataFrame, right: DataFrame, edit_limit: int | None = alignment.E
     met = alignment.matches(rows, edit_limit)
     of = lambda side, ix, other: F.struct(F.lit(side).alias("side"), F.col(ix).alias("ix"), F.col(other).alias("other"))
     sides = met.select("pair_id", F.explode(F.array(of(0, "i", "j"), of(1, "j", "i"))).alias("x")).select("pair_id", "x.*")
-    told = paired(rows.drop("code"), sides, ["pair_id", "side", "ix"], "left")
+    # Places are told without the texts, which are dealt once.
+    told = paired(rows.select("pair_id", "side", "ix"), sides, ["pair_id", "side", "ix"], "left")
     here = F.when(F.col("other").isNotNull(), F.struct("ix", "other"))
     told = before(told, ["pair_id", "side"], F.col("ix"), here, "last")
-    return told.select("pair_id", "side", "ix", "text", "other", F.coalesce(F.col("last.ix") + F.col("last.other") + 2, F.lit(0)).cast("long").alias("run"), (F.col("ix") - F.coalesce("last.ix", F.lit(-1)) - 1).alias("place"))
+    told = told.select("pair_id", "side", "ix", "other", F.coalesce(F.col("last.ix") + F.col("last.other") + 2, F.lit(0)).cast("long").alias("run"), (F.col("ix") - F.coalesce("last.ix", F.lit(-1)) - 1).alias("place"))
+    return paired(rows.select("pair_id", "side", "ix", "text"), told, ["pair_id", "side", "ix"]).select("pair_id", "side", "ix", "text", "other", "run", "place")
 
 
 def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_INLINE, edit_limit: int | None = alignment.EDIT_LIMIT, max_blocks: int | None = None) -> DataFrame:
@@ -142,7 +144,8 @@ def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_IN
         sizes = left.select("pair_id").unionByName(right.select("pair_id")).groupBy(F.col("pair_id").cast("long").alias("pair_id")).agg(F.count(F.lit(1)).alias("blocks"))
         large = stored(sizes.where(F.col("blocks") > max_blocks).select("pair_id"), "large")
         left, right = (paired(side, large, "pair_id", "left_anti") for side in (left, right))
-    rows = stored(runs(left, right, edit_limit), "runs")
+    # Of equal blocks the left text is enough.
+    rows = stored(runs(left, right, edit_limit).withColumn("text", F.when((F.col("side") == 0) | F.col("other").isNull(), F.col("text"))), "runs")
     changed = rows.where("other is null").drop("other")
     pairs = stored(pairing.pairs(changed), "pairs")
     run = pairing.RUN
@@ -150,9 +153,10 @@ def diff_rows(left: DataFrame, right: DataFrame, max_inline: int | None = MAX_IN
     # One scan for both sides: deleted blocks look back for the furthest right block that was taken, inserted ones look
     # from the end for the first deleted block that took one behind them.
     taken = pairs.select(*run, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("place"), F.col("j").alias("mate")), F.struct(F.lit(1).alias("side"), F.col("j").alias("place"), F.col("i").alias("mate")))).alias("x"), "score").select(*run, "x.*", "score")
-    told = paired(changed, taken, [*run, "side", "place"], "left")
+    told = paired(changed.drop("text"), taken, [*run, "side", "place"], "left")
     at = F.when(F.col("side") == 0, F.col("place")).otherwise(-F.col("place"))
     told = before(told, [*run, "side"], at, F.when(F.col("side") == 0, F.col("mate") + 1).otherwise(-F.col("mate")), "seen")
+    told = paired(changed.select(*run, "side", "place", "text"), told, [*run, "side", "place"])
     deleted = told.where("side = 0").withColumn("at", F.col("run") + F.col("place") + F.greatest(F.coalesce("seen", F.lit(0)), F.coalesce(F.col("mate") + 1, F.lit(0))))
     lengths = changed.where("side = 0").groupBy(*run).agg(F.count(F.lit(1)).alias("length"))
     alone = paired(told.where("side = 1 and mate is null"), lengths, run, "left").withColumn("at", F.col("run") + F.col("place") + F.coalesce(-F.col("seen"), "length", F.lit(0)))
